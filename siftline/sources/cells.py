@@ -23,7 +23,7 @@ _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def csv_cells(spark: SparkSession, path: str, bundle: str = "") -> DataFrame:
     """Cells of CSV files, header included; the row index counts lines of a file."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = text.select("file", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("row_idx", "line"))
     fields = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',(?:"((?:[^"]|"")*)"|([^,]*))'), 0)
     cells = lines.select("file", "row_idx", F.posexplode(fields).alias("col_idx", "raw"))
