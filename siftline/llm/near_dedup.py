@@ -258,7 +258,7 @@ def _bloom(ids: DataFrame, most_words: int = 1 << 20) -> np.ndarray | None:
 
 def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, cluster, tiles, sketch, grams) of the nodes in ``needed`` (doc_id, set_hash, node, cluster, tiles)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
     bits = _bloom(needed.select("doc_id").distinct())
     if bits is None:
         texts = texts.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
