@@ -17,8 +17,8 @@ from siftline.llm import common, exact_dedup, mixing, near_dedup, packing, quali
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    scored = quality.score_quality(docs.drop("score", "predicted"), common.read(spark, sf_dir, "labels"), threshold=0.3)
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    scored = quality.score_quality(docs, common.read(spark, sf_dir, "labels"), threshold=0.3, names=("_quality", "_good"))
+    return scored.where(F.col("_good") == 1).drop("_quality", "_good")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,24 +183,24 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
     return net
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Every row of ``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted"), **options) -> DataFrame:
+    """Every row of ``docs`` with, as ``names`` calls them, its score (0 to 1, higher: label 1 likelier) and
+    whether it is predicted 1 (from ``threshold`` on).
 
     The score reads the whole text and nothing else; null counts as empty; empty texts get the score of a
-    chunk of padding. Repeated rows are scored each; other columns are kept.
+    chunk of padding. Repeated rows are scored each; other columns are kept, unless they have those names.
     """
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
+
     net = fit(docs, labels, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            found = predict(net, texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array(found >= threshold).cast(pa.int32())], names=[*batch.schema.names, "score", "predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+            found = predict(net, [(x or "").encode() for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array(found >= threshold).cast(pa.int32())], names=[*batch.schema.names, *names])
 
-    kept = docs.drop("score", "predicted")
-    schema = StructType([*kept.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
+    kept = docs.drop(*names)
+    schema = StructType([*kept.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType())
     return kept.mapInArrow(score, schema)
 
 
