@@ -81,3 +81,17 @@ def verify() -> tuple[Column, Column]:
         .when(issue.isNotNull(), "medium")
     )
     return issue, severity
+
+
+def grouped_lines(lines: Column) -> Column:
+    """Lines of an author-first list as citations: a line opens a new one if it looks like a start and what is
+    held looks complete. The fold carries (done, held) over the ordered lines."""
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("held"))
+
+    def step(a: Column, line: Column) -> Column:
+        starts = line.rlike(r"^[A-Z][\w'’-]+,? (?:[A-Z]\.|[A-Z]{1,3}\b)")
+        complete = a["held"].rlike(r"(?:19|20)\d{2}") & a["held"].rlike(r"[.\d]$")
+        close = starts & complete
+        return F.struct(F.when(close, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), F.when(close | (a["held"] == ""), line).otherwise(F.concat_ws(" ", a["held"], line)).alias("held"))
+
+    return F.aggregate(lines, empty, step, lambda a: F.filter(F.concat(a["done"], F.array(a["held"])), lambda x: x != ""))

@@ -104,3 +104,19 @@ def migration_plan(rows: DataFrame, url: str, old_prefix: str, new_prefix: str)
     relative = F.expr(f"substring({url}, {len(old_prefix) + 1})")
     blocked = F.array_compact(F.array(F.when(~F.col(url).startswith(old_prefix), F.lit("other prefix")), F.when(relative.contains(".."), F.lit("unsafe path")), F.when(F.length(relative) == 0, F.lit("no file"))))
     return rows.withColumn("blocked", blocked).withColumn("new_url", F.when(F.size("blocked") == 0, F.concat(F.lit(new_prefix), relative)))
+
+
+def fuzzy_names(files: DataFrame, papers: DataFrame, file: str, title: str, paper: str, prefix: int = 30, least: int = 12) -> DataFrame:
+    """Files whose plain name begins with the start of a paper's plain title, or the other way round. The first
+    ``least`` characters are the join key, so names meet only titles that begin alike; the lowest paper wins."""
+    plain = lambda c: F.left(F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", ""), F.lit(prefix))
+    f = files.select(file, plain(file).alias("_name")).where(F.length("_name") >= least).withColumn("_key", F.left("_name", F.lit(least)))
+    p = papers.select(paper, plain(title).alias("_title")).where(F.length("_title") >= least).withColumn("_key", F.left("_title", F.lit(least)))
+    hits = f.join(p, "_key").where(F.startswith("_name", "_title") | F.startswith("_title", "_name"))
+    return hits.groupBy(file).agg(F.min(paper).alias(paper))
+
+
+def filtered_findings(findings: DataFrame, columns: list[str], tests: tuple[str, ...]) -> DataFrame:
+    """Findings without those of ``tests`` whose location names one of ``columns``."""
+    name = F.regexp_extract("location", "column '([^']+)'", 1)
+    return findings.where(~(F.col("test").isin(*tests) & F.lower(name).isin(*[c.lower() for c in columns])))

@@ -642,3 +642,83 @@ def references_extracted(spark, sf):
     items = G.links(table(spark, sf, "pages"), "page_id", "html").select("page_id", (F.col("ord") + 1).alias("n"), F.concat_ws(" ", "label", "href").alias("t"))
     listed = items.groupBy("page_id").agg(F.concat(F.lit("References\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: F.concat(x["n"].cast("string"), F.lit(". "), x["t"])), "\n")).alias("text"))
     return X.references(listed, "page_id", "text")
+
+
+@query("""
+with f as (select p_partkey, left(regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_partkey % 2 = 0),
+t as (select p_partkey, left(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_partkey % 2 = 1)
+select f.p_partkey as file_id, min(t.p_partkey) as paper from f join t on length(f.n) >= 8 and length(t.n) >= 8 and left(f.n, 8) = left(t.n, 8) and (starts_with(f.n, t.n) or starts_with(t.n, f.n)) group by 1
+""")
+def fuzzy_title(spark, sf):
+    part = table(spark, sf, "part")
+    files = part.where("p_partkey % 2 = 0").select("p_partkey", F.concat("p_name", "p_brand").alias("file"))
+    papers = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("paper"), F.col("p_name").alias("title"))
+    hits = U.fuzzy_names(files.select("file").distinct(), papers, "file", "title", "paper", least=8)
+    return files.join(hits, "file").select(F.col("p_partkey").alias("file_id"), "paper")
+
+
+@query()
+def title_similarity(spark, sf):
+    """Word coverage of a document's best benchmark text, and the exact ratio only where coverage leaves it open."""
+    from ..operators.exact import title_ratio
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("title"))
+    best = X.best_works(docs, items, "doc_id", "item_id")
+    pairs = best.join(docs, "doc_id").join(items, "item_id").withColumn("coverage", X.title_coverage(F.col("title"), F.col("text")))
+    open_ = pairs.where("coverage between 0.5 and 0.85").withColumn("similarity", F.greatest("coverage", title_ratio(F.left(X.normal(F.col("title")), F.lit(60)), X.normal(F.col("text")))))
+    done = pairs.where("coverage not between 0.5 and 0.85").withColumn("similarity", F.col("coverage"))
+    return done.unionByName(open_).select("doc_id", "item_id", "coverage", "similarity")
+
+
+@query()
+def p_values(spark, sf):
+    """p of each supplier's correlation of quantity and price, and of the chi-square of its first digits."""
+    from ..operators.exact import p_value
+
+    li = table(spark, sf, "lineitem")
+    r = li.groupBy("l_suppkey").agg(F.corr("l_quantity", "l_extendedprice").alias("value"), (F.count("*") - 2).cast("double").alias("df1")).select("l_suppkey", F.lit("r").alias("kind"), "value", "df1")
+    c = C.benford(_cells(spark, sf, "l_suppkey").where("col_name = 'l_extendedprice'"), ["l_suppkey"]).select("l_suppkey", F.lit("chi2").alias("kind"), F.col("chi2").alias("value"), F.lit(8.0).alias("df1"))
+    return r.unionByName(c).withColumn("p", p_value("kind", "value", "df1", F.lit(0.0)))
+
+
+@query()
+def picture_screen(spark, sf):
+    """Hashes and seams of pictures made of embeddings: each vector's 64 numbers tiled to a wide grey picture."""
+    from ..operators import pictures
+
+    e = table(spark, sf, "embeddings")
+    row = F.transform("embedding", lambda x: (F.lit(128) + x * 300).cast("double"))
+    return pictures.screen(e.select("vec_id", F.lit(64).alias("width"), F.lit(32).alias("height"), F.flatten(F.array_repeat(row, 32)).alias("pixels")), "vec_id")
+
+
+@query("""
+with e as (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(url, '[0-9]'), lambda x: x::int))) as p from pages) select page_id, len(p)::int as n from e
+""")
+def digit_peaks(spark, sf):
+    """Distinct digits of an address, none apart by nothing: the merge of peaks with a distance of zero."""
+    from ..operators import pictures
+
+    digits = F.array_sort(F.transform(F.regexp_extract_all("url", F.lit("[0-9]"), 0), lambda x: x.cast("int")))
+    return table(spark, sf, "pages").select("page_id", F.size(pictures.merged_peaks(digits, 0)).alias("n"))
+
+
+@query()
+def citation_groups(spark, sf):
+    """Citations of author-first lists: the sentences of a document as lines."""
+    docs = table(spark, sf, "documents")
+    lines = F.filter(F.split("text", r"(?<=\.)\s+|\n"), lambda x: x != "")
+    return docs.select("doc_id", F.size(lines).alias("n_lines"), F.size(X.grouped_lines(lines)).alias("n_groups"))
+
+
+@query()
+def stream_claims(spark, sf):
+    """Claims, retries and give-ups of each user's events, kept as state of a stream."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-stream-")
+    base = f"{base.rstrip('/')}/claims-{uuid.uuid4().hex}"
+    out = M.claims(M.event_stream(spark, f"{sf}/events*.parquet", table(spark, sf, "events").schema))
+    M.run_available(out, f"{base}/out", f"{base}/state")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def session(app: str = "siftline", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -11,5 +16,13 @@ def session(app: str = "siftline", **conf: str) -> SparkSession:
     return builder.config(map=defaults | conf).getOrCreate()
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where it isn't installed."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")

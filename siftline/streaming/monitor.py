@@ -44,3 +44,33 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     """Process what is there, then stop."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def claims(events: DataFrame, stale_seconds: int = 21_600, most_attempts: int = 2) -> DataFrame:
+    """(user_id, event_id, action) of each event, in order: claim, retry after a stale claim, busy, or give up.
+
+    A stream keeps for each key when it was claimed and how often: two numbers a key.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames, state: GroupState):
+        import pandas as pd
+
+        at, attempts = state.get if state.exists else (None, 0)
+        for frame in frames:
+            rows = []
+            for ts, event in sorted(zip(frame.ts.astype("int64") // 10**9, frame.event_id)):
+                if at is not None and ts - at <= stale_seconds:
+                    action = "busy"
+                elif attempts >= most_attempts:
+                    action = "give up"
+                else:
+                    action, at, attempts = ("claim" if attempts == 0 else "retry"), int(ts), attempts + 1
+                rows.append((key[0], event, action))
+            yield pd.DataFrame(rows, columns=["user_id", "event_id", "action"])
+        if at is not None:
+            state.update((at, attempts))
+
+    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, action string", "at long, attempts int", "append", GroupStateTimeout.NoTimeout
+    )

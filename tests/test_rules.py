@@ -177,3 +177,37 @@ def test_page_readers(spark):
     df = spark.createDataFrame([(1, html)], "k int, h string")
     assert [(r.name, r.affiliation) for r in pages.authors(df, "k", "h").collect()] == [("A B", "X")]
     assert [(r.number, r.doi, r.text) for r in pages.reference_items(df, "k", "h").collect()] == [(3, "10.1/a", "Ref one")]
+
+
+def test_exact_p_values():
+    from siftline.operators.exact import p_of
+
+    assert abs(p_of("chi2", 15.5073, 8, 0) - 0.05) < 1e-5 and abs(p_of("chi2", 21.666, 9, 0) - 0.01) < 1e-5
+    assert abs(p_of("t", 2.228139, 10, 0) - 0.05) < 1e-5 and abs(p_of("F", 4.964603, 1, 10) - 0.05) < 1e-5
+    assert abs(p_of("r", 0.576, 10, 0) - 0.05) < 2e-3
+
+
+def test_picture_screens(spark):
+    import numpy as np
+
+    from siftline.operators import pictures
+
+    rng = np.random.default_rng(3)
+    blot = rng.normal(200, 5, (60, 180))
+    for x in range(8, 180, 20):
+        blot[20:40, x : x + 10] -= 120
+    spliced = blot.copy()
+    spliced[:, 91:] -= 55
+    assert abs(bin((pictures.phash(blot) ^ pictures.phash(blot + 3)) & (2**64 - 1)).count("1")) <= 4
+    assert pictures.correlation(blot, blot) > 0.999
+    rows = [(1, 180, 60, spliced.ravel().tolist()), (2, 180, 60, blot.ravel().tolist()), (3, 5, 5, [1.0])]
+    got = {r.k: r for r in pictures.screen(spark.createDataFrame(rows, "k int, width int, height int, pixels array<double>"), "k").collect()}
+    assert got[1].suspect and 90 in got[1].seams and not got[2].suspect and got[3].error
+    merged = spark.range(1).select(pictures.merged_peaks(F.expr("array(10, 12, 13, 20)"))).first()[0]
+    assert merged == [10, 20]
+
+
+def test_grouped_citations(spark):
+    lines = ["Lee, A. Deep sea tides.", "Journal of Seas 2001.", "Kim, B. Waves. 2003", "Roe, C. Winds"]
+    got = spark.createDataFrame([(lines,)], "l array<string>").select(X.grouped_lines(F.col("l"))).first()[0]
+    assert len(got) == 3 and got[0].startswith("Lee, A. Deep sea tides. Journal")
