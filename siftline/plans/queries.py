@@ -329,7 +329,7 @@ def recall_by_source(spark, sf):
 @query("""
 with p as (select doc_id, 'first' as pass, case when toxic = 1 then 'high' when quality = 0 then 'error' else 'low' end as result from labels
   union all select doc_id, 'second', case when doc_id % 7 = 0 then 'high' when doc_id % 11 = 0 then 'error' else 'low' end from labels
-  union all select doc_id, 'judge', case when doc_id % 3 = 0 then 'low' when doc_id % 5 = 0 then 'error' else 'high' end from labels where doc_id % 2 = 0),
+  union all select doc_id, 'judge', case when doc_id % 3 = 0 then 'low' when doc_id % 5 = 0 then 'error' else 'high' end from labels),
 w as (select doc_id, max(result) filter (pass = 'first') as f, max(result) filter (pass = 'second') as s, max(result) filter (pass = 'judge') as j from p group by doc_id),
 d as (select doc_id, case when f = 'high' then 'high' when f = 'low' and s = 'low' then 'low' when f = 'error' and s = 'high' and coalesce(j not in ('high', 'low'), true) then 'high' when j in ('high', 'low') then j
   when f in ('high', 'low') and s in ('high', 'low') then 'high' when f in ('high', 'low') then f when s in ('high', 'low') then s else 'error' end as final from w)
@@ -341,7 +341,7 @@ def review_decision(spark, sf):
     one = lambda name, c: labels.select("doc_id", F.lit(name).alias("pass"), c.alias("result"), F.lit("").alias("data_review"))
     first = one("first", F.when(t == 1, "high").when(q == 0, "error").otherwise("low"))
     second = one("second", F.when(d % 7 == 0, "high").when(d % 11 == 0, "error").otherwise("low"))
-    judge = one("judge", F.when(d % 3 == 0, "low").when(d % 5 == 0, "error").otherwise("high")).where("doc_id % 2 = 0")
+    judge = one("judge", F.when(d % 3 == 0, "low").when(d % 5 == 0, "error").otherwise("high"))
     return review.verdicts(first.unionByName(second).unionByName(judge), "doc_id").groupBy("final").agg(F.count("*").alias("n"))
 
 
@@ -377,17 +377,16 @@ def full_outer_keys(spark, sf):
 
 
 @query("""
-with t as (select c_custkey, nullif(c_nationkey, 3) as fold, c_acctbal as score from customer where c_custkey % 2 = 0), u as (select c_custkey, nullif(c_nationkey, 3) as fold, -c_acctbal as score from customer where c_custkey % 3 = 0 and c_custkey % 30 <> 0)
+with t as (select c_custkey, nullif(c_nationkey, 3) as fold, c_acctbal as score from customer where c_mktsegment <> 'BUILDING'), u as (select c_custkey, nullif(c_nationkey, 3) as fold, -c_acctbal as score from customer where c_acctbal < 5000 and c_nationkey <> 7)
 select coalesce(u.c_custkey, t.c_custkey) as c_custkey, case when u.c_custkey is not null then u.fold else t.fold end as fold, coalesce(u.score, t.score) as score, case when u.c_custkey is null then 'kept' when t.c_custkey is null then 'inserted' else 'updated' end as action
 from t full join u on t.c_custkey = u.c_custkey and t.fold is not distinct from u.fold
 """)
 def upsert_results(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("fold"), F.col("c_acctbal").alias("score"))
-    protected = c.where("c_custkey % 30 = 0").select("c_custkey", "fold")
-    updates = c.where("c_custkey % 3 = 0").withColumn("score", -F.col("score"))
-    protected = protected.select("c_custkey").distinct()
-    updates = U.not_done(updates, protected, "c_custkey")
-    return U.upsert(c.where("c_custkey % 2 = 0"), updates, ["c_custkey", "fold"])
+    segments = table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey")
+    protected = c.where("fold = 7").select("c_custkey", "fold")
+    updates = c.where("score < 5000").withColumn("score", -F.col("score"))
+    return U.upsert(U.allowed(c, segments, "c_custkey"), updates, ["c_custkey", "fold"], protected)
 
 
 _PREFIXES = [("https://", "secure"), ("https://www.", "secure www"), ("http://", "plain"), ("http://blog.", "blog"), ("https://m.", "mobile")]
@@ -450,10 +449,10 @@ def progress_latest(spark, sf):
 
 
 @query("""
-select event_id, user_id from events where event_type <> 'purchase' and epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts)) > 21600 and event_id % 4 < 2
+select event_id, user_id from events where event_type <> 'purchase' and epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts)) > 21600 and floor(value / 10) < 2
 """)
 def stale_claims(spark, sf):
-    claims = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), F.col("ts").alias("claimed"), (F.col("event_id") % 4).alias("attempts"))
+    claims = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), F.col("ts").alias("claimed"), F.floor(F.col("value") / 10).alias("attempts"))
     return U.stale(claims, F.lit("2024-01-31 00:00:00").cast("timestamp"), 21_600, 2).select("event_id", "user_id")
 
 
@@ -615,13 +614,13 @@ def migration_plan(spark, sf):
 
 
 @query("""
-with s as (select c_custkey as k, c_acctbal as size from customer where c_custkey % 2 = 0), t as (select c_custkey as k, case when c_custkey % 4 = 0 then c_acctbal else 0 end as size from customer where c_custkey % 3 = 0)
+with s as (select c_custkey as k, c_acctbal as size from customer where c_mktsegment <> 'BUILDING'), t as (select c_custkey as k, case when c_nationkey < 9 then c_acctbal else 0 end as size from customer where c_acctbal < 5000)
 select coalesce(s.k, t.k) as k, case when t.k is null then 'copy' when s.k is null then 'keep' when s.size = t.size then 'skip' when s.size > t.size then 'replace' else 'keep' end as action from s full join t on s.k = t.k
 """)
 def file_merge_plan(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("size"))
-    t = c.where("k % 3 = 0").withColumn("size", F.when(F.col("k") % 4 == 0, F.col("size")).otherwise(0.0))
-    return U.merge_plan(c.where("k % 2 = 0"), t, ["k"], "size").select("k", "action")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("size"), "c_nationkey", "c_mktsegment")
+    t = c.where("size < 5000").withColumn("size", F.when(F.col("c_nationkey") < 9, F.col("size")).otherwise(0.0))
+    return U.merge_plan(c.where("c_mktsegment <> 'BUILDING'"), t, ["k"], "size").select("k", "action")
 
 
 @query("""
@@ -645,14 +644,14 @@ def references_extracted(spark, sf):
 
 
 @query("""
-with f as (select p_partkey, left(regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_partkey % 2 = 0),
-t as (select p_partkey, left(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_partkey % 2 = 1)
+with f as (select p_partkey, left(regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_type = 'ECONOMY'),
+t as (select p_partkey, left(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 30) as n from part where p_type <> 'ECONOMY')
 select f.p_partkey as file_id, min(t.p_partkey) as paper from f join t on length(f.n) >= 8 and length(t.n) >= 8 and left(f.n, 8) = left(t.n, 8) and (starts_with(f.n, t.n) or starts_with(t.n, f.n)) group by 1
 """)
 def fuzzy_title(spark, sf):
     part = table(spark, sf, "part")
-    files = part.where("p_partkey % 2 = 0").select("p_partkey", F.concat("p_name", "p_brand").alias("file"))
-    papers = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("paper"), F.col("p_name").alias("title"))
+    files = part.where("p_type = 'ECONOMY'").select("p_partkey", F.concat("p_name", "p_brand").alias("file"))
+    papers = part.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("paper"), F.col("p_name").alias("title"))
     hits = U.fuzzy_names(files.select("file").distinct(), papers, "file", "title", "paper", least=8)
     return files.join(hits, "file").select(F.col("p_partkey").alias("file_id"), "paper")
 
