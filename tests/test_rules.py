@@ -211,3 +211,23 @@ def test_grouped_citations(spark):
     lines = ["Lee, A. Deep sea tides.", "Journal of Seas 2001.", "Kim, B. Waves. 2003", "Roe, C. Winds"]
     got = spark.createDataFrame([(lines,)], "l array<string>").select(X.grouped_lines(F.col("l"))).first()[0]
     assert len(got) == 3 and got[0].startswith("Lee, A. Deep sea tides. Journal")
+
+
+def test_metadata(spark):
+    from siftline.operators import metadata as D
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(D.doi_by_precedence(F.lit(" "), F.lit(None).cast("string"), F.lit(""), F.lit("x_10.1234__ab"))) == "10.1234/ab"
+    assert one(D.doi_year(F.lit("10.1234/j.2019.55"))) == 2019 and one(D.doi_year(F.lit("10.1234/x1234"))) is None
+    assert one(D.upsert_key(F.lit(""), F.lit("A Title!"))) == "t:atitle"
+    assert one(D.author_place(F.array(F.lit("A B"), F.lit("C D"), F.lit("E F")), "c d")) == "second last"
+    assert one(D.is_bad_title(F.lit("paper.pdf"))) and not one(D.is_bad_title(F.lit("A study of the tides")))
+    lines = spark.createDataFrame([(1, 0, 8.0, "Vol"), (1, 1, 20.0, "A study"), (1, 2, 19.0, "of tides"), (1, 3, 9.0, "Lee"), (1, 4, 20.0, "Later")], "k int, ord int, size double, text string")
+    assert D.title_lines(lines, "k").first().title == "A study of tides"
+    a = spark.createDataFrame([(1, 0, "Ann Lee1,2"), (1, 1, "Bo Kim3"), (2, 0, "Cy Roe1")], "k int, ord int, author string")
+    i = spark.createDataFrame([(1, 3, "North University"), (1, 1, "Other"), (2, 2, "North University")], "k int, idx int, institution string")
+    assert {r.k: r.names for r in D.authors_at(a, i, "k", "north").collect()} == {1: "Bo Kim", 2: "Cy Roe"}
+    blocks = spark.createDataFrame([(1, "r1", 55.0, 0.0, 100.0, 5.0), (1, "l2", 0.0, 9.0, 45.0, 15.0), (1, "l1", 0.0, 1.0, 45.0, 5.0), (1, "r2", 55.0, 9.0, 100.0, 15.0)], "p int, t string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.t for r in D.reading_order(blocks, ["p"]).orderBy("ord").collect()] == ["l1", "l2", "r1", "r2"]
+    names = spark.createDataFrame([("z", "p1/a.pdf"), ("z", "p2/b.csv"), ("y", "../x.exe")], "a string, path string")
+    assert {r.a: (r.kind, r.errors) for r in D.archive_kind(names, "a", "path").collect()} == {"z": ("batch", []), "y": ("single", ["unsafe path", "forbidden: exe", "no PDF"])}
