@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .exact_dedup import _LOWER
+from .tokens import forget
 
 WORDS, PERCENT = 5, 85
 SIDE, DEPTH = 9, 3
@@ -29,6 +30,7 @@ TILE = 250
 #: Equal minhashes that a pair needs to be compared: four standard deviations below the threshold.
 LEAST_EQUAL = int(HASHES * (PERCENT / 100 - 4 * (0.85 * 0.15 / HASHES) ** 0.5))
 _SLICE = 1 << 20
+_ROWS = 8_000  # shingles hashed at once: 54 numbers each
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, "u8")
@@ -112,20 +114,26 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of ``HASHES`` minima; zeros for an empty set."""
     out = np.zeros((len(sets), HASHES), "u8")
-    full = [k for k, s in enumerate(sets) if len(s)]
-    for low in range(0, len(full), 32):
-        some = full[low : low + 32]
-        with np.errstate(over="ignore"):
-            if max(len(sets[k]) for k in some) > 20_000:
-                for k in some:
-                    out[k] = np.min([(_mix(sets[k][a : a + 20_000])[:, None] * _MUL + _ADD).min(0) for a in range(0, len(sets[k]), 20_000)], axis=0)
-                continue
-            flat = _mix(np.concatenate([sets[k] for k in some]))
-            at = np.cumsum([0, *(len(sets[k]) for k in some[:-1])])
-            out[some] = np.minimum.reduceat(flat[:, None] * _MUL + _ADD, at, axis=0)
+    group: list[int] = []
+    for k in [*(k for k, s in enumerate(sets) if len(s)), None]:
+        if group and (k is None or sum(len(sets[g]) for g in group) + len(sets[k]) > _ROWS):
+            _minima(sets, group, out)
+            group = []
+        if k is not None:
+            group.append(k)
     return out
 
 
+def _minima(sets: list[np.ndarray], group: list[int], out: np.ndarray) -> None:
+    with np.errstate(over="ignore"):
+        if len(group) == 1:
+            s = sets[group[0]]
+            out[group[0]] = np.min([(_mix(s[a : a + _ROWS])[:, None] * _MUL + _ADD).min(0) for a in range(0, len(s), _ROWS)], axis=0)
+        else:
+            at = np.cumsum([0, *(len(sets[g]) for g in group[:-1])])
+            out[group] = np.minimum.reduceat(_mix(np.concatenate([sets[g] for g in group]))[:, None] * _MUL + _ADD, at, axis=0)
+
+
 def side_keys(minima: np.ndarray) -> np.ndarray:
     """The 2 * SIDE keys of each row: left ones, then right ones."""
     with np.errstate(over="ignore"):
@@ -161,6 +169,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
+
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             sets = shingle_sets(_lowered(batch.column(1)))
@@ -267,6 +277,7 @@ def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         mask = len(bits) * 64
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if bits is not None:
                 h = batch.column(2).to_numpy().view("u8")

@@ -7,10 +7,10 @@ from array import array
 from functools import lru_cache
 
 #: A space beside other white space: such a text is encoded whole.
-_UNEVEN = re.compile(r"\s |^ | \s| $")
+_BEFORE, _AFTER = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
-#: Words remembered by a worker; beyond this the memory is emptied and fills again.
-MEMO_WORDS = 800_000
+#: Words of one generation of a worker's memory; there are two, and the older one is dropped.
+MEMO_WORDS = 450_000
 
 
 class WordEncoder:
@@ -27,6 +27,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -34,16 +35,23 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        pieces = [None if _UNEVEN.search(x) else x.replace(" ", "\0 ").split("\0") if "\0" not in x else None for x in texts]
-        new = list(set().union(*filter(None, pieces)).difference(memo))
-        if new:
-            memo.update(zip(new, self._ids(new)))
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        pieces = [x.replace(" ", "\0 ").split("\0") if _is_even(x) else None for x in texts]
+        new = set().union(*filter(None, pieces)).difference(memo)
+        if known := new.intersection(older):
+            memo.update((w, older[w]) for w in known)
+        if fresh := list(new.difference(known)):
+            memo.update(zip(fresh, self._ids(fresh)))
         whole = iter(self._ids([x for x, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(memo.__getitem__, p)) for p in pieces]
 
 
+def _is_even(text: str) -> bool:
+    """Whether every space of a text stands between two characters that aren't white space."""
+    return not (_BEFORE.search(text) or _AFTER.search(text) or text[:1] == " " or text[-1:] == " " or "\0" in text)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     import os
@@ -52,6 +60,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget() -> None:
+    """Give back a worker's memory of words, for stages that need the room themselves."""
+    encoder.cache_clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
