@@ -11,6 +11,7 @@ blocks of different shards are disjoint, and orders its documents by a hash.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,36 @@ def _permuted(*cols: Column | str) -> Column:
     return F.xxhash64(*cols)
 
 
+def fill(weights: list[int], goal: int) -> list[int]:
+    """Places of the documents that fill ``goal``: in order each that still fits; one of the rest is then added, or put
+    for some of the last, where that comes nearer."""
+    out, left, all_ = [], goal, np.asarray(weights, "i8")
+    for k, n in enumerate(weights):
+        if n <= left:
+            out.append(k)
+            left -= n
+    best, off, free = out, left, np.ones(len(all_), bool)
+    free[out] = False
+    for last in range(min(len(out), 20) + 1):
+        if last:
+            free[out[-last]] = True
+            left += weights[out[-last]]
+        rest = np.flatnonzero(free)
+        if off and len(rest):
+            miss = np.abs(all_[rest] - left)
+            k = int(miss.argmin())
+            if miss[k] < off:
+                best, off = [*out[: len(out) - last], int(rest[k])], int(miss[k])
+    return best
+
+
+def _picked(table: pa.Table) -> pa.Table:
+    """The documents of a cut block that fill its goal; a block has at most as many as it has words."""
+    table = table.sort_by([(c, "ascending") for c in ("at", "key", "doc_id")])
+    places = fill(table.column("weight").to_pylist(), table.column("goal")[0].as_py())
+    return table.select(["source_no", "block", "pass", "key", "doc_id"]).take(pa.array(places, pa.int64()))
+
+
 def mix(docs: DataFrame, shards: int = 16, block_words: int = 200_000, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``(sized, drawn)``. ``sized``: a row for each row of docs with row key, doc_id, source, size, source_size
     and target. ``drawn``: the row keys that the mix takes, once for each time, with shard and place.
@@ -101,17 +132,18 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 200_000, most: int
     draws = draws.join(F.broadcast(edges), "source_no").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("draw")))).drop("ends")
     drawn = sized.select("key", "doc_id", "size", "source_no", "block").join(draws, ["source_no", "block"])
     whole = drawn.where("words <= room")
-    # One block of each source is cut: documents are picked in a hashed order while they fit, then the one that
-    # fills best. What is picked is taken, or left out where less than half of the block has to go.
-    inside = Window.partitionBy("source_no", "block", "pass")
-    goal = F.least(F.col("room"), F.col("words") - F.col("room"))
-    part = drawn.where("words > room").withColumn("goal", goal).withColumn("upto", F.sum("size").over(inside.orderBy(_permuted(F.lit(seed + 3), "key"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("goal")
-    part = part.withColumn("left", F.col("goal") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(inside), F.lit(0)))
-    off = F.abs(F.col("size") - F.col("left"))
-    part = part.withColumn("extra", F.when(~fits & (off < F.col("left")), F.struct(off, F.col("key"), F.col("doc_id")))).withColumn("best", F.min("extra").over(inside))
-    picked = fits | F.coalesce(F.col("extra") == F.col("best"), F.lit(False))
-    part = part.where(picked == (F.col("room") * 2 <= F.col("words"))).drop("goal", "upto", "left", "extra", "best")
+    # One block of each source is cut. Rows that repeat an id and text are drawn alike, so they weigh together. What is
+    # picked is taken, or left out where less than half of the block has to go; rows without words go by their hash.
+    taken_out = F.col("room") * 2 > F.col("words")
+    unit = ["source_no", "block", "pass", "key", "doc_id"]
+    units = drawn.where("words > room").groupBy(*unit).agg(F.first("size").alias("size"), F.sum("size").alias("weight"), *(F.first(c).alias(c) for c in ("shard", "words", "room")))
+    units = common.cut(units.withColumn("at", _permuted(F.lit(seed + 3), "key")))
+    goal = F.when(taken_out, F.col("words") - F.col("room")).otherwise(F.col("room"))
+    picked = units.where("weight > 0").select(*unit, "weight", "at", goal.alias("goal")).groupBy("source_no", "block", "pass").applyInArrow(_picked, "source_no int, block int, pass int, key long, doc_id long")
+    same = [units[c].eqNullSafe(picked[c]) if c == "doc_id" else units[c] == picked[c] for c in unit]
+    part = units.where("weight > 0 and room * 2 <= words").join(picked, same, "left_semi").unionByName(units.where("weight > 0 and room * 2 > words").join(picked, same, "left_anti"))
+    part = part.unionByName(units.where((F.col("weight") == 0) & (F.pmod("at", "words") < F.col("room"))))
+    whole, part = (d.select("key", "doc_id", "size", "source_no", "pass", "shard") for d in (whole, part))
     drawn = whole.unionByName(part).select("key", "doc_id", "size", "source_no", "pass", "shard", _permuted(F.lit(seed + 4), "key", "pass").alias("place"))
     return sized.select("key", "doc_id", "source", "size", "source_size", "target"), drawn
 

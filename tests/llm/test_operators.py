@@ -382,6 +382,25 @@ def test_mixing(spark, none):
     assert mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_meets_targets_beside_a_very_long_document(spark, seed):
+    """A small source of 300 short documents, a very long one and a repeated row; the miss is less than a short document."""
+    rows = [(k, "w " * 400) for k in range(300)] + [(300, "v " * 60_000)] + [(301, "u " * 40)] * 9
+    rows += [(1000 + k, "x " * 400) for k in range(450)] + [(5000, "y " * 9_000)]
+    docs = common.prepare(spark) and spark.createDataFrame([(i, t, "a" if i < 1000 else "b") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    by = {}
+    for r in mixing.mix_report(docs, seed=seed).collect():
+        by[r.target] = by.get(r.target, 0) + r.taken
+    assert len(by) == 2 and all(abs(taken - target) <= 400 for target, taken in by.items())
+    assert sum(r.n * r.size for r in mixing.mixed_documents(docs, seed=seed).groupBy("doc_id", F.regexp_count("text", F.lit("[a-z]")).alias("size")).agg(F.count("*").alias("n")).collect()) == sum(by.values())
+
+
+def test_fill():
+    assert mixing.fill([60, 4, 4, 4], 12) == [1, 2, 3]
+    assert mixing.fill([4, 60, 4, 4, 3], 15) == [0, 2, 3, 4]
+    assert mixing.fill([5, 60, 9], 13) == [0, 2] and mixing.fill([5, 4, 13, 9], 14) == [0, 3] and mixing.fill([30], 13) == [] and mixing.fill([], 5) == []
+
+
 def test_mixing_odd_rows(odd):
     got = mixing.mix_report(odd).collect()
     assert len(got) == len(odd_rows()) and all(r.taken <= 3 * r["size"] for r in got)
