@@ -2,7 +2,8 @@
 
 Written words may be disguised: digits and signs for letters, letters set apart, letters repeated. Each such
 word is a lattice of what its characters may stand for; the Viterbi path under a character trigram model of
-the whole corpus restores it. Learned word weights then score the restored text.
+the whole corpus restores it, however long it is. Where several words may hang together (letters set apart, long
+tokens), the path also chooses the word borders. Learned word weights then score the restored text.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ from . import common
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Log chances of the channel: a sign for a letter, a sign for any letter, a sign between letters, a letter said again.
 SWAP, ANY, APART, AGAIN = -1.0, -4.0, -0.4, -0.4
+BORDERS = (APART, APART + 1, APART + 2)  # a sign for a word's end: as likely as none, and favoured, as the model may miss one
 SYMBOLS = 28  # boundary, a to z, any other letter
-LONGEST = 40  # code points of a disguised word; longer runs are no words and stay as they are
+LONGEST = 40  # code points of one word; a longer token may be several that signs join
 
 _CODE = np.zeros(256, "i8")
 _CODE[ord("a") : ord("z") + 1] = _CODE[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _CODE[128:] = 27
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ .\-_*](?:[^\W_]|[@$!|+*])){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ .\-_*](?:[^\W_]|[@$!|+*])){2,}(?!\S)")
 _EDGES = re.compile(r"^[^\w@$!|+(]+|([^\w@$])\1*$|[^\w@$]+$")
 _NOISE = re.compile(r"([^\w\s])\1{2,}")  # a sign three times over is an ornament
-_ODD = re.compile(r"[a-z].*[0-9@$!|+(*.\-_€]|[0-9@$!|+(*€].*[a-z]|([a-z])\1\1")
+_LETTER, _AFTER, _BEFORE, _THRICE = re.compile("[a-z]"), re.compile(r"[0-9@$!|+(*.\-_€]"), re.compile("[0-9@$!|+(*€]"), re.compile(r"([a-z])\1\1")
+_SIGNS = re.compile(r"[0-9*.\-_]*[@$!|+(€](?:[0-9@$!|+(*.\-_€]*[0-9@$!|+(€])?")  # no letter, and not a number alone
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -61,43 +64,58 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 8 * second[None]) / (counts.sum(2, keepdims=True) + 8)).astype("f4")
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each character what it may stand for ("" for nothing), with the channel's log chance."""
+def _odd(word: str) -> bool:
+    """Letters before or after signs, or a letter three times."""
+    letter, sign = _LETTER.search(word), _BEFORE.search(word)
+    return bool((letter and _AFTER.search(word, letter.end())) or (sign and _LETTER.search(word, sign.end())) or _THRICE.search(word))
+
+
+def lattice(word: str, border: float | None = None, again: bool = True) -> list[list[tuple[str, float]]]:
+    """For each character what it may stand for ("" for nothing), with the channel's log chance.
+
+    With ``border``, its log chance, a sign between letters may also be a word's end, and letters repeat across such
+    signs. Without ``again`` all repeats stay.
+    """
     out, before = [], ""
     for c in word:
         if c.isalpha() and c not in LEET:
-            options = [(c, 0.0)] + ([("", AGAIN)] if c == before else [])
+            options = [(c, 0.0)] + ([("", AGAIN)] if again and c == before else [])
         elif c in LEET:
-            options = [(x, SWAP) for x in LEET[c]] + ([("", AGAIN)] if c == before else [])
+            options = [(x, SWAP) for x in LEET[c]] + ([("", AGAIN)] if again and c == before else [])
         elif c == "*":
             options = [(x, ANY) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", APART)]
         else:
-            options = [("", APART)]
+            options = [("", APART)] + ([(" ", border)] if border is not None else [])
         out.append(options)
-        before = c
+        if border is None or c == "*" or c.isalnum() or c in LEET:
+            before = c
     return out
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def viterbi(word: str, model: np.ndarray) -> str:
+def viterbi(word: str, model: np.ndarray, border: float | None = None, again: bool = True) -> str:
     """The likeliest letters behind ``word``: best path through its lattice under the character model."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in lattice(word, border, again):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, said) in best.items():
             for letter, cost in options:
                 if letter:
                     c = _symbol(letter)
-                    to, s, t = (b, c), score + cost + float(model[a, b, c]), said + letter
+                    to, s, t = (b, c), score + cost + float(model[a, b, c]), (said, letter)
                 else:
                     to, s, t = (a, b), score + cost, said
                 if to not in after or s > after[to][0]:
                     after[to] = (s, t)
         best = after
-    return max((score + float(model[a, b, 0]), said) for (a, b), (score, said) in best.items())[1]
+    said, out = max(((score + float(model[a, b, 0]), said) for (a, b), (score, said) in best.items()), key=lambda x: x[0])[1], []
+    while said:
+        said, letter = said
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -105,29 +123,44 @@ class Restorer:
     """Restores words; remembers what it has met, up to a bound."""
 
     model: np.ndarray
-    memo: dict[str, str] = field(default_factory=dict)
+    memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def word(self, token: str) -> str:
         word = _EDGES.sub("", _NOISE.sub(" ", token).strip())
-        if _ODD.search(word) and len(word) <= LONGEST:
+        if _odd(word) or _SIGNS.fullmatch(word):
             return viterbi(word, self.model)
         return word.strip("!|+(@$")
 
+    def parts(self, run: str) -> list[str]:
+        """The words of letters that signs set apart or join: all as one, and between the likeliest borders."""
+        return [viterbi(run, self.model), *(w for border in BORDERS for w in viterbi(run, self.model, border).split())]
+
+    def said(self, token: str) -> tuple[str, ...]:
+        """What a token may say: a word; of signs alone also with all repeats, and what is left without them; of a long one also its parts."""
+        word = _EDGES.sub("", _NOISE.sub(" ", token).strip())
+        if len(word) > LONGEST and _odd(word):
+            return tuple(self.parts(word))
+        if _SIGNS.fullmatch(word):
+            return self.word(token), viterbi(word, self.model, again=False), word.strip("!|+(@$")
+        return (self.word(token),)
+
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         low = text.lower()
         tokens = set(low.split())
         if len(self.memo) > 500_000:
             self.memo.clear()
-        memo, word = self.memo, self.word
+        memo = self.memo
         out = set()
         for x in tokens:
-            if x not in memo:
-                memo[x] = word(x)
-            out.add(memo[x])
+            said = memo.get(x)
+            if said is None:
+                said = self.said(x)
+                if len(x) <= 4 * LONGEST:
+                    memo[x] = said
+            out.update(said)
         for m in _SPACED.finditer(low):
-            if len(m[0]) <= 2 * LONGEST:
-                out.add(viterbi(m[0], self.model))
+            out.update(self.parts(m[0]))
         out.discard("")
         return out
 

@@ -144,6 +144,23 @@ def test_deobfuscation():
     assert {"stupid", "idiot"} <= r.words("such S T U P I D words, 1.d.1.0.t indeed")
 
 
+def test_deobfuscation_has_no_length_limits():
+    text = ["you are such a stupid idiot and your talk is trash", "the loser said stupid things", "what an ass you are", "a moron and a clown"] * 50
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for t in text:
+        flat = toxicity._CODE[np.frombuffer(t.encode(), "u1")]
+        counts += np.bincount((flat[:-2] * 28 + flat[1:-1]) * 28 + flat[2:], minlength=len(counts))
+    r = toxicity.Restorer(toxicity.log_model(counts.reshape((28,) * 3)))
+    sentence = "you are such a stupid idiot and your talk is trash and you are a moron"
+    letters = " ".join(sentence.replace(" ", "")).replace("o", "0")
+    assert len(letters) > 80 and {"stupid", "idiot", "trash", "moron"} <= r.words(letters)
+    assert {"stupid", "idiot", "trash"} <= r.words(sentence.replace(" ", "-").replace("i", "1"))
+    assert r.words("st" + "u" * 70 + "pid") == {"stupid"} and "stupid" in r.words("s t " + "u " * 50 + "p i d")
+    assert "ass" in r.words("what an @$$ you are") and "ass" in r.words("what an a s s !") and "ass" in r.words("@ $ $")
+    assert r.words("2024 500") == {"2024", "500"}
+    assert r.words("x" + "ab1" * 50_000) and r.words("ab" * 200_000)
+
+
 # fingerprints
 
 
