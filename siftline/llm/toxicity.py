@@ -8,7 +8,9 @@ tokens), the path also chooses the word borders. Learned word weights then score
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +29,9 @@ BORDERS = (APART, APART + 1, APART + 2)  # a sign for a word's end: as likely as
 SYMBOLS = 28  # boundary, a to z, any other letter
 LONGEST = 40  # code points of one word; a longer token may be several that signs join
 
+MINIMA, LIKE = 64, 0.8  # near copies: texts of which so large a share of so many smallest word hashes are equal
+_MUL = np.random.default_rng(6).integers(0, 2**63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
+
 _CODE = np.zeros(256, "i8")
 _CODE[ord("a") : ord("z") + 1] = _CODE[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _CODE[128:] = 27
@@ -186,8 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     """Character model from all texts; word weights from a bounded sample of labelled rows that aren't held out.
 
     The sample has up to ``per_class`` rows of each label. A word's weight is its log odds between the labels;
-    support counts different texts, told apart by their smallest hashed word, so that near copies of one text
-    count about once. The ``lexicon`` words of highest weight that clearly favour the label are kept.
+    support counts different texts, told apart by their whole word sets, and near copies of one text count once. The ``lexicon`` words of highest weight that clearly favour the label are kept.
     """
     letters = log_model(trigram_counts(docs))
     known = labels.where(F.col(target).isin(0, 1) & ~common.held_out("doc_id")).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
@@ -203,10 +207,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
         restorer = Restorer(letters)
         for batch in batches:
             said = [sorted(restorer.words(x or "")) for x in batch.column("text").to_pylist()]
-            text_key = [min((hash_word(w) for w in x), default=0) for x in said]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(text_key, pa.int64()), pa.array(said, pa.list_(pa.string()))], names=["doc_id", "label", "text_key", "words"])
-
-    said = common.cut(sample.repartition(common.partitions(docs), "doc_id").mapInArrow(words, "doc_id long, label int, text_key long, words array<string>"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").cast(pa.int32()), pa.array([set_key(x) for x in said], pa.int64()), pa.array([minima(x).tobytes() for x in said], pa.binary()), pa.array(said, pa.list_(pa.string()))],
+                names=["label", "set_key", "minima", "words"],
+            )
+
+    said = common.cut(sample.repartition(common.partitions(docs), "doc_id").mapInArrow(words, "label int, set_key long, minima binary, words array<string>"))
+    sets = sorted((r.set_key, r.minima) for r in said.select("set_key", "minima").distinct().collect())  # of the sample only
+    first = like_sets(np.frombuffer(b"".join(x[1] for x in sets), "<u4").reshape(-1, MINIMA))
+    keys = docs.sparkSession.createDataFrame([(x[0], sets[k][0]) for x, k in zip(sets, first)], "set_key long, text_key long")
+    said = common.cut(said.join(F.broadcast(keys), "set_key").select("label", "text_key", "words"))
     totals = {r.label: (r.n, r.keys) for r in said.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("text_key").alias("keys")).collect()}
     if len(totals) < 2:
         return Model(letters, {}, (0.0, 0.0), prior)
@@ -236,10 +246,37 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     return Model(letters, weights, (float(beta[0]), float(beta[1])), float(beta[2]) + shift)
 
 
-def hash_word(word: str) -> int:
-    import zlib
+def set_key(words: list[str]) -> int:
+    """A hash of a whole set of words, given in order."""
+    return int.from_bytes(hashlib.blake2b("\0".join(words).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def minima(words: list[str]) -> np.ndarray:
+    """The smallest hash of the words under each of ``MINIMA`` hash functions; of no words the largest number."""
+    out = np.full(MINIMA, 2**32 - 1, "<u4")
+    with np.errstate(over="ignore"):
+        h = np.array([zlib.crc32(w.encode()) << 32 | zlib.adler32(w.encode()) for w in words], "u8") * np.uint64(0x9E3779B97F4A7C15)
+        for at in range(0, len(h), 20_000):
+            part = (h[at : at + 20_000] ^ (h[at : at + 20_000] >> np.uint64(29)))[:, None] * _MUL
+            out = np.minimum(out, ((part ^ (part >> np.uint64(32))) * _MUL >> np.uint64(32)).astype("<u4").min(0))
+    return out
+
+
+def like_sets(found: np.ndarray) -> list[int]:
+    """For each row of minima the first row that it is a near copy of, by rows of which each is like the next."""
+    root = list(range(len(found)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    return (zlib.crc32(word.encode()) * 0x9E3779B1 + zlib.adler32(word.encode())) & 0x7FFFFFFF
+    for k in range(len(found)):
+        for j in np.flatnonzero((found[:k] == found[k]).sum(1) >= LIKE * MINIMA).tolist():
+            a, b = find(j), find(k)
+            root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(found))]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

@@ -161,6 +161,22 @@ def test_deobfuscation_has_no_length_limits():
     assert r.words("x" + "ab1" * 50_000) and r.words("ab" * 200_000)
 
 
+def test_texts_with_one_common_word_are_different_texts(spark):
+    """Whatever word hashes lowest: 40 texts of each label that share 60 words; near copies count once."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    low = min((word() for _ in range(50_000)), key=lambda w: (zlib.crc32(w.encode()) * 0x9E3779B1 + zlib.adler32(w.encode())) & 0x7FFFFFFF)
+    common_words = [low, *(word() for _ in range(59))]
+    rows = [(k, " ".join([*common_words, *(["badword"] if k % 2 else []), *(word() for _ in range(60))])) for k in range(100)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    assert set(toxicity.fit(docs_of(spark, rows), labels).weights) == {"badword"}
+    base = rows[1][1].split()
+    rows = [(k, " ".join([*base[:-1], word()])) if k % 2 else (k, t) for k, t in rows]
+    assert not toxicity.fit(docs_of(spark, rows), labels).weights
+    a, b, c = (toxicity.minima(sorted(set(x.split()))) for x in (rows[1][1], rows[3][1], rows[2][1]))
+    assert toxicity.like_sets(np.array([c, a, b])) == [0, 1, 1]
+
+
 # fingerprints
 
 
