@@ -502,9 +502,9 @@ def stream_tumbling(spark, sf):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-stream-")
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = M.event_stream(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = M.tumbling(events)
-    M.run_available(counts, f"{base}/out", f"{base}/state")
-    return spark.read.schema(counts.schema).parquet(f"{base}/out")
+    counts = M.tumbling(events, late=None)
+    M.run_updates(counts, f"{base}/out", f"{base}/state")
+    return M.last_state(spark.read.schema(M.updates_schema(counts)).parquet(f"{base}/out/*"), ["start", "event_type"]).withColumn("total", F.bround("total", 2))
 
 
 @query("select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, regexp_extract(html, '(?i)<html[^>]*\\blang=\"([^\"]*)\"', 1) as lang from pages")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -46,6 +47,28 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def updates_schema(counts: DataFrame):
+    return StructType([*counts.schema.fields, StructField("_batch", LongType())])
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there, then stop; each batch leaves the groups that it changed, with its number ``_batch``.
+
+    A batch has a folder of its own, so one that is run again after a failure replaces what it left.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/{batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def last_state(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each group, from the updates of all batches."""
+    others = [c for c in updates.columns if c not in (*keys, "_batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("s")).select(*keys, *(F.col(f"s.{c}") for c in others))
+
+
 def claims(events: DataFrame, stale_seconds: int = 21_600, most_attempts: int = 2) -> DataFrame:
     """(user_id, event_id, action) of each event, in order: claim, retry after a stale claim, busy, or give up.
 

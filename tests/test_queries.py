@@ -57,3 +57,17 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_tumbling_matches_sql(spark, db):
+    got = q.queries()["stream_tumbling"](spark, SF).toPandas()
+    assert rows(got) == rows(db.sql(q.oracle_sql()["tumbling"]).df())
+
+
+def test_stream_tumbling_counts_late_rows_over_batches(spark, db, tmp_path):
+    """Twenty files, the newest events first: several batches, whose later rows are days behind."""
+    for k in range(20):
+        db.sql(f"copy (select * from events qualify ntile(20) over (order by ts desc, event_id) = {k + 1}) to '{tmp_path}/events{k:02}.parquet' (format parquet)")
+    db.sql(f"copy (select * from events limit 0) to '{tmp_path}/events.parquet' (format parquet)")
+    got = q.queries()["stream_tumbling"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(db.sql(q.oracle_sql()["tumbling"]).df())
