@@ -70,25 +70,31 @@ def last_state(updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def claims(events: DataFrame, stale_seconds: int = 21_600, most_attempts: int = 2) -> DataFrame:
-    """(user_id, event_id, action) of each event, in order: claim, retry after a stale claim, busy, or give up.
+    """(user_id, event_id, action) of each event, in order of time within a batch: claim, retry after a stale claim, busy, or give up.
 
     A stream keeps for each key when it was claimed and how often: two numbers a key.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
+        import numpy as np
         import pandas as pd
 
         at, attempts = state.get if state.exists else (None, 0)
-        for frame in frames:
+        # a key's events may come in several frames, in any order: two numbers an event until all are there
+        seen = [(f.ts.astype("int64").to_numpy() // 10**9, f.event_id.to_numpy()) for f in frames]
+        seconds, ids = (np.concatenate(x) for x in zip(*seen)) if seen else ((), ())
+        order = np.lexsort((ids, seconds))
+        for low in range(0, len(order), 10_000):
             rows = []
-            for ts, event in sorted(zip(frame.ts.astype("int64") // 10**9, frame.event_id)):
+            for k in order[low : low + 10_000].tolist():
+                ts, event = int(seconds[k]), ids[k]
                 if at is not None and ts - at <= stale_seconds:
                     action = "busy"
                 elif attempts >= most_attempts:
                     action = "give up"
                 else:
-                    action, at, attempts = ("claim" if attempts == 0 else "retry"), int(ts), attempts + 1
+                    action, at, attempts = ("claim" if attempts == 0 else "retry"), ts, attempts + 1
                 rows.append((key[0], event, action))
             yield pd.DataFrame(rows, columns=["user_id", "event_id", "action"])
         if at is not None:

@@ -71,3 +71,22 @@ def test_stream_tumbling_counts_late_rows_over_batches(spark, db, tmp_path):
     db.sql(f"copy (select * from events limit 0) to '{tmp_path}/events.parquet' (format parquet)")
     got = q.queries()["stream_tumbling"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(db.sql(q.oracle_sql()["tumbling"]).df())
+
+
+def test_stream_claims_in_order_over_frames(spark, tmp_path):
+    """One user's 900 events in 9 frames of 100, dealt at random: the same actions as in order of time."""
+    n = 900
+    events = spark.sql(f"select id as event_id, 1L as user_id, timestamp_seconds(1700000000 + id * 60) as ts from range({n})").orderBy("event_id")
+    for k in range(4):
+        events.where(f"pmod(hash(event_id), 4) = {k}").orderBy("event_id", ascending=False).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        out = q.M.claims(q.M.event_stream(spark, f"{tmp_path}/in/*", events.schema))
+        q.M.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    finally:
+        spark.conf.set(key, before)
+    got = {r.event_id: r.action for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == n and [k for k, a in sorted(got.items()) if a == "claim"] == [0] and [k for k, a in sorted(got.items()) if a == "retry"] == [361]
+    assert all(got[k] == "give up" for k in range(722, n)) and all(got[k] == "busy" for k in range(362, 722))
