@@ -11,21 +11,24 @@ from pyspark.sql.types import DoubleType
 
 
 @F.pandas_udf(DoubleType())
-def title_ratio(title: pd.Series, text: pd.Series) -> pd.Series:
-    """Best Ratcliff-Obershelp ratio of the title with windows of the text of its length."""
+def title_ratio(title: pd.Series, text: pd.Series, least: pd.Series) -> pd.Series:
+    """Best Ratcliff-Obershelp ratio of the title with the text's start and with windows of its length; ratios up to
+    ``least`` needn't be told and count as 0."""
 
-    def one(a: str, b: str) -> float:
+    def one(a: str, b: str, least: float) -> float:
         if not a or not b:
             return 0.0
-        m = difflib.SequenceMatcher(None, "", a)
+        m = difflib.SequenceMatcher(None, "", a, autojunk=False)  # else the letters of titles from 200 on are junk
         best = 0.0
-        for at in range(0, max(1, len(b) - len(a) + 1), max(1, len(a) // 4)):
-            m.set_seq1(b[at : at + len(a)])
-            if m.quick_ratio() > best:
+        windows = {b[:200], *(b[at : at + len(a)] for at in range(0, max(1, len(b) - len(a) + 1), max(1, len(a) // 4)))}
+        for window in sorted(windows):
+            m.set_seq1(window)
+            floor = max(best, least)
+            if m.real_quick_ratio() > floor and m.quick_ratio() > floor:
                 best = max(best, m.ratio())
         return best
 
-    return pd.Series([one(a or "", b or "") for a, b in zip(title, text)])
+    return pd.Series([one(a or "", b or "", x) for a, b, x in zip(title, text, least)])
 
 
 def _gamma_q(a: float, x: float) -> float:

@@ -658,15 +658,15 @@ def fuzzy_title(spark, sf):
 
 @query()
 def title_similarity(spark, sf):
-    """Word coverage of a document's best benchmark text, and the exact ratio only where coverage leaves it open."""
+    """Word coverage of a document's best benchmark text, or the exact ratio of the whole title where that is more."""
     from ..operators.exact import title_ratio
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("title"))
     best = X.best_works(docs, items, "doc_id", "item_id")
     pairs = best.join(docs, "doc_id").join(items, "item_id").withColumn("coverage", X.title_coverage(F.col("title"), F.col("text")))
-    open_ = pairs.where("coverage between 0.5 and 0.85").withColumn("similarity", F.greatest("coverage", title_ratio(F.left(X.normal(F.col("title")), F.lit(60)), X.normal(F.col("text")))))
-    done = pairs.where("coverage not between 0.5 and 0.85").withColumn("similarity", F.col("coverage"))
+    open_ = pairs.where("coverage < 1").withColumn("similarity", F.greatest("coverage", title_ratio(X.normal(F.col("title")), X.normal(F.col("text")), F.col("coverage"))))
+    done = pairs.where("coverage >= 1").withColumn("similarity", F.col("coverage"))
     return done.unionByName(open_).select("doc_id", "item_id", "coverage", "similarity")
 
 

@@ -73,6 +73,20 @@ def test_stream_tumbling_counts_late_rows_over_batches(spark, db, tmp_path):
     assert rows(got) == rows(db.sql(q.oracle_sql()["tumbling"]).df())
 
 
+def test_title_similarity_takes_the_whole_title(spark, tmp_path):
+    """A garbled title with no word of the text, a match that starts after 60 characters, and a title of low coverage."""
+    from siftline.operators.exact import title_ratio
+
+    title = "a study of the statistical behaviour of sea ice under rising temperature " + "with records of many hundred stations in the arctic ocean from winters past and the summers that followed them as well as a list of all its sources"
+    joined = title.replace(" ", "")
+    other = "zz " * 25 + title[75:]
+    data = [(title, "smith 2020 " + joined + " nature 12", 0.0), (title, other, 0.5), (title, "xq " * 30, 0.0)]
+    got = spark.createDataFrame(data, "a string, b string, c double").select(title_ratio("a", "b", "c").alias("r")).collect()
+    assert len(title) > 200 and got[0].r > 0.75 and got[1].r > 0.55 and got[2].r < 0.2
+    rows_ = q.queries()["title_similarity"](spark, SF).collect()
+    assert all(r.similarity >= r.coverage for r in rows_) and any(r.coverage < 0.5 and r.similarity > r.coverage for r in rows_)
+
+
 def test_stream_claims_in_order_over_frames(spark, tmp_path):
     """One user's 900 events in 9 frames of 100, dealt at random: the same actions as in order of time."""
     n = 900
