@@ -2,23 +2,21 @@
 
 A credential often comes in parts: an access identifier, a secret, an endpoint. A weak candidate for one part
 (a login, a mixed token, a URL) is reported only if a part of another kind, weak or certain, lies within
-``scope`` code points. Parts are joined as intervals: positions fall into buckets of the scope's length, each
-bucket is summed up by the first and last position of every kind, and a candidate meets the sums of its own
-and the two neighbouring buckets, so a text with many parts makes no pairs.
+``scope`` code points and doesn't overlap it. A token in the path of a URL confirms no URL, nor the other way round. What stands in a URL's
+query, fragment or credentials is a part of its own. A text's parts are searched by sorted starts and ends, so a
+text with many parts makes no pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -73,58 +71,78 @@ def scan(text: str, low: bytes, runs: bool) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+def _own(url: str) -> list[tuple[int, int]]:
+    """Where parts of their own stand in a URL: its credentials, and its query and fragment."""
+    begin = url.find("://") + 3
+    if begin < 3:
+        return []
+    path = min((k for k in map(url.find, "/?#", (begin,) * 3) if k >= 0), default=len(url))
+    query = min((k for k in map(url.find, "?#", (begin,) * 2) if k >= 0), default=len(url))
+    at = url.rfind("@", begin, path)
+    return ([(begin, at)] if at >= 0 else []) + ([(query, len(url))] if query < len(url) else [])
+
+
+def linked(spans: list[tuple[int, int, int]], text: str, scope: int) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the certain spans and of the weak ones beside a disjoint part of another kind."""
+    if all(k < 3 for k, _, _ in spans):
+        return spans
+    others = [s for s in spans if s[0] != 5]
+    at = [s[1] for s in others]
+    inside, path = set(), set()
+    for k, a, b in spans:
+        if k == 5:
+            path.update(s for s in others[bisect_left(at, a) : bisect_left(at, b)] if s[0] == 4)
+        for low, high in _own(text[a:b]) if k == 5 else ():
+            held = [s for s in others[bisect_left(at, a + low) : bisect_left(at, a + high)] if s[2] <= a + high]
+            if held:
+                inside.update([(k, a, b), *held])
+
+    path -= inside
+    apart = [s for s in spans if s not in path]
+    starts, ends = ({p: sorted(s[c] for s in spans if KINDS[s[0]][1] == p) for p in PARTS} for c in (1, 2))
+    apart_starts, apart_ends = ({p: sorted(s[c] for s in apart if KINDS[s[0]][1] == p) for p in PARTS} for c in (1, 2))
+
+    def beside(k: int, a: int, b: int) -> bool:
+        for p in PARTS:
+            if p != KINDS[k][1] and not (p == "endpoint" and (k, a, b) in path):
+                low, high = (apart_ends[p], apart_starts[p]) if k == 5 else (ends[p], starts[p])
+                before, after = bisect_right(low, a), bisect_left(high, b)
+                if (before and low[before - 1] >= a - scope) or (after < len(high) and high[after] <= b + scope):
+                    return True
+        return False
+
+    return [s for s in spans if s[0] < 3 or s in inside or beside(*s)]
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k][0]}:{a}:{b}" for k, a, b in spans)
 
 
-def find_parts(docs: DataFrame) -> DataFrame:
-    """tag, doc_id and all parts (kind, start, end) of each row of ``docs``; counts and digest of the certain ones."""
-    schema = "tag long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, parts array<struct<kind:int,start:int,end:int>>"
-    part = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the parts kept.
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    Null text counts as empty; texts without a find have the digest of the empty string and empty spans;
+    repeated rows are scanned each. Weak candidates that overlap a certain one are dropped; certain ones stay.
+    """
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, kept array<struct<start:int,kind:int,end:int>>"
+    part = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
-        at = TaskContext.get().partitionId() << 40
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             raw = [x.encode() for x in texts]
             runs = _long_runs(raw, 20)
             spans = [scan(t, b.lower(), k in runs) for k, (t, b) in enumerate(zip(texts, raw))]
+            kept = [sorted(linked(x, t, scope), key=lambda s: (s[1], s[0], s[2])) for x, t in zip(spans, texts)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(at, at + len(texts)), pa.int64()),
                     batch.column(0).cast(pa.int64()),
                     *(pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in range(3)),
                     pa.array([hashlib.sha256(_written([s for s in x if s[0] < 3]).encode()).hexdigest() for x in spans]),
-                    pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], part),
+                    pa.array([_written(x) for x in kept], pa.string()),
+                    pa.array([[{"start": a, "kind": k, "end": b} for k, a, b in x] for x in kept], part),
                 ],
-                names=["tag", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "parts"],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "kept"],
             )
-            at += len(texts)
 
     return docs.select("doc_id", "text").mapInArrow(find, schema)
-
-
-def scan_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the parts kept.
-
-    Null text counts as empty; texts without a find have the digest of the empty string and empty spans;
-    repeated rows are scanned each. Weak candidates that overlap a certain one are dropped; certain ones stay.
-    """
-    found = common.cut(find_parts(docs))
-    parts = found.where(F.size("parts") > 0).select("tag", F.explode("parts").alias("p")).select("tag", "p.kind", "p.start", "p.end", F.element_at(F.array(*(F.lit(x[1]) for x in KINDS)), F.col("p.kind") + 1).alias("part"))
-    # first and last position of each kind of part in each bucket; a part longer than the scope lies in several
-    spread = parts.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
-    sums = spread.groupBy("tag", "bucket").agg(*(f(F.when(F.col("part") == p, F.col(c))).alias(f"{p}_{c}") for p in PARTS for c, f in (("start", F.min), ("end", F.max))))
-    weak = parts.where("kind > 2").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("end") / scope) + 1)))
-    near = F.lit(False)
-    for p in PARTS:
-        near = near | ((F.col("part") != p) & F.coalesce((F.col(f"{p}_start") <= F.col("end") + scope) & (F.col(f"{p}_end") >= F.col("start") - scope), F.lit(False)))
-    linked = weak.join(sums, ["tag", "bucket"]).where(near).select("tag", "kind", "start", "end").distinct()
-    linked = linked.groupBy("tag").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
-    kept = F.concat(F.filter("parts", lambda x: x["kind"] < 3), F.coalesce("linked", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")))
-    kept = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    names = F.array(*(F.lit(k[0]) for k in KINDS))
-    written = F.transform("kept", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"]))
-    return found.join(linked, "tag", "left").withColumn("kept", kept).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(written, ",").alias("spans"), "kept")

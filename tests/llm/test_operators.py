@@ -388,6 +388,15 @@ def test_secrets(spark, odd, none):
     assert secrets.scan_secrets(odd).count() == len(odd_rows()) and secrets.scan_secrets(none).count() == 0
 
 
+def test_parts_of_one_url_do_not_confirm_each_other(spark):
+    url, far, mixed = "https://example.com/news/2024/05/some-long-article-title", " filler" * 100, "Zx9Kq2Lm4Np6Rs8Tv0Wy1"
+    texts = [f"see {url} for more", f"{url}{far}{url}", f"login=bob7 {url}", f"https://x.example.net/v1?key={mixed}", f"https://bob:{mixed}@x.example.net/v1", f"account={mixed}", f"{url} {mixed}", f"{url} {url}/two"]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == got[1] == got[5] == got[7] == ""
+    assert "weak_access" in got[2] and "endpoint" in got[2]
+    assert all("weak_secret" in got[k] and "endpoint" in got[k] for k in (3, 4, 6))
+
+
 # mixing
 
 
