@@ -1,7 +1,7 @@
 """From raw documents to packed sequences, in five stages, each written as Parquet before the next reads it.
 
 quality: documents that the classifier rejects go. exact dedup: of equal texts the largest doc_id stays.
-near dedup: one document of each group stays. mixing: documents are dropped or repeated so that the sources
+near dedup: one document of each group linked at a similarity of 0.85, as in op4, stays. mixing: documents are dropped or repeated so that the sources
 meet their target weights. packing: the pieces of all documents in sequences of at most 2048 tokens.
 
 An empty table passes through every stage; what each stage does with nulls is said at its operator.

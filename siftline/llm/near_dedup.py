@@ -1,9 +1,9 @@
 """Near duplicates by MinHash with tensored banding, confirmed on whole shingle sets.
 
-Two collections hold ``SIDE`` keys each; a key joins ``DEPTH`` minhashes. Every pair of a left and a right key
-makes the key of one table, so ``2 * SIDE * DEPTH`` minhashes serve ``SIDE ** 2`` tables of ``2 * DEPTH``.
-A pair of similarity s meets in some table unless a whole collection fails: with the defaults a link at the
-threshold of 0.85 is missed with a chance below one in a thousand.
+Two collections hold ``side`` keys each; a key joins ``DEPTH`` minhashes. Every pair of a left and a right key
+makes the key of one table, so ``2 * side * DEPTH`` minhashes serve ``side ** 2`` tables of ``2 * DEPTH``.
+A pair of similarity s meets in some table unless a whole collection fails: ``side`` follows from the threshold,
+so that a link at it is missed with a chance below one in a thousand.
 
 Texts with equal sets are one node. In each partition the members of a table's bucket are tied to the smallest
 of them, and only that one is sent on, so a hot bucket has at most one row for each partition. The clusters of
@@ -13,6 +13,7 @@ tied nodes are then compared on their whole sets, large ones in tiles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +24,54 @@ from . import common
 from .exact_dedup import _LOWER
 from .tokens import forget
 
-WORDS, PERCENT = 5, 85
-SIDE, DEPTH = 9, 3
-HASHES = 2 * SIDE * DEPTH
-TILE = 250
-#: Equal minhashes that a pair needs to be compared: four standard deviations below the threshold.
-LEAST_EQUAL = int(HASHES * (PERCENT / 100 - 4 * (0.85 * 0.15 / HASHES) ** 0.5))
+WORDS, DEPTH, TILE = 5, 3, 250
+
+
+@dataclass(frozen=True)
+class Banding:
+    """What the threshold, in hundredths, decides."""
+
+    percent: int
+
+    @property
+    def side(self) -> int:
+        """The fewest keys in each collection with which a link at the threshold is rarely missed."""
+        return next(n for n in range(1, 1000) if 2 * (1 - (self.percent / 100) ** DEPTH) ** n < 8e-4)
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.side * DEPTH
+
+    @property
+    def least_equal(self) -> int:
+        """Equal minhashes that a pair needs to be compared: four standard deviations below the threshold."""
+        share = self.percent / 100
+        return int(self.hashes * (share - 4 * (share * (1 - share) / self.hashes) ** 0.5))
+
+
 _SLICE = 1 << 20
-_ROWS = 8_000  # shingles hashed at once: 54 numbers each
+_ROWS = 8_000  # shingles hashed at once: a number each for every minhash
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, "u8")
-_MUL = _rng.integers(0, 2**63, HASHES, "u8") * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**64, HASHES, "u8")
+_MUL = _rng.integers(0, 2**63, 54, "u8") * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**64, 54, "u8")
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: list[np.ndarray] = []
 
 
+def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The factors and summands of so many hash functions."""
+    global _MUL, _ADD
+    if len(_MUL) < hashes:
+        more = np.random.default_rng(21)  # always the same ones, from the first on
+        _MUL = np.concatenate([_MUL[:54], more.integers(0, 2**63, hashes, "u8") * np.uint64(2) + np.uint64(1)])
+        _ADD = np.concatenate([_ADD[:54], _mix(_MUL[54:])])
+    return _MUL[:hashes], _ADD[:hashes]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -111,9 +141,9 @@ def _shingles(words: np.ndarray) -> np.ndarray:
         return np.unique(_mix(h) & np.uint64(2**48 - 1))
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of ``HASHES`` minima; zeros for an empty set."""
-    out = np.zeros((len(sets), HASHES), "u8")
+def minhashes(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    """Rows of ``hashes`` minima; zeros for an empty set."""
+    out = np.zeros((len(sets), hashes), "u8")
     group: list[int] = []
     for k in [*(k for k, s in enumerate(sets) if len(s)), None]:
         if group and (k is None or sum(len(sets[g]) for g in group) + len(sets[k]) > _ROWS):
@@ -126,19 +156,20 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 def _minima(sets: list[np.ndarray], group: list[int], out: np.ndarray) -> None:
     with np.errstate(over="ignore"):
+        mul, add = _functions(out.shape[1])
         if len(group) == 1:
             s = sets[group[0]]
-            out[group[0]] = np.min([(_mix(s[a : a + _ROWS])[:, None] * _MUL + _ADD).min(0) for a in range(0, len(s), _ROWS)], axis=0)
+            out[group[0]] = np.min([(_mix(s[a : a + _ROWS])[:, None] * mul + add).min(0) for a in range(0, len(s), _ROWS)], axis=0)
         else:
             at = np.cumsum([0, *(len(sets[g]) for g in group[:-1])])
-            out[group] = np.minimum.reduceat(_mix(np.concatenate([sets[g] for g in group]))[:, None] * _MUL + _ADD, at, axis=0)
+            out[group] = np.minimum.reduceat(_mix(np.concatenate([sets[g] for g in group]))[:, None] * mul + add, at, axis=0)
 
 
-def side_keys(minima: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE keys of each row: left ones, then right ones."""
+def side_keys(minima: np.ndarray, side: int) -> np.ndarray:
+    """The 2 * side keys of each row: left ones, then right ones."""
     with np.errstate(over="ignore"):
-        h = np.full((len(minima), 2 * SIDE), 7, "u8")
-        parts = minima.reshape(len(minima), 2 * SIDE, DEPTH)
+        h = np.full((len(minima), 2 * side), 7, "u8")
+        parts = minima.reshape(len(minima), 2 * side, DEPTH)
         for k in range(DEPTH):
             h = _mix(h * np.uint64(_BASE) + parts[:, :, k])
     return h
@@ -163,7 +194,7 @@ def _set_hash(grams: np.ndarray) -> int:
         return int((_mix(grams + np.uint64(1)).sum(dtype="u8") ^ (_mix(grams ^ np.uint64(_BASE)).sum(dtype="u8") * np.uint64(3))).astype("i8"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
     """tag, doc_id, text_hash, n_shingles, set_hash and keys (packed) of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +205,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             sets = shingle_sets(_lowered(batch.column(1)))
-            minima = minhashes(sets)
-            keys = side_keys(minima)
+            keys = side_keys(minhashes(sets, banding.hashes), banding.side)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(at, at + len(sets)), pa.int64()),
@@ -192,7 +222,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "tag long, doc_id long, text_hash long, n_shingles long, set_hash long, keys binary")
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
+def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
     """(key, node, tie): for each table's bucket in a partition its smallest node, with key; and for each other
     member the smallest node that it is tied to, without key."""
 
@@ -200,7 +230,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "u8").reshape(-1, 2 * SIDE)))
+                held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "u8").reshape(-1, 2 * side)))
                 n += batch.num_rows
             if n >= 50_000:
                 yield from rows(held)
@@ -214,10 +244,10 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
         order = np.argsort(node)
         node, keys = node[order], keys[order]
         ties = set()
-        for i in range(SIDE):
+        for i in range(side):
             with np.errstate(over="ignore"):
-                table = _mix(keys[:, i : i + 1] * np.uint64(_BASE) + keys[:, SIDE:] + np.arange(SIDE, dtype="u8") + np.uint64(SIDE * i))
-            for j in range(SIDE):
+                table = _mix(keys[:, i : i + 1] * np.uint64(_BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
+            for j in range(side):
                 key, first, which = np.unique(table[:, j], return_index=True, return_inverse=True)
                 yield batch_of(key.view("i8"), node[first], None)
                 other = np.flatnonzero(first[which] != np.arange(len(node)))
@@ -266,7 +296,7 @@ def _bloom(ids: DataFrame, most_words: int = 1 << 20) -> np.ndarray | None:
     return out
 
 
-def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def needed_sets(docs: DataFrame, needed: DataFrame, hashes: int) -> DataFrame:
     """(node, cluster, tiles, sketch, grams) of the nodes in ``needed`` (doc_id, set_hash, node, cluster, tiles)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
     bits = _bloom(needed.select("doc_id").distinct())
@@ -287,7 +317,7 @@ def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     hit &= (shared.value[at // 64].view("u8") >> (at % 64).astype("u8")) & np.uint64(1) == 1
                 batch = batch.filter(pa.array(hit))
             sets = shingle_sets(_lowered(batch.column(1)))
-            sketch = (minhashes(sets) >> np.uint64(40)).astype("u1")
+            sketch = (minhashes(sets, hashes) >> np.uint64(40)).astype("u1")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([_pack(s) for s in sets], pa.binary())],
                 names=["doc_id", "set_hash", "sketch", "grams"],
@@ -298,7 +328,7 @@ def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.join(needed, ["doc_id", "set_hash"]).dropDuplicates(["node"])
 
 
-def confirmed_links(sets: DataFrame) -> DataFrame:
+def confirmed_links(sets: DataFrame, banding: Banding) -> DataFrame:
     """(a, b) links that join all nodes of a cluster that the threshold joins: a spanning forest, not all pairs.
 
     A cluster of up to ``TILE`` nodes is one group. A larger one is dealt into tiles, and every two tiles are a
@@ -306,11 +336,13 @@ def confirmed_links(sets: DataFrame) -> DataFrame:
     minhashes or too different sizes, is not compared.
     """
 
+    percent, hashes, least_equal = banding.percent, banding.hashes, banding.least_equal
+
     def compare(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         order = np.argsort(node)
         node = node[order]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "u1").reshape(-1, HASHES)[order]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "u1").reshape(-1, hashes)[order]
         packed = table.column("grams").to_pylist()
         grams = [_unpack(packed[k]) for k in order]
         size = np.array([len(g) for g in grams])
@@ -325,8 +357,8 @@ def confirmed_links(sets: DataFrame) -> DataFrame:
         equal = np.zeros((len(node), len(node)), "i2")
         for k in range(len(node)):
             equal[k] = (sketch[k] == sketch).sum(1)
-        a, b = np.nonzero(np.triu(equal >= LEAST_EQUAL, 1))
-        close = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+        a, b = np.nonzero(np.triu(equal >= least_equal, 1))
+        close = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         a, b = a[close], b[close]
         found = []
         for k in np.argsort(-equal[a, b], kind="stable").tolist():
@@ -335,7 +367,7 @@ def confirmed_links(sets: DataFrame) -> DataFrame:
             if rx == ry:
                 continue
             both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
-            if 100 * both >= PERCENT * (len(grams[x]) + len(grams[y]) - both):
+            if 100 * both >= percent * (len(grams[x]) + len(grams[y]) - both):
                 root[max(rx, ry)] = min(rx, ry)
                 found.append((int(node[x]), int(node[y])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
@@ -346,27 +378,28 @@ def confirmed_links(sets: DataFrame) -> DataFrame:
     return dealt.select("cluster", "first", "second", "node", "sketch", "grams").groupBy("cluster", "first", "second").applyInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs without white space after lower-casing A-Z; a set holds the distinct five-word shingles, or
     the whole text's words as one where there are fewer. Two rows are linked when their sets' Jaccard similarity
-    is at least 0.85; component_id is the smallest doc_id reachable. Null, empty and wordless texts have an
+    is at least ``percent`` hundredths; component_id is the smallest doc_id reachable. Null, empty and wordless texts have an
     empty set and are linked with nothing. Rows with equal sets are one node; of rows that repeat both the id
     and the text one is kept. A null id comes after all others.
     """
-    signed = common.cut(signatures(docs))
+    banding = Banding(percent)
+    signed = common.cut(signatures(docs, banding))
     ordered = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("tag"))
     classes = common.cut(signed.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min(ordered).alias("first")).select("set_hash", "n_shingles", F.col("first.id").alias("id"), F.col("first.tag").alias("node")))
     nodes = signed.select("tag", "keys").join(classes.select(F.col("node").alias("tag"), "node"), "tag").select("node", "keys")
-    rows = common.cut(bucket_rows(nodes))
+    rows = common.cut(bucket_rows(nodes, banding.side))
     shared = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     across = rows.where("key is not null").select("key", "node").join(shared, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     ties = rows.where("key is null").select(F.col("node").alias("a"), F.col("tie").alias("b"))
     clusters = components(across.unionByName(ties))
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     needed = common.cut(clusters.join(sizes, "label").select("node", F.col("label").alias("cluster"), "tiles").join(classes, "node").select(F.col("id").alias("doc_id"), "set_hash", "node", "cluster", "tiles"))
-    linked = components(confirmed_links(needed_sets(docs, needed)))
+    linked = components(confirmed_links(needed_sets(docs, needed, banding.hashes), banding))
     # the smallest id among all nodes of a component; a node's own id where it has no link
     labelled = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.node").alias("least_node"))
@@ -383,6 +416,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_kept(docs: DataFrame) -> DataFrame:
+def near_kept(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that near_groups keeps, with all their columns."""
-    return common.keep_rows(docs, near_groups(docs))
+    return common.keep_rows(docs, near_groups(docs, percent))

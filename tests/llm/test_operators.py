@@ -285,6 +285,23 @@ def test_near_groups_in_tiles(spark, monkeypatch):
     assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
 
 
+def test_near_kept_links_from_the_percent_given(spark):
+    """Pairs of similarity 0.8 to 0.84 lose one document at 80 percent, none below 0.8; at 85 both stay."""
+    rng, rows, near = random.Random(12), [], 0
+    for k in range(200):
+        n = rng.choice((33, 36, 40, 45))
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        b = a[: 200 - n // 2] + [f"v{rng.randint(0, 10**6)}" for _ in range(n // 2)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        s, t = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 100 * len(s & t) < 85 * len(s | t)
+        near += 100 * len(s & t) >= 80 * len(s | t)
+    docs = docs_of(spark, rows, parts=4)
+    assert 0 < near < 200 and near_dedup.near_kept(docs, percent=80).count() == 400 - near
+    assert near_dedup.near_kept(docs).count() == 400
+    assert (near_dedup.Banding(85).side, near_dedup.Banding(85).hashes, near_dedup.Banding(80).side) == (9, 54, 11)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.label for r in near_dedup.components(edges).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
