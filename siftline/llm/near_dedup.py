@@ -5,14 +5,16 @@ makes the key of one table, so ``2 * side * DEPTH`` minhashes serve ``side ** 2`
 A pair of similarity s meets in some table unless a whole collection fails: ``side`` follows from the threshold,
 so that a link at it is missed with a chance below one in a thousand.
 
-Texts with equal sets are one node. In each partition the members of a table's bucket are tied to the smallest
-of them, and only that one is sent on, so a hot bucket has at most one row for each partition. The clusters of
-tied nodes are then compared on their whole sets, large ones in tiles.
+Texts with equal sets are one node. In each partition nodes that share buckets are tied to the smallest of them,
+one tie a node, and a hot bucket sends on one row for each partition. Of the nodes that share a bucket only those
+stay that have enough shingles in common with any others. The clusters that remain are compared on their whole
+sets: small ones in one group, large ones in tiles, whose components then meet by representatives, and at last
+every node outside a cluster's largest component meets all of the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,9 @@ from . import common
 from .exact_dedup import _LOWER
 from .tokens import forget
 
-WORDS, DEPTH, TILE = 5, 3, 250
+WORDS, DEPTH = 5, 3
+#: Nodes and shingles of one tile, about.
+TILE, TILE_GRAMS = 250, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -42,12 +46,6 @@ class Banding:
     def hashes(self) -> int:
         return 2 * self.side * DEPTH
 
-    @property
-    def least_equal(self) -> int:
-        """Equal minhashes that a pair needs to be compared: four standard deviations below the threshold."""
-        share = self.percent / 100
-        return int(self.hashes * (share - 4 * (share * (1 - share) / self.hashes) ** 0.5))
-
 
 _SLICE = 1 << 20
 _ROWS = 8_000  # shingles hashed at once: a number each for every minhash
@@ -222,9 +220,25 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, "tag long, doc_id long, text_hash long, n_shingles long, set_hash long, keys binary")
 
 
+def roots(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The smallest number that each one in ``pairs`` hangs together with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
 def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
-    """(key, node, tie): for each table's bucket in a partition its smallest node, with key; and for each other
-    member the smallest node that it is tied to, without key."""
+    """(key, node, tie): nodes of a partition that share buckets hang on the smallest of them. ``node`` with ``key``:
+    what a table's bucket hangs on, once for each partition. ``node`` with ``tie``: what another node hangs on."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -238,23 +252,30 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
         if n:
             yield from rows(held)
 
+    def tables(keys: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(side):
+            with np.errstate(over="ignore"):
+                table = _mix(keys[:, i : i + 1] * np.uint64(_BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
+            yield from table.T
+
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         node = np.concatenate([h[0] for h in held])
         keys = np.concatenate([h[1] for h in held])
         order = np.argsort(node)
         node, keys = node[order], keys[order]
-        ties = set()
-        for i in range(side):
-            with np.errstate(over="ignore"):
-                table = _mix(keys[:, i : i + 1] * np.uint64(_BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
-            for j in range(side):
-                key, first, which = np.unique(table[:, j], return_index=True, return_inverse=True)
-                yield batch_of(key.view("i8"), node[first], None)
-                other = np.flatnonzero(first[which] != np.arange(len(node)))
-                ties.update(zip(node[other].tolist(), node[first[which[other]]].tolist()))
-        if ties:
-            a, b = zip(*sorted(ties))
-            yield batch_of(None, np.array(a), np.array(b))
+        ties, buckets = set(), []
+        for table in tables(keys):
+            key, first, which = np.unique(table, return_index=True, return_inverse=True)
+            buckets.append((key, first))
+            other = np.flatnonzero(first[which] != np.arange(len(node)))
+            ties.update(zip(other.tolist(), first[which[other]].tolist()))
+        hangs = np.arange(len(node))
+        for x, r in roots(ties).items():
+            hangs[x] = r
+        for key, first in buckets:
+            yield batch_of(key.view("i8"), node[hangs[first]], None)
+        tied = np.flatnonzero(hangs != np.arange(len(node)))
+        yield batch_of(None, node[tied], node[hangs[tied]])
 
     def batch_of(key: np.ndarray | None, node: np.ndarray, tie: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(node), pa.int64())
@@ -263,6 +284,19 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
     return nodes.select("node", "keys").mapInArrow(spread, "key long, node long, tie long")
 
 
+def candidate_ties(nodes: DataFrame, side: int) -> DataFrame:
+    """(a, b): nodes that share a bucket hang together by these, a few for each node whatever the buckets' sizes."""
+    rows = common.cut(bucket_rows(nodes, side))
+    keyed = rows.where("key is not null").select("key", "node")
+    shared = common.cut(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most"))
+    ends = shared.select(F.col("most").alias("a"), F.col("least").alias("b"))
+    wide = shared.where("n > 2").select("key", "least", "most")  # a bucket of two partitions needs no join
+    if wide.count() <= 200_000:
+        wide = F.broadcast(wide)  # 24 bytes each
+    inner = keyed.join(wide, "key").where("node > least and node < most").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return rows.where("key is null").select(F.col("node").alias("a"), F.col("tie").alias("b")).unionByName(ends).unionByName(inner)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each end of ``edges`` (a, b) can reach.
 
@@ -296,8 +330,8 @@ def _bloom(ids: DataFrame, most_words: int = 1 << 20) -> np.ndarray | None:
     return out
 
 
-def needed_sets(docs: DataFrame, needed: DataFrame, hashes: int) -> DataFrame:
-    """(node, cluster, tiles, sketch, grams) of the nodes in ``needed`` (doc_id, set_hash, node, cluster, tiles)."""
+def needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, size, grams) of the nodes in ``needed`` (doc_id, set_hash, node)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
     bits = _bloom(needed.select("doc_id").distinct())
     if bits is None:
@@ -317,65 +351,152 @@ def needed_sets(docs: DataFrame, needed: DataFrame, hashes: int) -> DataFrame:
                     hit &= (shared.value[at // 64].view("u8") >> (at % 64).astype("u8")) & np.uint64(1) == 1
                 batch = batch.filter(pa.array(hit))
             sets = shingle_sets(_lowered(batch.column(1)))
-            sketch = (minhashes(sets, hashes) >> np.uint64(40)).astype("u1")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([_pack(s) for s in sets], pa.binary())],
-                names=["doc_id", "set_hash", "sketch", "grams"],
+                [batch.column(0), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_pack(s) for s in sets], pa.binary())],
+                names=["doc_id", "set_hash", "size", "grams"],
             )
 
-    found = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(grams, "doc_id long, set_hash long, sketch binary, grams binary")
+    found = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(grams, "doc_id long, set_hash long, size long, grams binary")
     # repeated rows have the same set: one of them is enough
-    return found.join(needed, ["doc_id", "set_hash"]).dropDuplicates(["node"])
+    return found.join(needed, ["doc_id", "set_hash"]).dropDuplicates(["node"]).select("node", "size", "grams")
 
 
-def confirmed_links(sets: DataFrame, banding: Banding) -> DataFrame:
-    """(a, b) links that join all nodes of a cluster that the threshold joins: a spanning forest, not all pairs.
+def supported(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, grams) of ``sets`` without the nodes that can be linked with none of the others.
 
-    A cluster of up to ``TILE`` nodes is one group. A larger one is dealt into tiles, and every two tiles are a
-    group. In a group pairs are taken from the likeliest down; a pair already joined, or with too few equal
-    minhashes or too different sizes, is not compared.
+    A link at ``percent`` needs as large a share of a node's shingles in another set. A shingle that no other
+    node has adds nothing; where too many of them do, no partner is possible.
     """
 
-    percent, hashes, least_equal = banding.percent, banding.hashes, banding.least_equal
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = _unpack(packed).view("i8")
+                for at in range(0, len(grams), 50_000):
+                    part = grams[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node))], names=["gram", "node"])
+
+    grams = sets.select("node", "grams").mapInArrow(spread, "gram long, node long")
+    alone = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    kept = sets.join(alone, "node", "left").where((F.col("size") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("size") * percent)
+    return kept.select("node", "size", "grams")
+
+
+def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of ``sets`` has in common with each of ``others``; a set holds a number once."""
+    out = np.zeros((len(sets), len(others)))
+    flat = np.concatenate([*sets, *others])
+    if not len(flat):
+        return out
+    owner = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in (*sets, *others)])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    same = flat[1:] == flat[:-1]
+    held = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # numbers of one set alone add nothing
+    column = np.cumsum(np.concatenate([[False], ~same]))[held]
+    owner = owner[held]
+    column = np.cumsum(np.concatenate([[0], (column[1:] != column[:-1]).astype("i8")]))[: len(column)]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        table = np.zeros((len(sets) + len(others), 2048), "f4")
+        table[owner[a:b], column[a:b] - low] = 1
+        out += table[: len(sets)] @ table[len(sets) :].T
+    return out
+
+
+def linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``sets`` are linked with which of ``others``, on their whole sets."""
+    both = intersections(sets, others)
+    size, other = (np.array([len(x) for x in part], "f8") for part in (sets, others))
+    return 100 * both >= percent * (size[:, None] + other[None, :] - both)
+
+
+def smallest_reached(links: np.ndarray) -> np.ndarray:
+    """The smallest row that each row of a symmetric table of links reaches."""
+    label = np.arange(len(links))
+    while True:
+        least = np.minimum(label, np.where(links, label[None, :], len(links)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _in_tile(percent: int):
+    """Labels of one tile's nodes: the smallest node that each reaches within it, and how many links it has."""
 
     def compare(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         order = np.argsort(node)
-        node = node[order]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "u1").reshape(-1, hashes)[order]
         packed = table.column("grams").to_pylist()
         grams = [_unpack(packed[k]) for k in order]
-        size = np.array([len(g) for g in grams])
-        root = list(range(len(node)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        equal = np.zeros((len(node), len(node)), "i2")
-        for k in range(len(node)):
-            equal[k] = (sketch[k] == sketch).sum(1)
-        a, b = np.nonzero(np.triu(equal >= least_equal, 1))
-        close = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-        a, b = a[close], b[close]
-        found = []
-        for k in np.argsort(-equal[a, b], kind="stable").tolist():
-            x, y = int(a[k]), int(b[k])
-            rx, ry = find(x), find(y)
-            if rx == ry:
-                continue
-            both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
-            if 100 * both >= percent * (len(grams[x]) + len(grams[y]) - both):
-                root[max(rx, ry)] = min(rx, ry)
-                found.append((int(node[x]), int(node[y])))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    dealt = sets.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("first", F.least("tile", "other")).withColumn("second", F.greatest("tile", "other"))
-    return dealt.select("cluster", "first", "second", "node", "sketch", "grams").groupBy("cluster", "first", "second").applyInArrow(compare, "a long, b long")
+        links = linked(grams, grams, percent)
+        label = smallest_reached(links)
+        first = {c: table.column(c)[0].as_py() for c in ("cluster", "tile", "tiles")}
+        n = len(node)
+        return pa.table({"cluster": pa.array([first["cluster"]] * n, pa.int64()), "tile": pa.array([first["tile"]] * n, pa.int64()), "tiles": pa.array([first["tiles"]] * n, pa.int64()), "node": node[order], "label": node[order][label], "degree": links.sum(axis=1).astype("i8") - 1})
+
+    return compare
+
+
+def _across(percent: int):
+    """Links between labels from nodes that come from two sides (``side`` 0 and 1): one link a label at most."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        names, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        packed = table.column("grams").to_pylist()
+        sides = [np.flatnonzero(side == k) for k in (0, 1)]
+        links = np.zeros((len(names), len(names)), bool)
+        a, b = np.nonzero(linked(*([_unpack(packed[k]) for k in part] for part in sides), percent)) if all(map(len, sides)) else ((), ())
+        a, b = label[sides[0]][list(a)], label[sides[1]][list(b)]
+        links[a, b] = links[b, a] = True
+        least = smallest_reached(links)
+        moved = np.flatnonzero(least != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[least[moved]]})
+
+    return compare
+
+
+def confirmed(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(node, label): the smallest node that each node of ``clusters`` (node, label) can reach by links within its
+    cluster, each confirmed on whole sets.
+
+    A cluster of up to ``TILE`` nodes is one group. A larger one is dealt into tiles. The components of its tiles
+    are joined by their best linked nodes, each group of which holds the cluster's best linked one; then each node
+    outside the cluster's largest component meets all tiles. So two nodes of different labels always meet, and what
+    is shuffled is each set a few times, and those few nodes once for each tile.
+    """
+    sized = clusters.withColumnRenamed("label", "cluster").join(sets.select("node", "size"), "node")
+    tiles = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).alias("tiles")).select("cluster", F.least("tiles", F.lit(2**31 - 1)).alias("tiles"))
+    placed = common.cut(sized.join(tiles, "cluster").select("cluster", "node", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")))
+    grams = sets.select("node", "grams")
+    out = common.cut(placed.join(grams, "node").groupBy("cluster", "tile").applyInArrow(_in_tile(percent), "cluster long, tile long, tiles long, node long, label long, degree long"))
+    wide = out.where("tiles > 1")
+    if wide.isEmpty():
+        return out.select("node", "label")
+    # the best linked node of each label; each group of them has the best of the cluster
+    best = common.cut(wide.groupBy("cluster", "label").agg(F.max_by("node", F.struct("degree", F.negative("node"))).alias("node"), F.max("degree").alias("degree"), F.count("*").alias("n")))
+    teams = best.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).alias("teams"), F.max_by("label", F.struct("degree", F.negative("label"))).alias("head"))
+    met = best.join(teams, "cluster").withColumn("side", (F.col("label") == F.col("head")).cast("int"))
+    team = F.when(F.col("side") == 1, F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)).otherwise(F.array(F.pmod(F.xxhash64("label"), F.col("teams"))))
+    met = met.select("cluster", "node", "label", "side", F.explode(team).alias("team"))
+    # all of a team meet each other: the head stands on both sides, the others on one and, as copies, on the other
+    both = met.where("side = 0").withColumn("side", F.lit(1)).unionByName(met.where("side = 0")).unionByName(met.where("side = 1"))
+    links = common.cut(both.join(grams, "node").select("cluster", "team", "label", "side", "grams").groupBy("cluster", "team").applyInArrow(_across(percent), "a long, b long"))
+    joined = components(links)
+    named = wide.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("cluster", "tile", "tiles", "node", F.coalesce("now", "label").alias("label"))
+    named = common.cut(named)
+    counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    large = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    open_ = large.select("cluster", "largest", F.ceil((F.col("all") - F.col("most")) / TILE).alias("chunks"))
+    named = named.join(open_, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    here = named.select("cluster", "tile", "node", "label", upto("chunks").alias("chunk"), F.lit(0).alias("side"))
+    there = named.where("label <> largest").select("cluster", "node", "label", "chunk", F.col("tile").alias("own"), upto("tiles").alias("tile"), F.lit(1).alias("side")).where("tile <> own").drop("own")
+    rest = here.unionByName(there).join(grams, "node").select("cluster", "tile", "chunk", "label", "side", "grams").groupBy("cluster", "tile", "chunk").applyInArrow(_across(percent), "a long, b long")
+    final = components(links.unionByName(rest)).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return out.join(final, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
 
 
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -392,16 +513,14 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     ordered = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("tag"))
     classes = common.cut(signed.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min(ordered).alias("first")).select("set_hash", "n_shingles", F.col("first.id").alias("id"), F.col("first.tag").alias("node")))
     nodes = signed.select("tag", "keys").join(classes.select(F.col("node").alias("tag"), "node"), "tag").select("node", "keys")
-    rows = common.cut(bucket_rows(nodes, banding.side))
-    shared = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    across = rows.where("key is not null").select("key", "node").join(shared, "key").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    ties = rows.where("key is null").select(F.col("node").alias("a"), F.col("tie").alias("b"))
-    clusters = components(across.unionByName(ties))
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    needed = common.cut(clusters.join(sizes, "label").select("node", F.col("label").alias("cluster"), "tiles").join(classes, "node").select(F.col("id").alias("doc_id"), "set_hash", "node", "cluster", "tiles"))
-    linked = components(confirmed_links(needed_sets(docs, needed, banding.hashes), banding))
+    ties = common.cut(candidate_ties(nodes, banding.side))
+    sharing = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = common.cut(classes.join(sharing, "node").select(F.col("id").alias("doc_id"), "set_hash", "node"))
+    sets = common.cut(supported(common.cut(needed_sets(docs, needed)), percent))
+    clusters = components(candidate_ties(nodes.join(sets.select("node"), "node", "left_semi"), banding.side))
+    linked_ = confirmed(sets, clusters, percent)
     # the smallest id among all nodes of a component; a node's own id where it has no link
-    labelled = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = classes.join(linked_, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least")).select("label", F.col("least.id").alias("least_id"), F.col("least.node").alias("least_node"))
     by_class = labelled.join(least, "label").select("set_hash", "n_shingles", "least_id", "least_node")
     # a hot set meets its class once for each partition, then the partition's rows meet that
