@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .exact_dedup import _LOWER
+from .hashing import BASE, SLICE, mix, stretches
 from .tokens import forget
 
 WORDS, DEPTH = 5, 3
@@ -47,17 +48,13 @@ class Banding:
         return 2 * self.side * DEPTH
 
 
-_SLICE = 1 << 20
 _ROWS = 8_000  # shingles hashed at once: a number each for every minhash
 
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 2**64, 256, "u8")
+_rng = np.random.default_rng(23)
 _MUL = _rng.integers(0, 2**63, 54, "u8") * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**64, 54, "u8")
-_BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
 
 
 def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,38 +63,16 @@ def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_MUL) < hashes:
         more = np.random.default_rng(21)  # always the same ones, from the first on
         _MUL = np.concatenate([_MUL[:54], more.integers(0, 2**63, hashes, "u8") * np.uint64(2) + np.uint64(1)])
-        _ADD = np.concatenate([_ADD[:54], _mix(_MUL[54:])])
+        _ADD = np.concatenate([_ADD[:54], mix(_MUL[54:])])
     return _MUL[:hashes], _ADD[:hashes]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n + 1, _SLICE + 1)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, "u8")
-            p[0] = 1
-            both.append(np.cumprod(p, dtype="u8"))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
-
-
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each run of bytes that aren't white space, from sums of powers."""
+    """(hash, start) of each run of bytes that aren't white space."""
     flat = np.frombuffer(text, "u1")
-    power, inverse = _powers(len(flat))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[flat] * power[: len(flat)], dtype="u8")])
-        inside = np.concatenate([[False], ~_SPACE[flat], [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[0::2], edges[1::2]
-        return _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype("u8")), starts
+    inside = np.concatenate([[False], ~_SPACE[flat], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return stretches(flat, edges[0::2], edges[1::2]), edges[0::2]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -105,7 +80,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     words: list[np.ndarray] = [np.empty(0, "u8")] * len(texts)
     group, size = [], 0
     for k, text in enumerate([*texts, None]):
-        if group and (text is None or size + len(text) > _SLICE):
+        if group and (text is None or size + len(text) > SLICE):
             found, starts = word_hashes(b"\n".join(texts[g] for g in group))
             ends = np.cumsum([len(texts[g]) + 1 for g in group])
             for g, part in zip(group, np.split(found, np.searchsorted(starts, ends[:-1]))):
@@ -113,10 +88,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             group, size = [], 0
         if text is None:
             break
-        if len(text) > _SLICE:  # a very long text goes in slices cut at white space
+        if len(text) > SLICE:  # a very long text goes in slices cut at white space
             at, parts = 0, []
             while at < len(text):
-                end = min(at + _SLICE, len(text))
+                end = min(at + SLICE, len(text))
                 while end < len(text) and not _SPACE[text[end]]:
                     end += 1
                 parts.append(word_hashes(text[at:end])[0])
@@ -135,8 +110,8 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(len(words) - n + 1, n, "u8")
         for k in range(n):
-            h = h * np.uint64(_BASE) + words[k : len(words) - n + 1 + k]
-        return np.unique(_mix(h) & np.uint64(2**48 - 1))
+            h = h * np.uint64(BASE) + words[k : len(words) - n + 1 + k]
+        return np.unique(mix(h) & np.uint64(2**48 - 1))
 
 
 def minhashes(sets: list[np.ndarray], hashes: int) -> np.ndarray:
@@ -157,10 +132,10 @@ def _minima(sets: list[np.ndarray], group: list[int], out: np.ndarray) -> None:
         mul, add = _functions(out.shape[1])
         if len(group) == 1:
             s = sets[group[0]]
-            out[group[0]] = np.min([(_mix(s[a : a + _ROWS])[:, None] * mul + add).min(0) for a in range(0, len(s), _ROWS)], axis=0)
+            out[group[0]] = np.min([(mix(s[a : a + _ROWS])[:, None] * mul + add).min(0) for a in range(0, len(s), _ROWS)], axis=0)
         else:
             at = np.cumsum([0, *(len(sets[g]) for g in group[:-1])])
-            out[group] = np.minimum.reduceat(_mix(np.concatenate([sets[g] for g in group]))[:, None] * mul + add, at, axis=0)
+            out[group] = np.minimum.reduceat(mix(np.concatenate([sets[g] for g in group]))[:, None] * mul + add, at, axis=0)
 
 
 def side_keys(minima: np.ndarray, side: int) -> np.ndarray:
@@ -169,7 +144,7 @@ def side_keys(minima: np.ndarray, side: int) -> np.ndarray:
         h = np.full((len(minima), 2 * side), 7, "u8")
         parts = minima.reshape(len(minima), 2 * side, DEPTH)
         for k in range(DEPTH):
-            h = _mix(h * np.uint64(_BASE) + parts[:, :, k])
+            h = mix(h * np.uint64(BASE) + parts[:, :, k])
     return h
 
 
@@ -189,7 +164,7 @@ def _lowered(column: pa.Array) -> list[bytes]:
 
 def _set_hash(grams: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        return int((_mix(grams + np.uint64(1)).sum(dtype="u8") ^ (_mix(grams ^ np.uint64(_BASE)).sum(dtype="u8") * np.uint64(3))).astype("i8"))
+        return int((mix(grams + np.uint64(1)).sum(dtype="u8") ^ (mix(grams ^ np.uint64(BASE)).sum(dtype="u8") * np.uint64(3))).astype("i8"))
 
 
 def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
@@ -255,7 +230,7 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
     def tables(keys: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(side):
             with np.errstate(over="ignore"):
-                table = _mix(keys[:, i : i + 1] * np.uint64(_BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
+                table = mix(keys[:, i : i + 1] * np.uint64(BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
             yield from table.T
 
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from .tokens import default_vocabulary, encoder
 #: What is kept of a piece: its document, number, start, length, crc32, and whether the document has no id.
 FIELDS = 6
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces that one worker packs at once.
+RUN_PIECES = 500_000
 _BINS = "node long, open boolean, fill int, sequence_id long, pieces binary"
 
 
@@ -56,25 +58,32 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str |
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            found = encoder(vocabulary).encode([x or "" for x in batch.column(1).to_pylist()])
+            found = encoder(vocabulary).encode_column(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), found):
-                rows += [(doc_id, k, *x) for k, x in enumerate(cut_pieces(ids + end, capacity))]
+                rows += [(doc_id, k, *x) for k, x in enumerate(cut_pieces(ids.tobytes() + end, capacity))]
             cols = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return common.only(docs, "doc_id", "text").mapInArrow(encode, _PIECES)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, slack: int | None = None, fan_in: int = 8, carry: int = 4096) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, slack: int | None = None, fan_in: int = 8) -> DataFrame:
     """Put each piece into a sequence of at most ``capacity`` ids.
 
     Each partition packs its pieces best-fit, decreasing. Bins with at most ``slack`` free places are done;
     the others go up a tree of groups of ``fan_in`` and are packed again as single items, until one group is
-    left; a bin at most half full is taken apart on the way, since its pieces fit where it doesn't. After best fit any two bins of a group hold more than ``capacity`` together, so at most one is half
-    empty or emptier: only the ``carry`` emptiest of a group can gain from going up, and the rest are done as
-    they are. No piece is left out. Adds sequence_id and offset; within a sequence offsets have no gaps.
+    left; a bin at most half full is taken apart on the way, since its pieces fit where it doesn't.
+
+    Of a group's bins only the ``fan_in * capacity / 2`` emptiest go up, so that no task's input grows with the
+    table, and nothing is lost by that. After best fit any two bins hold more than ``capacity`` together, so two
+    that are more than half full never share a bin, and at most one bin of a group is taken apart. What is taken
+    apart in the next group is at most that many ids, in as many pieces at most; a piece that fits a bin that
+    stayed behind fits each emptier one, and one of those is still as it was. No piece is left out. Adds
+    sequence_id and offset; within a sequence offsets have no gaps. Ties go by doc_id and piece; null ids count
+    as 0 for that.
     """
     slack = capacity // 64 if slack is None else slack
+    carry = fan_in * capacity // 2
 
     def rows(level: int, node: int, first: int, sizes: np.ndarray, held: list[bytes], last: bool) -> pa.RecordBatch:
         bins = best_fit_decreasing(sizes, capacity)
@@ -96,15 +105,22 @@ def pack_pieces(pieces: DataFrame, capacity: int, slack: int | None = None, fan_
             cols = [x.to_numpy(zero_copy_only=False) for x in (batch.column(0).fill_null(0), *batch.columns[1:], batch.column(0).is_null())]
             held.append(np.stack([x.astype("<i8") for x in cols], axis=1))
             n += len(held[-1])
-            if n >= 500_000:  # bounds a worker's memory; the tree joins what is left over
-                yield pack(0, node, first, np.concatenate(held))
-                first, held, n = first + n, [], 0
+            if n >= RUN_PIECES:  # bounds a worker's memory; what half fills a bin goes on into the next run
+                done, rest = pack(node, first, np.concatenate(held), True)
+                yield done
+                first, held, n = first + n, [rest], len(rest)
         if n:
-            yield pack(0, node, first, np.concatenate(held))
+            yield pack(node, first, np.concatenate(held), False)[0]
 
-    def pack(level: int, node: int, first: int, items: np.ndarray) -> pa.RecordBatch:
+    def pack(node: int, first: int, items: np.ndarray, more: bool) -> tuple[pa.RecordBatch, np.ndarray]:
         items = items[np.lexsort((items[:, 1], items[:, 0]))]
-        return rows(level, node, first, items[:, 3], [x.tobytes() for x in items], last=levels == 0)
+        rest = np.zeros(len(items), bool)
+        if more:
+            for x in best_fit_decreasing(items[:, 3], capacity):
+                if 2 * items[x, 3].sum() <= capacity:
+                    rest[x] = True
+        done = items[~rest]
+        return rows(0, node, first, done[:, 3], [x.tobytes() for x in done], last=False), items[rest]
 
     def merge_at(level: int):
         def merge(table: pa.Table) -> pa.Table:
@@ -133,7 +149,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, slack: int | None = None, fan_
 
     pieces = common.cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"))
     levels, width = 0, pieces.rdd.getNumPartitions()
-    while width > 1:
+    while width > 1 or not levels:
         levels, width = levels + 1, -(-width // fan_in)
     spread = common.cut(pieces.mapInArrow(local, _BINS))
     done = spread.where(~F.col("open"))

@@ -97,8 +97,11 @@ class Writer:
         self._put(_TRAIL.pack(lists, len(self.starts), len(self.ids), MAGIC))
 
 
-def read_file(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """Documents of one file, block by block. ``source`` has seek and read."""
+def read_file(source, size: int, share: int = 0, shares: int = 1) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(id, place in the file, ids) of the documents of one file, or of one of ``shares`` even parts of them.
+
+    ``source`` has seek and read. Only blocks that hold ids of the part are read, from where the index says.
+    """
 
     def piece(at: int, n: int) -> bytes:
         source.seek(at)
@@ -108,20 +111,23 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     if magic != MAGIC:
         raise ValueError("not a token file")
     tail = piece(lists, size - _TRAIL.size - lists)
-    starts = np.frombuffer(tail, "<u8", n_blocks)
+    starts = np.frombuffer(tail, "<u8", n_blocks).astype("i8")
     ids = np.frombuffer(tail, "<i8", n_docs, 8 * n_blocks)
     nulls = np.frombuffer(tail, "u1", n_docs, 8 * (n_blocks + n_docs))
     sizes = np.frombuffer(tail, "<u8", n_docs, 8 * n_blocks + 9 * n_docs).astype("i8")
-    ends = [*starts[1:].tolist(), lists]
-    held, block = np.empty(0, "<u4"), 0
-    for doc_id, null, n in zip(ids.tolist(), nulls.tolist(), sizes.tolist()):
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    first, last = n_docs * share // shares, n_docs * (share + 1) // shares
+    ends = np.append(starts[1:], lists)
+    held, block = np.empty(0, "<u4"), int(before[first]) // BLOCK  # every block but the last holds BLOCK ids
+    skip = int(before[first]) - block * BLOCK
+    for doc_id, null, at, n in zip(ids[first:last].tolist(), nulls[first:last].tolist(), before[first:last].tolist(), sizes[first:last].tolist()):
         parts, have = [held], len(held)
         while have < n:
-            parts.append(unpack_block(piece(int(starts[block]), ends[block] - int(starts[block]))))
+            parts.append(unpack_block(piece(int(starts[block]), int(ends[block] - starts[block])))[skip:])
             have += len(parts[-1])
-            block += 1
+            block, skip = block + 1, 0
         held = np.concatenate(parts) if len(parts) > 1 else held
-        yield (None if null else doc_id), held[:n]
+        yield (None if null else doc_id), at, held[:n]
         held = held[n:]
 
 
@@ -131,13 +137,17 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", uri))
 
 
-def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str | None = None, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str | None = None, files: int | None = None, file_bytes: int = 128 << 20) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write one file for each range of document ids.
 
-    Null text counts as empty; rows without id come first; repeated ids keep a document each. Returns the
-    manifest (part, path, n_docs, n_ids), a row for each file, written to the shared folder. A task that
-    runs again writes a new file; the manifest names only files of tasks that succeeded.
+    There are as many files as shuffle partitions, or more, so that each takes about ``file_bytes`` of text. Null
+    text counts as empty; rows without id come first; rows that repeat an id keep a document each, by a hash of
+    their texts, and ranges may part them. Returns the manifest (part, path, n_docs, n_ids), a row for each file,
+    written to the shared folder. A task that runs again writes a new file; the manifest names only files of
+    tasks that succeeded.
     """
+    if files is None:
+        files = max(common.partitions(docs), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
     vocabulary = vocabulary or default_vocabulary()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,30 +164,29 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str
                 stream = store.open_output_stream(name)
                 out, ids = Writer(stream), encoder(vocabulary)
             end = np.array([end_id], "<u4").tobytes()
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, found in zip(batch.column(0).to_pylist(), ids.encode(texts)):
-                out.add(doc_id, found + end)
+            for doc_id, found in zip(batch.column(0).to_pylist(), ids.encode_column(batch.column(1))):
+                out.add(doc_id, found.tobytes() + end)
         if out is not None:
             out.close()
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [name], "n_docs": pa.array([len(out.ids)], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
 
-    ranged = common.only(docs, "doc_id", "text").repartitionByRange(files or common.partitions(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("from"))
+    ranged = keyed.repartitionByRange(files, "doc_id", "h", "from").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return common.cut(ranged.mapInArrow(write, "part long, path string, n_docs long, n_ids long"))
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
+def read_token_files(manifest: DataFrame, folder: str, share_ids: int = 1 << 24) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone; a large file is read in parts."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 store, _ = _store(folder)
-                start, rows = row["before"], []
+                rows = []
                 with store.open_input_file(row["path"]) as source:
-                    for doc_id, ids in read_file(source, source.size()):
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                        start += len(ids)
+                    for doc_id, at, ids in read_file(source, source.size(), row["share"], row["shares"]):
+                        rows.append((doc_id, row["before"] + at, len(ids), zlib.crc32(ids.tobytes())))
                         if len(rows) == 20_000:
                             yield _rows(rows)
                             rows = []
@@ -188,8 +197,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c, d)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
-    found = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return found.repartition(common.partitions(manifest), "part").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("shares", F.ceil(F.col("n_ids") / share_ids))
+    found = found.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    return found.repartition(common.partitions(manifest), "part", "share").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None, files: int | None = None) -> DataFrame:
