@@ -147,28 +147,15 @@ def _gradient(net: Net, texts: list[bytes], labels: np.ndarray, weights: np.ndar
     return grads
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
-    """Texts and labels of at most ``per_class`` rows of each label by hashed order of the id, and how many rows
-    each label has. Held-out ids are left out of both."""
-    known = labels.where(F.col(target).isin(0, 1) & ~common.held_out("doc_id")).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    picked = None
-    for label in counts:
-        some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    if picked is None:
-        return [], {}
-    rows = common.only(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # at most 2 * per_class texts
-    return [((r.text or "").encode(), r.label) for r in sorted(rows, key=lambda r: r.doc_id)], counts
-
-
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = 700) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = 700, sample_bytes: int = 32 << 20) -> Net:
     """A network for the chance of label 1, from a bounded sample of labelled rows that aren't held out.
 
-    The sample has up to ``per_class`` rows of each label and is weighted back to the share that each label has
-    among all labelled rows. With one label only, or none, the network gives that label's share everywhere.
+    The sample has up to ``per_class`` ids and ``sample_bytes`` bytes of each label and is weighted back to the
+    share that each label has among all labelled ids. With one label only, or none, the network gives that label's
+    share everywhere.
     """
-    sample, counts = labelled_sample(docs, labels, target, per_class)
+    texts, counts = common.labelled_texts(docs, labels, target, per_class, sample_bytes)
+    sample = [(r.text.encode(), r.label) for r in sorted(texts.collect(), key=lambda r: r.doc_id)]  # bounded by both
     if len({y for _, y in sample}) < 2:
         share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return Net(np.zeros((256, EMBED), "f4"), np.zeros((WIDTH * EMBED, FILTERS), "f4"), np.zeros(FILTERS, "f4"), np.zeros(2 * FILTERS), float(np.log(share / (1 - share))))
@@ -205,4 +192,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, na
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of ``docs``, as score_quality gives them. A null id counts as
+    held out."""
     return score_quality(common.only(docs, "doc_id", "text"), labels, threshold).select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -187,21 +187,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope[0] * top + self.slope[1] * min(total, 30) + self.offset, -60, 60))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2500, lexicon: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2500, sample_bytes: int = 64 << 20) -> Model:
     """Character model from all texts; word weights from a bounded sample of labelled rows that aren't held out.
 
-    The sample has up to ``per_class`` rows of each label. A word's weight is its log odds between the labels;
-    support counts different texts, told apart by their whole word sets, and near copies of one text count once. The ``lexicon`` words of highest weight that clearly favour the label are kept.
+    The sample has up to ``per_class`` ids and ``sample_bytes`` bytes of each label. A word's weight is its log odds
+    between the labels; support counts different texts, told apart by their whole word sets, and near copies of one
+    text count once. All words that clearly favour the label are kept.
     """
     letters = log_model(trigram_counts(docs))
-    known = labels.where(F.col(target).isin(0, 1) & ~common.held_out("doc_id")).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    texts, counts = common.labelled_texts(docs, labels, target, per_class, sample_bytes)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(counts) < 2:
         return Model(letters, {}, (0.0, 0.0), prior)
-    picked = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    sample = common.cut(common.only(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id"))  # at most 2 * per_class rows
+    sample = common.cut(texts)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(letters)
@@ -225,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     pa_, pb = (F.col("a") + 0.5) / (a_all + 1), (F.col("b") + 0.5) / (b_all + 1)
     pooled = (F.col("a") + F.col("b") + 1) / (a_all + b_all + 2)
     z = (pa_ - pb) / F.sqrt(pooled * (1 - pooled) * (1 / (a_all + 1) + 1 / (b_all + 1)))
-    rows = by_word.where(F.col("a") >= 4).withColumn("weight", F.log(pa_ / pb)).withColumn("z", z).where((F.col("z") > 5) & (F.col("weight") > 1)).orderBy(F.desc("z"), "word").limit(lexicon).collect()
+    rows = by_word.where(F.col("a") >= 4).withColumn("weight", F.log(pa_ / pb)).withColumn("z", z).where((F.col("z") > 5) & (F.col("weight") > 1)).orderBy(F.desc("z"), "word").collect()  # words of the sample only
     model = Model(letters, {r.word: float(r.weight) for r in rows}, (1.0, 0.0), 0.0)
     weights = model.weights
 
@@ -287,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
     of label 1.
     """
     model = fit(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``lexicon`` words and a table of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded sample and a table of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -302,4 +301,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """score_toxicity with held_out; a null id counts as held out."""
     return score_toxicity(docs, labels, threshold).select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted", "words")
