@@ -11,53 +11,63 @@ from .common import read
 
 #: Rules of the URL query: (verdict, host and path).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: The listing of the URL query stands for a feed: the pages of these names.
-LISTED_NAMES = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
+#: Runs of ornaments from which on the URL query's listing takes a page.
+LISTED_MARKS = 20
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts; see exact_dedup.exact_groups for nulls and ties."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; see quality.score_quality."""
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every text and its edited text; see fingerprint.winnowing_report."""
     return fingerprint.winnowing_report(read(spark, sf_dir, "documents"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies; see near_dedup.near_groups."""
     return near_dedup.near_groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by rules and a listing made from the pages' content; see url_filter.judge_urls."""
     pages = read(spark, sf_dir, "pages")
-    listed = pages.select("url").where(url_filter.host("url").rlike(LISTED_NAMES))
-    return url_filter.judge_urls(pages, listed, URL_RULES)
+    return url_filter.judge_urls(pages, url_filter.content_listing(pages, LISTED_MARKS), URL_RULES)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text; see toxicity.score_toxicity."""
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 ids; see packing.pack_pieces."""
     return packing.best_fit_packing(read(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text; see secrets.scan_secrets."""
     return secrets.scan_secrets(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes of every document; see mixing.mix."""
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to token files and read back; see token_files."""
     return token_files.token_file_digest(read(spark, sf_dir, "documents"), end_id=2)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces that corpus_pipeline.run makes of the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -90,7 +100,7 @@ from w join c using (doc_id) left join s using (doc_id)
 
 _OP5 = rf"""
 with p as (
-  select page_id, url,
+  select page_id, url, html,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
     '&' || coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '') as query
@@ -102,7 +112,7 @@ c as (
        else '?' || regexp_replace(regexp_replace(query, '&(utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') end as canonical
   from p
 ),
-listed as (select distinct canonical from c where regexp_matches(host, '{LISTED_NAMES}') and url like '%://%'),
+listed as (select distinct canonical from c where len(regexp_extract_all(html, '[%#*$]{{3}}')) >= {LISTED_MARKS} and url like '%://%'),
 rules(verdict, rule, name, start) as (values
   ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
   ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),

@@ -52,35 +52,39 @@ def bloom_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
     return _with_bits(listed, "canonical", n_blocks).groupBy(F.col("_block").alias("block")).agg(*(F.bit_or(f"_b{k}").alias(f"w{k}") for k in range(WORDS)))
 
 
+def content_listing(pages: DataFrame, marks: int = 20) -> DataFrame:
+    """(url) of the pages whose HTML bears ``marks`` or more runs of three ornaments (``%%%``, ``###``, ``***``,
+    ``$$$``): a listing made from content, whatever the address. Null HTML bears none."""
+    return pages.where(F.regexp_count("html", F.lit(r"[%#*$]{3}")) >= marks).select("url")
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict of each row of ``pages`` (page_id, url).
+    """page_id, host, path, rule, verdict of each row of ``pages`` (page_id, url), which is read once.
 
     The longest fitting rule decides; other URLs are blocked if their canonical form is in ``listed`` (url) and
     allowed if not. The filter sends only possible hits to the exact join, which removes false positives. The
-    filter is broadcast while its size, known from the number of listed URLs, is at most ``broadcast_bytes``;
-    beyond that both joins shuffle on the block and on the URL. Null or malformed URLs have an empty host and
-    path, fit no rule and are allowed; repeated rows are judged each.
+    filter and the listing are broadcast while their sizes, known from sums, are at most ``broadcast_bytes``; beyond
+    that the joins shuffle on the block and on the URL, and rows that need no look-up are dealt evenly. Null or
+    malformed URLs have an empty host and path, fit no rule and are allowed; repeated rows are judged each.
     """
     listed = common.cut(listed.where(F.col("url").contains("://")).select(canonical_url("url").alias("canonical")).distinct())
-    n = listed.count()
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical") + 16), F.lit(0))).first()
     n_blocks = max(1, -(-n * BITS_PER_URL // (64 * WORDS)))
-    filter_ = bloom_filter(listed, n_blocks)
+    filter_, found = bloom_filter(listed, n_blocks), listed.select(F.col("canonical").alias("listed_url"))
     if n_blocks * (8 * WORDS + 8) <= broadcast_bytes:
         filter_ = F.broadcast(filter_)
+    if size <= broadcast_bytes:
+        found = F.broadcast(found)
     seen = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"))
     which, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    seen = seen.withColumn("rule", which).withColumn("verdict", verdict)
-    ruled = seen.where(F.col("verdict").isNotNull()).select("page_id", "host", "path", "rule", "verdict")
-    rest = _with_bits(seen.where(F.col("verdict").isNull()).withColumn("canonical", F.coalesce(canonical_url("url"), F.lit(""))), "canonical", n_blocks)
+    seen = seen.withColumn("rule", which.cast("string")).withColumn("ruled", verdict)
+    asks = F.col("ruled").isNull() & F.col("url").contains("://")
+    spread = F.xxhash64("page_id", "url")
+    seen = _with_bits(seen.withColumn("asks", asks).withColumn("canonical", F.when(asks, canonical_url("url"))), "canonical", n_blocks)
+    seen = seen.withColumn("_block", F.when(F.col("asks"), F.col("_block")).otherwise(F.lit(-1) - F.shiftrightunsigned(spread, 1)))
     may = F.col("w0").isNotNull()
     for k in range(WORDS):
         may = may & ((F.col(f"w{k}").bitwiseAND(F.col(f"_b{k}"))) != 0)
-    probed = rest.join(filter_, rest["_block"] == filter_["block"], "left").withColumn("may", F.coalesce(may, F.lit(False)))
-    found = listed.select("canonical", F.lit(True).alias("is_listed"))
-    hits = probed.where("may").select("page_id", "host", "path", "rule", "canonical").join(found, "canonical", "left")
-    out = ["page_id", "host", "path", F.col("rule").cast("string").alias("rule")]
-    return (
-        ruled.select(*out, "verdict")
-        .unionByName(probed.where("not may").select(*out, F.lit("allow").alias("verdict")))
-        .unionByName(hits.select(*out, F.when(F.col("is_listed"), "block").otherwise("allow").alias("verdict")))
-    )
+    probed = seen.join(filter_, seen["_block"] == filter_["block"], "left").select("page_id", "host", "path", "rule", "ruled", F.when(may, F.col("canonical")).otherwise(F.concat(F.lit("?"), spread.cast("string"))).alias("looked_up"))
+    hits = probed.join(found, probed["looked_up"] == found["listed_url"], "left")
+    return hits.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed_url").isNotNull(), "block").otherwise("allow")).alias("verdict"))
