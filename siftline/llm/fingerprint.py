@@ -1,12 +1,13 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Every k-gram of a text's UTF-8 bytes is hashed as the gram rolls along; of each window of ``WINDOW`` grams the
-smallest hash is kept, the rightmost on ties, with its position. Texts that share ``K + WINDOW - 1`` bytes
-share a fingerprint.
-
-A text is cut into blocks of ``BLOCK`` positions. A block hashes its own grams and those that its windows reach
-into the next block, as columns, and finds all its window minima by widening: the minimum of 4n grams is that
-of four neighbours of n. So the work is done by compiled projections, whatever the text's length.
+Every k-gram of a text's UTF-8 bytes has a rolling hash (cyclic polynomial): the hash of a longer gram is that of its
+beginning, turned on by the bytes that follow, and theirs. Of each window of ``WINDOW`` grams the smallest hash is
+kept, the rightmost on ties, with its position. Texts that share ``K + WINDOW - 1`` bytes share a fingerprint.
+
+A text is cut into blocks of ``BLOCK`` positions. A block hashes each of its bytes once, and those that its windows
+reach into the next block, as columns. Grams then roll by widening: a gram of 2n bytes is made of two neighbours of
+n. So do window minima: the minimum of 4n grams is that of four neighbours of n. So the work is done by compiled
+projections, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -16,36 +17,45 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, WINDOW, BLOCK = 12, 32, 64
+#: Blocks have more than 100 columns at each step, so that Spark compiles each projection in parts, not as one method.
+K, WINDOW, BLOCK = 12, 32, 128
 #: Each step takes the least of so many neighbours; together they make a window.
 STEPS = (4, 4, 2)
-_LOW = 127  # low bits of a hash that hold 127 minus the place in the block, so that ties go right
+_LOW = 255  # low bits of a hash that hold 255 minus the place in the block, so that ties go right
+#: Parts of the range of an id that has many rows.
+PIECES = 64
+
+
+def _turned(name: str, bits: int) -> str:
+    return f"(shiftleft({name}, {bits}) | shiftrightunsigned({name}, {64 - bits}))"
+
+
+def _gram_hashes(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns g0, g1, ... with the rolling hash of the gram of ``K`` bytes at each place of ``bytes``; bytes past the
+    end count as none, all alike."""
+    kept = [*keep, "block", "n_grams"]
+    span = BLOCK + WINDOW + K - 2
+    one = blocks.select(*kept, *(F.expr(f"xxhash64(substring(bytes, {j + 1}, 1))").alias(f"a{j}") for j in range(span)))
+    two = one.select(*kept, *(F.expr(f"{_turned(f'a{j}', 1)} ^ a{j + 1}").alias(f"b{j}") for j in range(span - 1)))
+    four = two.select(*kept, *(F.expr(f"{_turned(f'b{j}', 2)} ^ b{j + 2}").alias(f"c{j}") for j in range(span - 3)))
+    eight = four.select(*kept, *(f"c{j}" for j in range(8, span - 3)), *(F.expr(f"{_turned(f'c{j}', 4)} ^ c{j + 4}").alias(f"d{j}") for j in range(span - K + 1)))
+    return eight.select(*kept, *(F.expr(f"{_turned(f'd{j}', 4)} ^ c{j + 8}").alias(f"g{j}") for j in range(span - K + 1)))
 
 
 def _block_minima(blocks: DataFrame, keep: list[str]) -> DataFrame:
     """For blocks (bytes, block, n_grams) the packed (position, hash) of the minima of windows that start in them."""
     span = BLOCK + WINDOW - 1
-    step = blocks.select(*keep, "block", "n_grams", _short("bytes", "n_grams").alias("short"), *(F.expr(f"(xxhash64(substring(bytes, {j + 1}, {K})) | {_LOW}L) ^ {j}L").alias(f"m{j}") for j in range(span)))
+    # grams past the end are null, which no minimum takes; so a text with fewer grams than a window has one window
+    mark = lambda j: f"if(block * {BLOCK} + {j} < n_grams, (xxhash64(g{j}) | {_LOW}L) ^ {j}L, null)"
+    step = _gram_hashes(blocks, keep).select(*keep, "block", "n_grams", *(F.expr(mark(j)).alias(f"m{j}") for j in range(span)))
     size = 1
     for many in STEPS:
         span -= (many - 1) * size
-        step = step.select(*keep, "block", "n_grams", "short", *(F.least(*(f"m{j + k * size}" for k in range(many))).alias(f"m{j}") for j in range(span)))
+        step = step.select(*keep, "block", "n_grams", *(F.least(*(f"m{j + k * size}" for k in range(many))).alias(f"m{j}") for j in range(span)))
         size *= many
     # to (position << 32 | upper half of the hash); windows that would reach over the end have none
-    packed = [F.expr(f"if(block * {BLOCK} + {j} <= n_grams - {WINDOW}, shiftleft(block * {BLOCK}L + {_LOW}L - (m{j} & {_LOW}L), 32) | shiftrightunsigned(m{j}, 32), null)") for j in range(BLOCK)]
-    return step.select(*keep, F.when(F.col("n_grams") < WINDOW, _unshort(F.col("short"))).otherwise(F.array_except(F.array(*packed), F.array(F.lit(None).cast("long")))).alias("minima"))
-
-
-def _short(raw: str, n_grams: str) -> Column:
-    """Packed minimum of the only window of a text with fewer grams than a window."""
-    return F.expr(
-        f"if({n_grams} between 1 and {WINDOW - 1}, transform(array({raw}), r -> array_min(transform(sequence(0, {n_grams} - 1), j -> (xxhash64(substring(r, j + 1, {K})) | {_LOW}L) ^ cast(j as bigint)))),"
-        " cast(array() as array<bigint>))"
-    )
-
-
-def _unshort(col: Column) -> Column:
-    return F.transform(col, lambda v: F.shiftleft(F.lit(_LOW).cast("long") - v.bitwiseAND(F.lit(_LOW).cast("long")), 32).bitwiseOR(F.shiftrightunsigned(v, 32)))
+    packed = [F.expr(f"if(block * {BLOCK} + {j} <= greatest(n_grams - {WINDOW}, 0), shiftleft(block * {BLOCK}L + {_LOW}L - (m{j} & {_LOW}L), 32) | shiftrightunsigned(m{j}, 32), null)") for j in range(BLOCK)]
+    return step.select(*keep, F.array_except(F.array(*packed), F.array(F.lit(None).cast("long"))).alias("minima"))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -79,14 +89,33 @@ def written(fingerprint: Column | str) -> Column:
     return F.array_join(F.transform(fingerprint, one), " ")
 
 
-def _ranges(docs: DataFrame, n: int) -> Column:
-    """A number for ``doc_id`` that grows with it and deals the rows into about ``n`` even ranges."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = F.array(*(F.lit(x).cast("long") for x in sorted(set(cuts or [])))) if cuts else F.expr("cast(array() as array<bigint>)")
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-
-
-def winnowing_report(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def _below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending ``bounds`` are at most ``value``; looked up in two steps, so that many cost little."""
+    if not bounds:
+        return F.lit(0)
+    array = lambda some: F.array(*(F.lit(x).cast("long") for x in some))
+    wide = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
+    full = F.size(F.filter(array([x[-1] for x in parts]), lambda b: b <= value))  # parts that lie below as a whole
+    rest = F.coalesce(F.size(F.filter(F.get(F.array(*map(array, parts)), full), lambda b: b <= value)), F.lit(0))
+    return full * wide + F.greatest(rest, F.lit(0))
+
+
+def _ranges(docs: DataFrame, ranges: int | None, range_bytes: int) -> Column:
+    """A number for ``doc_id`` and ``h`` that grows with them and deals the rows into about even ranges: as many as
+    shuffle partitions, or more, so that each has about ``range_bytes`` of text. An id with more rows than a range, and
+    the missing id, are parted by ``h``."""
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = ranges or max(common.partitions(docs), -(-(size or 0) // range_bytes))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
+    hot = [r.doc_id for r in docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") * n > max(total, 1_000)).collect()]  # fewer than n
+    bounds = sorted({*(cuts or []), *hot, *(x + 1 for x in hot if x < 2**63 - 1)})
+    piece = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long")), 58)
+    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_below(bounds, F.col("doc_id")))
+    return part.cast("long") * PIECES + F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(hot), piece).otherwise(F.lit(0).cast("long"))
+
+
+def winnowing_report(docs: DataFrame, ranges: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document,
@@ -96,7 +125,7 @@ def winnowing_report(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    docs = docs.withColumn("part", _ranges(docs.select("doc_id"), ranges or common.partitions(docs)))
+    docs = docs.withColumn("part", _ranges(docs, ranges, range_bytes))
     firsts = docs.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     turn = Window.orderBy("part")  # a row for each range
     last_part = F.max("part").over(Window.partitionBy())

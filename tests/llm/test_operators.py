@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import operator
 import random
 import re
 import string
@@ -184,8 +186,10 @@ def brute_winnow(text):
     b, k, w = text.encode(), fingerprint.K, fingerprint.WINDOW
     if not b:
         return []
-    hs = [xxhash.xxh64_intdigest(b[i : i + k], seed=42) for i in range(max(1, len(b) - k + 1))]
-    signed = [(h - (1 << 64) if h >> 63 else h) >> 7 for h in hs]
+    turned = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1) if n else x
+    rolled = [functools.reduce(operator.xor, (turned(xxhash.xxh64_intdigest(b[i + j : i + j + 1], seed=42), k - 1 - j) for j in range(k))) for i in range(max(1, len(b) - k + 1))]
+    hs = [xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=42) for x in rolled]
+    signed = [(h - (1 << 64) if h >> 63 else h) >> 8 for h in hs]
     out = {}
     for i in range(max(1, len(hs) - w + 1)):
         pos = min(range(i, min(i + w, len(hs))), key=lambda j: (signed[j], -j))
