@@ -234,7 +234,7 @@ def brute_winnow_values(written):
 # near dedup
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     reps, root = {}, {}
     for k, (_, t) in enumerate(rows):
         reps.setdefault(shingles(t), k)
@@ -249,7 +249,7 @@ def brute_components(rows):
         if shingles(t):
             root[find(k)] = find(reps[shingles(t)])
     for (s, a), (t, b) in itertools.combinations(reps.items(), 2):
-        if s and t and 100 * len(s & t) >= 85 * len(s | t):
+        if s and t and 100 * len(s & t) >= percent * len(s | t):
             root[find(a)] = find(b)
     return [find(k) for k in range(len(rows))]
 
@@ -519,7 +519,7 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in unique.collect()) == sorted(last.values())
     apart = step("MinHash near-dedup", unique)
     rows = [(r.doc_id, r.text) for r in unique.collect()]
-    comp = brute_components(rows)
+    comp = brute_components(rows, 80)
     least = {}
     for (i, _), c in zip(rows, comp):
         least[c] = min(least.get(c, i), i)
