@@ -48,6 +48,8 @@ class Banding:
         return 2 * self.side * DEPTH
 
 
+#: Nodes whose buckets one worker holds at once.
+RUN_NODES = 20_000
 _ROWS = 8_000  # shingles hashed at once: a number each for every minhash
 
 _rng = np.random.default_rng(23)
@@ -212,7 +214,7 @@ def roots(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
 
 
 def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
-    """(key, node, tie): nodes of a partition that share buckets hang on the smallest of them. ``node`` with ``key``:
+    """(key, node, tie): nodes of a partition, or of a run of it, that share buckets hang on the smallest of them. ``node`` with ``key``:
     what a table's bucket hangs on, once for each partition. ``node`` with ``tie``: what another node hangs on."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
             if batch.num_rows:
                 held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "u8").reshape(-1, 2 * side)))
                 n += batch.num_rows
-            if n >= 50_000:
+            if n >= RUN_NODES:
                 yield from rows(held)
                 held, n = [], 0
         if n:
@@ -241,7 +243,7 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
         ties, buckets = set(), []
         for table in tables(keys):
             key, first, which = np.unique(table, return_index=True, return_inverse=True)
-            buckets.append((key, first))
+            buckets.append((key, first.astype("i4")))
             other = np.flatnonzero(first[which] != np.arange(len(node)))
             ties.update(zip(other.tolist(), first[which[other]].tolist()))
         hangs = np.arange(len(node))
