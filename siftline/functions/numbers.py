@@ -20,16 +20,29 @@ def at_decimals(v: Column, n: int) -> Column:
 
 
 def first_digit(v: Column) -> Column:
-    """First significant digit of a non-zero number."""
-    return F.substring(F.format_string("%.10e", F.abs(v)), 1, 1).cast("int")
+    """First significant digit of a non-zero number, as if written with ten decimals."""
+    x = F.abs(v)
+    lead = x / F.pow(F.lit(10.0), F.floor(F.log10(x))) + 5e-11
+    return F.when(lead >= 10, 1).when(lead < 1, F.floor(lead * 10)).otherwise(F.floor(lead)).cast("int")
 
 
 def decimals(v: Column) -> Column:
-    """Digits after the point of the printed number, trailing zeros left out; exponents are written out."""
+    """Digits after the point of the number written out, trailing zeros left out.
+
+    Numbers printed with an exponent count as written out in full (1e-05 has five), not by the characters of that
+    print.
+    """
     text = v.cast("string")
     fraction = F.length(F.rtrim(F.regexp_extract(text, r"\.([0-9]+)", 1), F.lit("0")))
     exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return F.greatest(F.lit(0), fraction - exponent)
+    plain = F.length(F.rtrim(F.substring_index(text, ".", -1), F.lit("0")))
+    return F.when(F.contains(text, F.lit("E")), F.greatest(F.lit(0), fraction - exponent)).when(F.contains(text, F.lit(".")), plain).otherwise(F.when(v.isNotNull(), 0))
+
+
+def last_digit(v: Column) -> Column:
+    """Last significant digit of a number written with ten decimals; 0 for zero."""
+    text = F.format_string("%.10f", F.abs(v))
+    return F.substring(F.rtrim(F.replace(text, F.lit(".")), F.lit("0")), -1, 1).try_cast("int")
 
 
 def chi2_p8(x: Column) -> Column:

@@ -1,8 +1,10 @@
-"""Matching of image descriptors: Hamming pairs by banding, and nearest neighbours with a ratio test."""
+"""Matching of image descriptors: Hamming neighbours by chunks, and nearest neighbours with a ratio test."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,23 +13,31 @@ def sign_bits(vector: Column, bits: int = 64) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda a, k: F.when(F.get(vector, k) > 0, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(a))
 
 
-def hamming_pairs(hashes: DataFrame, key: str, bits: str, most: int = 8) -> DataFrame:
-    """Pairs at most ``most`` bits apart. Of ``most + 1`` chunks one is equal in such a pair, so pairs meet by an
-    equi-join on chunks; nothing within reach is missed."""
-    n = most + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    chunk = F.array(*(F.struct(F.lit(k).alias("no"), F.expr(f"shiftrightunsigned({bits}, {a}) & {(1 << (b - a)) - 1}L").alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:]))))
-    rows = hashes.select(key, bits, F.explode(chunk).alias("chunk"))
-    a, b = (rows.select(F.col(key).alias(x), F.col(bits).alias(f"bits_{x}"), "chunk") for x in "ab")
-    pairs = a.join(b, "chunk").where("a < b").withColumn("distance", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))))
-    return pairs.where(F.col("distance") <= most).select("a", "b", "distance").distinct().withColumn("similarity", 1 - F.col("distance") / 64)
+def hamming_matches(queries: DataFrame, base: DataFrame, key: str, bits: str, most: int = 8, chunk_bits: int = 16) -> DataFrame:
+    """(query, match, distance, similarity) of rows at most ``most`` bits apart, other than themselves.
+
+    Of the chunks of a hash one differs in at most ``most / chunks`` bits. Each query asks for every value so near its
+    own chunks, and rows meet by an equi-join on chunk and value; nothing within reach is missed. A bucket holds one
+    row in 2 ** ``chunk_bits``; a query asks some hundred times at 8 bits.
+    """
+    n = 64 // chunk_bits
+    reach = most // n
+    masks = sorted(sum(1 << k for k in some) for r in range(reach + 1) for some in itertools.combinations(range(chunk_bits), r))
+    chunk = F.array(*(F.struct(F.lit(k).alias("no"), F.expr(f"shiftrightunsigned({bits}, {chunk_bits * k}) & {(1 << chunk_bits) - 1}L").alias("value")) for k in range(n)))
+    b = base.select(F.col(key).alias("match"), F.col(bits).alias("bits_b"), F.explode(chunk).alias("c")).select("match", "bits_b", "c.no", "c.value")
+    q = queries.select(F.col(key).alias("query"), F.col(bits).alias("bits_a"), F.explode(chunk).alias("c"))
+    q = q.select("query", "bits_a", "c.no", F.explode(F.transform(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("c.value")))).alias("value"))
+    pairs = q.join(b, ["no", "value"]).where("query <> match").withColumn("distance", F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))))
+    return pairs.where(F.col("distance") <= most).select("query", "match", "distance").distinct().withColumn("similarity", 1 - F.col("distance") / 64)
 
 
 def ratio_matches(queries: DataFrame, base: DataFrame, key: str, vector: str, cell: str, ratio: float = 0.7) -> DataFrame:
-    """For each query its nearest neighbour within its cell, if clearly nearer than the second."""
+    """For each query its nearest neighbour within its cell, if clearly nearer than the second. Of a query's distances
+    the two least are kept, already before the shuffle; ties go to the smaller key."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), cell)
     b = base.select(F.col(key).alias("match"), F.col(vector).alias("bv"), cell)
     square = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x)
     pairs = q.join(b, cell).where(F.col("query") != F.col("match")).select("query", "match", F.sqrt(square).alias("distance"))
-    near = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "match"))), 1, 2).alias("two"))
-    return near.where((F.size("two") == 2) & (F.col("two")[0]["distance"] < ratio * F.col("two")[1]["distance"])).select("query", F.col("two")[0]["match"].alias("match"), F.col("two")[0]["distance"].alias("distance"))
+    turn = F.row_number().over(Window.partitionBy("query").orderBy("distance", "match"))
+    near = pairs.withColumn("turn", turn).where("turn <= 2").groupBy("query").agg(F.min_by("match", "turn").alias("match"), F.min("distance").alias("distance"), F.max("distance").alias("next"), F.count("*").alias("n"))
+    return near.where((F.col("n") == 2) & (F.col("distance") < ratio * F.col("next"))).select("query", "match", "distance")

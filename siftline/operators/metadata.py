@@ -31,7 +31,8 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
 
 
 def title_lines(lines: DataFrame, key: str, most: int = 300) -> DataFrame:
-    """The first unbroken run of lines set at nine tenths or more of the largest size, as one title."""
+    """The first unbroken run of lines set at nine tenths or more of the largest size, as one title of ``most`` characters
+    at most, which is the screen's own rule."""
     w = Window.partitionBy(key)
     big = (F.col("size") >= 0.9 * F.max("size").over(w)) & ~F.lower("text").rlike(r"©|^doi|^vol|issn|^issue")
     run = lines.withColumn("_big", big).withColumn("_island", F.col("ord") - F.row_number().over(Window.partitionBy(key, "_big").orderBy("ord")))

@@ -11,7 +11,7 @@ HEADING = r"(?im)^\s*(?:references|bibliography|literature cited)\s*:?\s*$"
 
 
 def reference_section(text: Column, most: int = 20_000) -> Column:
-    """The part after the last heading, at most ``most`` characters; null without a heading."""
+    """The part after the last heading, at most ``most`` characters, as the screen's rule has it; null without a heading."""
     parts = F.split(text, HEADING)
     return F.when(F.size(parts) > 1, F.left(F.element_at(parts, -1), F.lit(most)))
 
@@ -45,13 +45,17 @@ def title_coverage(title: Column, text: Column) -> Column:
 def best_works(refs: DataFrame, works: DataFrame, ref: str, work: str, top: int = 1) -> DataFrame:
     """The works that share the rarest words with a reference: an equi-join on words, never on all pairs.
 
-    Words that more than a tenth of the works bear tell nothing and are left out of the search.
+    Words that more than a tenth of the works bear tell nothing and are left out, as the search's own rule; else most
+    works would share some word with each reference.
     """
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.filter(F.split(normal(F.col(text)), " "), lambda w: F.length(w) > 3))).alias("word"))
     w = words(works, work, "title")
     n = works.count()
     weight = w.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= max(1, n // 10)).select("word", F.log(F.lit(n + 1) / F.col("df")).alias("idf"))
-    hits = words(refs, ref, "text").join(w.join(weight, "word"), "word").groupBy(ref, work).agg(F.sum("idf").alias("score"))
+    rare = w.join(weight, "word")
+    size = rare.agg(F.sum(F.length("word") + 48)).first()[0] or 0
+    rare = F.broadcast(rare) if size <= 8 << 20 else rare  # else words shuffle; either way only rare ones go on
+    hits = words(refs, ref, "text").join(rare, "word").groupBy(ref, work).agg(F.sum("idf").alias("score"))
     return hits.groupBy(ref).agg(F.max_by(work, F.struct("score", F.negative(F.col(work)))).alias(work), F.max("score").alias("score"))
 
 

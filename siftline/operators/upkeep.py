@@ -42,12 +42,18 @@ def upsert(table: DataFrame, updates: DataFrame, key: list[str], protected: Data
     return joined.select(*(F.when(F.col("n._new"), F.col(f"n.{k}")).otherwise(F.col(f"o.{k}")).alias(k) for k in key), *(pick(c).alias(c) for c in values), F.when(F.col("o._old") & F.col("n._new"), "updated").when(F.col("n._new"), "inserted").otherwise("kept").alias("action"))
 
 
-def longest_prefix(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str, value: str, most: int = 24) -> DataFrame:
-    """The value of the longest prefix that a key begins with, by an equi-join on the key's own beginnings."""
-    begins = keys.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(key), F.lit(most))), lambda n: F.left(F.col(key), n))).alias("_begin"))
+def longest_prefix(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str, value: str) -> DataFrame:
+    """The value of the longest prefix that a key begins with, by an equi-join on the key's own beginnings, as long as
+    prefixes are."""
+    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix)).distinct().collect() if r[0] is not None)
+    begins = keys.select("*", F.explode(F.array_distinct(F.array(*(F.left(F.col(key), F.lit(n)) for n in lengths or [0])))).alias("_begin"))
     hits = begins.join(prefixes.select(F.col(prefix).alias("_begin"), value), "_begin")
-    best = hits.groupBy(*keys.columns).agg(F.max_by(value, F.length("_begin")).alias(value))
-    return keys.join(best, keys.columns, "left")
+    best = hits.groupBy(*keys.columns).agg(F.max_by(value, F.length("_begin")).alias(value)).select(*(F.col(c).alias(f"_{c}") for c in keys.columns), value)
+    same = None
+    for c in keys.columns:
+        on = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = on if same is None else same & on
+    return keys.join(best, same, "left").select(*keys.columns, value)
 
 
 def best_candidate(wanted: DataFrame, there: DataFrame, key: str, name: str, candidates: list[Column]) -> DataFrame:
@@ -107,7 +113,8 @@ def migration_plan(rows: DataFrame, url: str, old_prefix: str, new_prefix: str)
 
 
 def fuzzy_names(files: DataFrame, papers: DataFrame, file: str, title: str, paper: str, prefix: int = 30, least: int = 12) -> DataFrame:
-    """Files whose plain name begins with the start of a paper's plain title, or the other way round. The first
+    """Files whose plain name begins with the start of a paper's plain title, or the other way round; the first
+    ``prefix`` characters of both tell, as the screen's rule has it. The first
     ``least`` characters are the join key, so names meet only titles that begin alike; the lowest paper wins."""
     plain = lambda c: F.left(F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", ""), F.lit(prefix))
     f = files.select(file, plain(file).alias("_name")).where(F.length("_name") >= least).withColumn("_key", F.left("_name", F.lit(least)))

@@ -49,6 +49,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a new local one only where Spark runs in one process."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="siftline-")).rstrip("/")
+
+
 def _r(name: str, n: int = 6):
     return F.bround(name, n).alias(name)
 
@@ -166,13 +176,14 @@ def precision_cross_group(spark, sf):
     return C.precision_gaps(p, "col_name", 1).select("column", "groups", _r("low"), _r("high"), "flagged")
 
 
-@query("""
-select p_brand, count(*) as n, case when bool_and(p_retailprice = floor(p_retailprice)) then 'all_integer' when bool_and(p_retailprice * 2 = floor(p_retailprice * 2)) then 'all_half_step' end as pattern
-from part group by p_brand having count(*) >= 4 and max(abs(p_retailprice)) > 0
+@query(f"""
+with d as (select p_brand, p_size % 3 as g, p_retailprice as v, length(rtrim(split_part(p_retailprice::varchar, '.', 2), '0')) as decimals from part)
+select p_brand, g, count(*) as n, case when bool_and(v = floor(v)) then 'all_integer' when bool_and(v * 2 = floor(v * 2)) then 'all_half_step' when min(decimals) = max(decimals) then 'uniform_decimals' end as pattern
+from d group by all having count(*) >= 4 and max(abs(v)) > 0
 """)
 def col_sd_regularity(spark, sf):
-    v = table(spark, sf, "part").select("p_brand", F.col("p_retailprice").alias("v"))
-    return C.sd_regularity(v, ["p_brand"]).select("p_brand", "n", F.when(F.col("pattern") != "uniform_decimals", F.col("pattern")).alias("pattern"))
+    v = table(spark, sf, "part").select("p_brand", (F.col("p_size") % 3).alias("g"), F.col("p_retailprice").alias("v"))
+    return C.sd_regularity(v, ["p_brand", "g"]).select("p_brand", "g", "n", "pattern")
 
 
 _POS = "select l_suppkey // 5 as sheet, l_suppkey as col, {v} as v, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as pos from lineitem"
@@ -244,30 +255,38 @@ def grim_means(spark, sf):
 
 def _findings(spark, sf) -> DataFrame:
     """Findings of the column tests over suppliers, as the scorer reads them; suppliers stand for bundles."""
-    cells = _cells(spark, sf, "l_suppkey")
-    key = ["l_suppkey", "col_name"]
+    from ..operators import sheets as H
+
+    li = table(spark, sf, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("pos"), *MEASURES)
+    cells = li.unpivot(["l_suppkey", "pos"], MEASURES, "col_name", "v")
     none = lambda t: F.lit(None).cast(t)
-    shape = lambda df, test, r2=None, slope=None, icpt=None, p=None: df.where("severity is not null").select(
-        F.col("l_suppkey").alias("bundle_id"), F.lit("data").alias("kind"), F.concat_ws("/", F.lit(test), *([c for c in ("col_name",) if c in df.columns])).alias("ord"), F.lit(test).alias("test"), "severity",
-        (F.col(r2) if r2 else none("double")).alias("r_squared"), (F.col(slope) if slope else none("double")).alias("slope"), (F.col(icpt) if icpt else none("double")).alias("intercept"),
-        none("double").alias("overlap_ratio"), (F.col(p) if p else none("double")).alias("p_value"), none("double").alias("title_similarity"), none("string").alias("match_type"),
+    shape = lambda df, p=None: df.where("severity is not null").select(
+        F.col("l_suppkey").alias("bundle_id"), F.lit("data").alias("kind"), F.concat_ws("/", "test", "col_name").alias("ord"), "test", "severity",
+        *(none("double").alias(c) for c in ("r_squared", "slope", "intercept", "overlap_ratio")), (F.col(p) if p else none("double")).alias("p_value"), none("double").alias("title_similarity"), none("string").alias("match_type"),
         none("int").alias("page_a"), none("int").alias("page_b"), none("string").alias("image_a"), none("string").alias("image_b"),
     )
-    linear = P.linear_dependency(table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", 10, 0.5)
-    return (
-        shape(C.coefficient_of_variation(cells, key, 0.55), "coefficient_of_variation")
-        .unionByName(shape(C.value_recycling(cells, key), "value_recycling"))
-        .unionByName(shape(C.benford(cells, key), "benfords_law", p="p_value"))
-        .unionByName(shape(C.decimal_uniformity(cells, key), "decimal_uniformity"))
-        .unionByName(shape(linear, "linear_dependency", "r_squared", "slope", "intercept"))
-    )
+    columns = H.column_findings(H.column_figures(cells, ["l_suppkey"], "col_name"), ["l_suppkey"], "col_name", 0.55)
+    benford = C.benford(cells, ["l_suppkey", "col_name"]).withColumn("test", F.lit("benfords_law"))
+    return shape(columns).unionByName(shape(benford, "p_value"))
 
 
 def _papers(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("bundle_id"), F.lit(0).alias("total_references"))
 
 
-@query()
+_FOUND_SQL = f"""
+xf as (select l_suppkey, test, severity, null::double as p, test || '/' || col_name as ord from single
+  union all select l_suppkey, 'benfords_law', 'medium', exp(-chi / 2) * (1 + chi / 2 + (chi / 2) ** 2 / 2 + (chi / 2) ** 3 / 6), 'benfords_law/' || col_name from (select l_suppkey, col_name, {_CHI8} as chi from (select l_suppkey, col_name, count(*) as n, {_DIGITS} from (select l_suppkey, col_name, left(printf('%.10e', abs(v)), 1)::int as digit from {_UNPIVOT} where v <> 0) group by all having count(*) >= 100)) where chi > 15.5073),
+xc as (select *, case when severity = 'high' and row_number() over (partition by l_suppkey, test, severity order by ord) > case test when 'arithmetic_sequence' then 8 when 'coefficient_of_variation' then 6 else 1000000 end then 'medium' else severity end as level from xf),
+xd as (select l_suppkey, count(*) as n, count(*) filter (level = 'high') as h, count(*) filter (level = 'medium') as m, count(*) filter (level = 'low') as l, bool_or(test = 'coefficient_of_variation' and severity = 'high')::int + bool_or(test = 'arithmetic_sequence' and severity = 'high')::int + bool_or(test = 'geometric_sequence' and severity = 'high')::int + coalesce(bool_or(test = 'benfords_law' and p < 0.001), false)::int + (count(*) > 100)::int as fraud from xc group by 1),
+xe as (select s_suppkey, coalesce(h, 0) as h, coalesce(fraud, 0) as fraud, coalesce(least(100, least(80, h * 10) + least(25, m * 4) + least(12, round_even(l * 0.5, 0)::int) + case when n > 150 then 20 when n > 80 then 12 when n > 30 then 6 else 0 end), 0)::int as data_score from supplier left join xd on l_suppkey = s_suppkey),
+xg as (select *, least(100, round_even(greatest(0.65 * data_score + 0.1 * data_score, 0.95 * data_score), 0)::int + case when fraud >= 4 and h > 0 then 5 else 0 end) as s from xe),
+xk as (select *, case when data_score > 60 and s <= 60 then 61 else s end::int as score from xg)
+select s_suppkey as bundle_id, score, case when data_score > 60 or (score >= 60 and data_score >= 60) then '高风险' else '低风险' end as level, case when data_score > 60 or (score >= 60 and data_score >= 60) then 'data' else '' end as high_dimensions, 0 as image_score, data_score, 0 as reference_score from xk
+"""
+
+
+@query("score_overall")
 def score_overall(spark, sf):
     return score.overall(_findings(spark, sf), _papers(spark, sf))
 
@@ -333,7 +352,7 @@ with p as (select doc_id, 'first' as pass, case when toxic = 1 then 'high' when
 w as (select doc_id, max(result) filter (pass = 'first') as f, max(result) filter (pass = 'second') as s, max(result) filter (pass = 'judge') as j from p group by doc_id),
 d as (select doc_id, case when f = 'high' then 'high' when f = 'low' and s = 'low' then 'low' when f = 'error' and s = 'high' and coalesce(j not in ('high', 'low'), true) then 'high' when j in ('high', 'low') then j
   when f in ('high', 'low') and s in ('high', 'low') then 'high' when f in ('high', 'low') then f when s in ('high', 'low') then s else 'error' end as final from w)
-select final, count(*) as n from d group by final
+select doc_id, final, case final when 'high' then '高风险' when 'low' then '低风险' end as level from d
 """)
 def review_decision(spark, sf):
     d, t, q = F.col("doc_id"), F.col("toxic"), F.col("quality")
@@ -342,7 +361,7 @@ def review_decision(spark, sf):
     first = one("first", F.when(t == 1, "high").when(q == 0, "error").otherwise("low"))
     second = one("second", F.when(d % 7 == 0, "high").when(d % 11 == 0, "error").otherwise("low"))
     judge = one("judge", F.when(d % 3 == 0, "low").when(d % 5 == 0, "error").otherwise("high"))
-    return review.verdicts(first.unionByName(second).unionByName(judge), "doc_id").groupBy("final").agg(F.count("*").alias("n"))
+    return review.verdicts(first.unionByName(second).unionByName(judge), "doc_id").select("doc_id", "final", "level")
 
 
 @query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
@@ -492,15 +511,13 @@ def high_rate_monitor(spark, sf):
     return M.threshold_alerts(table(spark, sf, "events"))
 
 
-@query()
+@query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n, round_even(sum(value), 2) as total from events group by 1, 2")
 def stream_tumbling(spark, sf):
     """The tumbling counts by a file stream that processes what is there and stops."""
-    import tempfile
     import uuid
 
     schema = table(spark, sf, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     events = M.event_stream(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = M.tumbling(events, late=None)
     M.run_updates(counts, f"{base}/out", f"{base}/state")
@@ -513,24 +530,24 @@ def html_title(spark, sf):
 
 
 @query("""
-select page_id, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')) as links, regexp_extract(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) as first from pages
-where len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')) > 0
+with l as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) as label, unnest(range(0, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'))))::int as ord from pages)
+select page_id, ord, href, label from l
 """)
 def html_links(spark, sf):
-    return G.links(table(spark, sf, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("links"), F.min_by("href", "ord").alias("first"))
+    return G.links(table(spark, sf, "pages"), "page_id", "html")
 
 
 @query("""
 with t as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from pages)
-select page_id, length(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))::int as n from t
+select page_id, length(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))::int as n, sha256(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as digest from t
 """)
 def html_text(spark, sf):
-    return G.texts(table(spark, sf, "pages"), "page_id", "html").select("page_id", F.length("text").alias("n"))
+    return G.texts(table(spark, sf, "pages"), "page_id", "html").select("page_id", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 @query("""
 with w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents),
-c as (select doc_id, len(w) as n, list_sum(list_transform(w, lambda x: length(x))) as letters, length(text) - length(replace(text, ' ', '')) as spaces, len(list_filter(w, lambda x: length(x) > 20)) as longs, length(text) as chars from w)
+c as (select doc_id, len(w) as n, list_sum(list_transform(w, lambda x: length(x))) as letters, length(text) - length(replace(text, ' ', '')) as spaces, len(list_filter(w, lambda x: length(x) > 15)) as longs, length(text) as chars from w)
 select doc_id, n > 0 and (letters > 20 * n or spaces < 0.04 * chars or 2 * longs > n) as garbled from c
 """)
 def garbled_text(spark, sf):
@@ -561,11 +578,11 @@ def text_lookup(spark, sf):
 
 @query("""
 with v as (select vec_id, list_sum(list_transform(range(0, 63), lambda k: case when embedding[k + 1] > 0 then 1::bigint << k::int else 0 end))::bigint as h from embeddings)
-select x.vec_id as a, y.vec_id as b, bit_count(xor(x.h, y.h))::int as distance from v x join v y on x.vec_id < y.vec_id where bit_count(xor(x.h, y.h)) <= 12
+select x.vec_id as query, y.vec_id as match, bit_count(xor(x.h, y.h))::int as distance from v x join v y on x.vec_id % 50 = 0 and x.vec_id <> y.vec_id where bit_count(xor(x.h, y.h)) <= 20
 """)
-def hamming_pairs(spark, sf):
+def hamming_matches(spark, sf):
     h = table(spark, sf, "embeddings").select("vec_id", I.sign_bits(F.col("embedding"), 63).alias("h"))
-    return I.hamming_pairs(h, "vec_id", "h", 12).select("a", "b", "distance")
+    return I.hamming_matches(h.where("vec_id % 50 = 0"), h, "vec_id", "h", 20).select("query", "match", "distance")
 
 
 @query("""
@@ -670,36 +687,14 @@ def title_similarity(spark, sf):
     return done.unionByName(open_).select("doc_id", "item_id", "coverage", "similarity")
 
 
-@query()
-def p_values(spark, sf):
-    """p of each supplier's correlation of quantity and price, and of the chi-square of its first digits."""
-    from ..operators.exact import p_value
-
-    li = table(spark, sf, "lineitem")
-    r = li.groupBy("l_suppkey").agg(F.corr("l_quantity", "l_extendedprice").alias("value"), (F.count("*") - 2).cast("double").alias("df1")).select("l_suppkey", F.lit("r").alias("kind"), "value", "df1")
-    c = C.benford(_cells(spark, sf, "l_suppkey").where("col_name = 'l_extendedprice'"), ["l_suppkey"]).select("l_suppkey", F.lit("chi2").alias("kind"), F.col("chi2").alias("value"), F.lit(8.0).alias("df1"))
-    return r.unionByName(c).withColumn("p", p_value("kind", "value", "df1", F.lit(0.0)))
-
-
-@query()
-def picture_screen(spark, sf):
-    """Hashes and seams of pictures made of embeddings: each vector's 64 numbers tiled to a wide grey picture."""
-    from ..operators import pictures
-
-    e = table(spark, sf, "embeddings")
-    row = F.transform("embedding", lambda x: (F.lit(128) + x * 300).cast("double"))
-    return pictures.screen(e.select("vec_id", F.lit(64).alias("width"), F.lit(32).alias("height"), F.flatten(F.array_repeat(row, 32)).alias("pixels")), "vec_id")
-
-
-@query("""
-with e as (select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(url, '[0-9]'), lambda x: x::int))) as p from pages) select page_id, len(p)::int as n from e
+@query(f"""
+with d as (select l_suppkey, left(printf('%.10e', abs(l_extendedprice)), 1)::int as digit from lineitem where l_extendedprice <> 0), c as (select l_suppkey, count(*) as n, {_DIGITS} from d group by all having count(*) >= 100), x as (select l_suppkey, {_CHI8} as chi from c)
+select l_suppkey, round_even(chi, 4) as chi2, round_even(exp(-chi / 2) * (1 + chi / 2 + (chi / 2) ** 2 / 2 + (chi / 2) ** 3 / 6), 6) as p from x
 """)
-def digit_peaks(spark, sf):
-    """Distinct digits of an address, none apart by nothing: the merge of peaks with a distance of zero."""
-    from ..operators import pictures
-
-    digits = F.array_sort(F.transform(F.regexp_extract_all("url", F.lit("[0-9]"), 0), lambda x: x.cast("int")))
-    return table(spark, sf, "pages").select("page_id", F.size(pictures.merged_peaks(digits, 0)).alias("n"))
+def p_values(spark, sf):
+    """p of the chi-square of each supplier's first digits, in closed form."""
+    c = C.benford(_cells(spark, sf, "l_suppkey").where("col_name = 'l_extendedprice'"), ["l_suppkey"])
+    return c.select("l_suppkey", _r("chi2", 4), F.bround("p_value", 6).alias("p"))
 
 
 @query()
@@ -713,11 +708,14 @@ def citation_groups(spark, sf):
 @query()
 def stream_claims(spark, sf):
     """Claims, retries and give-ups of each user's events, kept as state of a stream."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-stream-")
-    base = f"{base.rstrip('/')}/claims-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/claims-{uuid.uuid4().hex}"
     out = M.claims(M.event_stream(spark, f"{sf}/events*.parquet", table(spark, sf, "events").schema))
     M.run_available(out, f"{base}/out", f"{base}/state")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+from . import record_queries  # noqa: E402, F401  (registers its queries)
+
+_SQL["score_overall"] = f"with {record_queries._BATTERY}, {_FOUND_SQL.strip()}"

@@ -2,7 +2,8 @@
 
 ``findings``: bundle_id, kind (data, image, splice, reference), ord, test, severity, and what the rules read:
 r_squared, slope, intercept, overlap_ratio, p_value, title_similarity, match_type, page_a, page_b, image_a,
-image_b. ``papers``: bundle_id, total_references.
+image_b; where they are there also ref_text and resolved_doi of a reference, size_a and size_b of images.
+``papers``: bundle_id, total_references.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
+
 #: How many high findings of a test keep their severity.
 HIGH_CAPS = {"arithmetic_sequence": 8, "coefficient_of_variation": 6}
 #: Weights of the dimensions and of the largest of them.
 WEIGHTS = {"image": 0.20, "data": 0.65, "reference": 0.05}
 LARGEST = 0.10
+#: Fixed value: image files with fewer bytes are no pictures.
+LEAST_BYTES = 2000
 HIGH, LOW = "高风险", "低风险"
 
 
@@ -48,21 +53,34 @@ def crosses_images() -> Column:
     return (F.col("image_a") != F.col("image_b")) & ~((F.col("page_a") > 0) & (F.col("page_a") == F.col("page_b")))
 
 
-def dimensions(findings: DataFrame) -> DataFrame:
-    """One row for each bundle: counts and scores of the data, image and reference dimensions."""
-    f = capped(findings)
+def _counts() -> dict[str, Column]:
+    """Counts of severities by dimension, over capped findings."""
     dim = F.when(F.col("kind") == "splice", "image").otherwise(F.col("kind"))
-    f = f.withColumn("dim", dim).where((F.col("kind") != "image") | crosses_images())
-    counts = [F.count_if((F.col("dim") == d) & (F.col("level_of") == s)).alias(f"{d}_{s}") for d in WEIGHTS for s in ("high", "medium", "low")]
-    a = f.groupBy("bundle_id").agg(*counts, F.count_if(F.col("kind") == "splice").alias("splices"))
+    counted = (F.col("kind") != "image") | crosses_images()
+    counts = {f"{d}_{s}": F.count_if(counted & (dim == d) & (F.col("level_of") == s)) for d in WEIGHTS for s in ("high", "medium", "low")}
+    return counts | {"splices": F.count_if(F.col("kind") == "splice")}
+
+
+def _scored(a: DataFrame) -> DataFrame:
     for d in WEIGHTS:
         a = a.withColumn(f"{d}_score", dimension_score(*(F.col(f"{d}_{s}") for s in ("high", "medium", "low"))))
     return a.withColumn("image_score", F.when(F.col("splices") >= 2, F.greatest("image_score", F.lit(56))).otherwise(F.col("image_score")))
 
 
-def signs(findings: DataFrame) -> DataFrame:
-    """Counts that the combined level reads: indicators of fraud, burden, duplicates and broken references."""
-    f = capped(findings)
+def dimensions(findings: DataFrame) -> DataFrame:
+    """One row for each bundle: counts and scores of the data, image and reference dimensions."""
+    return _scored(capped(findings).groupBy("bundle_id").agg(*(c.alias(k) for k, c in _counts().items())))
+
+
+def is_filtered(findings: DataFrame) -> Column:
+    """High findings on references that tell of bad reading: the work was found after all, or its text is noise."""
+    resolved = F.col("resolved_doi").isNotNull() if "resolved_doi" in findings.columns else F.lit(False)
+    noise = S.is_noise(F.col("ref_text")) if "ref_text" in findings.columns else F.lit(False)
+    return (F.col("test").isin("title_mismatch", "low_match_score") & resolved) | noise
+
+
+def _signs(findings: DataFrame) -> dict[str, Column]:
+    """Indicators of fraud, and counts that burden, duplicates and broken references are told by."""
     data = F.col("kind") == "data"
     high = F.col("severity") == "high"
     has = {
@@ -75,34 +93,45 @@ def signs(findings: DataFrame) -> DataFrame:
         "benford": data & (F.col("test") == "benfords_law") & (F.col("p_value") < 0.001),
     }
     strong = F.col("level_of").isin("high", "medium")
-    a = f.groupBy("bundle_id").agg(
-        *(F.max(F.coalesce(c, F.lit(False))).cast("int").alias(f"has_{k}") for k, c in has.items()),
-        F.count_if(data).alias("n_data"),
-        F.count_if(data & strong).alias("n_strong"),
-        F.count_if(data & strong & (F.col("test") == "value_recycling")).alias("n_recycling"),
-        F.count_if(data & strong & (F.col("test") == "benfords_law")).alias("n_benford"),
-        F.count_if((F.col("kind") == "reference") & strong).alias("n_references"),
-        F.count_if((F.col("kind") == "image") & crosses_images()).alias("n_cross"),
-        F.count_if((F.col("kind") == "image") & crosses_images() & high & (F.col("match_type") == "full_duplicate")).alias("n_full"),
-        F.count_if((F.col("kind") == "reference") & (F.col("level_of") == "high") & F.col("test").isin("doi_not_found", "not_found")).alias("n_fabricated"),
-        F.count_if((F.col("kind") == "reference") & (F.col("level_of") == "high") & ~F.col("test").isin("doi_not_found", "not_found")).alias("n_filtered"),
-    )
-    fraud = F.lit(0)
-    for k in has:
-        fraud = fraud + F.col(f"has_{k}")
-    a = a.withColumn("fraud", fraud + (F.col("n_data") > 100).cast("int"))
+    broken = (F.col("kind") == "reference") & (F.col("level_of") == "high")
+    filtered = F.coalesce(is_filtered(findings), F.lit(False))
+    return {f"has_{k}": F.max(F.coalesce(c, F.lit(False))).cast("int") for k, c in has.items()} | {
+        "n_data": F.count_if(data),
+        "n_strong": F.count_if(data & strong),
+        "n_recycling": F.count_if(data & strong & (F.col("test") == "value_recycling")),
+        "n_benford": F.count_if(data & strong & (F.col("test") == "benfords_law")),
+        "n_references": F.count_if((F.col("kind") == "reference") & strong),
+        "n_cross": F.count_if((F.col("kind") == "image") & crosses_images()),
+        "n_full": F.count_if((F.col("kind") == "image") & crosses_images() & high & (F.col("match_type") == "full_duplicate")),
+        "n_fabricated": F.count_if(broken & ~filtered),
+        "n_filtered": F.count_if(broken & filtered),
+    }
+
+
+def signs(findings: DataFrame) -> DataFrame:
+    """Counts that the combined level reads: indicators of fraud, burden, duplicates and broken references."""
+    return _weighed(capped(findings).groupBy("bundle_id").agg(*(c.alias(k) for k, c in _signs(findings).items())))
+
+
+def _weighed(a: DataFrame) -> DataFrame:
+    fraud = sum((F.col(c) for c in a.columns if c.startswith("has_")), (F.col("n_data") > 100).cast("int"))
+    a = a.withColumn("fraud", fraud)
     return a.withColumn("burden", (F.col("n_data") >= 15) & (F.col("n_strong") >= 7) & (F.col("n_recycling") >= 3) & (F.col("n_benford") >= 2) & (F.col("n_references") >= 4))
 
 
 def image_pages(findings: DataFrame) -> DataFrame:
-    """Pairs of images across pages that count: few page pairs, no image in more than four pairs, at least ten."""
+    """Pairs of images across pages that count: few page pairs, no image in more than four pairs or of fewer than
+    ``LEAST_BYTES`` bytes, at least ten."""
     f = findings.where((F.col("kind") == "image") & crosses_images())
     ends = f.select("bundle_id", F.explode(F.array("image_a", "image_b")).alias("image")).groupBy("bundle_id", "image").agg(F.count("*").alias("degree"))
     per = ends.groupBy("bundle_id").agg(F.count("*").alias("images"))
     pages = F.when((F.col("page_a") > 0) & (F.col("page_b") > 0), F.concat_ws("|", F.least("page_a", "page_b"), F.greatest("page_a", "page_b"))).otherwise(F.concat_ws("|", F.least("image_a", "image_b"), F.greatest("image_a", "image_b")))
     page_pairs = f.groupBy("bundle_id").agg(F.count_distinct(pages).alias("page_pairs"))
     pairs = f.select("bundle_id", F.least("image_a", "image_b").alias("a"), F.greatest("image_a", "image_b").alias("b")).distinct()
-    busy = ends.where("degree > 4")
+    busy = ends.where("degree > 4").select("bundle_id", "image")
+    for x in "ab":
+        if f"size_{x}" in findings.columns:
+            busy = busy.unionByName(f.where(F.col(f"size_{x}") < LEAST_BYTES).select("bundle_id", F.col(f"image_{x}").alias("image")))
     calm = pairs.join(busy.select("bundle_id", F.col("image").alias("a")), ["bundle_id", "a"], "left_anti").join(busy.select("bundle_id", F.col("image").alias("b")), ["bundle_id", "b"], "left_anti")
     n = calm.groupBy("bundle_id").agg(F.count("*").alias("pairs"))
     a = page_pairs.join(per, "bundle_id").join(n, "bundle_id", "left")
@@ -112,7 +141,8 @@ def image_pages(findings: DataFrame) -> DataFrame:
 
 def overall(findings: DataFrame, papers: DataFrame) -> DataFrame:
     """score, level and the dimensions that make it high, a row for each paper."""
-    a = papers.join(dimensions(findings), "bundle_id", "left").join(signs(findings), "bundle_id", "left").join(image_pages(findings), "bundle_id", "left")
+    found = capped(findings).groupBy("bundle_id").agg(*(c.alias(k) for k, c in (_counts() | _signs(findings)).items()))
+    a = papers.join(_weighed(_scored(found)), "bundle_id", "left").join(image_pages(findings), "bundle_id", "left")
     a = a.na.fill(0).na.fill(False)
     i, d, r = (F.col(f"{k}_score") for k in ("image", "data", "reference"))
     most = F.greatest(i, d, r)
@@ -128,6 +158,7 @@ def overall(findings: DataFrame, papers: DataFrame) -> DataFrame:
     least = F.when(noise > 0.5, 10).when(noise > 0.3, 8).otherwise(5)
     ratio = F.when(references > 0, F.col("n_fabricated") / references).otherwise(0.0)
     broken = (F.col("n_fabricated") >= least) & (ratio > 0.08) & (ratio < 0.5)
+    # fixed values: from where on each sign makes the level high
     full = F.col("n_full").between(4, 30)
     fraud = (F.col("fraud") >= 4) & (i > 0) & (i < 80)
     both = (F.col("score") >= 60) & (d >= 60)

@@ -7,6 +7,7 @@ that can't be read gives one row with ``error``.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -18,17 +19,26 @@ from pyspark.sql import functions as F
 
 CELLS = "bundle_id string, file string, sheet string, sheet_ord int, row_idx int, col_idx int, raw string, error string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def csv_cells(spark: SparkSession, path: str, bundle: str = "") -> DataFrame:
-    """Cells of CSV files, header included; the row index counts lines of a file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: x != "")).alias("row_idx", "line"))
-    fields = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',(?:"((?:[^"]|"")*)"|([^,]*))'), 0)
-    cells = lines.select("file", "row_idx", F.posexplode(fields).alias("col_idx", "raw"))
-    raw = F.replace(F.regexp_replace(F.substring("raw", 2, 1 << 20), '^"|"$', ""), F.lit('""'), F.lit('"'))
-    return cells.select(F.lit(bundle).alias("bundle_id"), "file", F.lit("Sheet1").alias("sheet"), F.lit(0).alias("sheet_ord"), "row_idx", "col_idx", F.nullif(raw, F.lit("")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    """Cells of CSV files, header included; the row index counts the records of a file that aren't blank."""
+    files = spark.read.format("binaryFile").load(path)
+    listing = files.select(F.lit(bundle).alias("bundle_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("csv").alias("ext"), "content")
+    return archive_cells(listing)
+
+
+def _csv(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as it likes
+    rows = (r for r in csv.reader(io.StringIO(text, newline="")) if any(r))
+    for i, row in enumerate(rows):
+        yield from (("Sheet1", 0, i, j, x) for j, x in enumerate(row) if x != "")
 
 
 def _column(ref: str) -> int:
@@ -44,14 +54,21 @@ def _xlsx(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.parse(z.open("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        titles = [s.get("name") for s in ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
-        sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
+        found = list(ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}sheet"))
+        titles = [s.get("name") for s in found]
+        if "xl/_rels/workbook.xml.rels" in names:  # which file holds a sheet is told by the workbook's relations
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).iter() if r.get("Id")}
+            sheets = [re.sub("^(/?xl/)?", "xl/", targets[s.get(_ID)]) for s in found]
+        else:
+            sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
         for k, (title, sheet) in enumerate(zip(titles, sheets)):
             for c in ElementTree.parse(z.open(sheet)).iter(f"{_MAIN}c"):
                 ref, v = c.get("r", "A1"), c.find(f"{_MAIN}v")
                 text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else None if v is None else v.text
                 if text is not None and c.get("t") == "s":
                     text = shared[int(text)]
+                elif text is not None and c.get("t") == "b":
+                    text = "TRUE" if text == "1" else "FALSE"
                 if text not in (None, ""):
                     yield title, k, int(re.search(r"\d+", ref)[0]) - 1, _column(ref), text
 
@@ -66,8 +83,11 @@ def _docx(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
                         yield f"Table{k + 1}", k, i, j, text
 
 
+_READERS = {"csv": _csv, "xlsx": _xlsx, "docx": _docx}
+
+
 def archive_cells(listing: DataFrame) -> DataFrame:
-    """Cells of xlsx and docx files of a listing with ``content``."""
+    """Cells of csv, xlsx and docx files of a listing with ``content``. Dates come as the workbook's numbers."""
 
     def read(frames):
         import pandas as pd
@@ -76,12 +96,12 @@ def archive_cells(listing: DataFrame) -> DataFrame:
             rows = []
             for bundle, file, ext, content in zip(frame.bundle_id, frame.name, frame.ext, frame.content):
                 try:
-                    rows += [(bundle, file, *x, None) for x in (_xlsx if ext == "xlsx" else _docx)(content)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError) as e:
+                    rows += [(bundle, file, *x, None) for x in _READERS[ext](content)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError, csv.Error) as e:
                     rows.append((bundle, file, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["bundle_id", "file", "sheet", "sheet_ord", "row_idx", "col_idx", "raw", "error"]).astype({"sheet_ord": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
 
-    return listing.where(F.col("ext").isin("xlsx", "docx")).select("bundle_id", "name", "ext", "content").mapInPandas(read, CELLS)
+    return listing.where(F.col("ext").isin(*_READERS)).select("bundle_id", "name", "ext", "content").mapInPandas(read, CELLS)
 
 
 def sub_tables(cells: DataFrame) -> DataFrame:

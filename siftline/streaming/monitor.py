@@ -30,12 +30,35 @@ def first_seen(events: DataFrame, key: list[str], late: str = "1 hour") -> DataF
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def threshold_alerts(events: DataFrame, width: str = "1 day", bad: str = "error", most: float = 0.2, least: int = 50) -> DataFrame:
+def threshold_alerts(events: DataFrame, width: str = "1 day", bad: str = "error", most: float = 0.2, least: int = 50, late: str | None = None) -> DataFrame:
     """Windows whose share of ``bad`` events passes ``most``, once there are ``least`` events."""
-    a = events.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == bad).alias("bad"))
+    e = events.withWatermark("ts", late) if late else events  # on a stream it ends the state of windows that are over
+    a = e.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == bad).alias("bad"))
     return a.select(F.col("w.start").alias("start"), "n", "bad", ((F.col("n") >= least) & (F.col("bad") > most * F.col("n"))).alias("alert"))
 
 
+def soon_after(events: DataFrame, first: str, then: str, within: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """(user_id, first_id, then_id) of each two events of a user of which ``then`` follows ``first`` within a time: a
+    join of two streams, whose state the watermarks bound."""
+    a = events.where(F.col("event_type") == first).select(F.col("user_id").alias("a_user"), F.col("event_id").alias("first_id"), F.col("ts").alias("a_ts")).withWatermark("a_ts", late)
+    b = events.where(F.col("event_type") == then).select(F.col("user_id").alias("b_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("b_ts")).withWatermark("b_ts", late)
+    return a.join(b, F.expr(f"a_user = b_user and b_ts >= a_ts and b_ts <= a_ts + interval {within}")).select(F.col("a_user").alias("user_id"), "first_id", "then_id")
+
+
+def raised_floor(windows: DataFrame, key: list[str], start: int = 50, step: int = 25, most: int = 200) -> DataFrame:
+    """(key, start, n, bad, alert, floor): a supervisor's least sample size, raised by a step after each alert, and
+    alerts told again with it. A fold over each key's windows in order of time; a key has as many as there are days."""
+    state = F.struct(F.expr("cast(array() as array<struct<start:timestamp,n:bigint,bad:bigint,alert:boolean,floor:int>>)").alias("done"), F.lit(start).alias("floor"))
+
+    def fold(a, w):
+        alert = (w["n"] >= a["floor"]) & (w["bad"] * 5 > w["n"])
+        row = F.struct(w["start"].alias("start"), w["n"].alias("n"), w["bad"].alias("bad"), alert.alias("alert"), a["floor"].alias("floor"))
+        return F.struct(F.concat(a["done"], F.array(row)).alias("done"), F.when(alert, F.least(a["floor"] + step, F.lit(most))).otherwise(a["floor"]).alias("floor"))
+
+    rows = windows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "n", "bad"))).alias("w"))
+    return rows.select(*key, F.inline(F.aggregate("w", state, fold, lambda a: a["done"])))
+
+
 def progress(events: DataFrame, key: str) -> DataFrame:
     """The latest status of each key."""
     return events.groupBy(key).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"), F.count("*").alias("steps"))
