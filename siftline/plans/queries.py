@@ -652,7 +652,10 @@ def column_roles(spark, sf):
     return n.select("name", R.is_axis(F.col("name")).alias("is_axis"), R.is_statistic(F.col("name")).alias("is_statistic"), R.is_measurement_name(F.col("name")).alias("is_measurement"))
 
 
-@query()
+@query("""
+with l as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) as label, unnest(range(0, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'))))::int + 1 as number from pages)
+select page_id, number::int as number, trim(regexp_replace(label || ' ' || href, '\\s+', ' ', 'g')) as text, null::varchar as doi from l
+""")
 def references_extracted(spark, sf):
     """Numbered references under a heading, from page texts whose list items become numbered lines."""
     items = G.links(table(spark, sf, "pages"), "page_id", "html").select("page_id", (F.col("ord") + 1).alias("n"), F.concat_ws(" ", "label", "href").alias("t"))
@@ -705,7 +708,12 @@ def citation_groups(spark, sf):
     return docs.select("doc_id", F.size(lines).alias("n_lines"), F.size(X.grouped_lines(lines)).alias("n_groups"))
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id, floor(epoch(ts))::bigint as s, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i from events),
+f(user_id, i, event_id, action, held, attempts) as (select user_id, i, event_id, 'claim', s, 1 from e where i = 1
+  union all select e.user_id, e.i, e.event_id, case when e.s - f.held <= 21600 then 'busy' when f.attempts >= 2 then 'give up' else 'retry' end, case when e.s - f.held <= 21600 or f.attempts >= 2 then f.held else e.s end, case when e.s - f.held <= 21600 or f.attempts >= 2 then f.attempts else f.attempts + 1 end from f join e on e.user_id = f.user_id and e.i = f.i + 1)
+select user_id, event_id, action from f
+""")
 def stream_claims(spark, sf):
     """Claims, retries and give-ups of each user's events, kept as state of a stream."""
     import uuid

@@ -556,3 +556,128 @@ def stream_first_seen(spark, sf):
     out = M.first_seen(events, ["user_id", "event_type"]).select("user_id", "event_type")
     M.run_available(out, f"{base}/out", f"{base}/state")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+# metadata and sub-tables
+
+
+@query("""
+select p_partkey, case when p_partkey % 4 = 0 then '10.9/o' when p_partkey % 4 = 1 then '10.8/' || p_partkey when p_partkey % 3 = 0 then '10.7/n' when p_partkey % 5 > 0 then '10.1234/ab' || p_partkey end as doi from part
+""")
+def doi_precedence(spark, sf):
+    from ..operators import metadata as T
+
+    k = F.col("p_partkey")
+    blank = lambda c, v: F.when(c, v).otherwise(F.lit(" "))
+    folder = F.concat(F.when(k % 5 > 0, "x_10.1234__ab").otherwise("plain_"), k)
+    return table(spark, sf, "part").select("p_partkey", T.doi_by_precedence(blank(k % 4 == 0, F.lit("10.9/o")), blank(k % 4 == 1, F.concat(F.lit("10.8/"), k)), blank(k % 3 == 0, F.lit("10.7/n")), folder).alias("doi"))
+
+
+@query(r"""
+with t as (select p_partkey, case p_partkey % 6 when 0 then 'paper.pdf' when 1 then p_name when 2 then 'doi 10.1/x' when 3 then '12345 67890' when 4 then 'Microsoft Word - x' else 'A study of ' || p_name end as t, case p_partkey % 3 when 0 then '10.1/Y.' || (1985 + p_partkey % 60) when 1 then ' ' else '10.1/x12345' end as doi from part)
+select p_partkey, length(trim(t)) < 10 or regexp_matches(t, '(?i)\.(pdf|docx?|indd|tex)$|^doi|^10\.\d{4}|^microsoft word|^untitled') or not regexp_matches(t, '[A-Za-z]{3}') as bad,
+  case when p_partkey % 3 = 0 and 1985 + p_partkey % 60 between 1990 and 2035 then (1985 + p_partkey % 60)::int end as year, case when trim(doi) <> '' then lower(doi) else 't:' || regexp_replace(lower(t), '[^a-z0-9]+', '', 'g') end as key from t
+""")
+def title_keys(spark, sf):
+    from ..operators import metadata as T
+
+    k = F.col("p_partkey")
+    t = F.when(k % 6 == 0, "paper.pdf").when(k % 6 == 1, F.col("p_name")).when(k % 6 == 2, "doi 10.1/x").when(k % 6 == 3, "12345 67890").when(k % 6 == 4, "Microsoft Word - x").otherwise(F.concat(F.lit("A study of "), "p_name"))
+    doi = F.when(k % 3 == 0, F.concat(F.lit("10.1/Y."), 1985 + k % 60)).when(k % 3 == 1, " ").otherwise("10.1/x12345")
+    return table(spark, sf, "part").select("p_partkey", T.is_bad_title(t).alias("bad"), T.doi_year(doi).alias("year"), T.upsert_key(doi, t).alias("key"))
+
+
+@query("""
+with l as (select o_custkey as k, row_number() over (partition by o_custkey order by o_orderkey) as ord, (o_orderkey * 7919 % 5 + 5)::double as size, 'line ' || o_orderkey as text from orders),
+b as (select *, size >= 0.9 * max(size) over (partition by k) as big from l), i as (select *, ord - row_number() over (partition by k, big order by ord) as island from b),
+f as (select *, min(ord) filter (big) over (partition by k) as first from i), g as (select f.* from f join f h on f.k = h.k and h.ord = h.first and f.big and f.island = h.island)
+select k, left(string_agg(text, ' ' order by ord), 300) as title from g group by k
+""")
+def title_lines(spark, sf):
+    from ..operators import metadata as T
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", (F.col("o_orderkey") * 7919 % 5 + 5).cast("double").alias("size"), F.concat(F.lit("line "), "o_orderkey").alias("text"))
+    return T.title_lines(o.withColumn("ord", F.row_number().over(_window(["k"], ["o_orderkey"]))), "k")
+
+
+@query("""
+with b as (select o_custkey as page, o_orderkey, case when o_orderkey % 3 = 0 then 55 else 0 end + o_custkey % 2 * (o_orderkey % 40) as x0, o_orderkey as y0 from orders), c as (select *, x0 + 45 as x1 from b), m as (select *, (min(x0) over (partition by page) + max(x1) over (partition by page)) / 2.0 as middle from c),
+s as (select *, (x1 <= middle * 1.05)::int as l, (x0 >= middle * 0.95)::int as r from m), t as (select *, sum(l) over w > 0 and sum(r) over w > 0 and sum(l) over w + sum(r) over w >= 0.7 * count(*) over w as two from s window w as (partition by page))
+select page, o_orderkey, row_number() over (partition by page order by case when two and r = 1 then 1 else 0 end, y0, x0)::int as ord from t
+""")
+def reading_order(spark, sf):
+    from ..operators import metadata as T
+
+    x0 = F.when(F.col("o_orderkey") % 3 == 0, 55).otherwise(0) + F.col("o_custkey") % 2 * (F.col("o_orderkey") % 40)
+    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), "o_orderkey", x0.alias("x0"), F.col("o_orderkey").alias("y0")).withColumn("x1", F.col("x0") + 45)
+    return T.reading_order(b, ["page"]).select("page", "o_orderkey", "ord")
+
+
+@query("""
+with a as (select o_custkey as k, o_orderkey as ord, 'Name ' || o_orderpriority as name, o_orderkey % 4 + 1 as mark from orders), i as (select distinct c_custkey as k from customer where c_nationkey % 2 = 0), h as (select a.k, list(regexp_replace(name, '[0-9]', '', 'g') order by ord) filter (mark = 2) as hits, arg_min(name, ord) as first from a join i using (k) group by a.k)
+select o.k, case when i.k is null then null when len(hits) > 0 then array_to_string(list_transform(hits, lambda x: trim(x)), '; ') else trim(regexp_replace(first, '[0-9]', '', 'g')) end as names from (select distinct k from a) o left join i using (k) left join h using (k)
+""")
+def authors_at_institution(spark, sf):
+    from ..operators import metadata as T
+
+    a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("Name "), F.regexp_replace("o_orderpriority", "[0-9]", ""), F.col("o_orderkey") % 4 + 1).alias("author"))
+    i = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit(2).alias("idx"), F.when(F.col("c_nationkey") % 2 == 0, "North University").otherwise("Other").alias("institution"))
+    return T.authors_at(a, i, "k", "north")
+
+
+@query("""
+with a as (select s_suppkey, case s_suppkey % 5 when 0 then ['Ann Lee'] when 1 then ['Bo Kim', 'Ann Lee'] when 2 then ['Ann Lee', 'Bo Kim', 'Cy Roe'] when 3 then ['Bo Kim', 'Ann Lee', 'Cy Roe', 'Di Poe'] else ['Bo Kim', 'Ann Lee', 'Cy Roe'] end as n from supplier)
+select s_suppkey, case s_suppkey % 5 when 0 then 'last' when 1 then 'last' when 2 then 'first' when 3 then 'inner' else 'second last' end as place from a
+""")
+def author_places(spark, sf):
+    from ..operators import metadata as T
+
+    names = lambda *x: F.array(*map(F.lit, x))
+    k = F.col("s_suppkey") % 5
+    n = F.when(k == 0, names("Ann Lee")).when(k == 1, names("Bo Kim", "Ann Lee")).when(k == 2, names("Ann Lee", "Bo Kim", "Cy Roe")).when(k == 3, names("Bo Kim", "Ann Lee", "Cy Roe", "Di Poe")).otherwise(names("Bo Kim", "Ann Lee", "Cy Roe"))
+    return table(spark, sf, "supplier").select("s_suppkey", T.author_place(n, "ann lee").alias("place"))
+
+
+@query("""
+with n as (select cast(floor(p_partkey / 10.0) as bigint) as a, case when p_partkey % 7 = 0 then '../x.pdf' when p_partkey % 11 = 0 then 'p1/run.EXE' when p_partkey % 3 = 0 then 'p2/a.pdf' else 'p1/b.csv' end as path from part),
+s as (select a, count(distinct case when contains(path, '/') then split_part(path, '/', 1) end) > 1 as many, bool_or(starts_with(path, '../')) as unsafe, bool_or(path like '%.EXE') as exe, bool_or(path like '%.pdf') as pdf from n group by a)
+select a, case when many then 'batch' else 'single' end as kind, concat_ws('|', case when unsafe then 'unsafe path' end, case when exe then 'forbidden: exe' end, case when not pdf then 'no PDF' end) as errors from s
+""")
+def archive_kinds(spark, sf):
+    from ..operators import metadata as T
+
+    k = F.col("p_partkey")
+    path = F.when(k % 7 == 0, "../x.pdf").when(k % 11 == 0, "p1/run.EXE").when(k % 3 == 0, "p2/a.pdf").otherwise("p1/b.csv")
+    n = table(spark, sf, "part").select(F.expr("cast(floor(p_partkey / 10.0) as bigint)").alias("a"), path.alias("path"))
+    return T.archive_kind(n, "a", "path").withColumn("errors", F.array_join("errors", "|"))
+
+
+def _books(spark, sf):
+    """Sheets of ten rows: a label in rows 0 and 5, names in the row after each, numbers in the others."""
+    p = table(spark, sf, "part")
+    row = (F.col("p_partkey") % 10).cast("int")
+    cell = lambda col, raw: F.struct(F.lit(col).alias("col_idx"), raw.cast("string").alias("raw"))
+    label, head = row % 5 == 0, row % 5 == 1
+    cells = F.when(label, F.array(cell(0, F.concat(F.lit("Figure "), row)))).when(head, F.array(*(cell(k, F.lit(n)) for k, n in enumerate(("dose", "dose", "size"))))).otherwise(F.array(cell(0, F.col("p_size")), cell(1, F.col("p_retailprice")), cell(2, F.col("p_partkey")), cell(3, F.col("p_brand"))))
+    b = p.select(F.lit("b").alias("bundle_id"), F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 10)).alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("sheet_ord"), row.alias("row_idx"), F.inline(cells))
+    return b
+
+
+@query("""
+select 'f' || cast(floor(p_partkey / 10.0) as bigint) as file, (p_partkey % 10)::int as row_idx, case when p_partkey % 10 < 5 then 1 else 2 end::bigint as segment, case when p_partkey % 10 < 5 then 'Figure 0' else 'Figure 5' end as label, count(*) as cells from part, range(0, 4) as r(c)
+where c = 0 or (p_partkey % 5 = 1 and c < 3) or p_partkey % 5 > 1 group by all
+""")
+def sheet_segments(spark, sf):
+    from ..sources import cells as K
+
+    return K.sub_tables(_books(spark, sf)).groupBy("file", "row_idx", "segment", "label").agg(F.count("*").alias("cells"))
+
+
+@query("""
+select 'f' || cast(floor(p_partkey / 10.0) as bigint) as file, case when p_partkey % 10 < 5 then 'Figure 0' else 'Figure 5' end as label, (p_partkey % 10)::int as row_idx, unnest(['dose', 'dose_1', 'size']) as col_name, unnest([p_size::double, p_retailprice::double, p_partkey::double]) as v from part where p_partkey % 5 > 1
+""")
+def sheet_headers(spark, sf):
+    from ..sources import cells as K
+
+    segments = K.sub_tables(_books(spark, sf))
+    return K.with_headers(segments, ["file", "label"]).select("file", "label", "row_idx", "col_name", "v")
