@@ -189,3 +189,20 @@ def level_rows(results: DataFrame, level: str) -> DataFrame:
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def columns_by_place(cells: DataFrame, sheet: list[str], places: dict[str, int], first_row: int = 1) -> DataFrame:
+    """Rows of a workbook from ``first_row`` on with the columns that stand at fixed places."""
+    body = cells.where(F.col("row_idx") >= first_row).where(F.col("col_idx").isin(*places.values()))
+    return body.groupBy(*sheet, "row_idx").agg(*(F.max(F.when(F.col("col_idx") == n, F.trim("raw"))).alias(k) for k, n in places.items()))
+
+
+def found_works(refs: DataFrame, works: DataFrame, ref: str, work: str) -> DataFrame:
+    """(ref, work, how) of references (ref, doi, text): the work with the same DOI, else the one that shares the rarest
+    words. References that match neither way have no row."""
+    from .references import best_works
+
+    doi = lambda c: F.lower(filled(F.col(c)))
+    by_doi = refs.select(ref, doi("doi").alias("_doi")).join(works.select(F.col(work), doi("doi").alias("_doi")), "_doi").groupBy(ref).agg(F.min(work).alias(work)).withColumn("how", F.lit("doi"))
+    rest = refs.select(ref, "text").join(by_doi, ref, "left_anti")
+    return by_doi.select(ref, work, "how").unionByName(best_works(rest, works, ref, work).select(ref, work, F.lit("text").alias("how")))

@@ -681,3 +681,49 @@ def sheet_headers(spark, sf):
 
     segments = K.sub_tables(_books(spark, sf))
     return K.with_headers(segments, ["file", "label"]).select("file", "label", "row_idx", "col_name", "v")
+
+
+@query("""
+with o as (select o_custkey as k, case when o_orderpriority = '1-URGENT' then 'cv' else 'benford' end as test, case when o_orderstatus = 'F' then 'high' when o_orderstatus = 'O' then 'medium' else 'low' end as severity, 'row ' || o_orderkey as location from orders),
+r as (select *, row_number() over (partition by k, test order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, location) as turn from o)
+select k, test, test || ': ' || count(*) || chr(10) || string_agg('- [' || severity || '] ' || location, chr(10) order by turn) filter (turn <= 3) || case when count(*) > 3 then chr(10) || '- and ' || (count(*) - 3) || ' more' else '' end as block from r group by k, test
+""")
+def finding_blocks(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority") == "1-URGENT", "cv").otherwise("benford").alias("test"), F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "O", "medium").otherwise("low").alias("severity"), F.concat(F.lit("row "), "o_orderkey").alias("location"))
+    return review.finding_blocks(o, "k", 3)
+
+
+@query("""
+with a as (select l_partkey, count(*) as n, avg(l_quantity) as mean, count(*) filter (l_quantity > 40) as h, count(*) filter (l_quantity between 20 and 40) as m, count(*) filter (l_quantity < 20) as l from lineitem group by 1)
+select l_partkey, round_even((round_even(mean * n, 0)) / n, 2) = round_even(mean, 2) or round_even((round_even(mean * n, 0) - 1) / n, 2) = round_even(mean, 2) or round_even((round_even(mean * n, 0) + 1) / n, 2) = round_even(mean, 2) as possible,
+  least(100, least(80, h * 10) + least(25, m * 4) + least(12, round_even(l * 0.5, 0)::int) + case when n > 150 then 20 when n > 80 then 12 when n > 30 then 6 else 0 end)::int as score from a
+""")
+def sql_functions(spark, sf):
+    """The rules called from SQL."""
+    from ..functions import sql
+
+    sql.register(spark)
+    a = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.count_if(F.col("l_quantity") > 40).alias("h"), F.count_if(F.col("l_quantity").between(20, 40)).alias("m"), F.count_if(F.col("l_quantity") < 20).alias("l"))
+    return a.selectExpr("l_partkey", "sift_grim(mean, n) as possible", "sift_dimension_score(h, m, l) as score")
+
+
+@query("""
+with r as (select p_partkey, (p_partkey * 37 % 100)::int as score, (p_partkey * 11 % 90)::int as most, case when p_partkey % 3 = 0 then ['data', 'image'] when p_partkey % 5 = 0 then ['reference'] else [] end as dims from part)
+select p_partkey, case when len(dims) > 0 then array_to_string(dims, ' + ') when score > 60 then 'overall score' when most > 60 then 'largest dimension' else '' end as why from r
+""")
+def level_triggers(spark, sf):
+    k = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    r = table(spark, sf, "part").select("p_partkey", (k * 37 % 100).alias("score"), (k * 11 % 90).alias("most"), F.when(k % 3 == 0, F.array(F.lit("data"), F.lit("image"))).when(k % 5 == 0, F.array(F.lit("reference"))).otherwise(none).alias("dims"))
+    return r.select("p_partkey", V.trigger(F.col("score"), F.col("most"), F.col("dims")).alias("why"))
+
+
+@query("""
+with w as (select item_id, case when item_id % 2 = 0 then '10.1/' || item_id end as doi from benchmark), r as (select doc_id, '10.1/' || (doc_id % 7) as doi from documents where doc_id % 4 > 0)
+select r.doc_id, min(w.item_id) as item_id, 'doi' as how from r join w using (doi) group by 1
+""")
+def works_by_doi(spark, sf):
+    """References found by DOI; those found by words alone are text_lookup's."""
+    w = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("10.1/"), "item_id")).alias("doi"), F.col("text").alias("title"))
+    r = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("10.1/"), F.col("doc_id") % 7)).otherwise("").alias("doi"), "text")
+    return D.found_works(r, w, "doc_id", "item_id").where("how = 'doi'")

@@ -83,3 +83,14 @@ def progress(results: DataFrame, group: list[str], seconds: float) -> DataFrame:
     going by the mean of those done."""
     a = results.groupBy(*group).agg(F.count("*").alias("total"), F.count_if(F.col("result").isin("high", "low")).alias("done"), F.count_if(F.col("result") == "error").alias("errors"), F.sum("took").alias("used"), F.avg("took").alias("mean"))
     return a.withColumn("may_start", F.coalesce(F.col("used") + F.col("mean") <= seconds, F.lit(True))).drop("mean")
+
+
+def finding_blocks(findings: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """(key, test, block): the findings of each test as text, the worst first, ``most`` of them shown and the others
+    counted."""
+    level = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    turn = F.row_number().over(Window.partitionBy(key, "test").orderBy(level, "location"))
+    shown = findings.withColumn("_turn", turn).groupBy(key, "test").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_turn") <= most, F.struct("_turn", "severity", "location")))).alias("shown"))
+    lines = F.transform("shown", lambda x: F.concat(F.lit("- ["), x["severity"], F.lit("] "), x["location"]))
+    more = F.when(F.col("n") > most, F.array(F.concat(F.lit("- and "), (F.col("n") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return shown.select(key, "test", F.array_join(F.concat(F.array(F.concat("test", F.lit(": "), F.col("n").cast("string"))), lines, more), "\n").alias("block"))

@@ -132,3 +132,26 @@ def test_first_two_hundred_sheet_pairs(spark):
     sheets = spark.createDataFrame([("f", f"s{k:03}", k, 10, 1) for k in range(300)] + [("supp tree", "x", 1, 10, 1)], "file string, sheet string, ord int, rows int, measures int")
     got = [(r.sheet_a, r.sheet_b) for r in H.sheets_to_compare(sheets, "file", "sheet", "ord").orderBy("turn").collect()]
     assert got == [("s000", f"s{k:03}") for k in range(1, 201)]
+
+
+def test_sinks(spark, tmp_path):
+    from siftline.sources import sinks
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, t string")
+    sinks.write_json(df, str(tmp_path / "j"))
+    sinks.write_csv(df, str(tmp_path / "c"))
+    for _ in range(2):
+        sinks.append_metrics(df, str(tmp_path / "m"))
+    sinks.write_lines(D.markdown_table(df, ["k", "t"], ["k"]), str(tmp_path / "md"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.csv(str(tmp_path / "c"), header=True).where("t is null").count() == 1
+    assert spark.read.json(str(tmp_path / "m")).count() == 4
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| k | t |", "|-|-|", r"| 1 | a\|b |", "| 2 |  |"]
+    a, b = (sinks.replaced(spark, df, str(tmp_path / "v")) for _ in range(2))
+    assert a != b and spark.read.parquet(a).count() == spark.read.parquet(b).count() == 2
+
+
+def test_columns_by_place_and_last(spark):
+    c = spark.createDataFrame([("s", r, k, f"{r}{k}") for r in range(3) for k in range(4)], "sheet string, row_idx int, col_idx int, raw string")
+    assert sorted((r.row_idx, r.a, r.b) for r in D.columns_by_place(c, ["sheet"], {"a": 3, "b": 0}).collect()) == [(1, "13", "10"), (2, "23", "20")]
+    rows = spark.createDataFrame([("10.1/A", 1, "x"), ("10.1/a", 2, "y"), (" ", 3, "z")], "doi string, row_idx int, v string")
+    assert [r.v for r in D.last_by(rows, "doi", "row_idx").collect()] == ["y"]
