@@ -19,7 +19,7 @@ from ..sources import bundles as B
 from ..sources import pages as G
 from ..streaming import monitor as M
 from . import review
-from .queries import _POS, MEASURES, _cells, _r, query
+from .queries import MEASURES, query
 
 _DOIS = """case p_partkey % 9 when 0 then '10.1016/s0092-' || p_partkey || '(01)' when 1 then '10.1002/jbmr' when 2 then '10.1371/journal.pbio.' || p_partkey when 3 then '10.1111/j.1749'
   when 4 then '10.48550/arXiv.2101.' || p_partkey when 5 then '10.5281/zenodo.' || p_partkey when 6 then '10.1038/s41586-020-' || p_partkey || '-x' when 7 then '10.1016/j.cell.2020.' || p_partkey || '.001' else '10.1093/nar/gk' || p_partkey || '-' end"""
