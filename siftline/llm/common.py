@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of one Arrow batch of texts, about, so that a Python worker's memory stays bounded when texts are long.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

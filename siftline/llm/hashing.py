@@ -6,7 +6,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 #: Bytes that are hashed at once, about; longer texts are cut where a stretch may end.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 2**64, 256, "u8")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,7 +49,7 @@ class Banding:
 
 
 #: Nodes whose buckets one worker holds at once.
-RUN_NODES = 20_000
+RUN_NODES = 10_000
 _ROWS = 8_000  # shingles hashed at once: a number each for every minhash
 
 _rng = np.random.default_rng(23)
@@ -264,14 +264,10 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
 def candidate_ties(nodes: DataFrame, side: int) -> DataFrame:
     """(a, b): nodes that share a bucket hang together by these, a few for each node whatever the buckets' sizes."""
     rows = common.cut(bucket_rows(nodes, side))
-    keyed = rows.where("key is not null").select("key", "node")
-    shared = common.cut(keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most"))
-    ends = shared.select(F.col("most").alias("a"), F.col("least").alias("b"))
-    wide = shared.where("n > 2").select("key", "least", "most")  # a bucket of two partitions needs no join
-    if wide.count() <= 200_000:
-        wide = F.broadcast(wide)  # 24 bytes each
-    inner = keyed.join(wide, "key").where("node > least and node < most").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return rows.where("key is null").select(F.col("node").alias("a"), F.col("tie").alias("b")).unionByName(ends).unionByName(inner)
+    # the smallest node of each bucket, by one shuffle and no join; a bucket has a row for each partition or run at most
+    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    across = rows.where("key is not null").select(F.col("node").alias("a"), least.alias("b")).where("b < a").distinct()
+    return across.unionByName(rows.where("key is null").select(F.col("node").alias("a"), F.col("tie").alias("b")))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
