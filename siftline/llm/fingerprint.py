@@ -1,12 +1,13 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Every k-gram of a text's UTF-8 bytes has a rolling hash (cyclic polynomial): the hash of a longer gram is that of its
-beginning, turned on by the bytes that follow, and theirs. Of each window of ``WINDOW`` grams the smallest hash is
-kept, the rightmost on ties, with its position. Texts that share ``K + WINDOW - 1`` bytes share a fingerprint.
-
-A text is cut into blocks of ``BLOCK`` positions. A block hashes each of its bytes once, and those that its windows
-reach into the next block, as columns. Grams then roll by widening: a gram of 2n bytes is made of two neighbours of
-n. So do window minima: the minimum of 4n grams is that of four neighbours of n. So the work is done by compiled
+Every k-gram of a text's UTF-8 bytes has a rolling hash (a cyclic polynomial with a stride of ``UNIT`` bytes): as the
+gram moves on by a unit its hash is turned, the unit that leaves is taken out and the one that comes is put in. Of
+each window of ``WINDOW`` grams the smallest hash is kept, the rightmost on ties, with its position. Texts that share
+``K + WINDOW - 1`` bytes share a fingerprint.
+
+A text is cut into blocks of ``BLOCK`` positions. A block hashes the unit at each of its positions once, and those that
+its windows reach into the next block, as columns; a unit enters the ``K / UNIT`` grams that hold it. Window minima are
+found by widening: the minimum of 4n grams is that of four neighbours of n. So the work is done by compiled
 projections, whatever the text's length.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Blocks have more than 100 columns at each step, so that Spark compiles each projection in parts, not as one method.
-K, WINDOW, BLOCK = 12, 32, 128
+K, UNIT, WINDOW, BLOCK = 12, 4, 32, 128
+#: Bytes that a block's windows reach over.
+REACH = BLOCK + WINDOW + K - 2
 #: Each step takes the least of so many neighbours; together they make a window.
 STEPS = (4, 4, 2)
 _LOW = 255  # low bits of a hash that hold 255 minus the place in the block, so that ties go right
@@ -27,35 +30,41 @@ PIECES = 64
 
 
 def _turned(name: str, bits: int) -> str:
-    return f"(shiftleft({name}, {bits}) | shiftrightunsigned({name}, {64 - bits}))"
-
-
-def _gram_hashes(blocks: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns g0, g1, ... with the rolling hash of the gram of ``K`` bytes at each place of ``bytes``; bytes past the
-    end count as none, all alike."""
-    kept = [*keep, "block", "n_grams"]
-    span = BLOCK + WINDOW + K - 2
-    one = blocks.select(*kept, *(F.expr(f"xxhash64(substring(bytes, {j + 1}, 1))").alias(f"a{j}") for j in range(span)))
-    two = one.select(*kept, *(F.expr(f"{_turned(f'a{j}', 1)} ^ a{j + 1}").alias(f"b{j}") for j in range(span - 1)))
-    four = two.select(*kept, *(F.expr(f"{_turned(f'b{j}', 2)} ^ b{j + 2}").alias(f"c{j}") for j in range(span - 3)))
-    eight = four.select(*kept, *(f"c{j}" for j in range(8, span - 3)), *(F.expr(f"{_turned(f'c{j}', 4)} ^ c{j + 4}").alias(f"d{j}") for j in range(span - K + 1)))
-    return eight.select(*kept, *(F.expr(f"{_turned(f'd{j}', 4)} ^ c{j + 8}").alias(f"g{j}") for j in range(span - K + 1)))
+    return f"(shiftleft({name}, {bits}) | shiftrightunsigned({name}, {64 - bits}))" if bits else name
 
 
 def _block_minima(blocks: DataFrame, keep: list[str]) -> DataFrame:
     """For blocks (bytes, block, n_grams) the packed (position, hash) of the minima of windows that start in them."""
-    span = BLOCK + WINDOW - 1
-    # grams past the end are null, which no minimum takes; so a text with fewer grams than a window has one window
-    mark = lambda j: f"if(block * {BLOCK} + {j} < n_grams, (xxhash64(g{j}) | {_LOW}L) ^ {j}L, null)"
-    step = _gram_hashes(blocks, keep).select(*keep, "block", "n_grams", *(F.expr(mark(j)).alias(f"m{j}") for j in range(span)))
+    span, parts = BLOCK + WINDOW - 1, K // UNIT
+    # grams and windows in this block, counted from its start; a text with fewer grams than a window has one window
+    grams, windows = F.col("n_grams") - F.col("block") * BLOCK, F.greatest(F.col("n_grams") - (WINDOW - 1), F.least("n_grams", F.lit(1))) - F.col("block") * BLOCK
+    kept = [*keep, "block", "grams", "windows"]
+    units = blocks.select(*keep, "block", grams.alias("grams"), windows.alias("windows"), *(F.expr(f"xxhash64(substring(bytes, {j + 1}, {UNIT}))").alias(f"u{j}") for j in range(span + K - UNIT)))
+    gram = lambda j: " ^ ".join(_turned(f"u{j + UNIT * k}", parts - 1 - k) for k in range(parts))
+    # past the end stands the largest number, not null: minima of columns that can't be null cost far less
+    step = units.select(*kept, *(F.expr(f"if({j} < grams, (({gram(j)}) | {_LOW}L) ^ {j}L, {2**63 - 1}L)").alias(f"m{j}") for j in range(span)))
     size = 1
     for many in STEPS:
         span -= (many - 1) * size
-        step = step.select(*keep, "block", "n_grams", *(F.least(*(f"m{j + k * size}" for k in range(many))).alias(f"m{j}") for j in range(span)))
+        step = step.select(*kept, *(F.least(*(f"m{j + k * size}" for k in range(many))).alias(f"m{j}") for j in range(span)))
         size *= many
     # to (position << 32 | upper half of the hash); windows that would reach over the end have none
-    packed = [F.expr(f"if(block * {BLOCK} + {j} <= greatest(n_grams - {WINDOW}, 0), shiftleft(block * {BLOCK}L + {_LOW}L - (m{j} & {_LOW}L), 32) | shiftrightunsigned(m{j}, 32), null)") for j in range(BLOCK)]
-    return step.select(*keep, F.array_except(F.array(*packed), F.array(F.lit(None).cast("long"))).alias("minima"))
+    packed = [F.expr(f"if({j} < windows, shiftleft(block * {BLOCK}L + {_LOW}L - (m{j} & {_LOW}L), 32) | shiftrightunsigned(m{j}, 32), null)") for j in range(BLOCK)]
+    return step.select(*keep, "block", F.array_except(F.array(*packed), F.array(F.lit(None).cast("long"))).alias("minima"))
+
+
+def block_minima(texts: DataFrame, keys: list[str], text_col: str = "text", since: str | None = None) -> DataFrame:
+    """(keys, block, minima) of the blocks of each row of ``texts``, from block ``since`` on where a column is named."""
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = texts.select(*keys, raw.alias("raw"), (F.col(since) if since else F.lit(0)).alias("first")).withColumn("n_bytes", F.octet_length("raw"))
+    rows = rows.withColumn("n_grams", F.when(F.col("n_bytes") > 0, F.greatest(F.col("n_bytes") - (K - 1), F.lit(1))).otherwise(0))
+    last = f"greatest(cast(ceil((n_grams - {WINDOW - 1}) / {BLOCK}) as int), 1) - 1"
+    blocks = rows.select(*keys, "raw", "n_grams", F.explode(F.expr(f"if(first > {last}, cast(array() as array<int>), sequence(first, {last}))")).alias("block"))
+    return _block_minima(blocks.select(*keys, "n_grams", "block", F.expr(f"substring(raw, block * {BLOCK} + 1, {REACH})").alias("bytes")), keys)
+
+
+def _joined(minima: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(minima)))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -63,13 +72,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
     ``texts``. Keys must tell rows apart. Null text has an empty fingerprint, like the empty text; a text shorter
     than a gram is one gram. Where ``texts`` is already partitioned by one of the keys nothing is shuffled.
     """
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = texts.select(*keys, raw.alias("raw")).withColumn("n_bytes", F.octet_length("raw"))
-    rows = rows.withColumn("n_grams", F.when(F.col("n_bytes") > 0, F.greatest(F.col("n_bytes") - (K - 1), F.lit(1))).otherwise(0))
-    blocks = rows.select(*keys, "raw", "n_grams", F.explode(F.expr(f"sequence(0, greatest(cast(ceil((n_grams - {WINDOW - 1}) / {BLOCK}) as int), 1) - 1)")).alias("block"))
-    blocks = blocks.select(*keys, "n_grams", "block", F.expr(f"substring(raw, block * {BLOCK} + 1, {BLOCK + WINDOW + K - 2})").alias("bytes"))
-    found = _block_minima(blocks, keys).groupBy(*keys).agg(F.collect_list("minima").alias("minima"))
-    return found.select(*keys, F.array_sort(F.array_distinct(F.flatten("minima"))).alias("fingerprint"))
+    return block_minima(texts, keys, text_col).groupBy(*keys).agg(_joined(F.collect_list("minima")).alias("fingerprint"))
 
 
 def hashes(fingerprint: Column | str) -> Column:
@@ -98,7 +101,7 @@ def _below(bounds: list[int], value: Column) -> Column:
     parts = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
     full = F.size(F.filter(array([x[-1] for x in parts]), lambda b: b <= value))  # parts that lie below as a whole
     rest = F.coalesce(F.size(F.filter(F.get(F.array(*map(array, parts)), full), lambda b: b <= value)), F.lit(0))
-    return full * wide + F.greatest(rest, F.lit(0))
+    return F.least(full * wide + F.greatest(rest, F.lit(0)), F.lit(len(bounds)))
 
 
 def _ranges(docs: DataFrame, ranges: int | None, range_bytes: int) -> Column:
@@ -137,11 +140,16 @@ def winnowing_report(docs: DataFrame, ranges: int | None = None, range_bytes: in
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring("next_text", F.lit(1), quarter))
-    rows = rows.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
-    both = rows.select("part", "place", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
-    keys = ["part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "which"]
-    found = fingerprints(both.select(*keys[:-1], "t.which", "t.text"), keys)
-    pairs = found.groupBy(*keys[:-1]).agg(*(F.max(F.when(F.col("which") == k, F.col("fingerprint"))).alias(name) for k, name in ((0, "own"), (1, "other"))))
+    rows = rows.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"), F.expr("octet_length(substring(text, 1, length(text) - cast(floor(length(text) / 4) as int)))").alias("same"))
+    # a block whose windows stay within what both texts begin with has the same minima in both
+    since = F.when(F.col("guest") == 1, 0).otherwise(F.greatest(F.floor((F.col("same") - REACH) / BLOCK) + 1, F.lit(0))).cast("int")
+    rows = rows.withColumn("since", since).withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
+    keys = ["part", "place", "guest", "doc_id", "n_chars", "sha", "since"]
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text"), F.lit(0).alias("first")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"), F.col("since").alias("first")))).alias("t"))
+    found = block_minima(both.select(*keys, "t.which", "t.text", "t.first"), [*keys, "which"], since="first")
+    own, other = F.col("which") == 0, (F.col("which") == 1) | (F.col("block") < F.col("since"))
+    pairs = found.groupBy("part", "place").agg(*(F.first(c).alias(c) for c in keys[2:6]), *(_joined(F.collect_list(F.when(c, F.col("minima")))).alias(name) for c, name in ((own, "own"), (other, "other"))))
+    pairs = pairs.withColumn("edited_sha256", F.lower(F.hex("sha")))
     pairs = pairs.withColumn("own_set", hashes("own"))
     along = Window.partitionBy("part").orderBy("place")
     pairs = pairs.withColumn("next_set", F.lead("own_set").over(along)).where("guest = 0")

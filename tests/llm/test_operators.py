@@ -187,8 +187,7 @@ def brute_winnow(text):
     if not b:
         return []
     turned = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1) if n else x
-    rolled = [functools.reduce(operator.xor, (turned(xxhash.xxh64_intdigest(b[i + j : i + j + 1], seed=42), k - 1 - j) for j in range(k))) for i in range(max(1, len(b) - k + 1))]
-    hs = [xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=42) for x in rolled]
+    hs = [functools.reduce(operator.xor, (turned(xxhash.xxh64_intdigest(b[i + j : i + min(j + 4, k)], seed=42), k // 4 - 1 - j // 4) for j in range(0, k, 4))) for i in range(max(1, len(b) - k + 1))]
     signed = [(h - (1 << 64) if h >> 63 else h) >> 8 for h in hs]
     out = {}
     for i in range(max(1, len(hs) - w + 1)):
