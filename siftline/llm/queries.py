@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
+from . import conversation, exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import read
 
 #: Rules of the URL query: (verdict, host and path).
@@ -66,6 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(read(spark, sf_dir, "documents"), end_id=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation; see conversation.repaired for nulls and ties."""
+    return conversation.conversation_report(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces that corpus_pipeline.run makes of the documents."""
     import corpus_pipeline
@@ -124,11 +129,70 @@ select c.page_id, c.host, c.path, fit.rule, coalesce(fit.verdict, case when list
 from c left join fit on c.page_id is not distinct from fit.page_id and c.url is not distinct from fit.url left join listed on listed.canonical = c.canonical
 """
 
+_OP11 = rf"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations
+),
+c as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, case when x % 2 = 1 then 3988292384::bigint else 0::bigint end))), 4294967295::bigint) % 20 as kind
+  from k
+),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from c where kind <> 0
+),
+n0 as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+n as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as nth, regexp_extract(text, '(?s)^.*([^\x20\x09-\x0D])', 1) as last_char
+  from n0
+),
+f as (
+  select conv_id, i, turn, role, text, case when substr(role, 1, 1) in ('s', 'u', 'a') then substr(role, 1, 1) else '' end as initial,
+    substr(lag(role) over (partition by conv_id order by i), 1, 1) || substr(role, 1, 1) as pair,
+    case when last_char = '' then 'blank' when nth > 1 then 'duplicate' when last_char not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from n
+),
+ins(q, letters, goal, lines) as (values
+  (0, '', 0, ''), (0, 'I', 2, chr(10) || 'user:'), (0, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, '', 1, ''), (1, 'I', 2, chr(10) || 'user:'), (1, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, '', 2, ''), (2, 'I', 3, chr(10) || 'assistant:'), (2, 'II', 2, chr(10) || 'assistant:' || chr(10) || 'user:'),
+  (3, '', 3, ''), (3, 'I', 2, chr(10) || 'user:'), (3, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:')),
+op(letter, price) as (values ('D', 3), ('R', 2), ('K', 0)),
+v as (
+  select distinct conv_id, 0::bigint as i, 0 as q, {{'cost': 0, 'audit': '', 'lines': ''}} as best from f
+  union all
+  select conv_id, i, q, min(best) from (
+    select f.conv_id, f.i,
+      case when op.letter = 'D' then ins.goal when op.letter = 'R' then (case when ins.goal = 2 then 3 else 2 end) else (case f.initial when 's' then 1 when 'u' then 2 else 3 end) end as q,
+      {{'cost': v.best.cost + 2 * length(ins.letters) + op.price + case when f.fault = 'truncated' and op.letter <> 'D' then 1 else 0 end,
+        'audit': v.best.audit || ins.letters || op.letter,
+        'lines': v.best.lines || ins.lines || case op.letter when 'D' then '' when 'K' then chr(10) || f.role || ':' || f.text else chr(10) || case when ins.goal = 2 then 'assistant' else 'user' end || ':' || f.text end}} as best
+    from v join f on f.conv_id is not distinct from v.conv_id and f.i = v.i + 1 join ins on ins.q = v.q cross join op
+    where op.letter = 'D' or (f.fault not in ('blank', 'duplicate') and (op.letter = 'R'
+      or (f.initial = 's' and ins.goal = 0) or (f.initial = 'u' and ins.goal in (0, 1, 3)) or (f.initial = 'a' and ins.goal = 2)))
+  ) group by conv_id, i, q
+),
+e as (
+  select v.conv_id, min({{'cost': v.best.cost + 2 * length(ins.letters), 'audit': v.best.audit || ins.letters, 'lines': v.best.lines || ins.lines}}) as best
+  from v join (select conv_id, max(i) as i from f group by conv_id) m on m.conv_id is not distinct from v.conv_id and m.i = v.i
+  join ins on ins.q = v.q and (ins.goal = 3 or (ins.goal = 0 and ins.letters = '')) group by v.conv_id
+),
+g as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id
+)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(e.best.cost, 0)::bigint as cost, coalesce(e.best.audit, '') as audit, sha256(substr(coalesce(e.best.lines, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) k left join g on g.conv_id is not distinct from k.conv_id left join e on e.conv_id is not distinct from k.conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, pipeline)
+    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, op11_conversation_repair, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_near_dedup": _OP4, "op5_url_filter": _OP5}
+    return {"op1_exact_dedup": _OP1, "op4_near_dedup": _OP4, "op5_url_filter": _OP5, "op11_conversation_repair": _OP11}
