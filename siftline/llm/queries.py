@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation, exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
+from . import centroids, conversation, exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import read
 
 #: Rules of the URL query: (verdict, host and path).
@@ -71,6 +71,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.conversation_report(read(spark, sf_dir, "conversations"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and centroid of every kept vector; see centroids.cluster."""
+    return centroids.cluster_report(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces that corpus_pipeline.run makes of the documents."""
     import corpus_pipeline
@@ -189,10 +194,39 @@ from (select distinct conv_id from conversations) k left join g on g.conv_id is
 """
 
 
+def _op13(k: int = 16, rounds: int = 3) -> str:
+    assigned = lambda n: f"""
+a{n} as (
+  select r, vec_id, v, arg_min(c, (d, c)) as c, min(d) as d from (
+    select kept.r, kept.vec_id, kept.v, c{n}.c, list_sum(list_transform(list_zip(kept.v, c{n}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept cross join c{n}
+  ) group by r, vec_id, v
+)"""
+    moved = lambda n: f"""
+c{n + 1} as (
+  select c{n}.c, coalesce(m.v, c{n}.v) as v from c{n} left join (
+    select c, list(x order by i) as v from (
+      select c, i, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::bigint as x
+      from (select c, unnest(v) as x, unnest(range(len(v))) as i from a{n}) group by c, i
+    ) group by c
+  ) m using (c)
+)"""
+    steps = ",".join(assigned(n) + "," + moved(n) for n in range(rounds)) + "," + assigned(rounds)
+    return f"""
+with kept as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+),
+c0 as (select row_number() over (order by sha256('1:' || vec_id) nulls last, v) - 1 as c, v from kept qualify c < {k}),{steps},
+s as (select c, sum(d)::bigint as total from a{rounds} group by c)
+select a.vec_id, a.c::integer as cluster, a.d as distance, s.total as cluster_inertia, (select sum(total) from s)::bigint as inertia, sha256(array_to_string(z.v, ',')) as centroid_sha256
+from a{rounds} a join s using (c) join c{rounds} z using (c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, op11_conversation_repair, pipeline)
+    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, op11_conversation_repair, op13_centroid_clusters, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_near_dedup": _OP4, "op5_url_filter": _OP5, "op11_conversation_repair": _OP11}
+    return {"op1_exact_dedup": _OP1, "op4_near_dedup": _OP4, "op5_url_filter": _OP5, "op11_conversation_repair": _OP11, "op13_centroid_clusters": _op13()}
