@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, conversation, exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
+from . import centroids, conversation, exact_dedup, fingerprint, language, mixing, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import read
 
 #: Rules of the URL query: (verdict, host and path).
@@ -71,6 +71,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.conversation_report(read(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text; see language.label_languages."""
+    return language.language_report(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and centroid of every kept vector; see centroids.cluster."""
     return centroids.cluster_report(read(spark, sf_dir, "embeddings"))
@@ -224,7 +229,7 @@ from a{rounds} a join s using (c) join c{rounds} z using (c)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, op11_conversation_repair, op13_centroid_clusters, pipeline)
+    found = (op1_exact_dedup, op2_quality, op3_fingerprints, op4_near_dedup, op5_url_filter, op6_toxicity, op7_packing, op8_secrets, op9_mixing, op10_token_files, op11_conversation_repair, op12_language_id, op13_centroid_clusters, pipeline)
     return {f.__name__: f for f in found}
 
 
