@@ -724,6 +724,6 @@ def stream_claims(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-from . import record_queries  # noqa: E402, F401  (registers its queries)
+from . import feed_queries, record_queries  # noqa: E402, F401  (register their queries)
 
 _SQL["score_overall"] = f"with {record_queries._BATTERY}, {_FOUND_SQL.strip()}"

@@ -1,17 +1,20 @@
 """Source tables as one long table of cells, whatever the file kind.
 
 ``cells``: bundle_id, file, sheet, sheet_ord, row_idx, col_idx, raw. Spreadsheet and document files are ZIP
-archives of XML and are read with the standard library inside ``mapInPandas``, one file at a time; a file
-that can't be read gives one row with ``error``.
+archives of XML and are read with the standard library inside ``mapInPandas`` or the data source of ``bundle_source``; a
+file that can't be read gives one row with ``error``, after the cells that could be.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,14 +33,8 @@ def csv_cells(spark: SparkSession, path: str, bundle: str = "") -> DataFrame:
     return archive_cells(listing)
 
 
-def _csv(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
-    try:
-        text = data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    csv.field_size_limit(2**31 - 1)  # a cell may be as long as it likes
-    rows = (r for r in csv.reader(io.StringIO(text, newline="")) if any(r))
-    for i, row in enumerate(rows):
+def _csv(f) -> Iterator[tuple[str, int, int, int, str]]:
+    for i, row in enumerate(r for r in csv_records(f) if any(r)):
         yield from (("Sheet1", 0, i, j, x) for j, x in enumerate(row) if x != "")
 
 
@@ -48,33 +45,68 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _xlsx(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
+def workbook(z: zipfile.ZipFile) -> tuple[list[str], list[str]]:
+    """Titles and member names of a workbook's sheets, in its order."""
+    names = z.namelist()
+    found = list(ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}sheet"))
+    if "xl/_rels/workbook.xml.rels" in names:  # which file holds a sheet is told by the workbook's relations
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).iter() if r.get("Id")}
+        sheets = [re.sub("^(/?xl/)?", "xl/", targets[s.get(_ID)]) for s in found]
+    else:
+        sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
+    return [s.get("name") for s in found], sheets
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.parse(z.open("xl/styles.xml"))
+    codes = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")).lower() for f in root.iter(f"{_MAIN}numFmt")}
+    kinds = [int(x.get("numFmtId", 0)) for part in root.iter(f"{_MAIN}cellXfs") for x in part.iter(f"{_MAIN}xf")]
+    return {k for k, kind in enumerate(kinds) if 14 <= kind <= 22 or 45 <= kind <= 47 or re.search("[ymdhs]", codes.get(kind, ""))}
+
+
+def _as_date(number: str, epoch: datetime) -> str:
+    """A day number of a workbook as ISO date, or date and time; a share of a day alone as time."""
+    days = float(number)
+    if epoch.year == 1899 and days < 60:
+        days += days >= 1  # the calendar of 1900 has a 29 February that never was
+    at = epoch + timedelta(seconds=round(days * 86_400))
+    return at.strftime("%H:%M:%S") if 0 <= days < 1 else at.strftime("%Y-%m-%d") if at.time() == time() else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def xlsx_cells(f, sheet: int | None = None) -> Iterator[tuple[str, int, int, int, str]]:
+    """Cells of a workbook, or of one of its sheets; each sheet's XML is read as a stream. Dates come in ISO form."""
+    with zipfile.ZipFile(f) as z:
         shared = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.parse(z.open("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        found = list(ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}sheet"))
-        titles = [s.get("name") for s in found]
-        if "xl/_rels/workbook.xml.rels" in names:  # which file holds a sheet is told by the workbook's relations
-            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).iter() if r.get("Id")}
-            sheets = [re.sub("^(/?xl/)?", "xl/", targets[s.get(_ID)]) for s in found]
-        else:
-            sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
-        for k, (title, sheet) in enumerate(zip(titles, sheets)):
-            for c in ElementTree.parse(z.open(sheet)).iter(f"{_MAIN}c"):
-                ref, v = c.get("r", "A1"), c.find(f"{_MAIN}v")
-                text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else None if v is None else v.text
-                if text is not None and c.get("t") == "s":
-                    text = shared[int(text)]
-                elif text is not None and c.get("t") == "b":
-                    text = "TRUE" if text == "1" else "FALSE"
-                if text not in (None, ""):
-                    yield title, k, int(re.search(r"\d+", ref)[0]) - 1, _column(ref), text
-
-
-def _docx(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        dates = _date_styles(z)
+        late = any(p.get("date1904") in ("1", "true") for p in ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"))
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+        for k, (title, member) in enumerate(zip(*workbook(z))):
+            if sheet is not None and k != sheet:
+                continue
+            for _, row in ElementTree.iterparse(z.open(member)):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                for c in row.iter(f"{_MAIN}c"):
+                    ref, v, kind = c.get("r", "A1"), c.find(f"{_MAIN}v"), c.get("t", "n")
+                    text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if kind == "inlineStr" else None if v is None else v.text
+                    if text is not None and kind == "s":
+                        text = shared[int(text)]
+                    elif text is not None and kind == "b":
+                        text = "TRUE" if text == "1" else "FALSE"
+                    elif text is not None and kind == "n" and int(c.get("s", 0)) in dates:
+                        text = _as_date(text, epoch)
+                    if text not in (None, ""):
+                        yield title, k, int(re.search(r"\d+", ref)[0]) - 1, _column(ref), text
+                row.clear()
+
+
+def docx_cells(f) -> Iterator[tuple[str, int, int, int, str]]:
+    with zipfile.ZipFile(f) as z:
         tables = [t for t in ElementTree.parse(z.open("word/document.xml")).iter(f"{_WORD}tbl") if len(list(t.iter(f"{_WORD}tr"))) >= 2]
         for k, table in enumerate(tables):
             for i, row in enumerate(table.iter(f"{_WORD}tr")):
@@ -83,23 +115,45 @@ def _docx(data: bytes) -> Iterator[tuple[str, int, int, int, str]]:
                         yield f"Table{k + 1}", k, i, j, text
 
 
-_READERS = {"csv": _csv, "xlsx": _xlsx, "docx": _docx}
+def csv_records(f) -> Iterator[list[str]]:
+    """Records of a CSV file, as a stream: UTF-8 with or without a mark, else Latin-1."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    encoding = "utf-8-sig"
+    try:
+        while piece := f.read(1 << 20):
+            decoder.decode(piece)
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        encoding = "latin-1"
+    f.seek(0)
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as it likes
+    yield from csv.reader(io.TextIOWrapper(f, encoding, newline=""))
 
 
-def archive_cells(listing: DataFrame) -> DataFrame:
-    """Cells of csv, xlsx and docx files of a listing with ``content``. Dates come as the workbook's numbers."""
+_READERS = {"csv": _csv, "xlsx": xlsx_cells, "docx": docx_cells}
+#: What reading a broken file may raise.
+BROKEN = (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError, OverflowError, csv.Error)
 
-    def read(frames):
-        import pandas as pd
 
+def archive_cells(listing: DataFrame) -> DataFrame:
+    """Cells of csv, xlsx and docx files of a listing with ``content``, some thousand rows at a time. Dates of workbooks
+    come in ISO form."""
+
+    def rows(frames):
         for frame in frames:
-            rows = []
             for bundle, file, ext, content in zip(frame.bundle_id, frame.name, frame.ext, frame.content):
                 try:
-                    rows += [(bundle, file, *x, None) for x in _READERS[ext](content)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError, csv.Error) as e:
-                    rows.append((bundle, file, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["bundle_id", "file", "sheet", "sheet_ord", "row_idx", "col_idx", "raw", "error"]).astype({"sheet_ord": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
+                    for cell in _READERS[ext](io.BytesIO(content)):
+                        yield bundle, file, *cell, None
+                except BROKEN as e:
+                    yield bundle, file, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def read(frames):
+        import pandas as pd
+
+        every = rows(frames)
+        while some := list(itertools.islice(every, 8192)):
+            yield pd.DataFrame(some, columns=["bundle_id", "file", "sheet", "sheet_ord", "row_idx", "col_idx", "raw", "error"]).astype({"sheet_ord": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
 
     return listing.where(F.col("ext").isin(*_READERS)).select("bundle_id", "name", "ext", "content").mapInPandas(read, CELLS)
 
