@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .answers import json_in  # noqa: F401
+
 #: Fixed value: how a DOI stands in a text.
 DOI = r"(?i)(?:doi[:\s]*|https?://doi\.org/)(10\.\d{4,}/[^\s,;]+)"
 
@@ -183,15 +185,6 @@ def numbered_lines(text: Column) -> Column:
     return F.when(text.rlike(r"(?im)^\s*references\s*$"), F.regexp_count(after, F.lit(r"(?m)^\s*\[?\d{1,3}\]?[.\s]"))).otherwise(0)
 
 
-def json_in(text: Column) -> Column:
-    """The JSON object in a model's answer: in a fence, else from the first brace to the last; null where that isn't
-    JSON."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    is_json = lambda c: F.get_json_object(c, "$").isNotNull()
-    return F.when(is_json(fenced), fenced).when(is_json(braces), braces)
-
-
 def html_text(html: Column) -> Column:
     """Visible text: scripts, styles and comments go, then tags, then entities of the common kind."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(?:script|style)>", " ")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers as J
 from ..session import table
 from ..sources import bundle_source as BS
 from .queries import _shared, query
@@ -27,3 +28,35 @@ def bundle_cells(spark, sf):
     one = lambda k: F.max(F.when(F.col("col_idx") == k, F.col("raw")))
     rows = cells.groupBy("bundle_id", "file", "row_idx").agg(one(0).cast("long").alias("doc_id"), F.coalesce(one(1), F.lit("")).alias("source"), one(2).cast("long").alias("n_chars"), F.sha2(F.coalesce(one(3), F.lit("")).cast("binary"), 256).alias("digest"))
     return rows.select("bundle_id", "doc_id", "source", "n_chars", "digest")
+
+
+#: A review's answer about each event, with the event's own JSON as unescaped text: in a fence, among prose, with quotes in
+#: front of commas, with line ends, as valid JSON, cut off, and with a result that isn't one.
+_ANSWERS = """case event_id % 8
+  when 0 then 'So:' || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "doi": "10.1/' || event_id || '",' || chr(10) || '  "result": "低风险",' || chr(10) || '  "data_review": "' || event_type || ' has "' || props || '", as told",' || chr(10) || '  "reason": ""' || chr(10) || '}' || chr(10) || '```'
+  when 1 then 'It is {"result": "高风险", "trigger": "' || props || '", "verdict": "建议高风险", "reason": "x"} and that is {all}'
+  when 2 then '{"result":"高风险","reason":"said "yes", then "' || event_type || '"."}'
+  when 3 then '{"result": "低风险", "image_review": "two' || chr(10) || 'lines of "' || value || '"", "verdict": "v"}'
+  when 4 then '{"result": "低风险", "reason": "as \\"' || event_type || '\\" says", "ref_review": "{' || value || '}"}'
+  when 5 then '```json' || chr(10) || '{"doi": "d", "result": "高风险", "methodology_review": "' || props || ' was cut'
+  when 6 then '{"result": "unsure", "reason": "' || props || '"}'
+  else 'no answer, ' || event_type end"""
+_KEYS = "|".join(J.REVIEW_FIELDS)
+_FIELD = rf'"(?:{_KEYS})"\s*:\s*"'
+
+
+@query(rf"""
+with a as (select event_id, {_ANSWERS} as t from events),
+b as (select event_id, regexp_extract_all(t, '"({_KEYS})"\s*:\s*"', 1) as names, regexp_split_to_array(t, '{_FIELD}')[2:] as pieces from a),
+c as (select event_id, unnest(names) as name, unnest(pieces) as piece, unnest(range(len(names))) = len(names) - 1 as last from b where len(names) > 0),
+d as (select event_id, name, case when last then regexp_replace(rtrim(regexp_replace(piece, '(?s)(```\s*|\}} and that is .*)$', '', 'g'), chr(10) || ' '), '\s*\}}$', '') else piece end as piece from c),
+e as (select event_id, name, replace(regexp_replace(rtrim(piece, ', ' || chr(10)), '"$', ''), chr(92) || '"', '"') as value from d),
+f as (select event_id, map_from_entries(list((name, value))) as m from e group by event_id)
+select event_id, {", ".join(f"coalesce(m['{n}'], '') as {n}" for n in J.REVIEW_FIELDS if n not in ("result", "verdict"))}, m['result'] as result,
+  coalesce(m['verdict'], case m['result'] when '高风险' then '建议高风险' else '建议低风险' end) as verdict from f where m['result'] in ('高风险', '低风险')
+""")
+def tolerant_answers(spark, sf):
+    """The fields of reviews whose texts hold unescaped quotes and braces: the state goes over quotes here, the SQL looks
+    for the names of the fields."""
+    found = F.filter(F.array(J.review_fields(F.expr(_ANSWERS))), lambda r: r.isNotNull())  # worked out once a row
+    return table(spark, sf, "events").select("event_id", F.inline(found))
