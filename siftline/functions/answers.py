@@ -66,7 +66,7 @@ def _quotes(pieces: Column) -> Column:
     """For each quote: the piece behind it, whether it is escaped, the sign before it, and what may end there."""
 
     def one(k: Column) -> Column:
-        return _with(F.struct(F.get(pieces, k).alias("before"), F.get(pieces, k + 1).alias("after"), F.ltrim(F.coalesce(F.get(pieces, k + 3), F.lit("")), F.lit(_BLANK)).alias("later")), told)
+        return _with(F.struct(F.get(pieces, k).alias("before"), F.get(pieces, k + 1).alias("after"), F.ltrim(F.coalesce(F.get(pieces, k + 3), F.lit("")), F.lit(_BLANK)).alias("later"), (k == F.size(pieces) - 2).alias("last")), told)
 
     def told(p: Column) -> Column:
         after = p["after"]
@@ -76,7 +76,7 @@ def _quotes(pieces: Column) -> Column:
             (F.length(F.regexp_extract(p["before"], r"(\\*)$", 1)) % 2 == 1).alias("escaped"),
             F.right(F.rtrim(p["before"], F.lit(_BLANK)), F.lit(1)).alias("sign"),
             after.rlike(r"^\s*:").alias("key_ends"),
-            (after.rlike(r"^\s*,?\s*\}") | (bare_comma & p["later"].startswith(":"))).alias("object_ends"),
+            (after.rlike(r"^\s*,?\s*\}") | (bare_comma & (p["last"] | p["later"].startswith(":")))).alias("object_ends"),
             (after.rlike(r"^\s*\]|^\s*,\s*[-\dtfn{\[\]]") | bare_comma).alias("array_ends"),
         )
 
