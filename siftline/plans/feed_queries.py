@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as J
 from ..session import table
 from ..sources import bundle_source as BS
+from ..streaming import monitor as M
 from .queries import _shared, query
 
 
@@ -60,3 +61,94 @@ def tolerant_answers(spark, sf):
     for the names of the fields."""
     found = F.filter(F.array(J.review_fields(F.expr(_ANSWERS))), lambda r: r.isNotNull())  # worked out once a row
     return table(spark, sf, "events").select("event_id", F.inline(found))
+
+
+@query("""
+with recursive w as (select epoch_ms(max(ts)) - 3600000 as w from events),
+e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by epoch_us(ts), event_id) as i from events, w where epoch_us(ts) // 1000 <= w.w),
+f(user_id, i, event_id, action, us, held, attempts) as (
+  select user_id, i, event_id, 'claim', us, us, 1 from e where i = 1
+  union all
+  select user_id, i, event_id, case when fresh then 'claim' when us - held <= 21600000000 then 'busy' when attempts >= 2 then 'give up' else 'retry' end, us,
+    case when fresh or (us - held > 21600000000 and attempts < 2) then us else held end, case when fresh then 1 when us - held > 21600000000 and attempts < 2 then attempts + 1 else attempts end
+  from (select e.user_id, e.i, e.event_id, e.us, f.held, f.attempts, e.us - f.held > 21600000000 + 259200000000 as fresh from f join e on e.user_id = f.user_id and e.i = f.i + 1)
+)
+select user_id, event_id, action, us from f
+union all select user_id, event_id, 'stale', us + 21600000000 from f, w where action in ('claim', 'retry') and (us + 21600000000) // 1000 + 1 <= w.w
+""")
+def stream_claim_timers(spark, sf):
+    """Claims that go stale by a timer of the stream's state, for all events that the watermark has passed."""
+    base = _folder(spark, "claim-timers")
+    out = M.claims_with_timers(M.event_stream(M.with_state_store(spark), f"{sf}/events*.parquet", table(spark, sf, "events").schema))
+    M.run_available(out, f"{base}/out", f"{base}/state")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def _stages(spark, sf, late: bool) -> list[DataFrame]:
+    """Events in four stages by their number; with ``late``, one in eleven arrives a stage after its neighbours."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    stage = F.floor(F.col("event_id") * 4 / (most + 1)).cast("int")
+    stage = F.least(stage + (F.col("event_id") % 11 == 3).cast("int"), F.lit(3)) if late else stage
+    staged = e.withColumn("stage", stage)
+    return [staged.where(F.col("stage") == k).drop("stage") for k in range(4)]
+
+
+_STAGED = """
+s as (select *, least(event_id * 4 // (select max(event_id) + 1 from events) + case when event_id % 11 = 3 then 1 else 0 end, 3)::int as stage, date_trunc('day', ts) as start from events),
+k as (select unnest(range(4))::int as stage),
+w as (select k.stage, coalesce(max(epoch_ms(s.ts)) - 86400000, 0) as mark from k left join s on s.stage < k.stage group by 1),
+last as (select max(epoch_ms(ts)) - 86400000 as mark from s),
+j as (select s.*, epoch_ms(start) + 86400000 <= w.mark as dropped from s join w using (stage))
+"""
+
+
+@query(f"""
+with {_STAGED}
+select 'window' as kind, -1 as stage, start, event_type, count(*) as n from j, last where not dropped and epoch_ms(start) + 86400000 <= last.mark group by all
+union all select 'late', stage, start, event_type, count(*) from j where dropped group by all
+""")
+def stream_late_windows(spark, sf):
+    """Daily counts of a feed that arrives in four stages with late rows: the windows that the stream has closed, and
+    the rows that came after their window was closed, by stage."""
+    base, stages = _folder(spark, "late"), _stages(spark, sf, late=True)
+    counts = lambda e: M.tumbling(e, late="1 day").drop("total")
+    marks = M.run_staged(M.with_state_store(spark), stages, counts, base)
+    closed = spark.read.schema("start timestamp, event_type string, n long").parquet(f"{base}/out").select(F.lit("window").alias("kind"), F.lit(-1).alias("stage"), "start", "event_type", "n")
+    return closed.unionByName(M.late_rows(stages, marks, "1 day").withColumn("kind", F.lit("late")))
+
+
+@query("""
+with g as (select user_id, ts, coalesce(ts - lag(ts) over w >= interval '6 hours', true) as opens from events window w as (partition by user_id order by ts)),
+s as (select *, sum(opens::int) over (partition by user_id order by ts) as k from g),
+z as (select user_id, min(ts) as start, max(ts) + interval '6 hours' as "end", count(*) as n from s group by user_id, k)
+select user_id, start, "end", n from z where epoch_ms("end") <= (select max(epoch_ms(ts)) - 3600000 from events)
+""")
+def stream_sessions(spark, sf):
+    """Sessions of users on a feed of four stages: those that no later row can prolong."""
+    base = _folder(spark, "sessions")
+    M.run_staged(M.with_state_store(spark), _stages(spark, sf, late=False), M.sessions, base)
+    return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{base}/out")
+
+
+_RUNNING = """
+w as (select user_id % 4 as feed, date_trunc('day', ts) as start, count(*) as n, count(*) filter (event_type = 'error') as bad from events group by all),
+r as (select *, sum(n) over u::bigint as run_n, sum(bad) over u::bigint as run_bad from w window u as (partition by feed order by start)),
+o as (select *, run_n >= 50 and run_bad > 0.18 * run_n as over from r)
+select feed, start, n, bad, run_n, run_bad, over, over and sum(over::int) over (partition by feed order by start) = 1 as first from o
+"""
+
+
+@query(f"with {_RUNNING}")
+def running_rate(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return M.running_rate(e, F.col("user_id") % 4, F.col("event_type") == "error", most=0.18)
+
+
+@query(f"select * from (with {_RUNNING}) where epoch_ms(start) + 86400000 <= (select max(epoch_ms(ts)) - 3600000 from events)")
+def stream_running_rate(spark, sf):
+    """The running rate of four feeds, kept over the stages of a stream, for the windows that it has closed."""
+    base = _folder(spark, "rate")
+    rate = lambda e: M.running_rate(e, F.col("user_id") % 4, F.col("event_type") == "error", most=0.18)
+    M.run_staged(M.with_state_store(spark), _stages(spark, sf, late=False), rate, base)
+    return spark.read.schema(M._RATE).parquet(f"{base}/out")

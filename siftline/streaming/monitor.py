@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 
@@ -126,3 +130,165 @@ def claims(events: DataFrame, stale_seconds: int = 21_600, most_attempts: int =
     return events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("user_id").applyInPandasWithState(
         step, "user_id long, event_id long, action string", "at long, attempts int", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """State with timers needs the store that keeps it on disk; set for the session where another one is."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+class Claims(StatefulProcessor):
+    """Claims on a key in order of event time, whatever the order in which its events arrive.
+
+    An event waits in the state under its time, with a timer, and is dealt with when the watermark has passed it. A
+    claim is held for ``stale`` seconds; then its timer reopens it without any new event. A key whose last claim is
+    over for ``forget`` seconds more leaves no state behind. Times are microseconds; timers have milliseconds.
+    """
+
+    def __init__(self, stale: int, most_attempts: int, forget: int):
+        self.stale, self.most, self.forget = stale * 1_000_000, most_attempts, forget * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "events array<struct<us: long, id: long>>")
+        self.claim = handle.getValueState("claim", "at long, id long, attempts int, open boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            ms = row.us // 1000
+            events = self.waiting.getValue((ms,))[0] if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), ([*events, (row.us, row.event_id)],))
+            self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        at, id_, attempts, open_ = self.claim.get() if self.claim.exists() else (None, None, 0, False)
+        before = (at, id_, attempts, open_)
+        due = sorted(tuple(e) for e in self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+        if due:
+            self.waiting.removeKey((ms,))
+        for now, event in [*due, (ms * 1000, None)]:
+            if open_ and now > at + self.stale:
+                open_ = False
+                yield self.row(key, id_, "stale", at + self.stale)
+            if at is not None and now > at + self.stale + self.forget:
+                at, id_, attempts = None, None, 0
+            if event is None:
+                break
+            if open_:
+                action = "busy"
+            elif attempts >= self.most:
+                action = "give up"
+            else:
+                action = "claim" if attempts == 0 else "retry"
+                at, id_, attempts, open_ = now, event, attempts + 1, True
+                for later in (at + self.stale, at + self.stale + self.forget):
+                    self.handle.registerTimer(later // 1000 + 1)
+            yield self.row(key, event, action, now)
+        if open_ and self.over((at + self.stale) // 1000 + 1, timerValues):
+            open_ = False
+            yield self.row(key, id_, "stale", at + self.stale)
+        if at is not None and self.over((at + self.stale + self.forget) // 1000 + 1, timerValues):
+            at = None
+        if at is None:
+            self.claim.clear()
+        elif (at, id_, attempts, open_) != before:
+            self.claim.update((at, id_, attempts, open_))
+
+    def over(self, ms: int, timerValues) -> bool:
+        """Whether a time has passed already and no earlier event waits: its timer, set while timers go off, would
+        go off only in the next batch."""
+        return ms <= timerValues.getCurrentWatermarkInMs() and all(waiting > ms for (waiting,) in self.waiting.keys())
+
+    def row(self, key, event: int, action: str, us: int) -> Row:
+        return Row(user_id=key[0], event_id=event, action=action, us=us)
+
+    def close(self) -> None:
+        pass
+
+
+def claims_with_timers(events: DataFrame, stale_seconds: int = 21_600, most_attempts: int = 2, forget_seconds: int = 259_200, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_id, action, us): what becomes of each event that the watermark has passed (claim, retry, busy, give
+    up), and ``stale`` with the claim's event when a claim reopens by itself; us are microseconds since 1970.
+
+    Events later than ``late`` behind the newest are dropped, as the watermark says. A key's state is its waiting events
+    and one claim, and is gone ``forget_seconds`` after the last claim went stale. A hot key's events stream through the
+    state store one by one; none are gathered in memory but those of one millisecond.
+    """
+    at = F.col("ts").cast("timestamp")
+    e = events.select("user_id", "event_id", F.unix_micros(at).alias("us"), at.alias("ts")).withWatermark("ts", late)
+    return e.groupBy("user_id").transformWithState(Claims(stale_seconds, most_attempts, forget_seconds), "user_id long, event_id long, action string, us long", "Append", "EventTime")
+
+
+def run_staged(spark: SparkSession, stages: list[DataFrame], build: Callable[[DataFrame], DataFrame], base: str) -> list[int]:
+    """Let ``stages`` arrive one after another in a folder below ``base``, run ``build`` over the file stream after each, and
+    write what it appends to ``base``/out. Returns the watermark that held when each stage was read, in milliseconds.
+
+    Every run goes on from the state that the one before it left. All stages need the same columns.
+    """
+    watermarks = []
+    for rows in stages:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        query = build(stream).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        read = next((p for p in query.recentProgress if p.numInputRows), None)
+        told = read.eventTime.get("watermark") if read else None
+        watermarks.append(int(datetime.fromisoformat(told.replace("Z", "+00:00")).timestamp() * 1000) if told else 0)
+    return watermarks
+
+
+def late_rows(stages: list[DataFrame], watermarks: list[int], width: str) -> DataFrame:
+    """Counts (stage, start, event_type, n) of the rows whose window the watermark had closed when their stage was read:
+    what a windowed aggregate drops without a word."""
+    found = None
+    for k, (rows, watermark) in enumerate(zip(stages, watermarks)):
+        w = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+        w = w.where(F.col("w.end") <= F.timestamp_millis(F.lit(watermark))).select(F.lit(k).alias("stage"), F.col("w.start").alias("start"), "event_type", "n")
+        found = w if found is None else found.unionByName(w)
+    return found
+
+
+class RunningRate(StatefulProcessor):
+    """Sums over a feed's windows in order of time: (n, bad) so far, and whether the feed has been told of."""
+
+    def __init__(self, most: float, least: int):
+        self.most, self.least = most, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "n long, bad long, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, bad, told = self.sums.get() if self.sums.exists() else (0, 0, False)
+        for row in sorted(rows, key=lambda r: r.start):  # windows that closed in this batch: a few
+            n, bad = n + row.n, bad + row.bad
+            over = n >= self.least and bad > self.most * n
+            yield Row(feed=key[0], start=row.start, n=row.n, bad=row.bad, run_n=n, run_bad=bad, over=over, first=over and not told)
+            told = told or over
+        self.sums.update((n, bad, told))
+
+    def close(self) -> None:
+        pass
+
+
+_RATE = "feed long, start timestamp, n long, bad long, run_n long, run_bad long, over boolean, first boolean"
+
+
+def running_rate(events: DataFrame, feed: Column, bad: Column, width: str = "1 day", most: float = 0.2, least: int = 50, late: str = "1 hour") -> DataFrame:
+    """(feed, start, n, bad, run_n, run_bad, over, first) of each window: the rate of ``bad`` rows over all windows of a
+    feed so far, whether it is over ``most`` once there are ``least`` rows, and the first window where it is.
+
+    A stream adds up closed windows in a state of three numbers for each feed; windows close in order, so what the
+    stream appends is what a batch finds. A batch has all windows.
+    """
+    e = events.withWatermark("ts", late) if events.isStreaming else events
+    w = e.groupBy(F.window("ts", width).alias("w"), feed.alias("feed")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    w = w.select("feed", F.col("w.start").alias("start"), F.window_time("w").alias("closed"), "n", "bad")
+    if events.isStreaming:
+        return w.groupBy("feed").transformWithState(RunningRate(most, least), _RATE, "Append", "None")
+    upto = Window.partitionBy("feed").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    sums = w.drop("closed").withColumn("run_n", F.sum("n").over(upto)).withColumn("run_bad", F.sum("bad").over(upto))
+    sums = sums.withColumn("over", (F.col("run_n") >= least) & (F.col("run_bad") > most * F.col("run_n")))
+    return sums.withColumn("first", F.col("over") & (F.sum(F.col("over").cast("int")).over(upto) == 1))
