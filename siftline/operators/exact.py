@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -29,73 +28,3 @@ def title_ratio(title: pd.Series, text: pd.Series, least: pd.Series) -> pd.Serie
         return best
 
     return pd.Series([one(a or "", b or "", x) for a, b, x in zip(title, text, least)])
-
-
-def _gamma_q(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma function."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 1000):
-            term *= x / (a + n)
-            total += term
-            if term < total * 1e-15:
-                break
-        return 1 - front * total
-    b, c = x + 1 - a, 1e300
-    d = 1 / b
-    h = d
-    for n in range(1, 1000):
-        an = -n * (n - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-def _beta_i(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_i(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    h = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or 1e-300)
-            c = 1 + num / c or 1e-300
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-def p_of(kind: str, value: float, df1: float, df2: float) -> float:
-    """Two-sided p of t and r, upper p of F and chi2."""
-    if kind == "chi2":
-        return _gamma_q(df1 / 2, value / 2)
-    if kind == "F":
-        return _beta_i(df2 / 2, df1 / 2, df2 / (df2 + df1 * value))
-    if kind == "r":
-        value, kind = value * math.sqrt(df1 / max(1e-300, 1 - value * value)), "t"
-    return _beta_i(df1 / 2, 0.5, df1 / (df1 + value * value))
-
-
-@F.pandas_udf(DoubleType())
-def p_value(kind: pd.Series, value: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    """Recomputed p of a reported statistic; null where it can't be computed."""
-
-    def one(k, v, a, b):
-        try:
-            return p_of(k, float(v), float(a), float(b) if b == b and b is not None else 0.0)
-        except (ValueError, TypeError, OverflowError, ZeroDivisionError):
-            return None
-
-    return pd.Series([one(*r) for r in zip(kind, value, df1, df2)], dtype="float64")

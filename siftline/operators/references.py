@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import Row
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import strings as S
+from ..session import importable
 
 HEADING = r"(?im)^\s*(?:references|bibliography|literature cited)\s*:?\s*$"
 
@@ -22,8 +28,6 @@ def references(docs: DataFrame, key: str, text: str) -> DataFrame:
     section = docs.select(key, reference_section(F.col(text)).alias("section")).where("section is not null")
     both = section.select(key, F.posexplode(F.arrays_zip(F.regexp_extract_all("section", F.lit(pattern), 1).alias("number"), F.regexp_extract_all("section", F.lit(pattern), 2).alias("body"))).alias("ord", "r"))
     rows = both.select(key, "ord", F.col("r.number").try_cast("int").alias("number"), F.trim(F.regexp_replace("r.body", r"\s+", " ")).alias("text"))
-    from pyspark.sql import Window
-
     before = F.max("number").over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("falls", F.col("number") <= before - 3)
     stop = F.min(F.when(F.col("falls"), F.col("ord"))).over(Window.partitionBy(key))
@@ -87,14 +91,92 @@ def verify() -> tuple[Column, Column]:
     return issue, severity
 
 
+def crawled_issues(refs: DataFrame, key: list[str], order: str, most_failures: int = 10) -> DataFrame:
+    """Issues of references from crawled pages, with the severities of that path, as columns issue, severity and status.
+
+    ``refs`` has number, text, doi, doi_valid, lookup_failed, title_similarity, matched and match_score. References
+    are looked up in ``order``; the look-ups of a key stop at the tenth failed one in a row among those with a DOI (what
+    has none, or an answer between, doesn't count as a failure, and only an answer to a DOI ends a row of them). From that
+    one on nothing is verified: no issues, status ``unverified``. References with neither DOI nor text have status
+    ``skipped``, the others ``checked``.
+    """
+    c = F.col
+    has_doi, has_text = F.coalesce(c("doi"), F.lit("")) != "", F.coalesce(c("text"), F.lit("")) != ""
+    upto = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    failed = has_doi & F.coalesce(c("lookup_failed"), F.lit(False))
+    d = refs.withColumn("_failed", failed).withColumn("_answers", F.count_if(has_doi & ~c("_failed")).over(upto))
+    streak = F.count_if("_failed").over(Window.partitionBy(*key, "_answers").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_streak", streak).withColumn("_over", F.coalesce(F.bool_or(c("_failed") & (c("_streak") >= most_failures)).over(upto), F.lit(False)))
+    status = F.when(c("_over"), "unverified").when(has_doi | has_text, "checked").otherwise("skipped")
+    valid = F.coalesce(c("doi_valid"), F.lit(False)) & ~c("_failed")
+    issue = (
+        F.when(c("_over"), None)
+        .when(has_doi & valid, F.when(has_text & (c("title_similarity") < 0.85), "title_mismatch"))
+        .when(has_doi, "doi_not_found")
+        .when(has_text & ~F.coalesce(c("matched"), F.lit(False)), "not_found")
+        .when(has_text & (F.coalesce(c("match_score"), F.lit(0.0)) < 50), "low_match_score")
+    )
+    severity = F.when(issue == "doi_not_found", "high").when(issue.isin("title_mismatch", "not_found"), "medium").when(issue == "low_match_score", "low")
+    return d.withColumn("issue", issue).withColumn("severity", severity).withColumn("status", status).drop("_failed", "_answers", "_streak", "_over")
+
+
+#: How a citation of an author-first list begins, and how a whole one looks.
+STARTS, YEAR, ENDS = r"^[A-Z][\w'’-]+,? (?:[A-Z]\.|[A-Z]{1,3}\b)", r"(?:19|20)\d{2}", r"[.\d]$"
+
+
+class CitationGroups:
+    """A table function over ``TABLE(lines) PARTITION BY key ORDER BY place``: the lines (key, place, line) of author-first
+    lists as citations (key, number, lines, text). It holds the lines of one citation at a time."""
+
+    _starts, _year, _ends = re.compile(STARTS, re.ASCII), re.compile(YEAR), re.compile(ENDS)
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+        from pyspark.sql.types import IntegerType, StringType, StructType
+
+        return AnalyzeResult(StructType().add(table.dataType[0].name, table.dataType[0].dataType).add("number", IntegerType()).add("lines", IntegerType()).add("text", StringType()))
+
+    def __init__(self):
+        self.key, self.number, self.held, self.has_year = None, 0, [], False
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        key, _, line = row[0], row[1], row[2]
+        self.key = key
+        if not line:
+            return
+        if self.held and self.has_year and self._ends.search(self.held[-1]) and self._starts.search(line):
+            yield self.citation()
+        self.held.append(line)
+        self.has_year = self.has_year or bool(self._year.search(line))
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.held:
+            yield self.citation()
+
+    def citation(self) -> tuple:
+        self.number += 1
+        out = self.key, self.number, len(self.held), " ".join(self.held)
+        self.held, self.has_year = [], False
+        return out
+
+
+def citations(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Citations of the lines (key, place, line) of each key in order of place; see CitationGroups."""
+    from pyspark.sql.functions import udtf
+
+    importable(spark).udtf.register("citation_groups", udtf(CitationGroups))
+    key, place, line = lines.columns
+    return spark.sql(f"select * from citation_groups(table(select `{key}`, `{place}`, `{line}` from {{lines}}) partition by `{key}` order by `{place}`)", lines=lines)
+
+
 def grouped_lines(lines: Column) -> Column:
     """Lines of an author-first list as citations: a line opens a new one if it looks like a start and what is
     held looks complete. The fold carries (done, held) over the ordered lines."""
     empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("held"))
 
     def step(a: Column, line: Column) -> Column:
-        starts = line.rlike(r"^[A-Z][\w'’-]+,? (?:[A-Z]\.|[A-Z]{1,3}\b)")
-        complete = a["held"].rlike(r"(?:19|20)\d{2}") & a["held"].rlike(r"[.\d]$")
+        starts = line.rlike(STARTS)
+        complete = a["held"].rlike(YEAR) & a["held"].rlike(ENDS)
         close = starts & complete
         return F.struct(F.when(close, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), F.when(close | (a["held"] == ""), line).otherwise(F.concat_ws(" ", a["held"], line)).alias("held"))
 

@@ -179,12 +179,12 @@ def test_page_readers(spark):
     assert [(r.number, r.doi, r.text) for r in pages.reference_items(df, "k", "h").collect()] == [(3, "10.1/a", "Ref one")]
 
 
-def test_exact_p_values():
-    from siftline.operators.exact import p_of
+def test_exact_p_values(spark):
+    from siftline.functions.tails import recomputed_p
 
-    assert abs(p_of("chi2", 15.5073, 8, 0) - 0.05) < 1e-5 and abs(p_of("chi2", 21.666, 9, 0) - 0.01) < 1e-5
-    assert abs(p_of("t", 2.228139, 10, 0) - 0.05) < 1e-5 and abs(p_of("F", 4.964603, 1, 10) - 0.05) < 1e-5
-    assert abs(p_of("r", 0.576, 10, 0) - 0.05) < 2e-3
+    rows = [("chi2", 15.5073, 8.0, 0.0, 0.05, 1e-5), ("chi2", 21.666, 9.0, 0.0, 0.01, 1e-5), ("t", 2.228139, 10.0, 0.0, 0.05, 1e-5), ("F", 4.964603, 1.0, 10.0, 0.05, 1e-5), ("r", 0.576, 10.0, 0.0, 0.05, 2e-3)]
+    df = spark.createDataFrame(rows, "kind string, x double, a double, b double, want double, near double")
+    assert all(abs(r.p - r.want) < r.near for r in df.withColumn("p", recomputed_p(F.col("kind"), F.col("x"), F.col("a"), F.col("b"))).collect())
 
 
 def test_picture_screens(spark):
