@@ -33,13 +33,15 @@ def words(text: Column) -> Column:
 
 
 def is_garbled(text: Column) -> Column:
-    """Words run together: over 20 letters on average, few spaces, or mostly words of over 15."""
+    """Words run together: over 20 letters on average, few spaces, or mostly words of over 15. A text of 20 or more
+    blanks is garbled too, a shorter text never is."""
     w = words(text)
     n = F.size(w)
     letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
     spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
     long_ = F.size(F.filter(w, lambda x: F.length(x) > 15))
-    return (n > 0) & ((letters > 20 * n) | (spaces < 0.04 * F.length(text)) | (2 * long_ > n))
+    run_together = (n == 0) | (letters > 20 * n) | (spaces < 0.04 * F.length(text)) | (2 * long_ > n)
+    return F.when(F.length(text) < 20, False).otherwise(run_together)
 
 
 def is_titleless(text: Column) -> Column:
@@ -117,6 +119,34 @@ PAGE_LINES = (
 )
 
 
+#: What running feet and a publisher's notice on personal data leave within lines.
+FRAGMENTS = (
+    r"[A-Z][A-Za-z.&\- ]{2,40}\|\s*Volume\s+\d+\s*\|[^\n]{0,60}",
+    r"Your privacy, your choice",
+    r"We and our \d+ partners[^.]*\.",
+    r"transfers to third parties[^.]*\.",
+    r"Some third parties are outside[^.]*\.",
+    r"(?:with varying|varying)? ?standards of data protection[^.]*\.",
+    r"advertising, personal, ?personalisation of content[^.]*\.",
+    r"advertising, personalisation of content[^.]*\.",
+    r"usage analysis,? and social[^.]*\.",
+    r"See our privacy policy[^.]*\.",
+    r"for further information and to change your choices[^.]*\.",
+)
+
+
+def without_fragments(text: Column) -> Column:
+    """A text with a blank for each fragment, one kind after the other."""
+    for fragment in FRAGMENTS:
+        text = F.regexp_replace(text, "(?i)" + fragment, " ")
+    return text
+
+
+def without_running_text(text: Column, own_doi: Column) -> Column:
+    """A text without the lines, heads and fragments that come from the page around it."""
+    return without_fragments(without_own_doi(without_page_lines(text), own_doi))
+
+
 def without_page_lines(text: Column) -> Column:
     """A text without the lines that come from running heads, footers and notices."""
     kept = F.filter(F.split(text, "\n"), lambda line: ~line.rlike("(?i)" + "|".join(PAGE_LINES)))

@@ -72,7 +72,12 @@ def benford(vectors: DataFrame, keys: list[str], least: int = 100) -> DataFrame:
     """Chi-square of first digits against Benford's law, flagged below p = .05."""
     d = vectors.where("v <> 0").withColumn("digit", N.first_digit(F.col("v")))
     counts = [F.count_if(F.col("digit") == k).alias(f"d{k}") for k in range(1, 10)]
-    a = d.groupBy(*keys).agg(F.count("*").alias("n"), *counts).where(F.col("n") >= least)
+    return benford_of(d.groupBy(*keys).agg(F.count("*").alias("n"), *counts), least)
+
+
+def benford_of(counts: DataFrame, least: int = 100) -> DataFrame:
+    """The same from counts: n, d1, ..., d9."""
+    a = counts.where(F.col("n") >= least)
     chi = F.lit(0.0)
     for k in range(1, 10):
         want = F.col("n") * F.log10(F.lit(1 + 1 / k))

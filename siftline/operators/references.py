@@ -39,11 +39,12 @@ def normal(text: Column) -> Column:
 
 
 def title_coverage(title: Column, text: Column) -> Column:
-    """1 if the normalised text holds the title, else the share of the title's longer words in the text."""
+    """1 if the normalised text holds the title, else the share of the title's longer words, each as often as it stands
+    there, that the text has; 0 for a title without letters and digits."""
     t, x = normal(title), normal(text)
-    long_words = F.array_distinct(F.filter(F.split(t, " "), lambda w: F.length(w) > 2))
-    found = F.size(F.array_intersect(long_words, F.split(x, " ")))
-    return F.when(F.contains(x, t), 1.0).otherwise(F.coalesce(F.try_divide(found, F.size(long_words)), F.lit(0.0)))
+    long_words = F.filter(F.split(t, " "), lambda w: F.length(w) > 2)
+    found = F.size(F.filter(long_words, lambda w: F.array_contains(F.split(x, " "), w)))
+    return F.when(t == "", 0.0).when(F.contains(x, t), 1.0).otherwise(F.coalesce(F.try_divide(found, F.size(long_words)), F.lit(0.0)))
 
 
 def best_works(refs: DataFrame, works: DataFrame, ref: str, work: str, top: int = 1) -> DataFrame:
@@ -120,15 +121,22 @@ def crawled_issues(refs: DataFrame, key: list[str], order: str, most_failures: i
     return d.withColumn("issue", issue).withColumn("severity", severity).withColumn("status", status).drop("_failed", "_answers", "_streak", "_over")
 
 
-#: How a citation of an author-first list begins, and how a whole one looks.
-STARTS, YEAR, ENDS = r"^[A-Z][\w'’-]+,? (?:[A-Z]\.|[A-Z]{1,3}\b)", r"(?:19|20)\d{2}", r"[.\d]$"
+#: How a line begins a citation of an author-first list, and what a whole one has: a DOI, or a year in
+#: brackets and pages at the end.
+STARTS = (r"^[A-Z][A-Za-z'`-]+,?\s+[A-Z]", r"^(?:van|von|de|del|della|di|da|le|la)\s+[A-Z]")
+WHOLE_DOI = r"(?i)(?:doi[:\s]|https?://doi\.org/)\s*10\.\d{4,}/"
+WHOLE_YEAR, WHOLE_PAGES = r"\(\d{4}\)", r"\d+\s*[-–]\s*\d+\.?\s*$"
 
 
 class CitationGroups:
     """A table function over ``TABLE(lines) PARTITION BY key ORDER BY place``: the lines (key, place, line) of author-first
-    lists as citations (key, number, lines, text). It holds the lines of one citation at a time."""
+    lists as citations (key, number, lines, text). It holds the lines of one citation at a time.
 
-    _starts, _year, _ends = re.compile(STARTS, re.ASCII), re.compile(YEAR), re.compile(ENDS)
+    A line that begins like a citation ends the one before it, if that looks whole. Blank lines count for nothing.
+    """
+
+    _starts = re.compile("|".join(STARTS), re.ASCII)
+    _doi, _year, _pages = (re.compile(x, re.ASCII) for x in (WHOLE_DOI, WHOLE_YEAR, WHOLE_PAGES))
 
     @staticmethod
     def analyze(table: AnalyzeArgument) -> AnalyzeResult:
@@ -137,18 +145,21 @@ class CitationGroups:
         return AnalyzeResult(StructType().add(table.dataType[0].name, table.dataType[0].dataType).add("number", IntegerType()).add("lines", IntegerType()).add("text", StringType()))
 
     def __init__(self):
-        self.key, self.number, self.held, self.has_year = None, 0, [], False
+        self.key, self.number, self.held, self.has_doi, self.has_year = None, 0, [], False, False
 
     def eval(self, row: Row) -> Iterator[tuple]:
-        key, _, line = row[0], row[1], row[2]
-        self.key = key
+        self.key, line = row[0], (row[2] or "").strip()
         if not line:
             return
-        if self.held and self.has_year and self._ends.search(self.held[-1]) and self._starts.search(line):
+        if self.held and self._starts.search(line) and self.whole():
             yield self.citation()
         self.held.append(line)
+        self.has_doi = self.has_doi or bool(self._doi.search(" ".join(self.held[-2:])))  # a DOI may be cut at a line's end
         self.has_year = self.has_year or bool(self._year.search(line))
 
+    def whole(self) -> bool:
+        return self.has_doi or self.has_year and bool(self._pages.search(" ".join(self.held[-3:])))
+
     def terminate(self) -> Iterator[tuple]:
         if self.held:
             yield self.citation()
@@ -156,7 +167,7 @@ class CitationGroups:
     def citation(self) -> tuple:
         self.number += 1
         out = self.key, self.number, len(self.held), " ".join(self.held)
-        self.held, self.has_year = [], False
+        self.held, self.has_doi, self.has_year = [], False, False
         return out
 
 
@@ -175,8 +186,8 @@ def grouped_lines(lines: Column) -> Column:
     empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("held"))
 
     def step(a: Column, line: Column) -> Column:
-        starts = line.rlike(STARTS)
-        complete = a["held"].rlike(YEAR) & a["held"].rlike(ENDS)
+        starts = line.rlike("|".join(STARTS))
+        complete = a["held"].rlike(WHOLE_DOI) | (a["held"].rlike(WHOLE_YEAR) & a["held"].rlike(WHOLE_PAGES))
         close = starts & complete
         return F.struct(F.when(close, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), F.when(close | (a["held"] == ""), line).otherwise(F.concat_ws(" ", a["held"], line)).alias("held"))
 

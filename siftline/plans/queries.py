@@ -548,7 +548,7 @@ def html_text(spark, sf):
 @query("""
 with w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents),
 c as (select doc_id, len(w) as n, list_sum(list_transform(w, lambda x: length(x))) as letters, length(text) - length(replace(text, ' ', '')) as spaces, len(list_filter(w, lambda x: length(x) > 15)) as longs, length(text) as chars from w)
-select doc_id, n > 0 and (letters > 20 * n or spaces < 0.04 * chars or 2 * longs > n) as garbled from c
+select doc_id, chars >= 20 and (n = 0 or letters > 20 * n or spaces < 0.04 * chars or 2 * longs > n) as garbled from c
 """)
 def garbled_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(S.is_garbled(F.col("text")), F.lit(False)).alias("garbled"))
@@ -702,10 +702,11 @@ def p_values(spark, sf):
 
 @query()
 def citation_groups(spark, sf):
-    """Citations of author-first lists: the sentences of a document as lines."""
-    docs = table(spark, sf, "documents")
-    lines = F.filter(F.split("text", r"(?<=\.)\s+|\n"), lambda x: x != "")
-    return docs.select("doc_id", F.size(lines).alias("n_lines"), F.size(X.grouped_lines(lines)).alias("n_groups"))
+    """Citations of author-first lists by a fold over the sentences of a document as lines."""
+    from .rule_queries import citation_lines
+
+    lines = citation_lines(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("lines"))
+    return lines.select("doc_id", F.size("lines").alias("n_lines"), F.size(X.grouped_lines(F.col("lines"))).alias("n_groups"))
 
 
 @query("""

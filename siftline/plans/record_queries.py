@@ -134,11 +134,13 @@ g as (select l_suppkey, count(*) as n, {_POOLED} from (select l_suppkey, left(pr
 h as (select l_suppkey, {_CHI} as chi from g),
 pair as (select x.l_suppkey, x.col_name as a, y.col_name as b, count(*) as n, count(*) filter (round_even(x.v, 8) = round_even(y.v, 8)) / count(*) as share, regr_slope(y.v, x.v) as slope, regr_intercept(y.v, x.v) as icpt, regr_r2(y.v, x.v) as r2, stddev_pop(x.v) as sa, stddev_pop(y.v) as sb
   from kept x join kept y on x.l_suppkey = y.l_suppkey and x.pos = y.pos and x.col_name < y.col_name group by all),
+fv as (select distinct l_suppkey, col_name, v from kept where length(rtrim(split_part(v::varchar, '.', 2), '0')) >= 6),
+fine as (select x.l_suppkey, x.col_name as a, y.col_name as b, count(*) as fine from fv x join fv y on x.l_suppkey = y.l_suppkey and x.v = y.v and x.col_name < y.col_name group by all),
 all_findings as (
   select s.l_suppkey, s.col_name, null as other, test, severity, figure from single s join b using (l_suppkey, col_name) where b.measure and b.n >= 3
   union all select l_suppkey, null, null, 'benfords_law', 'medium', exp(-chi / 2) * (1 + chi / 2 + (chi / 2) ** 2 / 2 + (chi / 2) ** 3 / 6) from h where chi > 15.5073
-  union all select l_suppkey, a, b, 'cross_group_duplicate', case when share >= 0.95 then 'high' when share >= 0.8 then 'medium' else 'low' end, share from pair where n >= 3 and share > 0.5
-  union all select l_suppkey, a, b, 'linear_dependency', case when abs(slope - 1) < 1e-3 and abs(icpt) >= 1 and abs(icpt - round_even(icpt, 0)) < 1e-3 then 'high' when r2 > 0.99999 then 'medium' else 'low' end, r2 from pair where n >= 50 and sa > 1e-10 and sb > 1e-10 and r2 > 0.9999)"""
+  union all select l_suppkey, a, b, 'cross_group_duplicate', case when share >= 0.95 then 'high' when share >= 0.8 or fine >= 3 then 'medium' else 'low' end, share from pair left join fine using (l_suppkey, a, b) where n >= 3 and share > 0.5
+  union all select l_suppkey, a, b, 'linear_dependency', case when abs(slope - 1) < 0.01 and abs(icpt) >= 1 and abs(icpt - round_even(icpt, 0)) < 0.5 then 'high' when r2 > 0.99999 then 'medium' else 'low' end, r2 from pair where n >= 50 and sa > 1e-10 and sb > 1e-10 and r2 > 0.9999)"""
 
 
 @query(f"{_SHEET} select l_suppkey, col_name, other, test, severity, round_even(figure, 5) as figure from all_findings")
@@ -146,6 +148,67 @@ def sheet_battery(spark, sf):
     return H.sheet_findings(_vectors(spark, sf), ["l_suppkey"], "col_name", 0.55).withColumn("figure", F.bround("figure", 5))
 
 
+#: Columns made of a sheet's own that reach the other branches: a line that is nearly an offset, agreement in six and in
+#: four rows of ten with and without fine decimals.
+_MADE = {
+    "quantity": "l_quantity",
+    "shifted": "1.005 * l_quantity + 7.2",
+    "price": "round(l_extendedprice / 7, 8)",
+    "price_six": "round(l_extendedprice / 7, 8) + case when l_orderkey % 10 < 6 then 0 else 1 end",
+    "price_four": "round(l_extendedprice / 7, 8) + case when l_orderkey % 10 < 4 then 0 else 1 end",
+    "quantity_six": "l_quantity + case when l_orderkey % 10 < 6 then 0 else 100.5 end",
+}
+
+
+@query(f"""
+with v as (select l_suppkey, col_name, v, row_number() over (partition by l_suppkey, col_name order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as pos
+  from (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, unnest({list(_MADE)}) as col_name, unnest([{", ".join(f"({x})::double" for x in _MADE.values())}]) as v from lineitem)),
+pair as (select x.l_suppkey, x.col_name as a, y.col_name as b, count(*) as n, count(*) filter (round_even(x.v, 8) = round_even(y.v, 8)) / count(*) as share, regr_slope(y.v, x.v) as slope, regr_intercept(y.v, x.v) as icpt, regr_r2(y.v, x.v) as r2
+  from v x join v y on x.l_suppkey = y.l_suppkey and x.pos = y.pos and x.col_name < y.col_name group by all),
+fv as (select distinct l_suppkey, col_name, v from v where length(rtrim(split_part(v::varchar, '.', 2), '0')) >= 6),
+fine as (select x.l_suppkey, x.col_name as a, y.col_name as b, count(*) as fine from fv x join fv y on x.l_suppkey = y.l_suppkey and x.v = y.v and x.col_name < y.col_name group by all)
+select l_suppkey, a as col_name, b as other, 'cross_group_duplicate' as test, case when share >= 0.95 then 'high' when share >= 0.8 or fine >= 3 then 'medium' else 'low' end as severity, round_even(share, 5) as figure
+from pair left join fine using (l_suppkey, a, b) where n >= 3 and share > 0.5
+union all select l_suppkey, a, b, 'linear_dependency', case when abs(slope - 1) < 0.01 and abs(icpt) >= 1 and abs(icpt - round_even(icpt, 0)) < 0.5 then 'high' when r2 > 0.99999 then 'medium' else 'low' end, round_even(r2, 5) from pair where n >= 50 and r2 > 0.9999
+""")
+def sheet_pairs(spark, sf):
+    """Pairs of columns that agree in part, with and without fine decimals, and one that is another plus an offset."""
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    made = table(spark, sf, "lineitem").select("l_suppkey", F.struct(*order).alias("pos"), *(F.expr(x).cast("double").alias(n) for n, x in _MADE.items()))
+    found = H.sheet_findings(made.unpivot(["l_suppkey", "pos"], list(_MADE), "col_name", "v"), ["l_suppkey"], "col_name", 0.55)
+    return found.where("other is not null").withColumn("figure", F.bround("figure", 5))
+
+
+_CROSS = """case l_suppkey % 5 when 0 then 'SNPs tree ' else 'sheet ' end || l_linestatus || l_returnflag"""
+
+
+@query(f"""
+with b as (select l_suppkey as file, {_CROSS} as sheet, l_discount, l_tax, row_number() over (partition by l_suppkey, l_linestatus, l_returnflag order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as pos from lineitem),
+v as (
+  select file, sheet, pos, unnest(['tax', 'fine', 'coarse', 'mostly', 'partly']) as name, unnest([l_tax, round((file * 37 + pos * pos % 101) / 7.0::double, 8), (file * 37 + pos * pos % 101)::double,
+    round((file * 37 + pos * pos % 103) / 8.0::double, 3) + case when pos % 20 = 0 then length(sheet) * pos + ascii(right(sheet, 1)) else 0 end, (file + pos * pos % 101 + case when pos % 4 = 0 then ascii(right(sheet, 1)) else 0 end)::double]) as v from b
+)
+select x.file, x.sheet as sheet_a, x.name as column_a, y.sheet as sheet_b, y.name as column_b, count(*) as n, count(*) filter (round_even(x.v, 8) = round_even(y.v, 8)) as matched,
+  case when count(*) filter (length(rtrim(split_part(x.v::varchar, '.', 2), '0')) >= 5) >= 2 then 'high' else 'medium' end as severity
+from v x join v y on x.file = y.file and x.pos = y.pos and x.sheet < y.sheet where x.file % 5 > 0
+group by all having count(*) >= 3 and count(*) filter (round_even(x.v, 8) = round_even(y.v, 8)) >= 0.9 * count(*) and max(x.v) > min(x.v)
+""")
+def cross_sheet_columns(spark, sf):
+    """Columns copied from sheet to sheet of a supplier's file, with the screen's guards and severities; the sheets of every
+    fifth file are of a kind that holds no measurements."""
+    part = ["l_suppkey", "l_linestatus", "l_returnflag"]
+    b = table(spark, sf, "lineitem").withColumn("pos", F.row_number().over(_window(part, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])).cast("long"))
+    b = b.select(F.col("l_suppkey").alias("file"), F.expr(_CROSS).alias("sheet"), "pos", "l_tax").withColumn("ord", F.ascii(F.reverse("sheet")) + 1000 * F.ascii(F.right("sheet", F.lit(2))))
+    own = F.ascii(F.right("sheet", F.lit(1)))
+    made = b.select(
+        "file", "sheet", "ord", "pos", F.col("l_tax").alias("tax"), F.expr("round((file * 37 + pos * pos % 101) / 7.0d, 8)").alias("fine"), F.expr("cast(file * 37 + pos * pos % 101 as double)").alias("coarse"),
+        (F.expr("round((file * 37 + pos * pos % 103) / 8.0d, 3)") + F.when(F.col("pos") % 20 == 0, F.length("sheet") * F.col("pos") + own).otherwise(0)).alias("mostly"),
+        (F.expr("file + pos * pos % 101") + F.when(F.col("pos") % 4 == 0, own).otherwise(0)).cast("double").alias("partly"),
+    )
+    v = made.unpivot(["file", "sheet", "ord", "pos"], ["tax", "fine", "coarse", "mostly", "partly"], "name", "v")
+    return H.cross_sheet_columns(v, "file", "sheet", "ord", "name").drop("ratio")
+
+
 @query("""
 with s as (select 'book ' || c_nationkey as file, c_name as sheet, c_custkey as ord from customer where c_custkey % 5 > 0 and floor(abs(c_acctbal)) <= 5000)
 select file, sheet_a, sheet_b, turn::int as turn from (select a.file, a.sheet as sheet_a, b.sheet as sheet_b, row_number() over (partition by a.file order by a.ord, b.ord) as turn from s a join s b on a.file = b.file and a.ord < b.ord) where turn <= 200

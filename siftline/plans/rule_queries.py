@@ -3,10 +3,13 @@ of several lines."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
 from ..functions import tails as T
 from ..operators import references as X
+from ..operators import structure as A
 from ..session import table
 from .queries import _SQL, query
 
@@ -85,28 +88,132 @@ def crawled_issues(spark, sf):
     return X.crawled_issues(refs, ["page"], "number").select("page", "number", "issue", "severity", "status")
 
 
-_LINES = r"""
-l as (select doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '\.[ \t\n\x0B\f\r]+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: x <> '')) as line,
-  unnest(range(1, 1 + len(list_filter(regexp_split_to_array(regexp_replace(text, '\.[ \t\n\x0B\f\r]+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: x <> '')))) as i from documents where text is not null),
-m as (select *, regexp_matches(line, '^[A-Z][\w''’-]+,? (?:[A-Z]\.|[A-Z]{1,3}\b)') as starts, regexp_matches(line, '(?:19|20)\d{2}') as has_year, regexp_matches(line, '[.\d]$') as ends from l),
-g(doc_id, i, number, has_year, ends) as (
-  select doc_id, i, 1, has_year, ends from m where i = 1
+#: Sentences of documents as lines; some begin or end as citations do, by their place.
+_LINE = """case place % 7 when 0 then 'Smith, A. ' || line when 2 then line || ' (2010). Sea 12, 34-56.' when 3 then 'van Dyke ' || line when 4 then line || ' doi:' when 5 then '10.1234/x ' || line when 6 then line || ' (1999) 7' else line end"""
+_LINES = rf"""
+r as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\.[ \t\n\x0B\f\r]+', '.' || chr(1), 'g'), '[\x01\n]'), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as ls from documents where text is not null),
+l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as place from r),
+m as (select doc_id, place, place + 1 as i, trim({_LINE}) as line from l),
+n as (select *, regexp_matches(line, '^[A-Z][A-Za-z''`-]+,?\s+[A-Z]|^(?:van|von|de|del|della|di|da|le|la)\s+[A-Z]') as starts, regexp_matches(line, '\(\d{{4}}\)') as has_year from m),
+g(doc_id, i, number, b2, b1, has_doi, has_year) as (
+  select doc_id, i, 1, '', line, regexp_matches(line, '(?i)(?:doi[:\s]|https?://doi\.org/)\s*10\.\d{{4,}}/'), has_year from n where i = 1
   union all
-  select m.doc_id, m.i, g.number + (case when m.starts and g.has_year and g.ends then 1 else 0 end), m.has_year or (g.has_year and not (m.starts and g.has_year and g.ends)), m.ends
-  from g join m on m.doc_id = g.doc_id and m.i = g.i + 1
+  select doc_id, i, number + case when ends then 1 else 0 end, case when ends then '' else b1 end, line,
+    case when ends then regexp_matches(line, '(?i)(?:doi[:\s]|https?://doi\.org/)\s*10\.\d{{4,}}/') else had_doi or regexp_matches(b1 || ' ' || line, '(?i)(?:doi[:\s]|https?://doi\.org/)\s*10\.\d{{4,}}/') end, has_year or (had_year and not ends)
+  from (select n.*, g.number, g.b1, g.has_doi as had_doi, g.has_year as had_year, n.starts and (g.has_doi or (g.has_year and regexp_matches(g.b2 || ' ' || g.b1, '\d+\s*[-–]\s*\d+\.?\s*$'))) as ends from g join n on n.doc_id = g.doc_id and n.i = g.i + 1)
 )
 """
 
 
+def citation_lines(spark, sf):
+    """(doc_id, place, line) of every document."""
+    text = F.transform(F.split("text", r"(?<=\.)\s+|\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.filter(text, lambda x: x != "")).alias("place", "line"))
+    return lines.select("doc_id", "place", F.trim(F.expr(_LINE)).alias("line"))
+
+
 @query(f"""
 with recursive {_LINES}
-select doc_id, number::int as number, count(*)::int as lines, sha256(string_agg(line, ' ' order by i)) as digest from g join m using (doc_id, i) group by doc_id, number
+select doc_id, number::int as number, count(*)::int as lines, sha256(string_agg(line, ' ' order by i)) as digest from g join n using (doc_id, i) group by doc_id, number
 """)
 def citation_rows(spark, sf):
     """The citations of author-first lists, by a table function over the sentences of every document in order."""
-    text = F.split("text", r"(?<=\.)\s+|\n")
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.filter(text, lambda x: x != "")).alias("place", "line"))
-    return X.citations(spark, lines).select("doc_id", "number", "lines", F.sha2("text", 256).alias("digest"))
+    return X.citations(spark, citation_lines(spark, sf)).select("doc_id", "number", "lines", F.sha2("text", 256).alias("digest"))
 
 
 _SQL["citation_groups"] = f"with recursive {_LINES} select doc_id, count(*)::int as n_lines, max(number)::int as n_groups from g group by doc_id"
+
+
+#: Pieces of documents of up to 39 characters, as they are, without blanks, and blanks alone.
+_PIECES = "case doc_id % 4 when 0 then left(text, cast(doc_id % 40 as int)) when 1 then left(replace(text, ' ', ''), cast(doc_id % 40 as int)) when 2 then repeat(' ', cast(doc_id % 40 as int)) else left(text, cast(20 + doc_id % 20 as int)) || repeat('x', cast(doc_id % 30 as int)) end"
+
+
+@query(rf"""
+with p as (select doc_id, {_PIECES} as t from documents where text is not null),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from p)
+select doc_id, case when length(t) < 20 then false when len(w) = 0 then true else
+  list_sum(list_transform(w, lambda x: length(x))) / len(w) > 20 or (length(t) - length(replace(t, ' ', ''))) / length(t) < 0.04 or len(list_filter(w, lambda x: length(x) > 15)) / len(w) > 0.5 end as garbled from w
+""")
+def garbled_pieces(spark, sf):
+    """Short pieces of texts, blanks and words run together."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", S.is_garbled(F.expr(_PIECES)).alias("garbled"))
+
+
+#: What a page leaves in its text, within lines and as lines, by the number of the document.
+_INSERTS = (
+    "Nature Reviews | Volume 12 | January 2020", "Your privacy, your choice", "We and our 200 partners store what we like on this device. ", "and transfers to third parties of all kinds. ", "some third parties are outside of the area. ",
+    "with varying standards of data protection there. ", "advertising, personalisation of content and more. ", "usage analysis, and social media. ", "Article https://doi.org/10.1/own(2) ", "https://doi.org/10.1/other", "see our privacy policy. ", "Publisher’s note",
+)
+_INSERT = "case doc_id % 24 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(_INSERTS)) + " when 12 then chr(10) || 'x | Volume 3 | y' || chr(10) when 13 then chr(10) || 'https://doi.org/10.1/line  ' || chr(10) else '' end"
+_SOILED = f"left(text, cast(300 + doc_id % 50 as int)) || {_INSERT} || substr(text, cast(301 + doc_id % 50 as int))"
+_SQL_FRAGMENTS = "t"
+for _fragment in S.FRAGMENTS:
+    _SQL_FRAGMENTS = f"regexp_replace({_SQL_FRAGMENTS}, '(?i){_fragment}', ' ', 'g')"
+
+
+@query(rf"""
+with s as (select doc_id, {_SOILED} as t from documents where text is not null),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: not regexp_matches(x, '(?i){"|".join(S.PAGE_LINES)}')) as kept from s),
+o as (select doc_id, regexp_replace(array_to_string(kept, chr(10)), '(?i)\bArticle\s+https?://doi\.org/10\.1/own\(2\)', ' ', 'g') as t from l),
+c as (select doc_id, {_SQL_FRAGMENTS} as t from o)
+select doc_id, length(t)::int as n, sha256(t) as digest from c
+""")
+def page_text(spark, sf):
+    """Documents into which running heads, feet and notices were put, without them again."""
+    clean = S.without_running_text(F.expr(_SOILED), F.lit("10.1/own(2)"))
+    found = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.array(clean)).alias("t"))  # worked out once a row
+    return found.select("doc_id", F.length("t").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, regexp_replace(lower(l_returnflag || l_linestatus), '[^a-z0-9]+', '', 'g') as key, length(rtrim(split_part(l_extendedprice::varchar, '.', 2), '0'))::int as decimals,
+  case when l_linenumber % 2 = 0 then 5 else 7 end as small_decimals from lineitem
+""")
+def sql_text_functions(spark, sf):
+    """The other rules called from SQL: keys of texts, and decimals of numbers that print with an exponent too."""
+    from ..functions import sql
+
+    sql.register(spark)
+    li = table(spark, sf, "lineitem")
+    return li.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "sift_key(l_returnflag || l_linestatus) as key", "sift_decimals(l_extendedprice) as decimals", "sift_decimals(case when l_linenumber % 2 = 0 then 0.00001d * (l_linenumber - l_linenumber + 1) else 0.0000012d end) as small_decimals")
+
+
+#: Lines of structure files: records by columns and by blanks, records that are neither, and models, by the line's number.
+_PLACE = "l_orderkey * 10 + l_linenumber"
+_RECORD = """case when l_linenumber = 1 and l_orderkey % 40 = 0 then case when l_orderkey % 80 = 0 then 'MODEL     ' || cast(l_orderkey % 7 as varchar(9)) else 'MODEL' end
+  when l_linenumber % 7 = 5 then 'HETATM ' || cast(l_orderkey as varchar(9)) || ' CA ALA A ' || cast(l_partkey as varchar(9)) || ' ' || cast(cast(l_quantity as int) as varchar(9)) || '.5 0.0 1e1 ' || cast(cast(l_linenumber as int) % 3 as varchar(9)) || ' -2'
+  when l_linenumber % 7 = 6 then 'ATOM   ' || cast(l_orderkey as varchar(9)) || ' CA ALA'
+  else 'ATOM  ' || lpad(cast(l_orderkey % 100000 as varchar(9)), 5, ' ') || '  CA ' || ' ALA A' || lpad(cast(l_partkey % 10000 as varchar(9)), 4, ' ') || '    ' || lpad(cast(cast(l_quantity as int) % 9 as varchar(9)) || '.000', 8, ' ') || '   0.000' || lpad(cast(cast(l_quantity as int) % 3 as varchar(9)) || '.000', 8, ' ')
+    || case when l_linenumber % 7 = 3 then '            ' else lpad(cast(cast(l_linenumber as int) % 3 as varchar(9)) || '.00', 6, ' ') || lpad(cast(cast(l_quantity as int) - 2 as varchar(9)) || '.00', 6, ' ') end end"""
+
+
+@query(f"""
+with l as (select l_suppkey as file, l_linenumber % 7 as kind, row_number() over (partition by l_suppkey order by {_PLACE}, l_partkey, l_extendedprice, l_quantity) as place, l_orderkey, l_partkey, l_linenumber, l_quantity::int as q, {_RECORD} as t from lineitem),
+m as (select *, coalesce(last_value(case when t = 'MODEL' then place::varchar when starts_with(t, 'MODEL') then (l_orderkey % 7)::varchar end ignore nulls) over (partition by file order by place), '1') as model from l),
+a as (
+  select file, model, kind = 6 as malformed, case when kind = 5 then l_orderkey::varchar else (l_orderkey % 100000)::varchar end as serial,
+    case when kind = 5 then 'H' || l_partkey else 'A' || l_partkey % 10000 end as ident, case when kind = 5 then q + 0.5 else q % 9 end as x, case when kind = 5 then 10 else q % 3 end as z,
+    case when kind <> 3 then l_linenumber % 3 end as occ, case when kind = 5 then -2 when kind <> 3 then q - 2 end as b from m where not starts_with(t, 'MODEL')
+),
+k as (select * from a where not malformed),
+i as (select file, sum(n)::bigint as records, count(*) as g from (select file, count(*) as n from k group by file, model, ident having count(*) > 1) group by 1),
+s as (select file, sum(n)::bigint as records, count(*) as g from (select file, count(*) as n from k group by file, model, serial having count(*) > 1) group by 1),
+c as (select file, sum(n)::bigint as records, count(*) as g from (select file, count(*) as n from k group by file, model, x, z having count(*) > 1 and count(distinct ident) >= 2) group by 1),
+r as (select file, count(*) as n, count(*) filter (occ < 0 or occ > 1) as o, count(*) filter (b < 0) as b, count(*) filter (x = 0 and z = 0) as zero from k group by 1),
+w as (select file, count(*) filter (malformed) as bad, count(*) as n from a group by 1)
+select file, 'pdb_malformed_atom_records' as test, bad as records, case when bad >= 5 or bad / n >= 0.05 then 'medium' else 'low' end as severity from w where bad > 0
+union all select file, 'pdb_duplicate_atom_identity', records, case when records >= 10 or g >= 5 then 'high' else 'medium' end from i
+union all select file, 'pdb_duplicate_atom_serial', records, case when records >= 10 then 'medium' else 'low' end from s
+union all select file, 'pdb_duplicate_coordinates', records, case when records >= 20 or g >= 10 then 'high' else 'medium' end from c
+union all select file, 'pdb_invalid_occupancy', o, case when o >= 20 then 'high' else 'medium' end from r where o > 0
+union all select file, 'pdb_negative_bfactor', b, case when b >= 10 then 'medium' else 'low' end from r where b > 0
+union all select file, 'pdb_zero_coordinates', zero, case when zero >= 10 or zero / n >= 0.01 then 'high' else 'medium' end from r where zero >= 3
+""")
+def structure_files(spark, sf):
+    """Findings on structure files whose records stand in columns or between blanks, in several models, some of them broken:
+    each supplier's lines as one file."""
+    order = Window.partitionBy("file").orderBy(F.expr(_PLACE), "l_partkey", "l_extendedprice", "l_quantity")
+    lines = table(spark, sf, "lineitem").withColumn("file", F.col("l_suppkey")).withColumn("place", F.row_number().over(order)).select("file", "place", F.expr(_RECORD).alias("value"))
+    atoms = A.atoms(A.with_models(lines, "file", "place"))
+    found = A.duplicate_findings(atoms, "file").unionByName(A.range_findings(atoms, "file"), allowMissingColumns=True)
+    return found.unionByName(A.malformed_findings(atoms, "file"), allowMissingColumns=True).select("file", "test", "records", "severity")

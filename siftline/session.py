@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,5 +25,19 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df):
+    """Write ``df`` to the folder that all executors share and read it from there, so that it is worked out once.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset, a new one in local mode and an error on a cluster.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siftline-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")

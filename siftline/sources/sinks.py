@@ -38,3 +38,49 @@ def replaced(spark: SparkSession, df: DataFrame, folder: str) -> str:
     path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def _markers(spark: SparkSession, base: str):
+    """(file system, folder of the markers): one empty file for each version that is whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_versions")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the versions below ``base`` that are whole, oldest first."""
+    files, folder = _markers(spark, base)
+    return sorted(int(s.getPath().getName()) for s in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def publish(df: DataFrame, base: str, version: int) -> bool:
+    """Make ``df`` version ``version`` of the table below ``base``; False where that version is there already.
+
+    The data are written first and one empty marker last, which the file system creates whole or not at all: until
+    then, and after a write that failed, readers see the version before. A batch that is run again writes over what it
+    had left, or, once its marker stands, does nothing, so ``foreachBatch`` may hand over its batch number.
+    """
+    spark = df.sparkSession
+    if version in versions(spark, base):
+        return False
+    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{version}")
+    files, folder = _markers(spark, base)
+    files.create(spark._jvm.org.apache.hadoop.fs.Path(folder, str(version)), True).close()
+    return True
+
+
+def current(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """The newest whole version of the table below ``base``, or an older one; a reader keeps the one that it began with."""
+    there = versions(spark, base)
+    if not there or version is not None and version not in there:
+        raise ValueError(f"no version {'' if version is None else version} below {base}")
+    return spark.read.parquet(f"{base.rstrip('/')}/{there[-1] if version is None else version}")
+
+
+def drop_versions(spark: SparkSession, base: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest ``keep`` versions, the marker before the data; returns what went."""
+    files, folder = _markers(spark, base)
+    old = versions(spark, base)[: -keep or None]
+    for version in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, str(version)), False)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{version}"), True)
+    return old

@@ -155,3 +155,42 @@ def test_columns_by_place_and_last(spark):
     assert sorted((r.row_idx, r.a, r.b) for r in D.columns_by_place(c, ["sheet"], {"a": 3, "b": 0}).collect()) == [(1, "13", "10"), (2, "23", "20")]
     rows = spark.createDataFrame([("10.1/A", 1, "x"), ("10.1/a", 2, "y"), (" ", 3, "z")], "doi string, row_idx int, v string")
     assert [r.v for r in D.last_by(rows, "doi", "row_idx").collect()] == ["y"]
+
+
+def test_versions_are_seen_whole(spark, tmp_path):
+    from siftline.sources import sinks
+
+    base = str(tmp_path / "t")
+    one, two = spark.range(3), spark.range(5)
+    with pytest.raises(ValueError):
+        sinks.current(spark, base)
+    assert sinks.publish(one, base, 1) and sinks.current(spark, base).count() == 3
+    before = sinks.current(spark, base)
+    broken = two.withColumn("x", F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(broken, base, 2)
+    assert sinks.versions(spark, base) == [1] and sinks.current(spark, base).count() == 3  # amid a failed write
+    assert sinks.publish(two, base, 2) and not sinks.publish(one, base, 2)  # run again: nothing happens
+    assert sinks.current(spark, base).count() == 5 and before.count() == 3 and sinks.current(spark, base, 1).count() == 3
+    assert sinks.publish(spark.range(7), base, 10) and sinks.versions(spark, base) == [1, 2, 10]
+    assert sinks.drop_versions(spark, base, 2) == [1] and sinks.versions(spark, base) == [2, 10]
+
+
+def test_titles_and_short_texts(spark):
+    from siftline.operators import references as X
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    cover = lambda a, b: one(X.title_coverage(F.lit(a), F.lit(b)))
+    assert cover("deep deep deep blue", "in deep water") == 0.75 and cover("", "text") == 0.0 and cover("...", "text") == 0.0
+    assert cover("Deep-Blue", "so deep blue it is") == 1.0 and cover("of it", "nothing") == 0.0
+    assert [one(S.is_garbled(F.lit(t))) for t in ("nospaceword", "a", "", " " * 25, " " * 19, "x" * 20, "some words that stand apart")] == [False, False, False, True, False, True, False]
+
+
+def test_decimals_are_the_same_in_sql(spark):
+    from siftline.functions import numbers as N
+    from siftline.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(x,) for x in (1e-5, 1.5e-7, 1.25, 3.0, 1e10, 1.2345e9, 12345678.75, None, 0.1)], "v double")
+    got = df.select(F.expr("sift_decimals(v)").alias("a"), N.decimals(F.col("v")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and got[0].a == 5

@@ -208,7 +208,7 @@ def test_picture_screens(spark):
 
 
 def test_grouped_citations(spark):
-    lines = ["Lee, A. Deep sea tides.", "Journal of Seas 2001.", "Kim, B. Waves. 2003", "Roe, C. Winds"]
+    lines = ["Lee, A. Deep sea tides.", "Journal of Seas (2001). 3, 1-9.", "Kim, B. Waves. doi: 10.1234/x", "Roe, C. Winds"]
     got = spark.createDataFrame([(lines,)], "l array<string>").select(X.grouped_lines(F.col("l"))).first()[0]
     assert len(got) == 3 and got[0].startswith("Lee, A. Deep sea tides. Journal")
 
@@ -231,3 +231,18 @@ def test_metadata(spark):
     assert [r.t for r in D.reading_order(blocks, ["p"]).orderBy("ord").collect()] == ["l1", "l2", "r1", "r2"]
     names = spark.createDataFrame([("z", "p1/a.pdf"), ("z", "p2/b.csv"), ("y", "../x.exe")], "a string, path string")
     assert {r.a: (r.kind, r.errors) for r in D.archive_kind(names, "a", "path").collect()} == {"z": ("batch", []), "y": ("single", ["unsafe path", "forbidden: exe", "no PDF"])}
+
+
+def test_records_between_blanks_models_and_broken_ones(spark):
+    lines = [
+        "MODEL        2", "ATOM      1  CA  ALA A   1      11.104   6.134  -6.504  1.00  9.00", "ATOM   2 CA ALA A 7 1.5 2 -3e0 0.5 -1", "ATOM   3 CA ALA", "HETATM 4 CA ALA A 1 1 2 x", "HETATM 4 CA ALA A 1 0 0.0001 0",
+        "ENDMDL", "MODEL", "ATOM      1  CA  ALA A   1      11.104   6.134  -6.504            ", "TER", "ATOM      1  CA  ALA A   1      11.104   6.134  bad     1.00  9.00",
+    ]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "f int, place int, value string")
+    got = {r.place: r for r in A.atoms(A.with_models(df, "f", "place")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 8, 10} and {k for k, r in got.items() if r.malformed} == {3, 4, 10}
+    assert (got[2].x, got[2].z, got[2].b_factor) == (1.5, -3.0, -1.0)
+    assert (got[1].x, got[1].occupancy, got[1].model) == (11.104, 1.0, "2") and (got[8].occupancy, got[8].b_factor, got[8].model) == (None, None, "7")
+    assert A.malformed_findings(A.atoms(df), "f").first().severity == "medium"
+    assert A.duplicate_findings(A.atoms(A.with_models(df, "f", "place")), "f").count() == 0  # of each model apart
+    assert A.duplicate_findings(A.atoms(df), "f").count() > 0
