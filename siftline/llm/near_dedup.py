@@ -8,8 +8,10 @@ so that a link at it is missed with a chance below one in a thousand.
 Texts with equal sets are one node. In each partition nodes that share buckets are tied to the smallest of them,
 one tie a node, and a hot bucket sends on one row for each partition. Of the nodes that share a bucket only those
 stay that have enough shingles in common with any others. The clusters that remain are compared on their whole
-sets: small ones in one group, large ones in tiles, whose components then meet by representatives, and at last
-every node outside a cluster's largest component meets all of the cluster.
+sets: small ones in one group, large ones in tiles, whose components then meet by representatives. Where few
+nodes of a cluster are outside its largest component, they meet all of it at last. Where many are, nodes get longer
+keys, by the same tensored banding, and only those that share one of these buckets meet once more: so texts that are alike
+but not linked don't all meet each other.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from .exact_dedup import _LOWER
 from .hashing import BASE, SLICE, mix, stretches
 from .tokens import forget
 
-WORDS, DEPTH = 5, 3
-#: Nodes and shingles of one tile, about.
-TILE, TILE_GRAMS = 250, 1 << 20
+#: Minhashes of a key: at first, and of the longer keys within large clusters.
+WORDS, DEPTH, STEEP = 5, 3, 6
+#: Nodes and shingles of one tile, about, and so many tiles of nodes outside a cluster's largest component meet all of it.
+TILE, TILE_GRAMS, FEW = 250, 1 << 20, 4
 
 
 @dataclass(frozen=True)
@@ -37,15 +40,16 @@ class Banding:
     """What the threshold, in hundredths, decides."""
 
     percent: int
+    depth: int = DEPTH
 
     @property
     def side(self) -> int:
         """The fewest keys in each collection with which a link at the threshold is rarely missed."""
-        return next(n for n in range(1, 1000) if 2 * (1 - (self.percent / 100) ** DEPTH) ** n < 8e-4)
+        return next(n for n in range(1, 1000) if 2 * (1 - (self.percent / 100) ** self.depth) ** n < 8e-4)
 
     @property
     def hashes(self) -> int:
-        return 2 * self.side * DEPTH
+        return 2 * self.side * self.depth
 
 
 #: Nodes whose buckets one worker holds at once.
@@ -144,12 +148,21 @@ def side_keys(minima: np.ndarray, side: int) -> np.ndarray:
     """The 2 * side keys of each row: left ones, then right ones."""
     with np.errstate(over="ignore"):
         h = np.full((len(minima), 2 * side), 7, "u8")
-        parts = minima.reshape(len(minima), 2 * side, DEPTH)
-        for k in range(DEPTH):
+        depth = minima.shape[1] // (2 * side)
+        parts = minima.reshape(len(minima), 2 * side, depth)
+        for k in range(depth):
             h = mix(h * np.uint64(BASE) + parts[:, :, k])
     return h
 
 
+def tables(keys: np.ndarray, side: int) -> Iterator[np.ndarray]:
+    """The key of each row in each of the ``side ** 2`` tables, one table after the other."""
+    for i in range(side):
+        with np.errstate(over="ignore"):
+            table = mix(keys[:, i : i + 1] * np.uint64(BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
+        yield from table.T
+
+
 def _pack(grams: np.ndarray) -> bytes:
     return grams.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
 
@@ -229,19 +242,13 @@ def bucket_rows(nodes: DataFrame, side: int) -> DataFrame:
         if n:
             yield from rows(held)
 
-    def tables(keys: np.ndarray) -> Iterator[np.ndarray]:
-        for i in range(side):
-            with np.errstate(over="ignore"):
-                table = mix(keys[:, i : i + 1] * np.uint64(BASE) + keys[:, side:] + np.arange(side, dtype="u8") + np.uint64(side * i))
-            yield from table.T
-
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         node = np.concatenate([h[0] for h in held])
         keys = np.concatenate([h[1] for h in held])
         order = np.argsort(node)
         node, keys = node[order], keys[order]
         ties, buckets = set(), []
-        for table in tables(keys):
+        for table in tables(keys, side):
             key, first, which = np.unique(table, return_index=True, return_inverse=True)
             buckets.append((key, first.astype("i4")))
             other = np.flatnonzero(first[which] != np.arange(len(node)))
@@ -436,9 +443,9 @@ def confirmed(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     cluster, each confirmed on whole sets.
 
     A cluster of up to ``TILE`` nodes is one group. A larger one is dealt into tiles. The components of its tiles
-    are joined by their best linked nodes, each group of which holds the cluster's best linked one; then each node
-    outside the cluster's largest component meets all tiles. So two nodes of different labels always meet, and what
-    is shuffled is each set a few times, and those few nodes once for each tile.
+    are joined by their best linked nodes, each group of which holds the cluster's best linked one; then links that
+    still join two labels are looked for, see missed_links. What is shuffled is each set a few times, and those of large
+    clusters of many labels once for each bucket of longer keys that they share with another label.
     """
     sized = clusters.withColumnRenamed("label", "cluster").join(sets.select("node", "size"), "node")
     tiles = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_GRAMS)).alias("tiles")).select("cluster", F.least("tiles", F.lit(2**31 - 1)).alias("tiles"))
@@ -459,19 +466,74 @@ def confirmed(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     links = common.cut(both.join(grams, "node").select("cluster", "team", "label", "side", "grams").groupBy("cluster", "team").applyInArrow(_across(percent), "a long, b long"))
     joined = components(links)
     named = wide.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("cluster", "tile", "tiles", "node", F.coalesce("now", "label").alias("label"))
-    named = common.cut(named)
-    counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    large = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    open_ = large.select("cluster", "largest", F.ceil((F.col("all") - F.col("most")) / TILE).alias("chunks"))
-    named = named.join(open_, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    here = named.select("cluster", "tile", "node", "label", upto("chunks").alias("chunk"), F.lit(0).alias("side"))
-    there = named.where("label <> largest").select("cluster", "node", "label", "chunk", F.col("tile").alias("own"), upto("tiles").alias("tile"), F.lit(1).alias("side")).where("tile <> own").drop("own")
-    rest = here.unionByName(there).join(grams, "node").select("cluster", "tile", "chunk", "label", "side", "grams").groupBy("cluster", "tile", "chunk").applyInArrow(_across(percent), "a long, b long")
+    named = common.cut(named.select("cluster", "node", "label").join(sets.select("node", "size"), "node"))
+    rest = missed_links(named, grams, percent)
     final = components(links.unionByName(rest)).select(F.col("node").alias("label"), F.col("label").alias("now"))
     return out.join(final, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
 
 
+def groups_of(named: DataFrame, group: str) -> DataFrame:
+    """For each ``group`` of nodes (group, node, label, size) with several labels: the label of most nodes (``largest``), how
+    many nodes there are (``all``) and how many have another one (``out``), the tiles and chunks that they make, and the
+    sets that a comparison would move."""
+    counts = named.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    large = counts.groupBy(group).agg(
+        F.max_by("label", F.struct("n", F.negative("label"))).alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("out"),
+        F.sum("grams").alias("all_grams"), (F.sum("grams") - F.max_by("grams", F.struct("n", F.negative("label")))).alias("out_grams"),
+    ).where("out > 0")
+    tiles, chunks = (F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(f"{n}_grams") / TILE_GRAMS)) for n in ("all", "out"))
+    return large.select(group, "largest", "all", "out", tiles.alias("tiles"), chunks.alias("chunks"), (chunks * F.col("all") + tiles * F.col("out")).alias("moved"))
+
+
+def outer_links(named: DataFrame, large: DataFrame, group: str, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels that a link joins in the groups of ``large``: the nodes outside a group's largest label, in chunks, meet
+    all of its nodes, in tiles."""
+    named = named.join(large.select(group, "largest", "tiles", "chunks"), group)
+    deal = lambda salt, c: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    here = named.select(group, "node", "label", deal(0, "tiles").alias("tile"), upto("chunks").alias("chunk"), F.lit(0).alias("side"))
+    there = named.where("label <> largest").select(group, "node", "label", upto("tiles").alias("tile"), deal(1, "chunks").alias("chunk"), F.lit(1).alias("side"))
+    met = here.unionByName(there).join(grams, "node").select(group, "tile", "chunk", "label", "side", "grams")
+    return common.cut(met.groupBy(group, "tile", "chunk").applyInArrow(_across(percent), "a long, b long"))
+
+
+def missed_links(named: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels of one cluster (cluster, node, label, size) that a link still joins.
+
+    Where few nodes are outside a cluster's largest label, they meet the whole cluster. Where many are, longer keys say
+    which of them to compare, unless the buckets of these keys move more sets than that.
+    """
+    large = common.cut(groups_of(named, "cluster"))
+    many = large.where(F.col("out") > FEW * TILE)
+    if many.isEmpty():
+        return outer_links(named, large, "cluster", grams, percent)
+    buckets = common.cut(steep_buckets(named.join(many.select("cluster"), "cluster", "left_semi"), grams, percent))
+    shared = common.cut(groups_of(buckets, "bucket").join(buckets.groupBy("bucket").agg(F.min("cluster").alias("cluster")), "bucket"))
+    dear = shared.groupBy("cluster").agg(F.sum("moved").alias("by_keys")).join(many, "cluster").where("by_keys >= moved").select("cluster")
+    whole = large.where(F.col("out") <= FEW * TILE).unionByName(many.join(dear, "cluster", "left_semi"))
+    return outer_links(named, whole, "cluster", grams, percent).unionByName(outer_links(buckets, shared.join(dear, "cluster", "left_anti"), "bucket", grams, percent))
+
+
+def steep_buckets(named: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(cluster, bucket, node, label, size) of the nodes that share a bucket of longer keys with a node of another label; of buckets
+    that hold the same nodes one. A link at the threshold is missed with a chance below one in a thousand."""
+    banding = Banding(percent, STEEP)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                keys = side_keys(minhashes([_unpack(x) for x in some.column("grams").to_pylist()], banding.hashes), banding.side)
+                for table in tables(keys, banding.side):
+                    yield pa.RecordBatch.from_arrays([some.column("cluster"), pa.array(table.view("i8")), some.column("node"), some.column("label"), some.column("size")], names=["cluster", "key", "node", "label", "size"])
+
+    nodes = named.join(grams, "node").select("cluster", "node", "label", "size", "grams")
+    rows = common.cut(nodes.mapInArrow(spread, "cluster long, key long, node long, label long, size long").select("cluster", F.xxhash64("cluster", "key").alias("bucket"), "node", "label", "size"))
+    kinds = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).where("low < high")
+    kinds = kinds.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rows.join(kinds, "bucket", "left_semi")
+
+
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 

@@ -2,13 +2,15 @@
 
 Written words may be disguised: digits and signs for letters, letters set apart, letters repeated. Each such
 word is a lattice of what its characters may stand for; the Viterbi path under a character trigram model of
-the whole corpus restores it, however long it is. Where several words may hang together (letters set apart, long
-tokens), the path also chooses the word borders. Learned word weights then score the restored text.
+the whole corpus restores it, however long it is. Where signs join several words, the words between them are restored
+one by one; where letters are set apart, the path also chooses the word borders, and the letters without borders are
+searched for the words that count. Learned word weights then score the restored text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,8 +28,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Log chances of the channel: a sign for a letter, a sign for any letter, a sign between letters, a letter said again.
 SWAP, ANY, APART, AGAIN = -1.0, -4.0, -0.4, -0.4
 BORDERS = (APART, APART + 1, APART + 2)  # a sign for a word's end: as likely as none, and favoured, as the model may miss one
+MOST = 30.0
 SYMBOLS = 28  # boundary, a to z, any other letter
-LONGEST = 40  # code points of one word; a longer token may be several that signs join
+REMEMBERED = 160  # code points of a token that is remembered; a longer one is restored each time
+HIDDEN = 4  # letters of a word that is looked for in letters without borders
 
 MINIMA, LIKE = 64, 0.8  # near copies: texts of which so large a share of so many smallest word hashes are equal
 _MUL = np.random.default_rng(6).integers(0, 2**63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
@@ -36,9 +40,11 @@ _CODE = np.zeros(256, "i8")
 _CODE[ord("a") : ord("z") + 1] = _CODE[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _CODE[128:] = 27
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?:[ .\-_*](?:[^\W_]|[@$!|+*])){2,}(?!\S)")
+_SINGLE = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])(?:[.\-_](?:[^\W_]|[@$!|+*])){3,}(?![^\W_])")  # single letters within a token
 _EDGES = re.compile(r"^[^\w@$!|+(]+|([^\w@$])\1*$|[^\w@$]+$")
 _NOISE = re.compile(r"([^\w\s])\1{2,}")  # a sign three times over is an ornament
 _LETTER, _AFTER, _BEFORE, _THRICE = re.compile("[a-z]"), re.compile(r"[0-9@$!|+(*.\-_€]"), re.compile("[0-9@$!|+(*€]"), re.compile(r"([a-z])\1\1")
+_JOINTS = re.compile(r"[^\w@$!|+(*€]+|_+")  # signs that may stand between words
 _SIGNS = re.compile(r"[0-9*.\-_]*[@$!|+(€](?:[0-9@$!|+(*.\-_€]*[0-9@$!|+(€])?")  # no letter, and not a number alone
 
 
@@ -141,16 +147,25 @@ class Restorer:
         return [viterbi(run, self.model), *(w for border in BORDERS for w in viterbi(run, self.model, border).split())]
 
     def said(self, token: str) -> tuple[str, ...]:
-        """What a token may say: a word; of signs alone also with all repeats, and what is left without them; of a long one also its parts."""
+        """What a token may say: a word; of signs alone also with all repeats, and what is left without them; if signs
+        join several words, all as one word, each of them, and those that single letters make."""
         word = _EDGES.sub("", _NOISE.sub(" ", token).strip())
-        if len(word) > LONGEST and _odd(word):
-            return tuple(self.parts(word))
         if _SIGNS.fullmatch(word):
             return self.word(token), viterbi(word, self.model, again=False), word.strip("!|+(@$")
-        return (self.word(token),)
-
-    def words(self, text: str) -> set[str]:
-        """The distinct restored words of a text."""
+        pieces = [x for x in _JOINTS.split(word) if x]
+        if len(pieces) < 2:
+            return (self.word(token),)
+        out = [self.word(token)]
+        for single, run in itertools.groupby(pieces, lambda x: len(x) == 1):
+            run = list(run)
+            if not single:
+                out += (self.word(x) for x in run if not x.isdigit())
+            elif len(run) > 2:
+                out += self.parts(".".join(run))
+        return tuple(dict.fromkeys(out))
+
+    def words(self, text: str, known: frozenset[str] = frozenset()) -> set[str]:
+        """The distinct restored words of a text, with those of ``known`` that stand in letters set apart."""
         low = text.lower()
         tokens = set(low.split())
         if len(self.memo) > 500_000:
@@ -161,11 +176,14 @@ class Restorer:
             said = memo.get(x)
             if said is None:
                 said = self.said(x)
-                if len(x) <= 4 * LONGEST:
+                if len(x) <= REMEMBERED:
                     memo[x] = said
             out.update(said)
-        for m in _SPACED.finditer(low):
-            out.update(self.parts(m[0]))
+        apart = [m[0] for m in _SPACED.finditer(low)] + [m[0] for x in tokens for m in _SINGLE.finditer(x)]
+        for run in apart:
+            said = self.parts(run)
+            out.update(said)
+            out.update(w for w in known if w in said[0])
         out.discard("")
         return out
 
@@ -177,14 +195,19 @@ class Model:
     slope: tuple[float, float]
     offset: float
 
+    def hidden(self) -> frozenset[str]:
+        """The words that are looked for in letters without borders."""
+        return frozenset(w for w in self.weights if len(w) >= HIDDEN)
+
     def evidence(self, words: set[str]) -> tuple[float, float]:
-        """Largest weight and sum of weights of the known words."""
+        """Largest weight of the known words, and the sum of all weights, which counts up to ``MOST``: many words say no
+        more than some."""
         found = sorted((self.weights[w] for w in words if w in self.weights), reverse=True)
-        return (found[0], sum(found)) if found else (0.0, 0.0)
+        return (found[0], min(sum(found), MOST)) if found else (0.0, 0.0)
 
     def score(self, words: set[str]) -> float:
         top, total = self.evidence(words)
-        return float(1 / (1 + np.exp(-np.clip(self.slope[0] * top + self.slope[1] * min(total, 30) + self.offset, -60, 60))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope[0] * top + self.slope[1] * total + self.offset, -60, 60))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 2500, sample_bytes: int = 64 << 20) -> Model:
@@ -234,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=["label", "top", "total"])
 
     seen = said.select("label", "words").mapInArrow(evidence, "label int, top double, total double").collect()
-    x = np.array([(r.top, min(r.total, 30), 1.0) for r in sorted(seen, key=lambda r: (r.label, r.top, r.total))])
+    x = np.array([(r.top, r.total, 1.0) for r in sorted(seen, key=lambda r: (r.label, r.top, r.total))])
     y = np.array(sorted(r.label for r in seen), "f8")
     beta = np.zeros(3)
     for _ in range(25):  # Newton steps with a little ridge
@@ -290,9 +313,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        restorer = Restorer(m.letters)
+        restorer, hidden = Restorer(m.letters), m.hidden()
         for batch in batches:
-            said = [restorer.words(x or "") for x in batch.column(1).to_pylist()]
+            said = [restorer.words(x or "", hidden) for x in batch.column(1).to_pylist()]
             found = np.array([m.score(x) for x in said])
             hits = [sorted(w for w in x if w in m.weights) for x in said]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.float64()), pa.array(found >= threshold).cast(pa.int32()), pa.array(hits, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "words"])

@@ -97,3 +97,47 @@ def test_supported_keeps_all_that_can_be_linked(spark):
     sets = {1: base, 2: np.concatenate([base[:95], [10**7 + 1]]), 3: np.concatenate([base[:50], 2 * 10**7 + np.arange(50)])}
     df = spark.createDataFrame([(k, len(v), bytearray(near_dedup._pack(np.sort(v).astype("u8")))) for k, v in sets.items()], "node long, size long, grams binary")
     assert sorted(r.node for r in near_dedup.supported(df, 85).collect()) == [1, 2]
+
+
+def templated(n, blocks=20, words=15, variants=3, seed=9):
+    """Texts of blocks that each have a few variants: much in common, hardly ever linked."""
+    rng = random.Random(seed)
+    block = [[" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(words)) for _ in range(variants)] for _ in range(blocks)]
+    return [(k, " ".join(rng.choice(b) for b in block)) for k in range(n)]
+
+
+def test_texts_that_are_alike_meet_in_proportion(spark, monkeypatch):
+    """Of n templated texts in one cluster, few of them linked, the sets that the last comparison moves grow with n."""
+    monkeypatch.setattr(near_dedup, "TILE", 25)
+    plain, moved = near_dedup.outer_links, []
+
+    def counted(named, large, group, *rest):
+        moved[-1] += large.agg({"moved": "sum"}).first()[0] or 0
+        return plain(named, large, group, *rest)
+
+    monkeypatch.setattr(near_dedup, "outer_links", counted)
+    for n in (250, 500, 1000):
+        rows = templated(n)
+        rows += [(10_000 + k, " ".join([*rows[k][1].split()[:-2], "other", "end"])) for k in range(10)]  # linked ones
+        moved.append(0)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs_of(spark, rows, parts=4)).collect()}
+        comp = brute_components(rows)
+        least = {}
+        for (i, _), c in zip(rows, comp):
+            least[c] = min(least.get(c, i), i)
+        assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
+    assert moved[2] < 3 * moved[1] and moved[2] < 4 * 1010, moved
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_longer_keys_meet_at_the_threshold(percent):
+    """Sets just above the threshold share a bucket of the longer keys."""
+    rng, banding, met = np.random.default_rng(percent), near_dedup.Banding(percent, near_dedup.STEEP), 0
+    for _ in range(300):
+        common_ = rng.choice(2**40, 400, replace=False).astype("u8")
+        own = (400 - 400 * percent // 100) * 100 // (2 * 100)
+        a, b = common_[: 400 - own], common_[own:]
+        assert 100 * (400 - 2 * own) >= percent * 400
+        keys = near_dedup.side_keys(near_dedup.minhashes([a, b], banding.hashes), banding.side)
+        met += any(t[0] == t[1] for t in near_dedup.tables(keys, banding.side))
+    assert met >= 298

@@ -163,6 +163,23 @@ def test_deobfuscation_has_no_length_limits():
     assert r.words("x" + "ab1" * 50_000) and r.words("ab" * 200_000)
 
 
+def test_words_that_signs_join_are_words():
+    text = ["you are such a stupid idiot and your talk is trash", "the loser said stupid things of a person", "a moron and a clown"] * 50
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for t in text:
+        flat = toxicity._CODE[np.frombuffer(t.encode(), "u1")]
+        counts += np.bincount((flat[:-2] * 28 + flat[1:-1]) * 28 + flat[2:], minlength=len(counts))
+    r = toxicity.Restorer(toxicity.log_model(counts.reshape((28,) * 3)))
+    known = frozenset({"stupid", "idiot"})
+    for joint in (".", "-", "_", "...", "/", ","):
+        for words in (["you", "are", "stup1d"], ["such", "a", "stup1d", "person"], ["such", "a", "stupid", "person", *["and", "so", "on"] * 30]):
+            assert "stupid" in r.words(joint.join(words)), (joint, words)  # of any length
+    assert "stupid" in r.words("such.a.s.t.u.p.1.d.person", known) and "stupid" in r.words("a-s-t-u-p-1-d", known)
+    assert {"stupid", "idiot"} <= r.words("y o u a r e s t u p 1 d a n d a n i d 1 0 t", known)
+    assert "stupid" not in r.words("astupidity is.no.word s o m e", known)
+    assert r.words("1.5 2024-05-01") == {"1.5", "2024-05-01"}
+
+
 def test_texts_with_one_common_word_are_different_texts(spark):
     """Whatever word hashes lowest: 40 texts of each label that share 60 words; near copies count once."""
     rng = random.Random(5)
