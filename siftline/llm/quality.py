@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded and pass learned filters of ``WIDTH`` bytes at every second byte. A document is covered by
-overlapping chunks: a chunk's windows reach into the next chunk. Each filter is max-pooled over a chunk; a
+Bytes are embedded and pass learned filters of ``WIDTH`` bytes at every second byte. A document is covered by chunks of
+``CHUNK`` bytes, each of which shares its second half with the next. Each filter is max-pooled over a chunk; a
 document's mean and maximum over its chunks enter one logistic unit.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 WIDTH, STRIDE, EMBED, FILTERS, CHUNK = 8, 2, 8, 16, 512
+HALF = CHUNK // 2
 #: Bytes that pass the filters at once; longer texts go in several segments that overlap.
 SEGMENT = 64 * CHUNK
 
@@ -35,12 +36,17 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     parts, owners, starts, at = [], [], [], 0
     for k, text in enumerate(texts):
         for a in range(0, max(len(text), 1), SEGMENT):
-            piece = np.frombuffer(text[a : a + SEGMENT + WIDTH - STRIDE], "u1")
-            n = max(len(text[a : a + SEGMENT]), 1)
+            left = max(len(text) - a, 1)
+            if a and left <= HALF:  # the chunk before reaches to the end
+                break
+            n = min(left, SEGMENT + HALF)
+            piece = np.frombuffer(text[a : a + n + WIDTH - STRIDE], "u1")
             room = -(-max(len(piece), n) // STRIDE) * STRIDE + WIDTH
             block = np.zeros(room, "u1")
             block[: len(piece)] = piece
-            for b in range(0, n, CHUNK):
+            for b in range(0, min(left, SEGMENT), HALF):
+                if b and b + HALF >= left:
+                    break
                 owners.append(k)
                 starts.append((at + b, at + min(b + CHUNK, -(-n // STRIDE) * STRIDE)))
             parts.append(block)
