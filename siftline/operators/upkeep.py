@@ -112,6 +112,42 @@ def migration_plan(rows: DataFrame, url: str, old_prefix: str, new_prefix: str)
     return rows.withColumn("blocked", blocked).withColumn("new_url", F.when(F.size("blocked") == 0, F.concat(F.lit(new_prefix), relative)))
 
 
+def migration_manifest(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """A plan (kind, src, dst) with ``src_exists`` and ``dst_exists`` by a listing of files (path): what a migration writes
+    down before it copies anything."""
+    there = files.select("path").distinct()
+    of = lambda c: there.select(F.col("path").alias(c), F.lit(True).alias(f"{c}_exists"))
+    m = plan.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return m.select(*plan.columns, *(F.coalesce(f"{c}_exists", F.lit(False)).alias(f"{c}_exists") for c in ("src", "dst")))
+
+
+def manifest_summary(manifest: DataFrame) -> DataFrame:
+    """Of each kind how many are planned, have their source, have neither, and are there already."""
+    src, dst = F.col("src_exists"), F.col("dst_exists")
+    return manifest.groupBy("kind").agg(F.count("*").alias("planned"), F.count_if(src).alias("src_exists"), F.count_if(~src & ~dst).alias("missing_src"), F.count_if(dst).alias("dst_exists"))
+
+
+def cleanup_plan(manifest: DataFrame, files: DataFrame, references: DataFrame) -> DataFrame:
+    """(src, size, deletable, reasons) of each migrated source: it may go only if it is there, none of its old URLs is
+    referenced any more, and each of its copies is there with the same size and digest.
+
+    ``manifest``: src, dst, old_url; ``files``: path, size, digest; ``references``: url, n. Reasons are in order of the
+    alphabet; a copy that is missing or differs is named.
+    """
+    old = files.select(F.col("path").alias("src"), F.col("size").alias("src_size"), F.col("digest").alias("src_digest"))
+    new = files.select(F.col("path").alias("dst"), F.col("size").alias("dst_size"), F.col("digest").alias("dst_digest"))
+    used = references.where("n > 0").select(F.col("url").alias("old_url")).distinct().withColumn("used", F.lit(True))
+    m = manifest.select("src", "dst", "old_url").distinct().join(old, "src", "left").join(new, "dst", "left").join(used, "old_url", "left")
+    same = F.col("src_size").eqNullSafe(F.col("dst_size")) & F.col("src_digest").eqNullSafe(F.col("dst_digest"))
+    why = F.array(
+        F.when(F.col("src_size").isNull(), "source_missing"),
+        F.when(F.col("used"), "old_url_still_referenced"),
+        F.when(F.col("dst_size").isNull(), F.concat(F.lit("dest_missing:"), "dst")).when(F.col("src_size").isNotNull() & ~same, F.concat(F.lit("dest_differs:"), "dst")),
+    )
+    a = m.groupBy("src").agg(F.coalesce(F.max("src_size"), F.lit(0)).alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact(why))))).alias("reasons"))
+    return a.select("src", "size", (F.size("reasons") == 0).alias("deletable"), "reasons")
+
+
 def fuzzy_names(files: DataFrame, papers: DataFrame, file: str, title: str, paper: str, prefix: int = 30, least: int = 12) -> DataFrame:
     """Files whose plain name begins with the start of a paper's plain title, or the other way round; the first
     ``prefix`` characters of both tell, as the screen's rule has it. The first

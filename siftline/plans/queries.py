@@ -725,6 +725,6 @@ def stream_claims(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-from . import feed_queries, record_queries, rule_queries  # noqa: E402, F401  (register their queries)
+from . import feed_queries, record_queries, rule_queries, score_queries  # noqa: E402, F401  (register their queries)
 
 _SQL["score_overall"] = f"with {record_queries._BATTERY}, {_FOUND_SQL.strip()}"

@@ -10,6 +10,7 @@ from ..functions import strings as S
 from ..functions import tails as T
 from ..operators import references as X
 from ..operators import structure as A
+from ..operators import upkeep as U
 from ..session import table
 from .queries import _SQL, query
 
@@ -217,3 +218,44 @@ def structure_files(spark, sf):
     atoms = A.atoms(A.with_models(lines, "file", "place"))
     found = A.duplicate_findings(atoms, "file").unionByName(A.range_findings(atoms, "file"), allowMissingColumns=True)
     return found.unionByName(A.malformed_findings(atoms, "file"), allowMissingColumns=True).select("file", "test", "records", "severity")
+
+
+@query("""
+with m as (select 'old/' || o_custkey as src, 'new/' || o_orderkey as dst, 'u/' || o_custkey % 400 as old_url from orders where o_orderkey % 3 = 0),
+f as (
+  select 'old/' || c_custkey as path, floor(abs(c_acctbal))::bigint as size, c_mktsegment as digest from customer where c_custkey % 7 > 0
+  union all select 'new/' || o_orderkey, case when o_orderkey % 39 = 0 then 1 else floor(abs(c_acctbal))::bigint end, case when o_orderkey % 33 = 0 then 'other' else c_mktsegment end from orders join customer on o_custkey = c_custkey where o_orderkey % 21 > 0
+),
+u as (select distinct 'u/' || c_custkey as url from customer where c_nationkey = 3),
+j as (select m.src, m.dst, s.size, s.path is not null as there, d.path is not null as copied, d.size = s.size and d.digest = s.digest as same, u.url is not null as used from m left join f s on s.path = m.src left join f d on d.path = m.dst left join u on u.url = m.old_url),
+w as (
+  select src, null as why from j union select src, 'source_missing' from j where not there union select src, 'old_url_still_referenced' from j where used
+  union select src, 'dest_missing:' || dst from j where not copied union select src, 'dest_differs:' || dst from j where copied and there and not same
+)
+select w.src, coalesce(max(j.size), 0)::bigint as size, count(w.why) = 0 as deletable, coalesce(string_agg(distinct w.why, ',' order by w.why), '') as reasons from w join (select distinct src, size from j) j using (src) group by w.src
+""")
+def cleanup_plan(spark, sf):
+    """Which migrated files may be removed: orders stand for copies of their customers' files."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    text = lambda start, k: F.concat(F.lit(start), k.cast("string"))
+    manifest = o.where("o_orderkey % 3 = 0").select(text("old/", F.col("o_custkey")).alias("src"), text("new/", F.col("o_orderkey")).alias("dst"), text("u/", F.col("o_custkey") % 400).alias("old_url"))
+    size = F.floor(F.abs("c_acctbal")).cast("long")
+    copies = o.where("o_orderkey % 21 > 0").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    files = c.where("c_custkey % 7 > 0").select(text("old/", F.col("c_custkey")).alias("path"), size.alias("size"), F.col("c_mktsegment").alias("digest"))
+    files = files.unionByName(copies.select(text("new/", F.col("o_orderkey")).alias("path"), F.when(F.col("o_orderkey") % 39 == 0, 1).otherwise(size).alias("size"), F.when(F.col("o_orderkey") % 33 == 0, "other").otherwise(F.col("c_mktsegment")).alias("digest")))
+    used = c.where("c_nationkey = 3").select(text("u/", F.col("c_custkey")).alias("url"), F.lit(1).alias("n"))
+    return U.cleanup_plan(manifest, files, used).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""
+with m as (select case when o_orderstatus = 'F' then 'report' else 'review' end as kind, 'p/' || o_custkey as src, 'q/' || o_orderkey as dst from orders),
+f as (select 'p/' || c_custkey as path from customer where c_custkey % 4 > 0 union select 'q/' || l_orderkey from lineitem where l_linenumber = 5)
+select kind, count(*) as planned, count(*) filter (src in (select path from f)) as src_exists, count(*) filter (src not in (select path from f) and dst not in (select path from f)) as missing_src, count(*) filter (dst in (select path from f)) as dst_exists from m group by 1
+""")
+def migration_summary(spark, sf):
+    """What a migration would find: planned, with source, with neither, and there already."""
+    o = table(spark, sf, "orders")
+    text = lambda start, c: F.concat(F.lit(start), F.col(c).cast("string"))
+    plan = o.select(F.when(F.col("o_orderstatus") == "F", "report").otherwise("review").alias("kind"), text("p/", "o_custkey").alias("src"), text("q/", "o_orderkey").alias("dst"))
+    files = table(spark, sf, "customer").where("c_custkey % 4 > 0").select(text("p/", "c_custkey").alias("path")).unionByName(table(spark, sf, "lineitem").where("l_linenumber = 5").select(text("q/", "l_orderkey").alias("path")))
+    return U.manifest_summary(U.migration_manifest(plan, files))
