@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import numbered
 from .upkeep import filled
 
 _PAPER = "title string, doi string, year string, venue string"

@@ -97,6 +97,23 @@ def rate(counts: DataFrame, group: list[str], at: str, total: str) -> DataFrame:
     return a.withColumn("per_hour", F.try_divide((F.col("last") - F.col("first")) * 3600.0, F.col("seconds")))
 
 
+def remaining_time(counts: DataFrame, group: list[str], at: str, total: str, target: Column) -> DataFrame:
+    """Of each feed of counts: how many since its first count, how many an hour, how many remain to ``target`` (a column of
+    the group or a number) and the hours that takes at this speed; null without a target or any progress."""
+    a = counts.groupBy(*group).agg(F.min_by(total, at).alias("first"), F.max_by(total, at).alias("last"), (F.unix_timestamp(F.max(at)) - F.unix_timestamp(F.min(at))).alias("seconds"))
+    since = F.greatest(F.lit(0), F.col("last") - F.col("first"))
+    per_hour = since / F.greatest(F.lit(1), F.col("seconds")) * 3600.0
+    left = F.when(target > 0, F.greatest(F.lit(0), target - F.col("last")))
+    return a.select(*group, since.alias("since"), F.bround(per_hour, 2).alias("per_hour"), left.alias("remaining"), F.bround(F.when(per_hour > 0, left / per_hour), 2).alias("hours_left"))
+
+
+def page(rows: DataFrame, order: list[Column], offset: int, limit: int, keep: Column | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in ``order`` of those that ``keep`` holds for, with ``total``, the number of all of
+    them. Only the rows of the page, and those before it, are sorted; the total is a count of its own."""
+    kept = rows if keep is None else rows.where(keep)
+    return kept.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(kept.count()).cast("long"))
+
+
 def merge_plan(source: DataFrame, target: DataFrame, key: list[str], size: str) -> DataFrame:
     """What a merge of two file listings would do: copy, keep, skip equal sizes, or replace by the larger."""
     s = source.select(*key, F.col(size).alias("source_size"))

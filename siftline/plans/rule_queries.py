@@ -12,6 +12,7 @@ from ..operators import references as X
 from ..operators import structure as A
 from ..operators import upkeep as U
 from ..session import table
+from . import score
 from .queries import _SQL, query
 
 #: The lower regularised beta function as its series, and the upper gamma function as the sum of its lower series.
@@ -259,3 +260,37 @@ def migration_summary(spark, sf):
     plan = o.select(F.when(F.col("o_orderstatus") == "F", "report").otherwise("review").alias("kind"), text("p/", "o_custkey").alias("src"), text("q/", "o_orderkey").alias("dst"))
     files = table(spark, sf, "customer").where("c_custkey % 4 > 0").select(text("p/", "c_custkey").alias("path")).unionByName(table(spark, sf, "lineitem").where("l_linenumber = 5").select(text("q/", "l_orderkey").alias("path")))
     return U.manifest_summary(U.migration_manifest(plan, files))
+
+
+@query("""
+with a as (select event_type, user_id % 9 as part, arg_min(event_id, ts) as f, arg_max(event_id, ts) as l, floor(epoch(max(ts)))::bigint - floor(epoch(min(ts)))::bigint as s from events group by all),
+b as (select *, greatest(0, l - f) as since, case when part > 0 then part * 3000 end as target, greatest(0, l - f) / greatest(1, s) * 3600.0::double as per_hour from a)
+select event_type, part, since, round_even(per_hour, 2) as per_hour, case when target > 0 then greatest(0, target - l) end as remaining, round_even(case when per_hour > 0 and target > 0 then greatest(0, target - l) / per_hour end, 2) as hours_left from b
+""")
+def rate_remaining(spark, sf):
+    """Speed and time left of feeds of events, some without a target."""
+    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 9).alias("part"), "ts", "event_id")
+    return U.remaining_time(e, ["event_type", "part"], "ts", "event_id", F.when(F.col("part") > 0, F.col("part") * 3000))
+
+
+@query("""
+with k as (select o_orderkey, o_custkey, o_orderdate from orders where o_orderstatus = 'O')
+select o_orderkey, o_custkey, (select count(*) from k) as total from k order by o_orderdate desc, o_orderkey limit 20 offset 40
+""")
+def task_page(spark, sf):
+    """The third page of open orders, newest first, and how many there are."""
+    return U.page(table(spark, sf, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], 40, 20, F.col("o_orderstatus") == "O").select("o_orderkey", "o_custkey", "total")
+
+
+@query("""
+with l as (select doc_id, case when doc_id % 2 = 0 then 'retracted' else 'user_labeled' end as source, doc_id % 2 = 0 or quality = 1 as expected, toxic = 1 or doc_id % 5 > 0 as found, doc_id % 7 > 0 as there from labels)
+select 'retracted recall' as name, 100.0::double * count(*) filter (there and found) / count(*) as percent, 100 * count(*) filter (there and found) / count(*) > 70 as met from l where source = 'retracted'
+union all select 'user agreement', 100.0::double * count(*) filter (expected = (there and found)) / count(*), count(*) filter (expected = (there and found)) = count(*) from l where source = 'user_labeled'
+union all select 'high rate', 100.0::double * count(*) filter (doc_id % 6 = 0) / count(*), 100 * count(*) filter (doc_id % 6 = 0) / count(*) between 15 and 20 from documents
+""")
+def constraint_check(spark, sf):
+    """Recall, agreement and the share of high levels against what a release has to meet."""
+    labels = table(spark, sf, "labels")
+    known = labels.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "retracted").otherwise("user_labeled").alias("label_source"), ((F.col("doc_id") % 2 == 0) | (F.col("quality") == 1)).alias("expected"))
+    found = labels.where("doc_id % 7 > 0").select("doc_id", ((F.col("toxic") == 1) | (F.col("doc_id") % 5 > 0)).alias("found"))
+    return score.constraints(known, found, "doc_id", table(spark, sf, "documents").select((F.col("doc_id") % 6 == 0).alias("is_high"))).withColumn("percent", F.col("percent").cast("double"))

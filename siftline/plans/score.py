@@ -183,3 +183,15 @@ def recall(labels: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Share of expected highs found for each source of labels; a missing prediction counts as missed."""
     j = labels.join(predicted, key, "left")
     return j.groupBy("label_source").agg(F.count("*").alias("n"), F.count_if("expected").alias("expected_high"), F.count_if(F.col("expected") & F.coalesce("found", F.lit(False))).alias("found_high"), F.avg((F.col("expected") == F.coalesce("found", F.lit(False))).cast("double")).alias("agreement"))
+
+
+def constraints(labels: DataFrame, predicted: DataFrame, key: str, levels: DataFrame) -> DataFrame:
+    """What a release of the rules has to meet, a row each: recall on retracted papers over 70 %, agreement with users'
+    labels of 100 %, and 15 to 20 % high levels (``levels``: is_high) among all papers."""
+    by = recall(labels, predicted, key)
+    percent = lambda a, b: F.coalesce(100 * F.try_divide(a, b), F.lit(0.0))
+    retracted = by.where("label_source = 'retracted'").agg(F.sum("found_high").alias("a"), F.sum("n").alias("b")).select(F.lit("retracted recall").alias("name"), percent(F.col("a"), F.col("b")).alias("percent"))
+    users = by.where("label_source = 'user_labeled'").agg(F.sum(F.col("agreement") * F.col("n")).alias("a"), F.sum("n").alias("b")).select(F.lit("user agreement").alias("name"), percent(F.col("a"), F.col("b")).alias("percent"))
+    high = levels.agg(F.count_if("is_high").alias("a"), F.count("*").alias("b")).select(F.lit("high rate").alias("name"), percent(F.col("a"), F.col("b")).alias("percent"))
+    met = F.when(F.col("name") == "retracted recall", F.col("percent") > 70).when(F.col("name") == "user agreement", F.col("percent") == 100).otherwise(F.col("percent").between(15, 20))
+    return retracted.unionByName(users).unionByName(high).withColumn("met", met)

@@ -39,5 +39,17 @@ def cut(df):
     return df.checkpoint()
 
 
+def numbered(rows, order: list, name: str):
+    """Adds ``name``: 1, 2, 3, ... in ``order``, by a sort in ranges; only one count for each range meets in one task."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ranged = cut(rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_ahead")).withColumn("_ahead", F.coalesce(F.sum("_ahead").over(ahead), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(name, within).join(F.broadcast(counts), "_range").withColumn(name, F.col(name) + F.col("_ahead")).drop("_range", "_ahead")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -194,3 +194,15 @@ def test_decimals_are_the_same_in_sql(spark):
     df = spark.createDataFrame([(x,) for x in (1e-5, 1.5e-7, 1.25, 3.0, 1e10, 1.2345e9, 12345678.75, None, 0.1)], "v double")
     got = df.select(F.expr("sift_decimals(v)").alias("a"), N.decimals(F.col("v")).alias("b")).collect()
     assert all(r.a == r.b for r in got) and got[0].a == 5
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    from siftline.session import numbered
+
+    rows = spark.createDataFrame([(k * 7 % 100, "x") for k in range(100)] + [(3, "x")], "k int, t string").repartition(6)
+    got = numbered(rows, [F.desc("k"), F.col("t")], "no").collect()
+    assert sorted(r.no for r in got) == list(range(1, 102)) and [r.k for r in sorted(got, key=lambda r: r.no)] == sorted((r.k for r in got), reverse=True)
+    assert numbered(rows.limit(0), [F.col("k")], "no").count() == 0
+    told = D.frequencies(spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "v string"), "v")
+    assert [(r.v, r.n, r["rank"]) for r in told.orderBy("rank").collect()] == [("b", 2, 1), ("a", 1, 2), ("c", 1, 3), (None, 1, 4)]
+    assert [r.v for r in D.frequencies(told.select("v"), "v", 2).orderBy("rank").collect()] == ["a", "b"]
