@@ -112,5 +112,5 @@ def score_all_kinds(spark, sf):
     for n in ("r_squared", "slope", "intercept", "overlap_ratio", "p_value", "title_similarity"):
         found = found.withColumn(n, F.col(n).cast("double"))
     bundles = li.select(F.expr(_BUNDLE).alias("bundle_id")).distinct()
-    bundles = bundles.unionByName(bundles.where("bundle_id % 50 = 0").withColumn("bundle_id", F.col("bundle_id") + 1000000))
+    bundles = bundles.unionByName(bundles.where("bundle_id % 50 = 0").withColumn("bundle_id", F.col("bundle_id") + 1000000)).distinct()
     return score.overall(found, bundles.withColumn("total_references", F.expr(_REFERENCES.format(b="bundle_id")).cast("int")))

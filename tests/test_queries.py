@@ -104,3 +104,12 @@ def test_stream_claims_in_order_over_frames(spark, tmp_path):
     got = {r.event_id: r.action for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
     assert len(got) == n and [k for k, a in sorted(got.items()) if a == "claim"] == [0] and [k for k, a in sorted(got.items()) if a == "retry"] == [361]
     assert all(got[k] == "give up" for k in range(722, n)) and all(got[k] == "busy" for k in range(362, 722))
+
+
+def test_score_all_kinds_has_each_bundle_once(spark, tmp_path):
+    """Bundle 1000050 has rows of its own and is also what bundle 50 makes: one row, as in the SQL."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (l_orderkey % 16 + case when l_orderkey % 2 = 0 then 400 else 8000400 end as l_orderkey) from '{SF}/lineitem.parquet' limit 300) to '{tmp_path}/lineitem.parquet'")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = q.queries()["score_all_kinds"](spark, str(tmp_path)).toPandas()
+    assert 1000050 in list(got.bundle_id) and rows(got) == rows(con.sql(q.oracle_sql()["score_all_kinds"]).df())
