@@ -165,19 +165,20 @@ def sub_tables(cells: DataFrame) -> DataFrame:
     is_label = (F.col("filled") == 1) & F.col("first").try_cast("double").isNull()
     w = Window.partitionBy(*sheet).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("is_label", is_label).withColumn("segment", F.sum(F.col("is_label").cast("int")).over(w)).withColumn("label", F.last(F.when(F.col("is_label"), F.col("first")), ignorenulls=True).over(w))
-    return cells.join(rows.select(*sheet, "row_idx", "segment", "label", "is_label"), [*sheet, "row_idx"])
+    return cells.join(rows.select(*sheet, "row_idx", "segment", "label", "is_label").hint("merge"), [*sheet, "row_idx"])
 
 
 def with_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Named numeric cells: the header is the row above the first row with half or more numbers; names that repeat
-    get a count, empty ones their column's number."""
+    get a count, empty ones their column's number. What the joins bring in has a row for each sheet, row or column and is
+    merged: the planner guesses its size from the files', and would send it whole through the driver."""
     number = F.col("raw").try_cast("double")
     ratio = cells.where("raw is not null and not is_label").groupBy(*keys, "row_idx").agg(F.avg(number.isNotNull().cast("double")).alias("numeric"))
     first = ratio.where("numeric >= 0.5").groupBy(*keys).agg(F.min("row_idx").alias("first_data"))
-    above = ratio.join(first, keys).where("row_idx < first_data").groupBy(*keys).agg(F.max("row_idx").alias("header_row"))
-    names = cells.join(above, keys).where("row_idx = header_row").select(*keys, "col_idx", F.col("raw").alias("name"))
+    above = ratio.join(first.hint("merge"), keys).where("row_idx < first_data").groupBy(*keys).agg(F.max("row_idx").alias("header_row"))
+    names = cells.join(above.hint("merge"), keys).where("row_idx = header_row").select(*keys, "col_idx", F.col("raw").alias("name"))
     names = names.withColumn("again", F.row_number().over(Window.partitionBy(*keys, "name").orderBy("col_idx")) - 1).withColumn("name", F.when(F.col("again") > 0, F.concat_ws("_", "name", "again")).otherwise(F.col("name"))).drop("again")
-    data = cells.join(first, keys).where("row_idx >= first_data")
-    named = data.join(names, [*keys, "col_idx"], "left").withColumn("col_name", F.coalesce("name", F.concat(F.lit("col_"), "col_idx"))).withColumn("v", F.when(~F.isnan(number), number))
+    data = cells.join(first.hint("merge"), keys).where("row_idx >= first_data")
+    named = data.join(names.hint("merge"), [*keys, "col_idx"], "left").withColumn("col_name", F.coalesce("name", F.concat(F.lit("col_"), "col_idx"))).withColumn("v", F.when(~F.isnan(number), number))
     some = named.groupBy(*keys, "col_idx").agg(F.count("v").alias("numbers")).where("numbers > 0")
-    return named.join(some.select(*keys, "col_idx"), [*keys, "col_idx"], "left_semi").select(*keys, "row_idx", "col_idx", "col_name", "raw", "v")
+    return named.join(some.select(*keys, "col_idx").hint("merge"), [*keys, "col_idx"], "left_semi").select(*keys, "row_idx", "col_idx", "col_name", "raw", "v")

@@ -74,3 +74,13 @@ def test_citations_of_several_lines(spark):
     assert got == {1: want, 2: want, 3: [(1, "only")]}
     fold = df.where("k = 1 and trim(line) <> ''").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.trim("line").alias("x")))), lambda x: x["x"]).alias("l"))
     assert fold.select(X.grouped_lines(F.col("l"))).first()[0] == [t for _, t in want]
+
+
+def test_headers_send_nothing_whole_through_the_driver(spark):
+    """The planner guesses sizes from the files'; rows, headers and columns of sheets must not be broadcast on its guess."""
+    from siftline.plans import queries as q
+
+    from .conftest import SF
+
+    for name in ("sheet_headers", "sheet_segments"):
+        assert "Broadcast" not in q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
