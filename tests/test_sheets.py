@@ -84,3 +84,14 @@ def test_headers_send_nothing_whole_through_the_driver(spark):
 
     for name in ("sheet_headers", "sheet_segments"):
         assert "Broadcast" not in q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cross_sheet_columns_shuffle_columns_not_pairs_of_values(spark):
+    v = spark.createDataFrame([("f", "c", k, x) for k, x in enumerate((0.0, -0.0, 1.123456, 1.123456, 2.5, 3.654321))] + [("f", "d", k, 7.0) for k in range(3)], "file string, name string, pos long, v double")
+    got = {r.name: (r.vs, r.changes, r.fine) for r in H.shown_columns(v, ["file"], "name").collect()}
+    assert got == {"c": ([0.0, 0.0, 1.123456, 1.123456, 2.5, 3.654321], 3, 4), "d": ([7.0] * 3, None, None)}
+    from siftline.plans import queries as q
+
+    from .conftest import SF
+
+    assert "place" not in q.queries()["cross_sheet_columns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
