@@ -95,3 +95,12 @@ def test_cross_sheet_columns_shuffle_columns_not_pairs_of_values(spark):
     from .conftest import SF
 
     assert "place" not in q.queries()["cross_sheet_columns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_figures_keep_no_map_of_values(spark):
+    """Medians of 0..6 and of a column without order, by places; no percentile, which keeps each group's values."""
+    v = spark.createDataFrame([("s", "up", k, float(k * k)) for k in range(7)] + [("s", "mixed", k, x) for k, x in enumerate((3.0, -8.0, 5.0, -1.0))], "sheet string, c string, pos long, v double")
+    f = H.column_figures(v, ["sheet"], "c")
+    got = {r.c: (r.middle, r.mid, r.kinds) for r in f.collect()}
+    assert got == {"up": (9.0, 6.0, 7), "mixed": (4.0, None, 4)}
+    assert "percentile" not in f._jdf.queryExecution().executedPlan().toString().lower()
