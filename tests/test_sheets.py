@@ -104,3 +104,10 @@ def test_figures_keep_no_map_of_values(spark):
     got = {r.c: (r.middle, r.mid, r.kinds) for r in f.collect()}
     assert got == {"up": (9.0, 6.0, 7), "mixed": (4.0, None, 4)}
     assert "percentile" not in f._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_pairs_of_a_sheet_are_summed_before_they_move(spark):
+    """Positions of one sheet that are near stay together, so that sums for each pair are shuffled and not its rows."""
+    ranked = spark.sql("select 's' as sheet, c, cast(id + 1 as int) as pos, cast(id as double) as v from range(5000) lateral view explode(array('a', 'b', 'c')) t as c")
+    got = H.place_pairs(ranked, ["sheet"], "c").withColumn("task", H.F.spark_partition_id()).groupBy("a", "b").agg(H.F.count("*").alias("n"), H.F.count_distinct("task").alias("tasks"), H.F.count_if(H.F.col("va") != H.F.col("vb")).alias("off")).collect()
+    assert len(got) == 3 and all(r.n == 5000 and r.tasks <= 2 and r.off == 0 for r in got)
