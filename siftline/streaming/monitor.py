@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -141,42 +144,70 @@ def with_state_store(spark: SparkSession) -> SparkSession:
 class Claims(StatefulProcessor):
     """Claims on a key in order of event time, whatever the order in which its events arrive.
 
-    An event waits in the state under its time, with a timer, and is dealt with when the watermark has passed it. A
-    claim is held for ``stale`` seconds; then its timer reopens it without any new event. A key whose last claim is
-    over for ``forget`` seconds more leaves no state behind. Times are microseconds; timers have milliseconds.
+    Events wait in the state in runs, sorted by time and kept in pieces, until the watermark has passed them; the runs are
+    then merged piece by piece. A claim is held for ``stale`` seconds, then reopens without any new event. A key whose
+    last claim is over for ``forget`` seconds more leaves no state behind. One timer for each key and batch tells of the
+    earliest thing to come, so the calls of the state store grow with keys and pieces, not with events. Times are
+    microseconds; timers have milliseconds.
     """
 
+    #: Events that are sorted at a time, and events of a piece; a merge holds a piece of each run.
+    RUN, PIECE = 1 << 18, 1 << 10
+
     def __init__(self, stale: int, most_attempts: int, forget: int):
         self.stale, self.most, self.forget = stale * 1_000_000, most_attempts, forget * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "events array<struct<us: long, id: long>>")
+        self.waiting = handle.getMapState("waiting", "run int, piece int", "us array<long>, id array<long>")
+        self.runs = handle.getValueState("runs", "runs array<struct<run: int, piece: int, pieces: int, first: long>>")
         self.claim = handle.getValueState("claim", "at long, id long, attempts int, open boolean")
 
+    def known_runs(self) -> list[list[int]]:
+        """The runs that wait: number, first piece that is left, number of pieces, time of the first event."""
+        found = self.runs.get()
+        return [list(r) for r in found[0]] if found else []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for row in rows:
-            ms = row.us // 1000
-            events = self.waiting.getValue((ms,))[0] if self.waiting.containsKey((ms,)) else []
-            self.waiting.updateValue((ms,), ([*events, (row.us, row.event_id)],))
-            self.handle.registerTimer(ms)
+        events, runs, new = ((row.us, row.event_id) for row in rows), self.known_runs(), []
+        while run := sorted(itertools.islice(events, self.RUN)):
+            no = (runs[-1][0] + 1) if runs else 0
+            pieces = range(0, len(run), self.PIECE)
+            for piece, low in enumerate(pieces):
+                us, ids = zip(*run[low : low + self.PIECE])
+                self.waiting.updateValue((no, piece), (list(us), list(ids)))
+            runs.append([no, 0, len(pieces), run[0][0]])
+            new.append(run[0][0])
+        if new:
+            self.runs.update(([tuple(r) for r in runs],))
+            self.handle.registerTimer(min(new) // 1000)
         yield from ()
 
+    def due(self, run: list[int], mark: int) -> Iterator[tuple[int, int]]:
+        """The events of a run up to a time; they leave the state, and ``run`` tells what is left."""
+        while run[1] < run[2]:
+            us, ids = self.waiting.getValue((run[0], run[1]))
+            n = bisect.bisect_right(us, mark)
+            yield from zip(us[:n], ids[:n])
+            if n < len(us):
+                self.waiting.updateValue((run[0], run[1]), (list(us[n:]), list(ids[n:])))
+                run[3] = us[n]
+                return
+            self.waiting.removeKey((run[0], run[1]))
+            run[1] += 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        at, id_, attempts, open_ = self.claim.get() if self.claim.exists() else (None, None, 0, False)
-        before = (at, id_, attempts, open_)
-        due = sorted(tuple(e) for e in self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-        if due:
-            self.waiting.removeKey((ms,))
-        for now, event in [*due, (ms * 1000, None)]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        passed = lambda us: us // 1000 + 1 <= mark
+        at, id_, attempts, open_ = before = self.claim.get() or (None, None, 0, False)
+        runs = self.known_runs()
+        ready = [run for run in runs if run[3] // 1000 <= mark]
+        for now, event in heapq.merge(*(self.due(run, mark * 1000 + 999) for run in ready)):
             if open_ and now > at + self.stale:
                 open_ = False
                 yield self.row(key, id_, "stale", at + self.stale)
             if at is not None and now > at + self.stale + self.forget:
                 at, id_, attempts = None, None, 0
-            if event is None:
-                break
             if open_:
                 action = "busy"
             elif attempts >= self.most:
@@ -184,23 +215,24 @@ class Claims(StatefulProcessor):
             else:
                 action = "claim" if attempts == 0 else "retry"
                 at, id_, attempts, open_ = now, event, attempts + 1, True
-                for later in (at + self.stale, at + self.stale + self.forget):
-                    self.handle.registerTimer(later // 1000 + 1)
             yield self.row(key, event, action, now)
-        if open_ and self.over((at + self.stale) // 1000 + 1, timerValues):
+        if open_ and passed(at + self.stale):
             open_ = False
             yield self.row(key, id_, "stale", at + self.stale)
-        if at is not None and self.over((at + self.stale + self.forget) // 1000 + 1, timerValues):
+        if at is not None and passed(at + self.stale + self.forget):
             at = None
         if at is None:
             self.claim.clear()
-        elif (at, id_, attempts, open_) != before:
+        elif (at, id_, attempts, open_) != tuple(before):
             self.claim.update((at, id_, attempts, open_))
-
-    def over(self, ms: int, timerValues) -> bool:
-        """Whether a time has passed already and no earlier event waits: its timer, set while timers go off, would
-        go off only in the next batch."""
-        return ms <= timerValues.getCurrentWatermarkInMs() and all(waiting > ms for (waiting,) in self.waiting.keys())
+        left = [tuple(run) for run in runs if run[1] < run[2]]
+        if ready:
+            self.runs.update((left,)) if left else self.runs.clear()
+        coming = [run[3] // 1000 for run in left]
+        if at is not None:
+            coming.append((at + self.stale + (0 if open_ else self.forget)) // 1000 + 1)
+        if coming:
+            self.handle.registerTimer(min(coming))
 
     def row(self, key, event: int, action: str, us: int) -> Row:
         return Row(user_id=key[0], event_id=event, action=action, us=us)
@@ -214,8 +246,8 @@ def claims_with_timers(events: DataFrame, stale_seconds: int = 21_600, most_atte
     up), and ``stale`` with the claim's event when a claim reopens by itself; us are microseconds since 1970.
 
     Events later than ``late`` behind the newest are dropped, as the watermark says. A key's state is its waiting events
-    and one claim, and is gone ``forget_seconds`` after the last claim went stale. A hot key's events stream through the
-    state store one by one; none are gathered in memory but those of one millisecond.
+    and one claim, and is gone ``forget_seconds`` after the last claim went stale. A hot key's events are sorted in runs
+    of 262,144, and a piece of 1,024 of each run is in memory while they are dealt with.
     """
     at = F.col("ts").cast("timestamp")
     e = events.select("user_id", "event_id", F.unix_micros(at).alias("us"), at.alias("ts")).withWatermark("ts", late)

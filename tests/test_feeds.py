@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siftline.session import importable
@@ -78,3 +79,62 @@ def test_running_rate_of_stream_and_batch_agree(stateful, tmp_path):
     assert stream == [r for r in batch if r.start < START + timedelta(days=19)] and len(batch) == 60
     assert sum(r["first"] for r in stream) == 3 and any(r.over and not r["first"] for r in stream)
     assert all(not r.over for r in stream if r.run_n < 40)
+
+
+class _State:
+    """A state of one key in memory that counts how often it is asked."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = {}
+
+    def __getattr__(self, name):
+        _State.calls += 1
+        return {"exists": lambda: () in self.kept, "get": lambda: self.kept.get(()), "update": lambda v: self.kept.update({(): v}), "clear": self.kept.clear, "keys": lambda: iter(self.kept), "containsKey": self.kept.__contains__, "getValue": self.kept.get, "updateValue": self.kept.__setitem__, "removeKey": self.kept.pop}[name]
+
+
+class _Handle(_State):
+    def __init__(self):
+        self.timers, self.getMapState, self.getValueState = set(), lambda *a: _State(), lambda *a: _State()
+
+    def registerTimer(self, ms):
+        _State.calls += 1
+        self.timers.add(ms)
+
+
+class _At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_claims_ask_the_state_by_pieces_not_by_events(monkeypatch):
+    """3,000 events of one key in mixed order and four batches: the rows of a fold over all, few calls of the state."""
+    monkeypatch.setattr(M.Claims, "RUN", 500, raising=False)
+    monkeypatch.setattr(M.Claims, "PIECE", 100, raising=False)
+    stale, forget, step = 60_000_000, 300_000_000, 700_123
+    times = {k: (k + 2_000 * (k > 1_500)) * step for k in range(3_000)}
+    want, at, id_, attempts, open_ = [], None, None, 0, False
+    for k, now in times.items():
+        if open_ and now > at + stale:
+            want.append((id_, "stale", at + stale))
+            open_ = False
+        if at is not None and now > at + stale + forget:
+            at, attempts = None, 0
+        action = "busy" if open_ else "give up" if attempts >= 2 else "retry" if attempts else "claim"
+        if action in ("claim", "retry"):
+            at, id_, attempts, open_ = now, k, attempts + 1, True
+        want.append((k, action, now))
+    handle, claims = _Handle(), M.Claims(60, 2, 300)
+    claims.init(handle)
+    _State.calls, got = 0, []
+    for batch in range(5):
+        ids = sorted((k for k in times if min(k + 40 * (k % 3), 2_999) // 750 == batch), key=lambda k: k * 7_919 % 3_000)
+        mark = (times[750 * (batch + 1) - 81] if batch < 4 else 10**12) // 1000
+        got += list(claims.handleInputRows((1,), iter([Row(us=times[k], event_id=k) for k in ids]), _At(mark)))
+        while due := sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(due[0])
+            got += list(claims.handleExpiredTimer((1,), type("Now", (), {"getCurrentWatermarkInMs": lambda self: mark})(), _At(due[0])))
+    assert [(r.event_id, r.action, r.us) for r in got] == want and {"claim", "retry", "give up", "busy", "stale"} == {a for _, a, _ in want}
+    assert not handle.timers and not claims.waiting.kept and not claims.claim.kept
+    assert _State.calls < 400
