@@ -11,6 +11,7 @@ from pyspark.sql.types import Row
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import strings as S
+from ..functions.answers import _with
 from ..session import importable
 
 HEADING = r"(?im)^\s*(?:references|bibliography|literature cited)\s*:?\s*$"
@@ -41,10 +42,15 @@ def normal(text: Column) -> Column:
 def title_coverage(title: Column, text: Column) -> Column:
     """1 if the normalised text holds the title, else the share of the title's longer words, each as often as it stands
     there, that the text has; 0 for a title without letters and digits."""
-    t, x = normal(title), normal(text)
-    long_words = F.filter(F.split(t, " "), lambda w: F.length(w) > 2)
-    found = F.size(F.filter(long_words, lambda w: F.array_contains(F.split(x, " "), w)))
-    return F.when(t == "", 0.0).when(F.contains(x, t), 1.0).otherwise(F.coalesce(F.try_divide(found, F.size(long_words)), F.lit(0.0)))
+
+    def share(p: Column) -> Column:
+        long_words = F.filter(F.split(p["t"], " "), lambda w: F.length(w) > 2)
+        found = F.size(F.filter(long_words, lambda w: F.array_contains(p["words"], w)))
+        return F.when(p["t"] == "", 0.0).when(F.contains(p["x"], p["t"]), 1.0).otherwise(F.coalesce(F.try_divide(found, F.size(long_words)), F.lit(0.0)))
+
+    # a text is normalised and split once, not for each word of the title
+    split = lambda p: F.struct(p["t"].alias("t"), p["x"].alias("x"), F.split(p["x"], " ").alias("words"))
+    return _with(_with(F.struct(normal(title).alias("t"), normal(text).alias("x")), split), share)
 
 
 def best_works(refs: DataFrame, works: DataFrame, ref: str, work: str, top: int = 1) -> DataFrame:

@@ -113,3 +113,18 @@ def test_score_all_kinds_has_each_bundle_once(spark, tmp_path):
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
     got = q.queries()["score_all_kinds"](spark, str(tmp_path)).toPandas()
     assert 1000050 in list(got.bundle_id) and rows(got) == rows(con.sql(q.oracle_sql()["score_all_kinds"]).df())
+
+
+def test_title_ratio_is_worked_out_only_where_it_can_matter(monkeypatch):
+    """Windows with the title's letters in another order share too short a subsequence to pass what is known already."""
+    import difflib
+
+    import pandas as pd
+
+    from siftline.operators.exact import title_ratio
+
+    asked, ratio = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: asked.append(1) or ratio(self))
+    title = "abcdefghijklmnopqrstuvwxyz"
+    got = title_ratio.func(pd.Series([title, title]), pd.Series([title[::-1] * 20, title[::-1] * 3 + title]), pd.Series([0.6, 0.6]))
+    assert list(got) == [0.0, 1.0] and len(asked) == 1
