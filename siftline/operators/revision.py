@@ -6,11 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import roles as R
+from ..session import cut
 
 #: Tests that mean nothing for an independent variable.
 VARIABLE_TESTS = ("arithmetic_sequence", "geometric_sequence", "coefficient_of_variation")
 
 
+def _with_measurement(findings: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``_is_<name>`` for columns of names: whether it may be a measurement's, null for a null. Names repeat far more
+    often than they differ, so each is judged once."""
+    judged = findings.select(F.explode(F.array(*names)).alias("_name")).where("_name is not null").distinct()
+    judged = cut(judged.withColumn("_is", R.is_measurement_name(F.col("_name"))))
+    size = judged.agg(F.sum(F.octet_length("_name") + 48)).first()[0] or 0
+    judged = F.broadcast(judged) if size <= 8 << 20 else judged
+    for name in names:
+        findings = findings.join(judged.select(F.col("_name").alias(f"_of_{name}"), F.col("_is").alias(f"_is_{name}")), F.col(name) == F.col(f"_of_{name}"), "left").drop(f"_of_{name}")
+    return findings
+
+
 def standing(findings: DataFrame) -> DataFrame:
     """Findings (test, severity, column, other, deviation, constant, slope, intercept) that still stand by later rules.
 
@@ -20,13 +33,13 @@ def standing(findings: DataFrame) -> DataFrame:
     c = F.col
     sequence = c("test").isin("arithmetic_sequence", "geometric_sequence")
     constant = F.coalesce(c("constant"), F.lit(False))
-    no_role = lambda name: F.coalesce(R.is_measurement_name(c(name)), F.lit(True))
+    no_role = lambda name: F.coalesce(c(f"_is_{name}"), F.lit(True))
     variable = c("test").isin(*VARIABLE_TESTS) & ~no_role("column")
     exact = sequence & (c("deviation") == 0) & ~constant
     identity = (F.abs(c("slope") - 1) < 1e-9) & (F.abs("intercept") < 1e-9)
     line = (c("test") == "linear_dependency") & (F.coalesce(identity, F.lit(False)) | ~no_role("column") | ~no_role("other"))
-    kept = findings.where(~(variable | F.coalesce(exact, F.lit(False)) | line))
-    return kept.withColumn("severity", F.when(sequence & constant & (c("severity") == "high"), "medium").otherwise(c("severity")))
+    kept = _with_measurement(findings, ["column", "other"]).where(~(variable | F.coalesce(exact, F.lit(False)) | line))
+    return kept.withColumn("severity", F.when(sequence & constant & (c("severity") == "high"), "medium").otherwise(c("severity"))).select(*findings.columns)
 
 
 def about_itself(references: DataFrame, papers: DataFrame, key: str) -> DataFrame:

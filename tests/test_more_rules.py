@@ -206,3 +206,14 @@ def test_rows_are_numbered_in_ranges(spark):
     told = D.frequencies(spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "v string"), "v")
     assert [(r.v, r.n, r["rank"]) for r in told.orderBy("rank").collect()] == [("b", 2, 1), ("a", 1, 2), ("c", 1, 3), (None, 1, 4)]
     assert [r.v for r in D.frequencies(told.select("v"), "v", 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_names_of_findings_are_judged_once_each(spark):
+    """Patterns are matched with distinct names, not in each row; names that are null take nothing away."""
+    from siftline.operators import revision as V
+
+    data = [("coefficient_of_variation", "high", c, o, 0.1, False, 2.0, 0.0) for c, o in (("time", "a"), ("tumor volume", "sample number"), (None, None), ("tumor volume", None))]
+    data += [("linear_dependency", "high", "tumor volume", o, 0.1, False, 2.0, 0.0) for o in ("growth rate", "sample number", None)]
+    kept = V.standing(spark.createDataFrame(data, "test string, severity string, column string, other string, deviation double, constant boolean, slope double, intercept double"))
+    assert "RLIKE" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, (r[:1] + r[2:4] for r in kept.collect()))) == sorted(map(str, [(t, c, o) for t, _, c, o, *_ in data if c != "time" and not (t == "linear_dependency" and o == "sample number")]))
