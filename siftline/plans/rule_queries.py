@@ -13,7 +13,7 @@ from ..operators import structure as A
 from ..operators import upkeep as U
 from ..session import table
 from . import score
-from .queries import _SQL, query
+from .queries import _SQL, _tasks, _written, query
 
 #: The lower regularised beta function as its series, and the upper gamma function as the sum of its lower series.
 _BETA = "exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b})) * list_sum(list_transform(range(0, 12000), lambda k: exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({x}))))"
@@ -215,8 +215,8 @@ def structure_files(spark, sf):
     """Findings on structure files whose records stand in columns or between blanks, in several models, some of them broken:
     each supplier's lines as one file."""
     order = Window.partitionBy("file").orderBy(F.expr(_PLACE), "l_partkey", "l_extendedprice", "l_quantity")
-    lines = table(spark, sf, "lineitem").withColumn("file", F.col("l_suppkey")).withColumn("place", F.row_number().over(order)).select("file", "place", F.expr(_RECORD).alias("value"))
-    atoms = A.atoms(A.with_models(lines, "file", "place"))
+    lines = table(spark, sf, "lineitem").withColumn("file", F.col("l_suppkey")).repartition(_tasks(spark), "file").withColumn("place", F.row_number().over(order)).select("file", "place", F.expr(_RECORD).alias("value"))
+    atoms = _written(A.atoms(A.with_models(lines, "file", "place")).drop("place", "value"), "atoms")  # five aggregates read it
     found = A.duplicate_findings(atoms, "file").unionByName(A.range_findings(atoms, "file"), allowMissingColumns=True)
     return found.unionByName(A.malformed_findings(atoms, "file"), allowMissingColumns=True).select("file", "test", "records", "severity")
 

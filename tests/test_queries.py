@@ -128,3 +128,9 @@ def test_title_ratio_is_worked_out_only_where_it_can_matter(monkeypatch):
     title = "abcdefghijklmnopqrstuvwxyz"
     got = title_ratio.func(pd.Series([title, title]), pd.Series([title[::-1] * 20, title[::-1] * 3 + title]), pd.Series([0.6, 0.6]))
     assert list(got) == [0.0, 1.0] and len(asked) == 1
+
+
+def test_structure_files_reads_its_lines_once(spark):
+    """Lines are numbered and parsed once; the aggregates read what that left."""
+    plan = q.queries()["structure_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Window" not in plan
