@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .answers import json_in  # noqa: F401
+from .answers import _with, json_in  # noqa: F401
 
 #: Fixed value: how a DOI stands in a text.
 DOI = r"(?i)(?:doi[:\s]*|https?://doi\.org/)(10\.\d{4,}/[^\s,;]+)"
@@ -135,10 +135,16 @@ FRAGMENTS = (
 )
 
 
+#: A part in small letters that a text has wherever the fragment of the same place, or any of the lines, fits.
+_FRAGMENT_PARTS = ("|", "your privacy, your choice", "we and our ", "transfers to third parties", "some third parties are outside", "standards of data protection", "advertising, personal,", "advertising, personalisation of content", "usage analysis", "see our privacy policy", "for further information and to change your choices")
+_LINE_PARTS = ("doi.org/", "volume", "publisher", "springer nature", "privacy policy", "use of your personal data", "to change your choices", "for further information", "cookie")
+
+
 def without_fragments(text: Column) -> Column:
-    """A text with a blank for each fragment, one kind after the other."""
-    for fragment in FRAGMENTS:
-        text = F.regexp_replace(text, "(?i)" + fragment, " ")
+    """A text with a blank for each fragment, one kind after the other. Only texts with a fragment's fixed part are
+    searched for it: the patterns try every place."""
+    for fragment, part in zip(FRAGMENTS, _FRAGMENT_PARTS):
+        text = _with(text, lambda t: F.when(F.contains(F.lower(t), F.lit(part)), F.regexp_replace(t, "(?i)" + fragment, " ")).otherwise(t))  # noqa: B023
     return text
 
 
@@ -149,8 +155,15 @@ def without_running_text(text: Column, own_doi: Column) -> Column:
 
 def without_page_lines(text: Column) -> Column:
     """A text without the lines that come from running heads, footers and notices."""
-    kept = F.filter(F.split(text, "\n"), lambda line: ~line.rlike("(?i)" + "|".join(PAGE_LINES)))
-    return F.array_join(kept, "\n")
+
+    def kept(p: Column) -> Column:
+        lines = F.filter(F.split(p["t"], "\n"), lambda line: ~line.rlike("(?i)" + "|".join(PAGE_LINES)))
+        maybe = F.contains(p["low"], F.lit(_LINE_PARTS[0]))
+        for part in _LINE_PARTS[1:]:
+            maybe = maybe | F.contains(p["low"], F.lit(part))
+        return F.when(maybe, F.array_join(lines, "\n")).otherwise(p["t"])
+
+    return _with(_with(text, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))), kept)
 
 
 def without_own_doi(text: Column, own: Column) -> Column:

@@ -163,7 +163,8 @@ select doc_id, length(t)::int as n, sha256(t) as digest from c
 def page_text(spark, sf):
     """Documents into which running heads, feet and notices were put, without them again."""
     clean = S.without_running_text(F.expr(_SOILED), F.lit("10.1/own(2)"))
-    found = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.array(clean)).alias("t"))  # worked out once a row
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition(_tasks(spark))
+    found = docs.select("doc_id", F.explode(F.array(clean)).alias("t"))  # worked out once a row
     return found.select("doc_id", F.length("t").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
 
 

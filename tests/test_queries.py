@@ -134,3 +134,25 @@ def test_structure_files_reads_its_lines_once(spark):
     """Lines are numbered and parsed once; the aggregates read what that left."""
     plan = q.queries()["structure_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "Window" not in plan
+
+
+def test_page_text_is_spread_and_guards_miss_no_fragment(spark):
+    """Texts of one file take several tasks; what a pattern would take away goes, in either case of letters."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from siftline.functions import strings as S
+
+    assert q.queries()["page_text"](spark, SF).rdd.getNumPartitions() > 1
+    texts = ["Nature News | VOLUME 12 | May x\nYOUR PRIVACY, your choice", "we and our 20 partners do. transfers to THIRD parties x. Some third parties are outside y. varying standards of data protection z. a",
+             "advertising, personal,personalisation of content q. Advertising, personalisation of content q. usage analysis and social r. see Our privacy policy s. t", "for further information and to change your choices u. v\n\n", "plain\n\ntext\n", "",
+             "Publisher's note a\nSpringer Nature remains b\nuse of your personal data\nto change your choices\nfor further information and to change\nCookies\nhttps://doi.org/10.1/x \nArticle https://doi.org/1\n| Volume 3 |\nkept"]
+    want = []
+    for t in texts:
+        t = "\n".join(x for x in t.split("\n") if not re.search("|".join(S.PAGE_LINES), x, re.I))
+        for fragment in S.FRAGMENTS:
+            t = re.sub(fragment, " ", t, flags=re.I)
+        want.append(t)
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", S.without_running_text(F.col("t"), F.lit("10.9/none")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == want
