@@ -11,7 +11,7 @@ from ..functions import answers as J
 from ..session import table
 from ..sources import bundle_source as BS
 from ..streaming import monitor as M
-from .queries import _shared, query
+from .queries import _shared, _tasks, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -60,7 +60,7 @@ def tolerant_answers(spark, sf):
     """The fields of reviews whose texts hold unescaped quotes and braces: the state goes over quotes here, the SQL looks
     for the names of the fields."""
     found = F.filter(F.array(J.review_fields(F.expr(_ANSWERS))), lambda r: r.isNotNull())  # worked out once a row
-    return table(spark, sf, "events").select("event_id", F.inline(found))
+    return table(spark, sf, "events").repartition(_tasks(spark)).select("event_id", F.inline(found))
 
 
 @query("""

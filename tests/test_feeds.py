@@ -138,3 +138,12 @@ def test_claims_ask_the_state_by_pieces_not_by_events(monkeypatch):
     assert [(r.event_id, r.action, r.us) for r in got] == want and {"claim", "retry", "give up", "busy", "stale"} == {a for _, a, _ in want}
     assert not handle.timers and not claims.waiting.kept and not claims.claim.kept
     assert _State.calls < 400
+
+
+def test_tolerant_answers_take_several_tasks(spark):
+    """Answers cost far more than their bytes tell: one small file isn't left to one task."""
+    from siftline.plans import queries as q
+
+    import __spark_entry__ as entry
+
+    assert "tolerant_answers" in entry.queries() and q.queries()["tolerant_answers"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
