@@ -111,3 +111,16 @@ def test_pairs_of_a_sheet_are_summed_before_they_move(spark):
     ranked = spark.sql("select 's' as sheet, c, cast(id + 1 as int) as pos, cast(id as double) as v from range(5000) lateral view explode(array('a', 'b', 'c')) t as c")
     got = H.place_pairs(ranked, ["sheet"], "c").withColumn("task", H.F.spark_partition_id()).groupBy("a", "b").agg(H.F.count("*").alias("n"), H.F.count_distinct("task").alias("tasks"), H.F.count_if(H.F.col("va") != H.F.col("vb")).alias("off")).collect()
     assert len(got) == 3 and all(r.n == 5000 and r.tasks <= 2 and r.off == 0 for r in got)
+
+
+def test_rows_are_sorted_once_for_all_their_columns(spark):
+    """Figures of rows are those of their cells, also with nulls, and only counts of values are sorted by value."""
+    wide = spark.createDataFrame(
+        [("s", k, float(k * k), None if k % 3 == 0 else float(-k), 2.25) for k in range(9)] + [("t", 1, 4.0, None, 0.5), (None, 1, 1.0, 1.0, None), (None, 2, 3.5, 9.0, -0.0), (None, 3, 7.0, 81.0, 0.0)],
+        "sheet string, pos long, a double, b double, c double",
+    )
+    cells = wide.unpivot(["sheet", "pos"], ["a", "b", "c"], "c", "v")
+    got, want = (sorted(map(repr, f.select(sorted(f.columns)).collect())) for f in (H.row_figures(wide, ["sheet"], "c", ["a", "b", "c"]), H.column_figures(cells, ["sheet"], "c")))
+    assert got == want and len(got) == 8
+    plan = H._steps_of_rows(wide, ["sheet"], "c", ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.index("Generate") < plan.index("Sort [")
