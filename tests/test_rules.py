@@ -50,6 +50,16 @@ def test_sequences_and_axes(spark):
     assert roles["even"].is_axis and roles["index"].is_row_index and not roles["noise"].is_axis
 
 
+def test_axis_roles_sort_twice_and_keep_no_map_of_values(spark):
+    """Uneven and falling steps, few codes, gaps; by place and by step only, in more tasks than their bytes ask for."""
+    v = vectors(spark, {"falling": [9.0, 7.0, 5.02, 3.0], "uneven": [0.0, 1.0, 2.0, 4.0], "codes": [1, 2, 1, 2, 3] * 4, "counts": [1, 2, 3]})
+    f = C.axis_roles(v, ["c"])
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    got = {r.c: (r.n, r.is_row_index, r.is_axis, r.is_category) for r in f.collect()}
+    assert got == {"falling": (4, False, True, False), "uneven": (4, False, False, False), "codes": (20, False, False, True), "counts": (3, True, False, False)}
+    assert "median" not in plan.lower() and "percentile" not in plan.lower() and plan.count("Sort [") == 2
+
+
 def test_cv_boundary(spark):
     got = by_column(C.coefficient_of_variation(vectors(spark, {"tight": [100, 100.01, 99.99], "loose": [100, 110, 90], "zero": [-1, 0, 1]}), ["c"]))
     assert got["tight"].severity == "high" and not got["loose"].flagged and "zero" not in got
