@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import strings as S
 from ..functions.answers import _with
@@ -135,8 +134,8 @@ WHOLE_YEAR, WHOLE_PAGES = r"\(\d{4}\)", r"\d+\s*[-–]\s*\d+\.?\s*$"
 
 
 class CitationGroups:
-    """A table function over ``TABLE(lines) PARTITION BY key ORDER BY place``: the lines (key, place, line) of author-first
-    lists as citations (key, number, lines, text). It holds the lines of one citation at a time.
+    """The lines of one author-first list, in order, as citations (key, number, lines, text). It holds the lines of one
+    citation at a time. ``of_batches`` goes over batches of lines (key, place, line) that are sorted by key and place.
 
     A line that begins like a citation ends the one before it, if that looks whole. Blank lines count for nothing.
     """
@@ -144,29 +143,25 @@ class CitationGroups:
     _starts = re.compile("|".join(STARTS), re.ASCII)
     _doi, _year, _pages = (re.compile(x, re.ASCII) for x in (WHOLE_DOI, WHOLE_YEAR, WHOLE_PAGES))
 
-    @staticmethod
-    def analyze(table: AnalyzeArgument) -> AnalyzeResult:
-        from pyspark.sql.types import IntegerType, StringType, StructType
-
-        return AnalyzeResult(StructType().add(table.dataType[0].name, table.dataType[0].dataType).add("number", IntegerType()).add("lines", IntegerType()).add("text", StringType()))
-
     def __init__(self):
         self.key, self.number, self.held, self.has_doi, self.has_year = None, 0, [], False, False
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        self.key, line = row[0], (row[2] or "").strip()
+    def add(self, key, line: str | None) -> Iterator[tuple]:
+        self.key, line = key, (line or "").strip()
         if not line:
             return
-        if self.held and self._starts.search(line) and self.whole():
+        if self.held and (self.has_doi or self.has_year) and self._starts.match(line) and self.whole():
             yield self.citation()
         self.held.append(line)
-        self.has_doi = self.has_doi or bool(self._doi.search(" ".join(self.held[-2:])))  # a DOI may be cut at a line's end
-        self.has_year = self.has_year or bool(self._year.search(line))
+        if not self.has_doi:
+            near = " ".join(self.held[-2:])  # a DOI may be cut at a line's end
+            self.has_doi = "10." in near and bool(self._doi.search(near))
+        self.has_year = self.has_year or "(" in line and bool(self._year.search(line))
 
     def whole(self) -> bool:
         return self.has_doi or self.has_year and bool(self._pages.search(" ".join(self.held[-3:])))
 
-    def terminate(self) -> Iterator[tuple]:
+    def end(self) -> Iterator[tuple]:
         if self.held:
             yield self.citation()
 
@@ -177,13 +172,36 @@ class CitationGroups:
         return out
 
 
-def citations(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Citations of the lines (key, place, line) of each key in order of place; see CitationGroups."""
-    from pyspark.sql.functions import udtf
+    @classmethod
+    def of_batches(cls, schema) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = None
+            for batch in batches:
+                out = []
+                for key, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    if group is None or group.key != key:
+                        out += group.end() if group else ()
+                        group = cls()
+                    out += group.add(key, line)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            if group and (out := list(group.end())):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    importable(spark).udtf.register("citation_groups", udtf(CitationGroups))
-    key, place, line = lines.columns
-    return spark.sql(f"select * from citation_groups(table(select `{key}`, `{place}`, `{line}` from {{lines}}) partition by `{key}` order by `{place}`)", lines=lines)
+        return run
+
+
+def citations(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Citations of the lines (key, place, line) of each key in order of place; see CitationGroups. Lines go to Python in
+    batches, keys one after the other, in several tasks for each core."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, StringType, StructType
+
+    key, place, _ = lines.columns
+    schema = StructType().add(key, lines.schema[0].dataType).add("number", IntegerType()).add("lines", IntegerType()).add("text", StringType())
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    importable(spark)
+    return lines.repartition(tasks, key).sortWithinPartitions(key, place).mapInArrow(CitationGroups.of_batches(to_arrow_schema(schema)), schema)
 
 
 def grouped_lines(lines: Column) -> Column:

@@ -119,7 +119,7 @@ with recursive {_LINES}
 select doc_id, number::int as number, count(*)::int as lines, sha256(string_agg(line, ' ' order by i)) as digest from g join n using (doc_id, i) group by doc_id, number
 """)
 def citation_rows(spark, sf):
-    """The citations of author-first lists, by a table function over the sentences of every document in order."""
+    """The citations of author-first lists, in batches over the sentences of every document in order."""
     return X.citations(spark, citation_lines(spark, sf)).select("doc_id", "number", "lines", F.sha2("text", 256).alias("digest"))
 
 

@@ -72,6 +72,8 @@ def test_citations_of_several_lines(spark):
         got.setdefault(r.k, []).append((r.lines, r.text))
     want = [(3, "Smith, L. J. The deep sea and what lives there (2010). Sea 12, 34-56."), (2, "Lee, K. Waves. doi: 10.1234/abc"), (3, "van Dyke, A. No end Kim, S. not whole, so one text (2001) 5 - 6"), (1, "Wu, X. last (1999).")]
     assert got == {1: want, 2: want, 3: [(1, "only")]}
+    plan = X.citations(spark, df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan  # lines go to Python in batches
     fold = df.where("k = 1 and trim(line) <> ''").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.trim("line").alias("x")))), lambda x: x["x"]).alias("l"))
     assert fold.select(X.grouped_lines(F.col("l"))).first()[0] == [t for _, t in want]
 
