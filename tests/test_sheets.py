@@ -126,3 +126,15 @@ def test_rows_are_sorted_once_for_all_their_columns(spark):
     assert got == want and len(got) == 8
     plan = H._steps_of_rows(wide, ["sheet"], "c", ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.index("Generate") < plan.index("Sort [")
+
+
+def test_only_sheets_with_monotone_columns_are_sorted_again(spark):
+    """Medians of steps take the rows of monotone columns' sheets alone, and a value's digits are told once for its copies."""
+    wide = spark.createDataFrame([("up", k, float(k), 7.25) for k in range(8)] + [("flat", k, float(k % 2), 120.5) for k in range(9)], "sheet string, pos long, a double, b double")
+    f = H.row_figures(wide, ["sheet"], "c", ["a", "b"])
+    got = {(r.sheet, r.c): (r.mid, r.mean_decimals, r.t0, r.t7, r.b1, r.nonzero, r.largest) for r in f.collect()}
+    assert got == {
+        ("up", "a"): (1.0, 0.0, 1, 1, 1, 7, 7.0), ("up", "b"): (None, 2.0, 0, 8, 0, 8, 7.25),
+        ("flat", "a"): (None, 0.0, 5, 0, 4, 4, 1.0), ("flat", "b"): (None, 1.0, 9, 0, 9, 9, 120.5),
+    }
+    assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()
