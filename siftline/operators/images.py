@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +34,70 @@ def hamming_matches(queries: DataFrame, base: DataFrame, key: str, bits: str, mo
     return pairs.where(F.col("distance") <= most).select("query", "match", "distance").distinct().withColumn("similarity", 1 - F.col("distance") / 64)
 
 
-def ratio_matches(queries: DataFrame, base: DataFrame, key: str, vector: str, cell: str, ratio: float = 0.7) -> DataFrame:
-    """For each query its nearest neighbour within its cell, if clearly nearer than the second. Of a query's distances
-    the two least are kept, already before the shuffle; ties go to the smaller key."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), cell)
-    b = base.select(F.col(key).alias("match"), F.col(vector).alias("bv"), cell)
-    square = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.join(b, cell).where(F.col("query") != F.col("match")).select("query", "match", F.sqrt(square).alias("distance"))
+#: Rows of a cell, and as many queries, that meet at once.
+BLOCK = 2048
+
+
+def _dense(lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, zero where there is no component, and where there is one."""
+    lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    flat = lists.flatten()
+    known = np.arange(width) < pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)[:, None]
+    x = np.zeros(known.shape)
+    x[known] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+    known[known] = flat.is_valid().to_numpy(zero_copy_only=False)
+    return x, known
+
+
+def _two_nearest(q: pa.Table, b: pa.Table) -> pa.Table:
+    """(query, match, distance) of each query's two nearest rows of ``b``: products of matrices rule out what is further than
+    rounding can tell, and distances of the rest are summed in order of the components that both have."""
+    out = []
+    width = max((pc.max(pc.list_value_length(x)).as_py() or 0 for x in (q["qv"], b["bv"]) if len(x)), default=0)
+    if width and len(q) and len(b):
+        (x, xs), (y, ys) = _dense(q["qv"], width), _dense(b["bv"], width)
+        codes = pc.rank(pa.concat_arrays([*q["query"].chunks, *b["match"].chunks]), sort_keys="ascending", tiebreaker="dense").to_numpy()
+        own, other = codes[: len(q)], codes[len(q) :]
+        plain_x, plain_y = ((v.all(1) & (np.abs(np.nan_to_num(u, nan=np.inf)).max(1) < 1e100)) for u, v in ((x, xs), (y, ys)))
+        xx, yy = ((np.where(p[:, None], u, 0) ** 2).sum(1) for u, p in ((x, plain_x), (y, plain_y)))
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            sums = xx[part, None] + yy
+            about = sums - 2 * (np.where(plain_x[part, None], x[part], 0) @ np.where(plain_y[:, None], y, 0).T)
+            sure, differ = plain_x[part, None] & plain_y, own[part, None] != other
+            most = np.where(sure & differ, about + 1e-12 * sums, np.inf)
+            second = np.partition(most, 1, axis=1)[:, 1] if len(b) > 1 else np.full(len(most), np.inf)
+            i, j = np.nonzero(differ & (~sure | (about - 1e-12 * sums <= second[:, None])))
+            square, common = np.zeros(len(i)), np.zeros(len(i), bool)
+            with np.errstate(all="ignore"):
+                for k in range(width):
+                    both = xs[at + i, k] & ys[j, k]
+                    square += np.where(both, (x[at + i, k] - y[j, k]) ** 2, 0)
+                    common |= both
+            i, j, distance = at + i[common], j[common], np.sqrt(square[common])
+            order = np.lexsort((other[j], distance, i))
+            i, j, distance = i[order], j[order], distance[order]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+            keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < 2
+            out.append(pa.table([q["query"].take(i[keep]), b["match"].take(j[keep]), pa.array(distance[keep])], ["query", "match", "distance"]))
+    return pa.concat_tables(out) if out else pa.table([q["query"].slice(0, 0), b["match"].slice(0, 0), pa.array([], pa.float64())], ["query", "match", "distance"])
+
+
+def ratio_matches(queries: DataFrame, base: DataFrame, key: str, vector: str, cell: str, ratio: float = 0.7, block: int = BLOCK) -> DataFrame:
+    """For each query its nearest neighbour within its cell, if clearly nearer than the second; ties go to the smaller key.
+
+    Queries and rows of a cell meet in blocks of about ``block``, every block of queries every block of rows, and a task holds
+    two blocks; of each meeting the two nearest are kept. Components that one of two vectors lacks don't count.
+    """
+    queries, base = (x.where(F.col(key).isNotNull()) for x in (queries, base))
+    number = lambda df, name: df.groupBy(cell).agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = number(base, "_blocks").join(number(queries, "_turns"), cell)
+    part = lambda n: F.pmod(F.xxhash64(key), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = queries.join(sizes, cell).select(F.col(cell).alias("_cell"), part(F.col("_turns")).alias("_turn"), every("_blocks").alias("_block"), F.col(key).alias("query"), F.col(vector).alias("qv"))
+    b = base.join(sizes, cell).select(F.col(cell).alias("_cell"), every("_turns").alias("_turn"), part(F.col("_blocks")).alias("_block"), F.col(key).alias("match"), F.col(vector).alias("bv"))
+    kind = base.schema[key].dataType.simpleString()
+    pairs = q.groupBy("_cell", "_turn", "_block").cogroup(b.groupBy("_cell", "_turn", "_block")).applyInArrow(_two_nearest, f"query {kind}, match {kind}, distance double")
     turn = F.row_number().over(Window.partitionBy("query").orderBy("distance", "match"))
     near = pairs.withColumn("turn", turn).where("turn <= 2").groupBy("query").agg(F.min_by("match", "turn").alias("match"), F.min("distance").alias("distance"), F.max("distance").alias("next"), F.count("*").alias("n"))
     return near.where((F.col("n") == 2) & (F.col("distance") < ratio * F.col("next"))).select("query", "match", "distance")

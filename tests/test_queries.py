@@ -156,3 +156,24 @@ def test_page_text_is_spread_and_guards_miss_no_fragment(spark):
         want.append(t)
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", S.without_running_text(F.col("t"), F.lit("10.9/none")).alias("t")).collect()
     assert [r.t for r in sorted(got)] == want
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_knn_ratio_on_odd_vectors(spark, tmp_path, block, monkeypatch):
+    """Copies, ties, vectors that are short, long, null or lack components, in one or many blocks, against the SQL; rows meet in blocks."""
+    import random
+
+    from siftline.operators import images as I
+
+    r = random.Random(5)
+    some = [[r.gauss(0, 1) for _ in range(64)] for _ in range(60)]
+    some += [[x + r.gauss(0, 0.01) for x in some[0]], list(some[0]), list(some[0]), list(some[50]), some[50][:40], [*some[20], 9.0], None, [], [None] * 64, [*some[3][:63], None], [x and 1e18 * x for x in some[7]]]
+    vectors = [(k * 25, v, k % 2) for k, v in enumerate(some)] + [(5000, some[0], None), (None, some[50], 0), (5050, [x + 0.001 for x in some[9]], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(I.ratio_matches, "__defaults__", (0.7, block))
+    got = q.queries()["knn_ratio"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(q.oracle_sql()["knn_ratio"]).df()
+    assert len(want) >= 2 and rows(got.toPandas()) == rows(want)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
