@@ -1,7 +1,7 @@
 """Bundles of files as a data source: ``spark.read.format("bundles")`` and ``spark.readStream.format("bundles")``.
 
 Rows are cells, as in ``cells``. Partitions are planned by bytes: small files share one, each sheet of a large workbook
-and each byte range of a large CSV file is one. The option ``only`` chooses bundles, files and sheets before any file is read, and
+and each byte range of a large CSV file, or several where there are many, is one. The option ``only`` chooses bundles, files and sheets before any file is read, and
 ``spark.read.schema(...)`` with fewer columns makes only those. Paths may be of any file system that Arrow knows.
 Filters aren't taken over from the plan: Spark 4.1 keeps what was pushed with the source, so that a second query on the same
 DataFrame would read what the filter of the first had left (measured: a count after a filtered count was too low).
@@ -18,7 +18,8 @@ import io
 import json
 import zipfile
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ class Part(InputPartition):
     inside: bool = False
     first_row: int = 0
     utf8: bool = True
+    more: tuple[Part, ...] = ()  # further pieces that the same task reads
 
     def __post_init__(self):
         self.value = None  # what InputPartition keeps
@@ -84,6 +86,23 @@ def ranges(size: int, range_bytes: int) -> list[tuple[int, int]]:
     return [(a, min(a + range_bytes, size)) for a in range(0, size, range_bytes)]
 
 
+def packed(parts: list[Part], tasks: int) -> list[Part]:
+    """Ranges that follow each other share a task where there are more than ``tasks`` would need, up to ``RANGE_BYTES``."""
+    sizes = [0 if p.stop is None else p.stop - p.start for p in parts]
+    most = min(RANGE_BYTES, sum(sizes) // tasks if tasks else 0)
+    out, some, used = [], [], 0
+    for part, size in zip(parts, sizes):
+        if part.stop is None:
+            out.append(part)
+            continue
+        if some and used + size > most:
+            out.append(replace(some[0], more=tuple(some[1:])))
+            some, used = [], 0
+        some.append(part)
+        used += size
+    return out + ([replace(some[0], more=tuple(some[1:]))] if some else [])
+
+
 def plan(system: fs.FileSystem, files: Iterable[tuple[tuple[str, str, str, str], int]], range_bytes: int, entries: dict) -> list[Part]:
     """Partitions of files with their sizes. ``entries`` tells of a large CSV file where its ranges begin; without them,
     a file of any size is one partition, read as a stream."""
@@ -113,14 +132,13 @@ def scan(data: bytes, before: int | None) -> tuple[int, int, int, bool, bool]:
     elsewhere than at a field's start or a carriage return stands alone, for either beginning). ``before`` is the byte
     before the range."""
     b = np.frombuffer(data, "u1")
-    quote = b == 34
-    odd = np.cumsum(quote) - quote & 1  # parity before each byte
-    ends = b == 10
-    previous = np.concatenate([[10 if before is None else before], b[:-1]])
-    opens = quote & ~np.isin(previous, (44, 10, 34))
-    lone = (b == 13) & (np.append(b[1:], 10) != 10)
-    outside, inside = odd == 0, odd == 1
-    return int(quote.sum()), int((ends & outside).sum()), int((ends & inside).sum()), bool(((opens | lone) & outside).any()), bool(((opens | lone) & inside).any())
+    quote, ends = b == 34, b == 10
+    inside = np.logical_xor.accumulate(quote) ^ quote  # before each byte, if the range begins outside
+    previous = np.concatenate([np.array([10 if before is None else before], "u1"), b[:-1]])
+    opens = quote & (previous != 44) & (previous != 10) & (previous != 34)
+    lone = (b == 13) & (np.append(b[1:], np.uint8(10)) != 10)
+    odd, within = opens | lone, int(np.count_nonzero(ends & inside))
+    return int(np.count_nonzero(quote)), int(np.count_nonzero(ends)) - within, within, bool((odd & ~inside).any()), bool((odd & inside).any())
 
 
 def _is_utf8(data: bytes) -> bool:
@@ -188,6 +206,7 @@ class _Cells:
     def __init__(self, options: dict, schema: StructType):
         self.options, self.columns, self.only = options, schema.names, json.loads(options.get("only") or "{}")
         self.schema = to_arrow_schema(schema)
+        self.tasks = int(self.options.get("tasks") or 0)
         self.range_bytes = int(options.get("rangebytes") or options.get("rangeBytes") or RANGE_BYTES)
 
     def files(self) -> Iterator[tuple[tuple[str, str, str, str], int, int]]:
@@ -195,13 +214,13 @@ class _Cells:
 
     def plan(self, files) -> list[Part]:
         system, _ = _system(self.options["path"])
-        return plan(system, files, self.range_bytes, json.loads(self.options.get("entries") or "{}"))
+        return packed(plan(system, files, self.range_bytes, json.loads(self.options.get("entries") or "{}")), self.tasks)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         names = [column.split()[0] for column in cells.CELLS.split(", ")]
         places = [names.index(c) for c in self.columns]
         rows = []
-        for row in self.rows(part):
+        for row in chain.from_iterable(map(self.rows, (part, *part.more))):
             if "sheet" in self.only and row[2] not in self.only["sheet"]:
                 continue
             rows.append([row[k] for k in places])
@@ -251,16 +270,17 @@ class RangeReader(_Cells, DataSourceReader):
 
     def partitions(self) -> list[Part]:
         large = [(file, size) for file, size, _ in self.files() if file[2] == "csv" and size > self.range_bytes]
-        return [Part([file], start=a, stop=b) for file, size in large for a, b in ranges(size, self.range_bytes)] or [Part([])]
+        return packed([Part([file], start=a, stop=b) for file, size in large for a, b in ranges(size, self.range_bytes)], self.tasks) or [Part([])]
 
     def read(self, part: Part) -> Iterator[tuple]:
         system, _ = _system(self.options["path"])
-        for *_, path in part.files:
-            with system.open_input_file(path) as f:
-                f.seek(max(part.start - 1, 0))
-                data = f.read(part.stop - max(part.start - 1, 0))
-            before, data = (data[0], data[1:]) if part.start else (None, data)
-            yield path, part.start, part.stop, *scan(data, before), _is_utf8(data)
+        for piece in (part, *part.more):
+            for *_, path in piece.files:
+                with system.open_input_file(path) as f:
+                    f.seek(max(piece.start - 1, 0))
+                    data = f.read(piece.stop - max(piece.start - 1, 0))
+                before, data = (data[0], data[1:]) if piece.start else (None, data)
+                yield path, piece.start, piece.stop, *scan(data, before), _is_utf8(data)
 
 
 class BundleStream(_Cells, DataSourceStreamReader):
@@ -297,17 +317,18 @@ def range_entries(spans: DataFrame) -> DataFrame:
 
 
 def bundle_cells(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES, schema: str | None = None, only: dict[str, list[str]] | None = None) -> DataFrame:
-    """Cells of all files below ``root``: large CSV files are read in ranges of ``range_bytes``, each by its own task.
+    """Cells of all files below ``root``: large CSV files are read in ranges of ``range_bytes``, each by its own task while there
+    are few for each core; else a task takes several, so that tasks, which cost more than a small range, don't grow with the input.
 
     The row index is the number of the record in the file, blank ones counted. ``only`` has lists of ``bundle_id``, ``file`` or
     ``sheet`` to read. The driver holds one entry for each range, as it does for every partition of a scan.
     """
-    register(spark)
-    spans = spark.read.format("bundles").option("what", "ranges").option("rangeBytes", range_bytes).option("only", json.dumps(only or {})).load(root)
+    tasks = 16 * register(spark).sparkContext.defaultParallelism
+    spans = spark.read.format("bundles").option("what", "ranges").option("tasks", tasks).option("rangeBytes", range_bytes).option("only", json.dumps(only or {})).load(root)
     entries: dict[str, list] = {}
     for r in range_entries(spans).orderBy("path", "start").collect():
         entries.setdefault(r.path, []).append((r.start, r.stop, r.inside, r.first_row, r.utf8))
-    reader = spark.read.format("bundles").option("rangeBytes", range_bytes).option("only", json.dumps(only or {})).option("entries", json.dumps(entries))
+    reader = spark.read.format("bundles").option("tasks", tasks).option("rangeBytes", range_bytes).option("only", json.dumps(only or {})).option("entries", json.dumps(entries))
     return (reader.schema(schema) if schema else reader).load(root)
 
 

@@ -140,3 +140,15 @@ def test_arriving_files_are_read_once(spark, tmp_path):
     arrive("p1/c.csv", b"4\n", 2000)
     assert run() == [("a.csv", "1"), ("a.csv", "2"), ("b.csv", "3"), ("c.csv", "4")]
     assert len(run()) == 4
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    """More ranges than some for each core are read by no more tasks than that, and every record once."""
+    (tmp_path / "p").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "p" / f"{name}.csv").write_text("".join(f'{k},"x\n""{k}"""\n' for k in range(4000)))
+    df = BS.bundle_cells(spark, str(tmp_path), 50)
+    tasks = 16 * spark.sparkContext.defaultParallelism
+    assert sum(p.stat().st_size for p in (tmp_path / "p").iterdir()) // 50 > 10 * tasks and 8 < df.rdd.getNumPartitions() <= 2 * tasks
+    got = sorted((r.file, r.row_idx, r.col_idx, r.raw) for r in df.collect())
+    assert got == sorted((f"{n}.csv", k, j, x) for n in "ab" for k in range(4000) for j, x in enumerate((str(k), f'x\n"{k}"')))
