@@ -138,3 +138,67 @@ def test_only_sheets_with_monotone_columns_are_sorted_again(spark):
         ("flat", "a"): (None, 0.0, 5, 0, 4, 4, 1.0), ("flat", "b"): (None, 1.0, 9, 0, 9, 9, 120.5),
     }
     assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()
+
+
+def _wide(spark):
+    """Sheets of four columns: lines, copies with fine values in place and elsewhere, codes, even axes, nulls in whole rows and in single cells."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for s in range(24):
+        fine = [round(_wave(i, s + 1), 8 if s % 3 else 1) for i in range(60)]
+        for i in range(60 if s % 5 else 1 + s):
+            a = fine[i]
+            b = {0: 1.005 * a + 7.2, 1: a if i < 36 else a + 1.7, 2: 3.0 * i if s % 2 else float(i), 3: float(i % 4)}[s % 4]
+            c = rng.choice([a, a + 1e-9, a + 1e-8, a + 3e-8]) if s % 6 else fine[(i + 7) % 60]
+            d = round(rng.gauss(50, 10), 2) if s != 9 else 2.5
+            gone = i == 4 and s % 8 == 5
+            odd = i % 9 == 2 and s % 8 == 6
+            rows.append((f"s{s}" if s else None, s % 2, i, None if gone else a, None if gone or odd else b, None if gone else c, None if gone or (odd and i > 30) else d))
+    return spark.createDataFrame(rows, "sheet string, part long, pos int, growth double, aa double, mass double, ee double").repartition(3)
+
+
+def test_rows_of_sheets_give_what_their_cells_give(spark):
+    """Also where batches end amid a sheet."""
+    keys, measures, key = ["sheet", "part"], ["growth", "aa", "mass", "ee"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    wide = _wide(spark)
+    cells = wide.unpivot([*keys, "pos"], measures, "name", "v")
+    shown = lambda f: sorted(repr((r.other is None, r.sheet, r.part, r.name, r.other, r.test, r.severity, None if r.figure is None else round(r.figure, 6))) for r in f.collect())
+    rows, before = wide.repartition(2, *keys), spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got, two = shown(H.row_findings(rows, keys, "name", measures)), shown(H.row_pair_findings(rows, keys, "name", measures))
+        roles = sorted(repr(tuple(r)) for r in H.row_roles(rows, keys, "name", measures).select(*keys, "name", "n", H.is_measurement("name")).collect())
+    finally:
+        spark.conf.set(key, before)
+    want = shown(H.sheet_findings(cells, keys, "name"))
+    assert got == want and two == [x for x in want if x.startswith("(False")] and len(two) > 20
+    assert roles == sorted(repr(tuple(r)) for r in H.column_figures(cells, keys, "name").select(*keys, "name", "n", H.is_measurement("name")).collect())
+
+
+def test_equal_to_eight_decimals_and_finer():
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    import numpy as np
+
+    from siftline.operators import row_sums as W
+
+    a = np.array([0.0, 5e-9, 1.5e-8, 2.5e-8, 1.000000005, 1.000000015, 123456.123456785, -1e-9, 2e9 + 0.5, 7.25, 1e12])
+    b = np.array([-0.0, 0.0, 2e-8, 2e-8, 1.0, 1.00000002, 123456.12345678, 1e-9, 2e9 + 0.5, 7.2500001, 1e12 + 1])
+    r = lambda x: float(Decimal(repr(float(x))).quantize(Decimal("1e-8"), ROUND_HALF_EVEN))
+    assert W.equal(a, b).tolist() == [r(x) == r(y) for x, y in zip(a, b)]
+    v = np.array([0.1, 0.12345, 0.123456, 1 / 3, 1e-5, 1e-6, 12345678.12345, 1e9 + 0.25, 1e9 + 1 / 3, 3e15, -0.000001])
+    assert W.finer(v, 5).tolist() == [False, False, True, True, False, True, False, False, True, False, True]
+
+
+def test_sheet_pairs_move_rows_not_cells(spark):
+    """One row for each row of the table is shuffled, not one for each cell, and not what is made of it."""
+    from siftline.plans import queries as q
+
+    from .conftest import SF
+
+    store, moved = spark.sparkContext._jsc.sc().statusStore(), lambda s: s.executorList(False).apply(0).totalShuffleWrite()
+    spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    before = moved(store)
+    n = q.queries()["sheet_pairs"](spark, SF).count()
+    assert n and moved(store) - before < 1_000_000
