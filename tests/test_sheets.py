@@ -191,14 +191,13 @@ def test_equal_to_eight_decimals_and_finer():
     assert W.finer(v, 5).tolist() == [False, False, True, True, False, True, False, False, True, False, True]
 
 
-def test_sheet_pairs_move_rows_not_cells(spark):
+@pytest.mark.parametrize("name", ["sheet_pairs", "sheet_battery"])
+def test_batteries_move_rows_not_cells(spark, name):
     """One row for each row of the table is shuffled, not one for each cell, and not what is made of it."""
     from siftline.plans import queries as q
 
     from .conftest import SF
 
-    store, moved = spark.sparkContext._jsc.sc().statusStore(), lambda s: s.executorList(False).apply(0).totalShuffleWrite()
-    spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    before = moved(store)
-    n = q.queries()["sheet_pairs"](spark, SF).count()
-    assert n and moved(store) - before < 1_000_000
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    assert q.queries()[name](spark, SF).count() and moved() - before < 1_000_000
