@@ -177,3 +177,27 @@ def test_knn_ratio_on_odd_vectors(spark, tmp_path, block, monkeypatch):
     want = con.sql(q.oracle_sql()["knn_ratio"]).df()
     assert len(want) >= 2 and rows(got.toPandas()) == rows(want)
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_ratio_is_that_of_difflib(monkeypatch):
+    """Of the text's start and of all windows, also with ties, letters beyond ASCII, runs over 255 and texts in blocks; without difflib."""
+    import difflib
+    import random
+
+    from siftline.operators import exact
+
+    rng = random.Random(5)
+    cases = [("ab" * 150, "xab" * 20 + "ab" * 160, 0.0), ("a", "ba", 0.0), ("abc", "", 0.0), ("é🙂a", "a🙂é🙂", 0.1), ("abcd", "abxd", 0.75), ("abcd", "abxd", 0.7)]
+    for k in range(150):
+        letters = "ab " if k % 3 else "abcdefgh é"
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for most in (60, 150))
+        cases.append((a, b + a[: k % 40] + b[:7] if k % 4 == 0 else b, rng.choice([0.0, 0.3, 0.6])))
+    want = []
+    for a, b, least in cases:
+        spans = {(0, 200), *((at, at + len(a)) for at in range(0, max(1, len(b) - len(a) + 1), max(1, len(a) // 4)))}
+        best = max(difflib.SequenceMatcher(None, b[lo:hi], a, autojunk=False).ratio() for lo, hi in spans) if a and b else 0.0
+        want.append(best if best > least else 0.0)
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert [exact.title_ratio.func(*(pd.Series([x]) for x in c))[0] for c in cases] == want
+    monkeypatch.setattr(exact, "BLOCK", 1000)
+    assert [exact.best_ratio(*c) for c in cases] == want and sum(w > 0 for w in want) > 80
