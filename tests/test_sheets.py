@@ -191,7 +191,7 @@ def test_equal_to_eight_decimals_and_finer():
     assert W.finer(v, 5).tolist() == [False, False, True, True, False, True, False, False, True, False, True]
 
 
-@pytest.mark.parametrize("name", ["sheet_pairs", "sheet_battery"])
+@pytest.mark.parametrize("name", ["sheet_pairs", "sheet_battery", "cross_sheet_columns"])
 def test_batteries_move_rows_not_cells(spark, name):
     """One row for each row of the table is shuffled, not one for each cell, and not what is made of it."""
     from siftline.plans import queries as q
